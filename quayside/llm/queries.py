@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .perplexity import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents")).drop("row")
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similar_components
+
+    return similar_components(table(spark, sf_dir, "documents"), k=5, percent=75)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import remove_repeats
 
@@ -15,6 +27,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op9_substring_dedup,)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), capacity=2048, end_id=1)
+
+
+QUERIES = {f.__name__: f for f in (op4_quality_rules, op6_jaccard_join, op9_substring_dedup, op10_packing)}
 
 ORACLES: dict[str, str] = {}
