@@ -1,10 +1,66 @@
-"""A training-corpus pipeline over ``documents``."""
+"""A training-corpus pipeline over ``documents``: filter, deduplicate, pack.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of ``documents``.  ``run`` writes each stage to the shared
+folder as Parquet and reads it again for the next.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quayside.llm.common import materialise, table
+from quayside.llm.jaccard import similar_components
+from quayside.llm.packing import pack
+from quayside.llm.perplexity import quality_rules
+from quayside.llm.substrings import remove_repeats
+from quayside.llm.weaklabels import quality_scores
+
+
+def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows whose verdict is kept; ``row`` tells rows apart that repeat a doc_id."""
+    good = verdicts.where("kept").select("row").distinct()
+    return docs.withColumn("row", F.xxhash64("doc_id", "text")).join(good, "row", "left_semi").drop("row")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label classifier keeps."""
+    return _kept(docs, quality_scores(docs))
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie in their language's perplexity band."""
+    return _kept(docs, quality_rules(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that with the least doc_id."""
+    groups = similar_components(docs, k=5, percent=75)
+    firsts = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    one = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["doc_id"]), "left_semi")
+    return one.dropDuplicates(["doc_id"])
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that repeat; a document of which nothing is left goes."""
+    cut = remove_repeats(docs, window=35, keep=[c for c in docs.columns if c not in ("text", "n_chars")], layout=True)
+    return cut.where("n_words > n_removed").withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token windows of the documents left, one row per piece."""
+    return pack(docs, capacity=2048, end_id=1)
+
+
+STAGES = [("quality_classifier", quality_classifier), ("quality_rules", rules), ("near_duplicates", near_duplicates), ("substring_dedup", substring_dedup), ("packing", packing)]
+
+#: The stages train models and hash n-grams, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return docs

@@ -17,7 +17,8 @@ words lower-cased in A-Z).  Equal sets are one record.  Two records link when
    (the record with the largest shared part).  Records that reach one component
    need no pair among them, and with both distances to one hub known the
    symmetric difference of two records is at least their difference, which
-   decides most other pairs unread.  Every pair left is verified on its texts.
+   decides most other pairs unread.  Every pair left is verified on its texts;
+   long lists do so block against block, without a row per pair.
 
 Rows: a null or empty text has no shingle and no link; fewer than ``k`` words
 are one shingle; rows that repeat a doc_id are told apart by their text and a
@@ -29,8 +30,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkernel as K
@@ -43,7 +46,10 @@ RANGE = 0.4
 SMALL = 96
 _SALT = np.uint64(0xA0761D6478BD642F)
 _POST = np.dtype([("part", "<u4"), ("record", "<i8")])
-_SHARED = np.dtype([("df", "<i4"), ("token", "<i8")])
+_SHARED = np.dtype([("record", "<i8"), ("df", "<i4"), ("token", "<i8")])
+#: A list of at most this many open records is compared pair by pair, a longer one in blocks.
+SHORT_LIST = 48
+BLOCK = 384
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -126,62 +132,127 @@ def _post(k: int, percent: int, buckets: int, remember: int = 200_000):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(lots: int):
     """Of each record, the tokens that another record posts too, with their number of records."""
-    held, of = [], []
-    for batch in batches:
-        for b, x in zip(batch.column("bucket").to_pylist(), batch.column("payload"), strict=True):
-            held.append(np.frombuffer(x.as_buffer(), _POST))
-            of.append(np.full(len(held[-1]), b, np.int64))
-    if not held:
-        return
-    post, bucket = np.concatenate(held), np.concatenate(of)
-    held, of = [], []
-    token = (bucket << 32) | post["part"].astype(np.int64)
-    once = np.sort(token)
-    twice = np.unique(once[1:][once[1:] == once[:-1]])
-    if not len(twice):
-        return
-    live = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, token), len(twice) - 1)] == token)
-    token, record = token[live], post["record"][live]
-    order = np.lexsort((record, token))
-    token, record = token[order], record[order]
-    keep = np.r_[True, (token[1:] != token[:-1]) | (record[1:] != record[:-1])]
-    token, record = token[keep], record[keep]
-    lot = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    df = np.diff(np.r_[lot, len(token)])
-    df = np.repeat(df, df)
-    keep = df > 1
-    token, record, df = token[keep], record[keep], df[keep]
-    order = np.argsort(record, kind="stable")
-    out = np.zeros(len(order), _SHARED)
-    out["token"], out["df"], record = token[order], df[order], record[order]
-    lot = np.flatnonzero(np.r_[True, record[1:] != record[:-1]]) if len(record) else np.zeros(0, int)
-    ends = np.r_[lot[1:], len(record)]
-    for i in range(0, len(lot), 10_000):
-        a, b = lot[i : i + 10_000], ends[i : i + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array(record[a]), K.pack([out[x:y] for x, y in zip(a, b, strict=True)])], names=["record", "payload"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = [], []
+        for batch in batches:
+            for b, x in zip(batch.column("bucket").to_pylist(), batch.column("payload"), strict=True):
+                held.append(np.frombuffer(x.as_buffer(), _POST))
+                of.append(np.full(len(held[-1]), b, np.int64))
+        if not held:
+            return
+        post, bucket = np.concatenate(held), np.concatenate(of)
+        held, of = [], []
+        token = (bucket << 32) | post["part"].astype(np.int64)
+        once = np.sort(token)
+        twice = np.unique(once[1:][once[1:] == once[:-1]])
+        if not len(twice):
+            return
+        live = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, token), len(twice) - 1)] == token)
+        token, record = token[live], post["record"][live]
+        order = np.lexsort((record, token))
+        token, record = token[order], record[order]
+        keep = np.r_[True, (token[1:] != token[:-1]) | (record[1:] != record[:-1])]
+        token, record = token[keep], record[keep]
+        df = np.diff(np.r_[np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), len(token)])
+        df = np.repeat(df, df)
+        keep = df > 1
+        lot = _lot(record[keep], lots)
+        order = np.argsort(lot, kind="stable")
+        out = np.zeros(len(order), _SHARED)
+        out["token"], out["df"], out["record"], lot = token[keep][order], df[keep][order], record[keep][order], lot[order]
+        if len(out):
+            cut = np.flatnonzero(np.r_[True, lot[1:] != lot[:-1]])
+            ends = np.r_[cut[1:], len(out)]
+            yield pa.RecordBatch.from_arrays([pa.array(lot[cut]), K.pack([out[a:b] for a, b in zip(cut, ends, strict=True)])], names=["lot", "payload"])
+
+    return run
+
+
+def _lot(record: np.ndarray, lots: int) -> np.ndarray:
+    return (K.mix(record.astype(np.uint64)) % np.uint64(lots)).astype(np.int32)
+
+
+def _spaces_by_lot(lots: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_lot(batch.column("record").to_numpy(), lots)), *(batch.column(c) for c in ("record", "size", "n"))], names=["lot", "record", "size", "n"])
+
+    return run
 
 
 def _prefixes(percent: int):
+    """The shared tokens in the prefix of each record of a lot, rarest first, with their place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, known = [], []
         for batch in batches:
-            names, tokens, sizes, posts, places, shares = [], [], [], [], [], []
-            for name, s, n, parts in zip(*(batch.column(c) for c in ("record", "size", "n", "parts")), strict=True):
-                x = np.concatenate([np.frombuffer(p.as_buffer(), _SHARED) for p in parts.values])
-                s, n = s.as_py(), n.as_py()
-                alone = n - len(x)
-                take = min(n, _missing(s, percent) + 1) - alone
-                if take <= 0:
-                    continue
-                x = x[np.lexsort((x["token"], x["df"]))][:take]
-                tokens.append(x["token"])
-                places.append(alone + np.arange(take))
-                for to, v in ((names, name.as_py()), (sizes, s), (posts, n), (shares, alone / n)):
-                    to.append(np.full(take, v))
-            if tokens:
-                kinds = (np.int64, np.int64, np.int32, np.int32, np.int32, np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip((tokens, names, sizes, posts, places, shares), kinds, strict=True)], names=["token", "record", "size", "n", "place", "alone"])
+            parts += [np.frombuffer(x.as_buffer(), _SHARED) for x in batch.column("payload").drop_null()]
+            rows = batch.filter(batch.column("record").is_valid())
+            known.append(np.stack([rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("record", "size", "n")]))
+        if not parts:
+            return
+        x, (record, size, n) = np.concatenate(parts), np.concatenate(known, 1)
+        x = x[np.lexsort((x["token"], x["df"], x["record"]))]
+        order = np.argsort(record)
+        record, size, n = record[order], size[order], n[order]
+        first = np.flatnonzero(np.r_[True, x["record"][1:] != x["record"][:-1]])
+        many = np.diff(np.r_[first, len(x)])
+        at = np.searchsorted(record, x["record"][first])
+        size, n = size[at], n[at]
+        alone = n - many
+        take = np.clip(np.minimum(n, size + (-percent * size // 100) + 1) - alone, 0, many)
+        of = np.repeat(np.arange(len(first)), take)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(take) - take, take)
+        x = x[first[of] + step]
+        columns = (x["token"], x["record"], size[of], n[of], alone[of] + step, alone[of] / n[of])
+        kinds = (np.int64, np.int64, np.int32, np.int32, np.int32, np.float32)
+        for i in range(0, len(x), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].astype(t)) for c, t in zip(columns, kinds, strict=True)], names=["token", "record", "size", "n", "place", "alone"])
+
+    return run
+
+
+def _compare_blocks(k: int, percent: int):
+    """Links between the components of two blocks of a long list, thinned to a forest."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.drop_duplicates(["side", "node"])
+        sets = [x for i in range(0, len(part), 64) for x in shingle_sets(pa.array(part["text"].iloc[i : i + 64], pa.string()), k)]
+        sizes = np.array([len(x) for x in sets])
+        flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        _, token, count = np.unique(flat, return_inverse=True, return_counts=True)
+        use = count[token] > 1
+        slot = np.cumsum(count > 1) - 1
+        token, of = slot[token[use]], of[use]
+        left = np.flatnonzero(part["side"].to_numpy() == 0)
+        right = np.flatnonzero(part["side"].to_numpy() == 1) if (part["side"] == 1).any() else left
+        both = np.zeros((len(left), len(right)), np.float32)
+        for a in range(0, int(token.max(initial=-1)) + 1, 4096):
+            own = (token >= a) & (token < a + 4096)
+            dense = np.zeros((len(sets), 4096), np.float32)
+            dense[of[own], token[own] - a] = 1
+            both += dense[left] @ dense[right].T
+        c, node = part["c"].to_numpy(), part["node"].to_numpy()
+        total = sizes[left][:, None] + sizes[right][None, :] - both
+        i, j = np.nonzero((100 * both >= percent * total) & (c[left][:, None] != c[right][None, :]))
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for x, y in zip(left[i], right[j], strict=True):
+            a, b = find(c[x]), find(c[y])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((node[x], node[y]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -205,6 +276,28 @@ def _verify(k: int, percent: int):
     return run
 
 
+def _long_lists(lists: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links among the open records of long lists, (a, b).
+
+    Records that long lists connect are laid in blocks by component; two blocks
+    meet in one task, unless both lie in one component, and give their shared
+    counts as one matrix product: no pair becomes a row.
+    """
+    heads = lists.groupBy("token").agg(F.min("node").alias("head"))
+    clusters = components(lists.join(heads, "token").select("head", "node").distinct(), "head", "node").withColumnRenamed("component", "cluster")
+    nodes = lists.select("node", "c").distinct().join(clusters, "node")
+    placed = nodes.withColumn("block", F.floor((F.row_number().over(W.partitionBy("cluster").orderBy("c", "node")) - 1) / BLOCK).cast("int"))
+    placed = materialise(placed)
+    blocks = placed.groupBy("cluster", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    meet = x.join(y, "cluster").where("x.block <= y.block and not (x.lo = x.hi and y.lo = y.hi and x.lo = y.lo)").select("cluster", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    sides = F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side")))
+    sides = F.when(F.col("i") == F.col("j"), F.slice(sides, 1, 1)).otherwise(sides)
+    dealt = meet.select("cluster", "i", "j", F.explode(sides).alias("s")).select("cluster", "i", "j", "s.block", "s.side")
+    rows = dealt.join(placed, ["cluster", "block"]).join(texts.withColumnRenamed("record", "node"), "node")
+    return materialise(rows.groupBy("cluster", "i", "j").applyInPandas(_compare_blocks(k, percent), "a long, b long"))
+
+
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; see the module for the method."""
     if not 100 * (1 - RANGE) < percent <= 100:
@@ -218,10 +311,11 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     spaces = records.select("size", F.posexplode("posted").alias("space", "n"), "record").select((F.col("record") + F.col("space")).alias("record"), "size", "n")
 
     posts = rows.select("text").mapInArrow(_post(k, percent, buckets), "bucket int, payload binary")
-    shared = posts.repartition(buckets, "bucket").mapInArrow(_shared, "record long, payload binary")
-    shared = shared.groupBy("record").agg(F.collect_list("payload").alias("parts")).join(spaces, "record")
-    lists = shared.mapInArrow(_prefixes(percent), "token long, record long, size int, n int, place int, alone float")
-    # the two spaces of a set are one node; sizes a factor of 1/percent apart never share a block or its neighbour
+    shared = posts.repartition(buckets, "bucket").mapInArrow(_shared(buckets), "lot int, payload binary")
+    known = spaces.mapInArrow(_spaces_by_lot(buckets), "lot int, record long, size int, n int")
+    lots = shared.unionByName(known, allowMissingColumns=True).repartition(buckets, "lot")
+    lists = lots.mapInArrow(_prefixes(percent), "token long, record long, size int, n int, place int, alone float")
+    # the two spaces of a set are one node; sizes a factor of 100 / percent apart never share a block or its neighbour
     band = F.floor(F.log("size") / F.log(F.lit(100 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("size")
     lists = materialise(lists.select("token", (F.col("record") - F.pmod("record", F.lit(2))).alias("node"), "size", "n", "place", "alone", band.alias("band")))
 
@@ -252,8 +346,9 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     # then the pairs that no common component has answered
     known = materialise(lists.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"))
-    open_lists = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
-    rest = materialise(known.join(open_lists, "token", "left_semi"))
+    open_lists = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("many")).where("lo != hi").select("token", "many")
+    still = materialise(known.join(open_lists, "token"))
+    rest = still.where(F.col("many") <= SHORT_LIST).drop("many")
     wide = rest.select("*", F.explode(F.array("band", F.col("band") + 1)).alias("at")).drop("band").withColumnRenamed("at", "band")
     pairs = wide.alias("x").join(rest.alias("y"), ["token", "band"]).where("x.c != y.c and (x.size < y.size or x.size = y.size and x.node < y.node)").where(may_link("x", "y"))
     pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.first("x.size").alias("s"), F.first("y.size").alias("t"))
@@ -265,8 +360,9 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     pairs = pairs.join(to_hub.select(F.col("m").alias("b"), F.col("hub").alias("hb"), F.col("away").alias("db")), "b", "left")
     derived = (F.col("ha") == F.col("hb")) & (F.abs(F.col("da") - F.col("db")) * (100 + percent) > (100 - percent) * (F.col("s") + F.col("t")))
     pairs = pairs.where(~F.coalesce(derived, F.lit(False))).select("a", "b")
-    links = tested.where("linked").unionByName(verified(pairs).where("linked"))
-    labels = components(links.select("a", "b"))
+    links = tested.where("linked").unionByName(verified(pairs).where("linked")).select("a", "b")
+    links = links.unionByName(_long_lists(still.where(F.col("many") > SHORT_LIST), texts, k, percent))
+    labels = components(links)
 
     least = records.select("record", "least").join(labels.withColumnRenamed("node", "record"), "record", "left").withColumn("component", F.coalesce("component", "record"))
     roots = least.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -31,8 +31,8 @@ SYMBOL = 12
 BITS = 24
 #: Width of a band in distances from the median to the outer tenths.
 WIDTH = 4.0
-#: Least width of either side of a band, in nats a character.
-LEAST_WIDTH = 0.3
+#: Least width of either side of a band, in nats a character (0.7: half and twice the median perplexity).
+LEAST_WIDTH = 0.7
 
 _code = np.arange(1 << 16, dtype=np.int64)
 _code[3968:] = 3968 + _code[3968:] % 127

@@ -1,38 +1,76 @@
-"""The registered queries of this subpackage: thin digests of the operators' results."""
+"""The registered queries of this subpackage: thin digests of the operators' results.
+
+None has oracle SQL: each depends on hashing, a trained model or a file format
+that SQL can't express, and is tested against brute force in ``tests/llm``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat, jaccard, langid, neighbours, packing, perplexity, pieces, substrings, warc, weaklabels
 from .common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weaklabels.quality_scores(table(spark, sf_dir, "documents")).drop("row")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_report(table(spark, sf_dir, "documents"), n=4)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .perplexity import quality_rules
+    return perplexity.quality_rules(table(spark, sf_dir, "documents")).drop("row")
 
-    return quality_rules(table(spark, sf_dir, "documents")).drop("row")
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0, k=10)
 
-def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .jaccard import similar_components
 
-    return similar_components(table(spark, sf_dir, "documents"), k=5, percent=75)
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"), k=5, percent=75)
 
 
-def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .substrings import remove_repeats
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "key_range", "place")
 
-    kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return chat.digest(chat.format_chats(rows.unionByName(added)))
 
-def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), capacity=2048, end_id=1)
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op6_jaccard_join, op9_substring_dedup, op10_packing)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=2048, end_id=1)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_language_id,
+        op3_sentencepiece,
+        op4_quality_rules,
+        op5_nearest_neighbours,
+        op6_jaccard_join,
+        op7_warc,
+        op8_chat_formatting,
+        op9_substring_dedup,
+        op10_packing,
+    )
+}
 
 ORACLES: dict[str, str] = {}

@@ -151,7 +151,7 @@ def _deep_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _cut(window: int):
+def _cut(window: int, layout: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in K.slices(batches):
             data, off = K.text_bytes(part.column("text"))
@@ -164,16 +164,21 @@ def _cut(window: int):
             gone = K.spans_to_mask(len(w.start), np.concatenate(at), window)
             kept = ~gone
             left = np.add.reduceat(np.r_[kept, False].astype(np.int64), w.first[:-1]) * (total > 0) if len(total) else total
-            # one space after each kept word that another follows in its row
-            word = np.flatnonzero(kept)
-            owner = w.doc[word]
-            more = np.r_[owner[1:] == owner[:-1], False] if len(word) else np.zeros(0, bool)
-            edge = np.zeros(len(data) + 1, np.int8)
-            edge[w.start[word]] += 1
-            np.add.at(edge, w.end[word] + more, -1)
-            take = np.cumsum(edge[:-1], dtype=np.int8) > 0
+            word = np.flatnonzero(gone if layout else kept)
+            edge = np.zeros(len(data) + 1, np.int32)
             out = data.copy()
-            out[w.end[word[more]]] = 0x20
+            if layout:  # a lost word takes the separators up to the next word along
+                after = np.minimum(np.r_[w.start[1:], len(data)][word], np.repeat(off[1:], total)[word])
+                np.add.at(edge, w.start[word], 1)
+                np.add.at(edge, after, -1)
+                take = np.cumsum(edge[:-1]) == 0
+            else:  # one space after each kept word that another follows in its row
+                owner = w.doc[word]
+                more = np.r_[owner[1:] == owner[:-1], False] if len(word) else np.zeros(0, bool)
+                np.add.at(edge, w.start[word], 1)
+                np.add.at(edge, w.end[word] + more, -1)
+                take = np.cumsum(edge[:-1]) > 0
+                out[w.end[word[more]]] = 0x20
             ends = np.r_[0, np.cumsum(take)][off]
             text = pa.Array.from_buffers(pa.large_string(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out[take])]).cast(pa.string())
             columns = [part.column(c) for c in part.schema.names if c not in ("text", "marks")]
@@ -182,11 +187,12 @@ def _cut(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", keep: list[str] | None = None, layout: bool = False) -> DataFrame:
     """Removes each word covered by a window of ``window`` words that starts anywhere else too.
 
     Returns the columns ``keep`` (default: all but the text) with ``kept_text`` (kept
-    words joined by one space), ``n_words`` and ``n_removed``.  All occurrences of
+    words joined by one space; with ``layout`` the text's own separators stay),
+    ``n_words`` and ``n_removed``.  All occurrences of
     a repeat go, the first as well.  ``keep`` must not hold these new names.
     """
     if not _GRAM < window < 256:
@@ -200,5 +206,5 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", keep:
     marks = marks.groupBy("row").agg(F.collect_list("payload").alias("marks"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"`c{i}` {kinds[f'c{i}']}" for i in range(len(keep))), "kept_text string, n_words long, n_removed long"])
-    out = rows.join(marks, "row", "left").drop("row").mapInArrow(_cut(window), schema)
+    out = rows.join(marks, "row", "left").drop("row").mapInArrow(_cut(window, layout), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "kept_text", "n_words", "n_removed")
