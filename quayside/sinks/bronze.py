@@ -15,11 +15,9 @@ class BronzeConflict(RuntimeError):
 
 def bronze_rows(rows: DataFrame, table: str, run_id: str, extracted_at: Column) -> DataFrame:
     """Declared columns and types, and lineage; ``extracted_at`` is made two seconds later."""
-    spec = TABLES[table]
-    out = rows.select(*[F.col(c).cast(t).alias(c) for c, t in spec.all_columns.items()])
-    later = extracted_at + F.expr("interval 2 seconds")
-    lineage = {"source_table": F.lit(table), "extraction_run_id": F.lit(run_id), "source_updated_at": F.col("updated_at"), "extracted_at": later}
-    return out.withColumns(lineage)
+    cast = [F.col(c).cast(t).alias(c) for c, t in TABLES[table].all_columns.items()]
+    later = (extracted_at + F.expr("interval 2 seconds")).alias("extracted_at")
+    return rows.select(*cast, F.lit(table).alias("source_table"), F.lit(run_id).alias("extraction_run_id"), F.col("updated_at").cast("timestamp").alias("source_updated_at"), later)
 
 
 def write_once(rows: DataFrame, target: str, partition: str | None = None) -> bool:
@@ -44,7 +42,7 @@ def write_once(rows: DataFrame, target: str, partition: str | None = None) -> bo
 
 
 def write_batches(batches: DataFrame, table: str, bronze_dir: str, run_id: str) -> int:
-    """Bronze parts of extracted rows (with ``batch``): one folder per run, laid out by date and batch.
+    """Bronze parts of extracted rows (with ``batch``): one folder per run, laid out by date.
 
     ``extracted_at`` of a batch comes from its last row.  Returns the number of rows.
     """

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalars import base64_line, parse_utc
 from ..schemas import ENUMS, ID_PATTERNS, UP_STATES
@@ -12,7 +11,7 @@ from ..schemas import ENUMS, ID_PATTERNS, UP_STATES
 #: Header names and values that a telemetry record must carry, no more and no less.
 HEADERS = {"quayside-event-type": "telemetry", "quayside-schema-version": "1"}
 
-RECORD = T.StructType.fromDDL("key binary, value binary, headers array<struct<name: string, value: binary>>, topic string, partition int, offset long")
+RECORD = "key binary, value binary, headers array<struct<name: string, value: binary>>, topic string, partition int, offset long"
 FIELDS = ("event_id", "schema_version", "equipment_id", "terminal_id", "event_timestamp", "ingestion_timestamp", "state", "available", "load_percent", "temperature_c")
 _JSON = "event_id string, schema_version int, equipment_id string, terminal_id string, event_timestamp string, ingestion_timestamp string, state string, available boolean, load_percent double, temperature_c double"
 EVENT = "event_id string, schema_version int, equipment_id string, terminal_id string, event_timestamp timestamp, ingestion_timestamp timestamp, state string, available boolean, load_percent double, temperature_c double"
