@@ -46,7 +46,7 @@ def render(turns: list[tuple[str, str]], escaped: set[int]) -> str:
         if role in MARKS:
             begin, end = MARKS[role]
         else:
-            name = role if _ROLE.match(role) else "0x" + role.encode("utf-8").hex()
+            name = role if _ROLE.match(role) and not role.startswith("0x") else "0x" + role.encode("utf-8").hex()
             begin, end = f"{OTHER[0]}{name}{OTHER[1]}", OTHER[2]
         out += [begin, text, end]
     return "".join(out)

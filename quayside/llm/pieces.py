@@ -288,9 +288,9 @@ def _encode(shared, n: int, keep: list[str]):
 
 
 def encode(docs: DataFrame, n: int = 1, text: str = "text", model_path: str | None = None) -> DataFrame:
-    """All columns but the text, and ``paths``: its n best (score, ids)."""
+    """All columns but the text, and ``paths``: its n best (score, ids).  A column of that name gives way."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c not in (text, "paths")]
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).alias("text"))
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     own = [f"c{i}" for i in range(len(keep))]
