@@ -15,7 +15,7 @@ from quayside.llm.jaccard import similar_components
 from quayside.llm.packing import pack
 from quayside.llm.perplexity import quality_rules
 from quayside.llm.substrings import remove_repeats
-from quayside.llm.weaklabels import quality_scores
+from quayside.llm.weaklabels import keep_good
 
 
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier keeps."""
-    return _kept(docs, quality_scores(docs))
+    return keep_good(docs)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

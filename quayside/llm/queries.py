@@ -14,7 +14,7 @@ from .common import table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weaklabels.quality_scores(table(spark, sf_dir, "documents")).drop("row")
+    return weaklabels.quality_scores(table(spark, sf_dir, "documents"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

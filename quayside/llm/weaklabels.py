@@ -171,7 +171,7 @@ def fit_scorer(slots: list[np.ndarray], values: list[np.ndarray], target: np.nda
 
 def _score(shared, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b = shared.value
+        w, b, by_pattern = shared.value
         for part in K.slices(batches):
             data, off = K.text_bytes(part.column("text"))
             size = np.diff(off)
@@ -181,32 +181,50 @@ def _score(shared, keep: list[str]):
             last = len(total) - 1
             gram = total[np.minimum(np.maximum(off[1:] - 2, off[:-1]), last)] - total[np.minimum(off[:-1], last)]
             z = 4 * gram / np.maximum(size - 2, 1) + w[_bins(stats)].sum(1) + b
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30)))), pa.array(_pattern(votes(stats)).astype(np.int64))], names=[*keep, "score", "pattern"])
+            posterior = [by_pattern.get(p, PRIOR) for p in _pattern(votes(stats)).tolist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30)))), pa.array(posterior, pa.float64())], names=[*keep, "score", "posterior"])
 
     return run
 
 
-def quality_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_above: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, score, posterior, kept, row) of each row: the scorer's probability, the label model's, and the verdict.
-
-    ``row`` is ``xxhash64`` of (doc_id, text), for joining verdicts to rows that repeat a doc_id.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("row"))
+def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[dict[int, float], tuple[np.ndarray, float]]:
+    """Posterior of good by vote pattern, and the scorer's weights and bias, from (text, row)."""
     # at most 3 ** labellers rows
     counts = rows.select("text").mapInArrow(_vote_rows, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
-    kind = docs.schema[doc_id].dataType.simpleString()
     if counts.empty:
-        return rows.select("doc_id", F.lit(0.5).alias("score"), F.lit(0.5).alias("posterior"), F.lit(True).alias("kept"), "row")
+        return {}, (np.zeros(1 << BITS, np.float32), 0.0)
     posterior, _ = fit_labellers(counts["pattern"].to_numpy(), counts["n"].to_numpy())
     by_pattern = dict(zip(counts["pattern"].tolist(), posterior.tolist(), strict=True))
     part = F.pmod(F.xxhash64("row"), F.lit(1 << 30))
     most = max(1, int((1 << 30) * train_rows / counts["n"].sum()))
     sample = rows.where(part < most).select("text", "row").limit(2 * train_rows).mapInArrow(_train_rows, "pattern long, slots binary, values binary").toPandas()
     sample = sample.sort_values(["pattern", "slots"])
-    w = fit_scorer([np.frombuffer(x, "<i4") for x in sample["slots"]], [np.frombuffer(x, "<f4") for x in sample["values"]], np.array([by_pattern[p] for p in sample["pattern"]])) if len(sample) else (np.zeros(1 << BITS, np.float32), 0.0)
-    shared = spark.sparkContext.broadcast(w)
-    scored = rows.mapInArrow(_score(shared, ["doc_id", "row"]), f"doc_id {kind}, row long, score double, pattern long")
-    table = F.create_map(*[F.lit(x) for p in sorted(by_pattern.items()) for x in p]) if len(by_pattern) <= 4000 else None
-    known = F.coalesce(table[F.col("pattern")], F.lit(0.5)) if table is not None else F.lit(0.5)
-    return scored.select("doc_id", "score", known.alias("posterior"), (F.col("score") >= keep_above).alias("kept"), "row")
+    if sample.empty:
+        return by_pattern, (np.zeros(1 << BITS, np.float32), 0.0)
+    arrays = lambda c, kind: [np.frombuffer(x, kind) for x in sample[c]]
+    return by_pattern, fit_scorer(arrays("slots", "<i4"), arrays("values", "<f4"), np.array([by_pattern[p] for p in sample["pattern"]]))
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("row"))
+
+
+def quality_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_above: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, score, posterior, kept) of each row: the scorer's probability, the label model's, and the verdict."""
+    rows = _rows(docs, doc_id, text)
+    by_pattern, w = fit(rows, train_rows)
+    shared = docs.sparkSession.sparkContext.broadcast((*w, by_pattern))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    scored = rows.mapInArrow(_score(shared, ["doc_id"]), f"doc_id {kind}, score double, posterior double")
+    return scored.select("doc_id", "score", "posterior", (F.col("score") >= keep_above).alias("kept"))
+
+
+def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_above: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, all columns; scoring carries them along, so nothing is shuffled."""
+    by_pattern, w = fit(_rows(docs, doc_id, text), train_rows)
+    shared = docs.sparkSession.sparkContext.broadcast((*w, by_pattern))
+    own = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(c).alias(n) for n, c in own.items()], F.col(text).alias("text"))
+    kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in own.items())
+    scored = rows.mapInArrow(_score(shared, list(own)), f"{kinds}, score double, posterior double")
+    return scored.where(F.col("score") >= keep_above).select(*[F.col(n).alias(c) for n, c in own.items()])
