@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Literal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -81,14 +81,18 @@ def incident_metrics(incidents: DataFrame, telemetry: DataFrame, attribution: At
         rows = incidents.drop("terminal_id").withColumn("terminal_id", F.lit(DEFAULT_TERMINAL)).join(period, "terminal_id")
     else:
         rows = _per_terminal(incidents, telemetry).join(period, "terminal_id")
+    return rows.groupBy("terminal_id").agg(*_incident_sums())
+
+
+def _incident_sums() -> list[Column]:
     resolved = F.col("status") == "RESOLVED"
     active = (F.col("status") == "OPEN") & (F.col("opened_at") <= F.col("source_period_end")) & (F.col("resolved_at").isNull() | (F.col("resolved_at") > F.col("source_period_end")))
-    return rows.groupBy("terminal_id").agg(
+    return [
         F.count_if(resolved).alias("resolved_incident_count"),
         F.coalesce(F.sum(F.when(resolved, minutes_between("opened_at", "resolved_at"))), F.lit(0.0)).alias("repair_minutes"),
         F.count_if(F.col("severity") == "CRITICAL").alias("qualifying_failure_count"),
         F.count_if(active).alias("active_incidents"),
-    )
+    ]
 
 
 def alarm_metrics(alarms: DataFrame, telemetry: DataFrame, attribution: Attribution = "reference") -> DataFrame:
@@ -109,13 +113,30 @@ def alarm_metrics(alarms: DataFrame, telemetry: DataFrame, attribution: Attribut
     return period.select("terminal_id").join(hit, "terminal_id", "left").select("terminal_id", F.coalesce("critical_alarms", F.lit(0)).alias("critical_alarms"))
 
 
+def _carried(rows: DataFrame, base: DataFrame, sums: list[Column]) -> DataFrame:
+    """Sums per terminal, with the columns of its one row in ``base``."""
+    return rows.groupBy("terminal_id").agg(*[F.first(c).alias(c) for c in base.columns if c != "terminal_id"], *sums)
+
+
 def overview_kpis(telemetry: DataFrame, movements: DataFrame, incidents: DataFrame, alarms: DataFrame, attribution: Attribution = "reference", pairing: Pairing = "minmax") -> DataFrame:
     """All KPIs, one row per terminal that reported; a ratio without a denominator is null."""
-    joined = telemetry_period(telemetry)
-    for metrics in (movement_metrics(movement_pairs(movements, pairing)), incident_metrics(incidents, telemetry, attribution), alarm_metrics(alarms, telemetry, attribution)):
-        joined = joined.join(metrics, "terminal_id", "left")
-    counts = ("resolved_incident_count", "qualifying_failure_count", "throughput", "active_incidents", "critical_alarms")
-    joined = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts} | {"repair_minutes": F.coalesce("repair_minutes", F.lit(0.0))})
+    # telemetry is read once: each step adds sums to the one row of a terminal and carries it on
+    base = telemetry_period(telemetry).join(movement_metrics(movement_pairs(movements, pairing)), "terminal_id", "left").withColumn("throughput", F.coalesce("throughput", F.lit(0)))
+    if attribution == "reference":
+        own = incidents.drop("terminal_id").withColumn("terminal_id", F.lit(DEFAULT_TERMINAL))
+    else:
+        own = _per_terminal(incidents, telemetry)
+    base = _carried(own.select("terminal_id", "severity", "status", "opened_at", "resolved_at").join(base, "terminal_id", "right"), base, _incident_sums())
+    critical = alarms.where(F.col("severity") == "CRITICAL").select("equipment_id", "opened_at")
+    inside = F.col("opened_at").between(F.col("source_period_start"), F.col("source_period_end"))
+    if attribution == "reference":
+        # a time of no alarm keeps terminals whose period holds none
+        times = critical.groupBy("opened_at").agg(F.count("*").alias("n"))
+        times = times.unionByName(times.sparkSession.range(1).select(F.lit(None).cast(times.schema["opened_at"].dataType).alias("opened_at"), F.lit(0).cast("long").alias("n")))
+        met = times.join(base, inside | F.col("opened_at").isNull())
+        joined = _carried(met, base, [F.sum("n").alias("critical_alarms")])
+    else:
+        joined = _carried(_per_terminal(critical, telemetry).join(base, "terminal_id", "right"), base, [F.count_if(inside).alias("critical_alarms")])
     hours = F.col("scheduled_intervals") * F.lit(5.0) / F.lit(60.0)
     return joined.withColumns(
         {
