@@ -48,6 +48,21 @@ def _span_hash(prefix: np.ndarray, at: np.ndarray, length: np.ndarray | int) ->
     return K.mix((prefix[at + length] - prefix[at]) * _inverses(len(prefix))[at] + np.asarray(length, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _start_hash(data: np.ndarray, n: int) -> np.ndarray:
+    """16 bits of the first n (1 to 3) bytes at every place but the last two."""
+    x = data[:-2].astype(np.uint32)
+    if n > 1:
+        x |= data[1:-1].astype(np.uint32) << 8
+    if n > 2:
+        x |= data[2:].astype(np.uint32) << 16
+    return (x * np.uint32(2654435761)) >> np.uint32(16)
+
+
+def _order(key: np.ndarray) -> np.ndarray:
+    """Stable order; small keys are sorted by radix."""
+    return np.argsort(key.astype(np.uint16) if len(key) and key.max() < 1 << 16 else key, kind="stable")
+
+
 class Vocabulary:
     """Pieces as bytes (a space for the word mark), their scores, and a hash index by length."""
 
@@ -61,11 +76,15 @@ class Vocabulary:
         by_length: dict[int, list] = {}
         for i, b, s in pieces:
             by_length.setdefault(len(b), []).append((int(_span_hash(_prefix(np.frombuffer(b, np.uint8)), np.zeros(1, np.int64), len(b))[0]), i, s))
-        self.index = {}
+        self.index, self.starts = {}, {}
         for n, rows in by_length.items():
             rows.sort()
             h, i, s = zip(*rows, strict=True)
             self.index[n] = (np.array(h, np.uint64), np.array(i, np.int32), np.array(s))
+            # which starts (hash of the first bytes) a piece of this length can have
+            self.starts[n] = np.zeros(1 << 16, bool)
+            for x in i:
+                self.starts[n][_start_hash(np.frombuffer(self.bytes[x] + b"\0\0", np.uint8), min(n, 3))[0]] = True
 
     @classmethod
     def load(cls, model_path: str | None = None) -> Vocabulary:
@@ -118,8 +137,10 @@ class Lattice:
         prefix, covered = _prefix(data), ~lead
         place = np.arange(n)
         at, length, piece, score = [], [], [], []
+        starts = {m: _start_hash(np.r_[data, np.zeros(2, np.uint8)], m) for m in (1, 2, 3)}
+        whole = np.minimum(room, 255).astype(np.uint8) * lead
         for m, (h, i, s) in sorted(vocabulary.index.items()):
-            own = place[lead & (room >= m)]
+            own = np.flatnonzero((whole >= m) & vocabulary.starts[m][starts[min(m, 3)]])
             if len(own):
                 x = _span_hash(prefix, own, m)
                 k = np.minimum(np.searchsorted(h, x), len(h) - 1)
@@ -136,11 +157,11 @@ class Lattice:
         at.append(own), length.append(np.ones(len(own), int)), piece.append(vocabulary.byte_ids[data[own]]), score.append(np.full(len(own), vocabulary.byte_score))
         at, self.piece, self.score = np.concatenate(at), np.concatenate(piece), np.concatenate(score)
         length = np.concatenate(length)
-        chunk = np.searchsorted(bounds, at, "right") - 1
+        chunk = np.repeat(np.arange(len(size)), size)[at]
         self.tail = at + chunk  # node of byte place p in chunk c: p + c
         self.head = self.tail + length
         step = at - start_of[at] + length
-        order = np.lexsort((-length, step))
+        order = _order((step << 6) | (63 - np.minimum(length, 63)))
         for name in ("tail", "head", "piece", "score"):
             setattr(self, name, getattr(self, name)[order])
         self.chunk, step = chunk[order], step[order]
@@ -161,7 +182,7 @@ class Lattice:
         g = np.full(nodes, -np.inf)
         g[self.node[1:] - 1] = 0
         left = self.node[1:][self.chunk] - 1 - self.tail
-        order = np.argsort(left, kind="stable")
+        order = _order(left)
         cut = np.searchsorted(left[order], np.arange(1, int(size.max(initial=0)) + 2))
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             e = order[a:b]
@@ -176,7 +197,7 @@ class Lattice:
             on = at > self.node[owner]
             at, owner = at[on], owner[on]
         owner, edge = np.concatenate(used[::-1], 1) if used else np.zeros((2, 0), np.int64)
-        order = np.argsort(owner, kind="stable")
+        order = np.argsort(owner, kind="stable")  # paths, one chunk after the other
         self.best_edges = edge[order]
         self.best_first = np.searchsorted(owner[order], np.arange(len(size) + 1))
         self.best = self.forward[self.node[1:] - 1]
