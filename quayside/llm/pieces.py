@@ -226,9 +226,9 @@ class Lattice:
                 out.append((done, ids))
                 continue
             for e in order[first[node] : first[node + 1]]:
-                count += 1
+                count -= 1  # of equal paths the newest goes on: it is the nearest to its start
                 g = done + float(self.score[e])
-                heapq.heappush(queue, (-(g + float(self.forward[self.tail[e]])), count, g, int(self.tail[e]), (int(self.piece[e]), path)))
+                heapq.heappush(queue, (-round(g + float(self.forward[self.tail[e]]), 6), count, g, int(self.tail[e]), (int(self.piece[e]), path)))
         return out
 
 
@@ -265,7 +265,9 @@ def encode_batch(column: pa.Array, vocabulary: Vocabulary, n: int = 1) -> list[l
             for p in pick:
                 c = int(k[p])
                 if c not in cache:
-                    cache[c] = lattice.n_best(c, n)
+                    # of equal best paths the one of the forward scores stands first
+                    first_ids = lattice.piece[lattice.best_edges[lattice.best_first[c] : lattice.best_first[c + 1]]].tolist()
+                    cache[c] = [(float(lattice.best[c]), first_ids), *[x for x in lattice.n_best(c, n) if x[1] != first_ids]][:n]
                 options.append(cache[c])
             for _, choice in _combine([[o[0] for o in x] for x in options], n)[1:]:
                 parts, at = [], 0
