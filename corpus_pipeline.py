@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.llm.common import materialise, table
-from quayside.llm.jaccard import similar_components
+from quayside.llm.jaccard import one_of_each
 from quayside.llm.packing import pack
 from quayside.llm.perplexity import quality_rules
 from quayside.llm.substrings import remove_repeats
@@ -19,9 +19,9 @@ from quayside.llm.weaklabels import keep_good
 
 
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows whose verdict is kept; ``row`` tells rows apart that repeat a doc_id."""
-    good = verdicts.where("kept").select("row").distinct()
-    return docs.withColumn("row", F.xxhash64("doc_id", "text")).join(good, "row", "left_semi").drop("row")
+    """The rows whose verdict is kept; a hash of (doc_id, text) tells rows apart that repeat a doc_id."""
+    good = verdicts.where("kept").select(F.col("row").alias("_row")).distinct()
+    return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(good, "_row", "left_semi").drop("_row")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +36,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the least doc_id."""
-    groups = similar_components(docs, k=5, percent=75)
-    firsts = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    one = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["doc_id"]), "left_semi")
-    return one.dropDuplicates(["doc_id"])
+    return one_of_each(docs, k=5, percent=75)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -298,8 +298,12 @@ def _long_lists(lists: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
     return materialise(rows.groupBy("cluster", "i", "j").applyInPandas(_compare_blocks(k, percent), "a long, b long"))
 
 
-def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row; see the module for the method."""
+def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, with_rows: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row; see the module for the method.
+
+    ``with_rows`` adds ``row``, the ``xxhash64`` of (doc_id, text), and ``group``,
+    a name of the component that does not depend on ids (null: linked with nothing).
+    """
     if not 100 * (1 - RANGE) < percent <= 100:
         raise ValueError(f"percent must be over {100 * (1 - RANGE):.0f} and at most 100")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("long"), text).alias("row"))
@@ -366,6 +370,14 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     least = records.select("record", "least").join(labels.withColumnRenamed("node", "record"), "record", "left").withColumn("component", F.coalesce("component", "record"))
     roots = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = least.join(roots, "component").select("record", "component_id")
-    out = sets.select("doc_id", "n_shingles", "record").join(ids, "record", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    ids = least.join(roots, "component").select("record", "component_id", F.col("component").alias("group"))
+    out = sets.join(ids, "record", "left").withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", *(["row", "group"] if with_rows else []))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """The row of least doc_id of each component, all columns; repeated rows are one, a row without an id comes last."""
+    groups = similar_components(docs, doc_id, text, k, percent, with_rows=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    firsts = groups.groupBy(F.coalesce("group", "row").alias("key")).agg(first).select(F.col("first.row").alias("_row"))
+    return docs.withColumn("_row", F.xxhash64(F.col(doc_id).cast("long"), text)).join(firsts, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")

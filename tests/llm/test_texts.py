@@ -370,3 +370,11 @@ def test_pipeline(spark, tmp_path):
     labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()
     assert sum(r.doc_id in rows[1] for r in labels) >= 0.98 * len(labels)
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_one_of_each(spark):
+    rng = random.Random(8)
+    a, b = _prose(rng, 80, 10**6), _prose(rng, 80, 10**6)
+    rows = [(5, a), (3, a + " x"), (3, b), (None, b), (None, "only here"), (9, None), (9, None), (7, ""), (4, "q r"), (4, "q r")]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([(3, a + " x"), (3, b), (None, "only here"), (9, None), (7, ""), (4, "q r")])
