@@ -1,7 +1,8 @@
 """The registered queries of this subpackage: thin digests of the operators' results.
 
-None has oracle SQL: each depends on hashing, a trained model or a file format
-that SQL can't express, and is tested against brute force in ``tests/llm``.
+Those whose result SQL can express have oracle SQL, by the plainest way to say it;
+the others rest on a trained model, a tokenizer or an approximate search and are
+tested against brute force in ``tests/llm``, as are all.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "key_range", "place")
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +74,35 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op6_jaccard_join": f"""with recursive w as (select doc_id, {_WORDS.format(text=_LOWER)} as x from documents),
+ s as (select distinct doc_id, case when len(x) < 5 then md5(array_to_string(x, ' ')) else md5(array_to_string(x[i : i + 4], ' ')) end as k
+  from (select doc_id, x, unnest(range(1, greatest(len(x) - 4, 1) + 1)) as i from w where len(x) > 0)),
+ n as (select doc_id, count(*) as n from s group by doc_id),
+ i as (select a.doc_id as a, b.doc_id as b, count(*) as n from s a join s b on a.k = b.k and a.doc_id < b.doc_id group by all),
+ l as (select i.a, i.b from i join n x on x.doc_id = i.a join n y on y.doc_id = i.b where 100 * i.n >= 75 * (x.n + y.n - i.n)),
+ e as (select a, b from l union all select b, a from l),
+ r as (select doc_id, doc_id as other from documents union select r.doc_id, e.b from r join e on e.a = r.other)
+ select d.doc_id, coalesce(n.n, 0) as n_shingles, m.least as component_id from documents d left join n on n.doc_id = d.doc_id join (select doc_id, min(other) as least from r group by doc_id) m on m.doc_id = d.doc_id""",
+    "op7_warc": """with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+ m as (select *, max(page_id) over (partition by payload_digest) as last from p)
+ select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and last <> page_id then 'revisit' else 'response' end as record_type,
+ case when payload_bytes >= 1000 and last <> page_id then last end as refers_to from m""",
+    "op8_chat_formatting": r"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+ c as (select *, case role when 'user' then ' [/INST]' when 'assistant' then ' </s>' when 'system' then ' <</SYS>>' else ' [/ROLE]' end as stop,
+  case role when 'user' then 18 when 'assistant' then 14 when 'system' then 20 else 19 + length(role) end as marks from t),
+ f as (select *, length(text) + marks + case when contains(text, stop) then len(regexp_extract_all(text, '[<\[]\\*(/?s>|/?INST\]|OUT\]|</?SYS>>|/?ROLE\b)')) else 0 end as chars from c)
+ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+ cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+ sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256, cast(sum(chars) as bigint) as formatted_chars from f group by conv_id""",
+    "op9_substring_dedup": f"""with w as (select doc_id, {_WORDS.format(text="text")} as x from documents),
+ v as (select doc_id, i, md5(array_to_string(x[i : i + 34], ' ')) as k from (select doc_id, x, unnest(range(1, len(x) - 33)) as i from w where len(x) >= 35)),
+ g as (select distinct doc_id, i + j as p from v semi join (select k from v group by k having count(*) > 1) d on d.k = v.k cross join range(35) as q(j)),
+ p as (select doc_id, unnest(x) as word, unnest(range(1, len(x) + 1)) as p from w),
+ k as (select p.doc_id, count(*) as n, string_agg(word, ' ' order by p.p) as t from p anti join g on g.doc_id = p.doc_id and g.p = p.p group by p.doc_id)
+ select w.doc_id, len(x) as n_words, len(x) - coalesce(k.n, 0) as n_removed, sha256(coalesce(k.t, '')) as kept_sha256 from w left join k on k.doc_id = w.doc_id""",
+}
