@@ -209,32 +209,31 @@ class Model:
         return out
 
 
-def base_rules(column: pa.Array) -> dict[str, np.ndarray]:
-    """Counts of each row: words, characters in words, symbols, repeated lines, words in repeated 3-word windows."""
+def base_rules(column: pa.Array, w: K.Words | None = None) -> dict[str, np.ndarray]:
+    """Counts of each row: words, characters in words, symbols, repeated lines, words in repeated 3-word windows.
+
+    ``w``: the column's words, where they are known.
+    """
     data, off = K.text_bytes(column)
-    w = K.words(data, off)
+    w = K.words(data, off) if w is None else w
     total, rows = np.diff(w.first), len(column)
 
-    def per_row(mask: np.ndarray) -> np.ndarray:
-        return np.diff(np.r_[0, np.cumsum(mask, dtype=np.int64)][off])
-
     def repeated(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
         key = K.mix(h + K.mix(doc.astype(np.uint64)))
         return key
 
     inside = ~K.SEPARATOR[data]
-    out = {"n_words": total, "word_chars": per_row(inside & ((data & 0xC0) != 0x80)), "n_symbols": per_row(_SYMBOL_BYTES[data])}
+    out = {"n_words": total, "word_chars": K.per_row(inside & ((data & 0xC0) != 0x80), off), "n_symbols": K.per_row(_SYMBOL_BYTES[data], off)}
     # lines: cut at \n and at the rows' ends
     n_dup = np.zeros(rows, np.int64)
     if len(data):
         start = np.unique(np.r_[off[:-1][np.diff(off) > 0], np.flatnonzero(data == 10) + 1])
         start = start[start < len(data)]
         size = np.diff(np.r_[start, len(data)])
-        local = np.arange(len(data)) - np.repeat(start, size)
-        value = K._BYTE[data] * K.powers(int(size.max()))[local]
-        value[data == 10] = 0
+        total_to = np.r_[np.uint64(0), np.cumsum(K._BYTE[data] * K.powers(len(data))[: len(data)])]
+        end = start + size - (data[start + size - 1] == 10)
         has_word = np.diff(np.searchsorted(w.start, np.r_[start, len(data)])) > 0
-        line = np.add.reduceat(value, start)[has_word]
+        line = ((total_to[end] - total_to[start]) * K.powers(len(data), K._INVERSE)[start])[has_word]
         doc = np.searchsorted(off, start[has_word], "right") - 1
         key = np.sort(repeated(doc, line))
         order = np.argsort(repeated(doc, line), kind="stable")
@@ -249,7 +248,7 @@ def base_rules(column: pa.Array) -> dict[str, np.ndarray]:
         twice = np.unique(s[1:][s[1:] == s[:-1]])
         if len(twice):
             covered = K.spans_to_mask(len(w.start), at[twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key], 3)
-    out["n_repeat_words"] = np.diff(np.r_[0, np.cumsum(covered, dtype=np.int64)][w.first])
+    out["n_repeat_words"] = K.per_row(covered, w.first)
     return out
 
 

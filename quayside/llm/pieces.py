@@ -29,15 +29,6 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 
 _SPACE = 0x20
-_BINV = np.uint64(pow(int(K._B), -1, 1 << 64))
-_inverse = np.ones(1, np.uint64)
-
-
-def _inverses(n: int) -> np.ndarray:
-    global _inverse
-    if len(_inverse) < n:
-        _inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BINV)]), dtype=np.uint64)
-    return _inverse
 
 
 def _prefix(data: np.ndarray) -> np.ndarray:
@@ -45,7 +36,7 @@ def _prefix(data: np.ndarray) -> np.ndarray:
 
 
 def _span_hash(prefix: np.ndarray, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-    return K.mix((prefix[at + length] - prefix[at]) * _inverses(len(prefix))[at] + np.asarray(length, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return K.mix((prefix[at + length] - prefix[at]) * K.powers(len(prefix), K._INVERSE)[at] + np.asarray(length, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _start_hash(data: np.ndarray, n: int) -> np.ndarray:

@@ -37,15 +37,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _B)
-_powers = np.ones(1, np.uint64)
+_INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
+#: Powers kept between calls, by base; those beyond a slice or two are made anew.
+_held: dict[int, np.ndarray] = {}
+_HELD_POWERS = 3 * SLICE_BYTES
 
 
-def powers(n: int) -> np.ndarray:
-    """1, B, B^2, ... modulo 2^64, at least n of them."""
-    global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 256), _B)]), dtype=np.uint64)
-    return _powers
+def powers(n: int, base: np.uint64 = _B) -> np.ndarray:
+    """1, b, b^2, ... modulo 2^64, at least n of them."""
+    known = _held.get(int(base))
+    if known is None or len(known) < n:
+        known = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 256), base)]), dtype=np.uint64)
+        if n <= _HELD_POWERS:
+            _held[int(base)] = known
+    return known
+
+
+def per_row(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """How many places of each row are set."""
+    return np.array([np.count_nonzero(mask[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], np.int64)
 
 
 def _scalar_power(n: int) -> np.uint64:
@@ -109,12 +119,10 @@ def words(data: np.ndarray, off: np.ndarray) -> Words:
     first = np.searchsorted(start, off)
     if not len(start):
         return Words(start, end, np.zeros(0, np.uint64), first)
-    at = np.cumsum(begins, dtype=np.int64) - 1
-    local = np.arange(n) - start[at]
-    local[~inside] = 0
-    value = _BYTE[data] * powers(int((end - start).max()))[local]
-    value[~inside] = 0
-    return Words(start, end, mix(np.add.reduceat(value, start)), first)
+    total = np.empty(n + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(_BYTE[data] * powers(n)[:n], out=total[1:])
+    return Words(start, end, mix((total[end] - total[start]) * powers(n, _INVERSE)[start]), first)
 
 
 def runs(h: np.ndarray, k: int) -> np.ndarray:

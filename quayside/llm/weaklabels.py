@@ -47,38 +47,36 @@ _PLAIN = np.zeros(256, bool)
 _PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), *range(0x09, 0x0E), *b" .,;:'?()\"-"]] = True
 
 
-def _counts(data: np.ndarray, off: np.ndarray, members: bytes) -> np.ndarray:
-    lut = np.zeros(256, bool)
-    lut[list(members)] = True
-    return np.diff(np.r_[0, np.cumsum(lut[data], dtype=np.int64)][off])
-
-
 def statistics(column: pa.Array) -> np.ndarray:
     """One row per document, one column per labeller; each is a share, mostly of the words."""
     data, off = K.text_bytes(column)
-    rules = base_rules(column)
     w = K.words(data, off)
+    rules = base_rules(column, w)
+
+    def count(byte: bytes) -> np.ndarray:
+        return K.per_row(data == ord(byte), off)
+
     words = np.maximum(rules["n_words"], 1)
-    upper = _counts(data, off, bytes(range(65, 91)))
-    letters = upper + _counts(data, off, bytes(range(97, 123)))
+    upper = K.per_row(data - np.uint8(65) < 26, off)
+    letters = upper + K.per_row(data - np.uint8(97) < 26, off)
     # distinct words of each row: sort by (row, hash)
     order = np.lexsort((w.hash, w.doc))
     h, d = w.hash[order], w.doc[order]
     new = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])] if len(h) else np.zeros(0, bool)
     distinct = np.bincount(d[new], minlength=len(column)) if len(h) else np.zeros(len(column), np.int64)
-    lines = np.maximum(_counts(data, off, b"\n") + 1, 1)
+    lines = np.maximum(count(b"\n") + 1, 1)
     long_enough = rules["n_words"] >= 20
     return np.stack(
         [
             rules["n_symbols"] / words / 3,
             upper / np.maximum(letters, 1),
-            _counts(data, off, b"!") / words / 2,
+            count(b"!") / words / 2,
             np.where(rules["n_words"] >= 40, rules["n_repeat_words"] / words, 0.0),
             np.where(rules["n_words"] >= 50, 1 - distinct / words, 0.0) ** 2,
-            _counts(data, off, b"|") / words,
-            np.where(long_enough, 1 - _counts(data, off, b".") / words, 0.96),
+            count(b"|") / words,
+            np.where(long_enough, 1 - count(b".") / words, 0.96),
             np.where(lines >= 6, rules["n_dup_lines"] / lines, 0.0),
-            np.diff(np.r_[0, np.cumsum(~_PLAIN[data], dtype=np.int64)][off]) / words,
+            K.per_row(~_PLAIN[data], off) / words,
         ],
         1,
     )
