@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 
 _SPACE = 0x20
+#: Bits of a hash that choose a place in a length's table.
+_TOP = 18
 
 
 def _prefix(data: np.ndarray) -> np.ndarray:
@@ -49,6 +51,11 @@ def _start_hash(data: np.ndarray, n: int) -> np.ndarray:
     return (x * np.uint32(2654435761)) >> np.uint32(16)
 
 
+def _top(h: np.ndarray) -> np.ndarray:
+    """The leading bits of a hash."""
+    return (h >> np.uint64(64 - _TOP)).astype(np.uint32)
+
+
 def _order(key: np.ndarray) -> np.ndarray:
     """Stable order; small keys are sorted by radix."""
     return np.argsort(key.astype(np.uint16) if len(key) and key.max() < 1 << 16 else key, kind="stable")
@@ -67,15 +74,23 @@ class Vocabulary:
         by_length: dict[int, list] = {}
         for i, b, s in pieces:
             by_length.setdefault(len(b), []).append((int(_span_hash(_prefix(np.frombuffer(b, np.uint8)), np.zeros(1, np.int64), len(b))[0]), i, s))
-        self.index, self.starts = {}, {}
-        for n, rows in by_length.items():
-            rows.sort()
+        self.lengths = sorted(by_length)
+        if len(self.lengths) > 64:
+            raise ValueError("pieces of more than 64 different lengths")
+        self.index = []
+        # a bit per length: which lengths a piece with these first bytes (by hash) can have, which fit into so much room
+        self.starts = {n: np.zeros(1 << 16, np.uint64) for n in (1, 2, 3)}
+        self.fits = np.zeros(256, np.uint64)
+        for bit, n in enumerate(self.lengths):
+            rows = sorted(by_length[n])
             h, i, s = zip(*rows, strict=True)
-            self.index[n] = (np.array(h, np.uint64), np.array(i, np.int32), np.array(s))
-            # which starts (hash of the first bytes) a piece of this length can have
-            self.starts[n] = np.zeros(1 << 16, bool)
+            h = np.array(h, np.uint64)
+            first = np.full(1 << _TOP, -1, np.int32)
+            first[_top(h)[::-1]] = np.arange(len(h))[::-1]
+            self.index.append((n, h, np.array(i, np.int32), np.array(s), first))
+            self.fits[n:] |= np.uint64(1 << bit)
             for x in i:
-                self.starts[n][_start_hash(np.frombuffer(self.bytes[x] + b"\0\0", np.uint8), min(n, 3))[0]] = True
+                self.starts[min(n, 3)][_start_hash(np.frombuffer(self.bytes[x] + b"\0\0", np.uint8), min(n, 3))[0]] |= np.uint64(1 << bit)
 
     @classmethod
     def load(cls, model_path: str | None = None) -> Vocabulary:
@@ -122,29 +137,32 @@ class Lattice:
         # chunk c has size[c] + 1 nodes, from node[c] on
         self.node = np.r_[0, np.cumsum(size + 1)]
         start_of = np.repeat(bounds[:-1], size)
-        room = np.repeat(bounds[1:], size) - np.arange(n)
+        room = np.repeat(size, size) - (np.arange(n) - start_of)
         lead = (data & 0xC0) != 0x80
         width = np.where(data < 0xC0, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
         prefix, covered = _prefix(data), ~lead
-        place = np.arange(n)
         at, length, piece, score = [], [], [], []
-        starts = {m: _start_hash(np.r_[data, np.zeros(2, np.uint8)], m) for m in (1, 2, 3)}
-        whole = np.minimum(room, 255).astype(np.uint8) * lead
-        for m, (h, i, s) in sorted(vocabulary.index.items()):
-            own = np.flatnonzero((whole >= m) & vocabulary.starts[m][starts[min(m, 3)]])
+        may = np.zeros(n, np.uint64)
+        for m, bits in vocabulary.starts.items():
+            may |= bits[_start_hash(np.r_[data, np.zeros(2, np.uint8)], m)]
+        may &= vocabulary.fits[np.minimum(room, 255).astype(np.uint8) * lead]
+        for bit, (m, h, i, s, first) in enumerate(vocabulary.index):
+            own = np.flatnonzero(may & np.uint64(1 << bit))
             if len(own):
                 x = _span_hash(prefix, own, m)
-                k = np.minimum(np.searchsorted(h, x), len(h) - 1)
+                k = first[_top(x)]
+                likely = np.flatnonzero(k >= 0)
+                own, x, k = own[likely], x[likely], k[likely]
+                off = np.flatnonzero(h[k] != x)  # the few whose place holds several
+                k[off] = np.minimum(np.searchsorted(h, x[off]), len(h) - 1)
                 hit = h[k] == x
                 own, k = own[hit], k[hit]
                 covered[own[width[own] == m]] = True
                 at.append(own), length.append(np.full(len(own), m)), piece.append(i[k]), score.append(s[k])
         # characters without a piece are spelled in bytes
-        bare = np.zeros(n, bool)
-        for j in range(4):
-            own = place[~covered & lead & (width > j)] + j
-            bare[own[own < n]] = True
-        own = place[bare]
+        own = np.flatnonzero(~covered)
+        own = np.concatenate([own[width[own] > j] + j for j in range(4)])
+        own = np.sort(own[own < n])
         at.append(own), length.append(np.ones(len(own), int)), piece.append(vocabulary.byte_ids[data[own]]), score.append(np.full(len(own), vocabulary.byte_score))
         at, self.piece, self.score = np.concatenate(at), np.concatenate(piece), np.concatenate(score)
         length = np.concatenate(length)
@@ -197,14 +215,21 @@ class Lattice:
         second = np.full(len(size), -np.inf)
         np.maximum.at(second, self.chunk[other], (f[self.tail] + self.score + g[self.head])[other])
         self.loss = self.best - second
-        self._by_head = None
+
+    def prepare(self, chunks: np.ndarray) -> None:
+        """Brings the edges of the chunks that will be searched together."""
+        need = np.zeros(len(self.best), bool)
+        need[chunks] = True
+        e = np.flatnonzero(need[self.chunk])
+        self._edges = e[np.argsort(self.chunk[e], kind="stable")]
+        self._edge_chunk = self.chunk[self._edges]
 
     def n_best(self, chunk: int, n: int) -> list[tuple[float, list[int]]]:
         """The n best (score, ids) of a chunk: A-star from its end, the forward score of a node is what is exactly left."""
-        if self._by_head is None:
-            order = np.argsort(self.head, kind="stable")
-            self._by_head = order, np.searchsorted(self.head[order], np.arange(int(self.node[-1]) + 1))
-        order, first = self._by_head
+        a, b = np.searchsorted(self._edge_chunk, [chunk, chunk + 1])
+        e, into = self._edges[a:b], {}
+        for head, *edge in zip(*(x.tolist() for x in (self.head[e], self.tail[e], self.piece[e], self.score[e], self.forward[self.tail[e]])), strict=True):
+            into.setdefault(head, []).append(edge)
         start, out, count = int(self.node[chunk]), [], 0
         queue = [(-float(self.best[chunk]), 0, 0.0, int(self.node[chunk + 1]) - 1, ())]
         while queue and len(out) < n:
@@ -216,10 +241,9 @@ class Lattice:
                     path = path[1]
                 out.append((done, ids))
                 continue
-            for e in order[first[node] : first[node + 1]]:
+            for tail, piece, score, left in into[node]:
                 count -= 1  # of equal paths the newest goes on: it is the nearest to its start
-                g = done + float(self.score[e])
-                heapq.heappush(queue, (-round(g + float(self.forward[self.tail[e]]), 6), count, g, int(self.tail[e]), (int(self.piece[e]), path)))
+                heapq.heappush(queue, (-round(done + score + left, 6), count, done + score, tail, (piece, path)))
         return out
 
 
@@ -237,7 +261,9 @@ def encode_batch(column: pa.Array, vocabulary: Vocabulary, n: int = 1) -> list[l
     lattice = Lattice(flat, own, vocabulary)
     many = np.diff(lattice.best_first)
     out, cache = [], {}
-    for a, b in zip(first[:-1], first[1:], strict=True):
+    picks = [_to_search(lattice.loss[kind[a:b]], n) for a, b in zip(first[:-1], first[1:], strict=True)]
+    lattice.prepare(kind[np.concatenate([a + pick for a, pick in zip(first[:-1], picks, strict=True)])])
+    for a, b, pick in zip(first[:-1], first[1:], picks, strict=True):
         k = kind[a:b]
         if not len(k):
             out.append([(0.0, np.zeros(0, np.int32))])
@@ -247,10 +273,6 @@ def encode_batch(column: pa.Array, vocabulary: Vocabulary, n: int = 1) -> list[l
         ids, best = lattice.piece[edge], float(lattice.best[k].sum())
         paths = [(best, ids)]
         if n > 1:
-            loss = lattice.loss[k]
-            pick = np.argpartition(loss, min(n - 1, len(loss)) - 1)[: n - 1] if len(loss) >= n else np.arange(len(loss))
-            pick = pick[np.isfinite(loss[pick])]
-            pick = pick[np.lexsort((pick, loss[pick]))]
             ends = np.cumsum(m)
             options = []
             for p in pick:
@@ -274,6 +296,15 @@ def encode_batch(column: pa.Array, vocabulary: Vocabulary, n: int = 1) -> list[l
     return out
 
 
+def _to_search(loss: np.ndarray, n: int) -> np.ndarray:
+    """The n - 1 chunks of a text whose second-best paths lose least, those first that lose less."""
+    if n < 2:
+        return np.zeros(0, np.int64)
+    pick = np.argpartition(loss, n - 2)[: n - 1] if len(loss) >= n else np.arange(len(loss))
+    pick = pick[np.isfinite(loss[pick])]
+    return pick[np.lexsort((pick, loss[pick]))]
+
+
 def _combine(scores: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The n best ways to choose one option of each list, options falling by score."""
     start = (0,) * len(scores)
