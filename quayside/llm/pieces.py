@@ -324,7 +324,7 @@ def _combine(scores: list[list[float]], n: int) -> list[tuple[float, tuple[int,
 def _encode(shared, n: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
-        for part in K.slices(batches):
+        for part in K.slices(batches, limit=K.WIDE_SLICE_BYTES):
             paths = encode_batch(part.column("text"), vocabulary, n)
             kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([[{"score": s, "ids": x.astype(np.int32)} for s, x in p] for p in paths], kind)], names=[*keep, "paths"])
@@ -346,7 +346,7 @@ def encode(docs: DataFrame, n: int = 1, text: str = "text", model_path: str | No
 def _report(shared, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
-        for part in K.slices(batches):
+        for part in K.slices(batches, limit=K.WIDE_SLICE_BYTES):
             paths = encode_batch(part.column("text"), vocabulary, n)
             data, off = K.text_bytes(part.column("text"))
             same = [vocabulary.decode(p[0][1].tolist()).encode() == data[a:b].tobytes() for p, a, b in zip(paths, off[:-1], off[1:], strict=True)]

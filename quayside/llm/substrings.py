@@ -47,7 +47,7 @@ def _anchors(h: np.ndarray, span: int) -> np.ndarray:
 
 def _suffix_rows(window: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in K.slices(batches):
+        for part in K.slices(batches, limit=K.WIDE_SLICE_BYTES):
             data, off = K.text_bytes(part.column("text"))
             w = K.words(data, off)
             at, label = K.run_hashes(w, window)

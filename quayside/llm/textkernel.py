@@ -16,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; bounds the temporary arrays (about 60 x this).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Where copies inside a slice are worth finding.
+WIDE_SLICE_BYTES = 2 << 20
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -38,9 +40,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _B)
 _INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
-#: Powers kept between calls, by base; those beyond a slice or two are made anew.
+#: Powers kept between calls, by base; more than a slice needs are made anew.
 _held: dict[int, np.ndarray] = {}
-_HELD_POWERS = 3 * SLICE_BYTES
+_HELD_POWERS = WIDE_SLICE_BYTES * 5 // 4
 
 
 def powers(n: int, base: np.uint64 = _B) -> np.ndarray:
@@ -75,7 +77,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each holds at most ``limit`` bytes of text, or one row."""
+    """Cuts batches so that each holds at most ``limit`` bytes of text, or one row; at the end Arrow's spare memory goes back."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -85,6 +87,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             end = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+        del batch, off
+    pa.default_memory_pool().release_unused()
 
 
 class Words(NamedTuple):
