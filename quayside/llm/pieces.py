@@ -77,7 +77,7 @@ class Vocabulary:
         self.lengths = sorted(by_length)
         if len(self.lengths) > 64:
             raise ValueError("pieces of more than 64 different lengths")
-        self.index = []
+        self.index, self.first = {}, {}
         # a bit per length: which lengths a piece with these first bytes (by hash) can have, which fit into so much room
         self.starts = {n: np.zeros(1 << 16, np.uint64) for n in (1, 2, 3)}
         self.fits = np.zeros(256, np.uint64)
@@ -85,9 +85,9 @@ class Vocabulary:
             rows = sorted(by_length[n])
             h, i, s = zip(*rows, strict=True)
             h = np.array(h, np.uint64)
-            first = np.full(1 << _TOP, -1, np.int32)
-            first[_top(h)[::-1]] = np.arange(len(h))[::-1]
-            self.index.append((n, h, np.array(i, np.int32), np.array(s), first))
+            self.index[n] = (h, np.array(i, np.int32), np.array(s))
+            self.first[n] = np.full(1 << _TOP, -1, np.int32)
+            self.first[n][_top(h)[::-1]] = np.arange(len(h))[::-1]
             self.fits[n:] |= np.uint64(1 << bit)
             for x in i:
                 self.starts[min(n, 3)][_start_hash(np.frombuffer(self.bytes[x] + b"\0\0", np.uint8), min(n, 3))[0]] |= np.uint64(1 << bit)
@@ -146,11 +146,12 @@ class Lattice:
         for m, bits in vocabulary.starts.items():
             may |= bits[_start_hash(np.r_[data, np.zeros(2, np.uint8)], m)]
         may &= vocabulary.fits[np.minimum(room, 255).astype(np.uint8) * lead]
-        for bit, (m, h, i, s, first) in enumerate(vocabulary.index):
+        for bit, m in enumerate(vocabulary.lengths):
+            h, i, s = vocabulary.index[m]
             own = np.flatnonzero(may & np.uint64(1 << bit))
             if len(own):
                 x = _span_hash(prefix, own, m)
-                k = first[_top(x)]
+                k = vocabulary.first[m][_top(x)]
                 likely = np.flatnonzero(k >= 0)
                 own, x, k = own[likely], x[likely], k[likely]
                 off = np.flatnonzero(h[k] != x)  # the few whose place holds several
