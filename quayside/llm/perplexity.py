@@ -5,8 +5,13 @@ Kneser-Ney smoothing is joins and sums over these counts.  The finished model is
 one sorted array of hashed n-grams per order with log probabilities and back-off
 weights.  Hashes have ``bits`` bits, so an order never holds more than
 ``2 ** bits`` entries of 12 bytes, whatever the corpus; colliding n-grams share
-the mean of their probabilities.  Each language then gets a lower and an upper
-bound of perplexity from the spread of all its documents.
+the mean of their probabilities.
+
+Texts fall into two folds by a hash of the text, and each is scored by the model
+that counted the other fold of its language: its own n-grams, and those of its
+exact copies, don't vouch for it.  Each language then gets a lower and an upper
+bound of perplexity around the shortest interval that holds half of its distinct
+texts, which up to half of junk can't carry away.
 
 Rows: a null text has no words and fails the base rules; a null language is the
 language ``und``; repeated rows count as often as they stand there.
@@ -19,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
@@ -29,10 +34,14 @@ ORDER = 4
 #: Bits of a symbol in a packed n-gram.
 SYMBOL = 12
 BITS = 24
-#: Width of a band in distances from the median to the outer tenths.
-WIDTH = 4.0
-#: Least width of either side of a band, in nats a character (0.7: half and twice the median perplexity).
-LEAST_WIDTH = 0.7
+#: Width of either side of a band in halves of the shortest half (0.67 sigma of a normal spread).  README has the rates on planted junk.
+WIDTH = 12.0
+#: Least half of a shortest half, in nats a character, where texts hardly differ.
+LEAST_SPREAD = 0.01
+#: Discount of each count where the counts show none: half of it.
+LEAST_DISCOUNT = 0.5
+#: Between a language and its fold in the name of a model.
+FOLD = "\x1f"
 
 _code = np.arange(1 << 16, dtype=np.int64)
 _code[3968:] = 3968 + _code[3968:] % 127
@@ -97,8 +106,8 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return docs.select("text", "lang").mapInArrow(_count_grams, "lang string, gram long, a long").groupBy("lang", "gram").agg(F.sum("a").alias("a"))
 
 
-def _discounts(levels: list[DataFrame]) -> list[tuple[float, float, float]]:
-    """Modified Kneser-Ney discounts of each order from its numbers of counts one to four."""
+def _discounts(levels: list[DataFrame], least: float) -> list[tuple[float, float, float]]:
+    """Modified Kneser-Ney discounts of each order from its numbers of counts one to four; ``least`` of a count where they show none."""
     one = [x.where("a <= 4").groupBy("a").count().withColumn("n", F.lit(i)) for i, x in enumerate(levels)]
     every = one[0]
     for x in one[1:]:
@@ -108,19 +117,23 @@ def _discounts(levels: list[DataFrame]) -> list[tuple[float, float, float]]:
     for i in range(len(levels)):
         c = [n.get((i, k), 0) for k in (1, 2, 3, 4)]
         y = c[0] / (c[0] + 2 * c[1]) if c[0] else 0.0
-        out.append(tuple(min(k, max(0.0, k - (k + 1) * y * c[k] / c[k - 1])) if c[k - 1] else 0.5 * k for k in (1, 2, 3)))
+        found = [min(k, k - (k + 1) * y * c[k] / c[k - 1]) if c[k - 1] else 0.0 for k in (1, 2, 3)]
+        out.append(tuple(d if d > 0 else least * k for k, d in zip((1, 2, 3), found, strict=True)))
     return out
 
 
-def train(counts: DataFrame, order: int = ORDER, bits: int = BITS) -> DataFrame:
-    """(n, hash, logp, bow) of every n-gram: interpolated probabilities and back-off weights."""
+def train(counts: DataFrame, order: int = ORDER, bits: int = BITS, least: float = 0.0) -> DataFrame:
+    """(n, hash, logp, bow) of every n-gram: interpolated probabilities and back-off weights.
+
+    A discount of zero leaves nothing for unseen n-grams; ``least`` above zero is for scoring texts that weren't counted.
+    """
     levels = [counts]
     for n in range(order - 1, 0, -1):
         levels.insert(0, levels[0].groupBy("lang", F.col("gram").bitwiseAND((1 << SYMBOL * n) - 1).alias("gram")).agg(F.count("*").alias("a")))
     levels = [materialise(x) for x in levels]
     below, rows = None, None
     contexts, probs = [], []
-    for level, (d1, d2, d3) in zip(levels, _discounts(levels), strict=True):
+    for level, (d1, d2, d3) in zip(levels, _discounts(levels, least), strict=True):
         level = level.withColumn("context", F.shiftright("gram", SYMBOL)).withColumn("d", F.when(F.col("a") == 1, d1).when(F.col("a") == 2, d2).otherwise(d3))
         context = level.groupBy("lang", "context").agg(F.sum("a").alias("total"), F.sum("d").alias("freed"))
         context = context.select("lang", "context", "total", (F.col("freed") / F.col("total")).alias("gamma"))
@@ -261,7 +274,7 @@ def _score(shared, keep: list[str]):
         for part in K.slices(batches):
             rules = base_rules(part.column("text"))
             gram, at = packed_grams(*K.text_bytes(part.column("text")))
-            seed = np.repeat(np.array([_seed(x) for x in part.column("lang").to_pylist()], np.uint64), np.diff(at))
+            seed = np.repeat(np.array([_seed(x) for x in part.column("model").to_pylist()], np.uint64), np.diff(at))
             logp = np.r_[0.0, np.cumsum(model.logp(gram, seed))][at]
             nats = -np.diff(logp) / np.maximum(np.diff(at), 1)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(rules[c]) for c in _RULES), pa.array(nats)], names=[*keep, *_RULES, "nats"])
@@ -269,13 +282,26 @@ def _score(shared, keep: list[str]):
     return run
 
 
-def bands(scored: DataFrame, width: float = WIDTH, least: float = LEAST_WIDTH) -> DataFrame:
-    """(lang, low, high): bounds of nats a character, from a histogram of all scored rows that passed the base rules."""
-    bins = scored.where("not base_failed").groupBy("lang", F.round(F.col("nats") * 1000).cast("long").alias("bin")).count()
-    w = Window.partitionBy("lang").orderBy("bin")
-    bins = bins.withColumn("upto", F.sum("count").over(w)).withColumn("all", F.sum("count").over(Window.partitionBy("lang")))
-    q = bins.groupBy("lang").agg(*[F.min(F.when(F.col("upto") >= s * F.col("all"), F.col("bin") / 1000)).alias(c) for c, s in (("q1", 0.1), ("q5", 0.5), ("q9", 0.9))])
-    return q.select("lang", (F.col("q5") - F.greatest(F.lit(least), width * (F.col("q5") - F.col("q1")))).alias("low"), (F.col("q5") + F.greatest(F.lit(least), width * (F.col("q9") - F.col("q5")))).alias("high"))
+def _shortest_half(bins):
+    """The band's centre and spread of one language, from its histogram."""
+    bins = bins.sort_values("bin")
+    at, upto = bins["bin"].to_numpy(), np.cumsum(bins["count"].to_numpy())
+    before, half = np.r_[0, upto[:-1]], upto[-1] // 2 + 1
+    end = np.searchsorted(upto, before + half)
+    start = np.flatnonzero(end < len(at))
+    size = at[end[start]] - at[start]
+    best = start[size == size.min()]
+    centre = np.mean([(at[i] + at[end[i]]) / 2000 for i in best])
+    # few texts show less than their language's spread
+    spread = max(size.min() / 2000, LEAST_SPREAD) * (1 + 5 / max(1, upto[-1] - 1))
+    return bins.head(1)[["lang"]].assign(centre=centre, spread=spread)
+
+
+def bands(scored: DataFrame, width: float = WIDTH) -> DataFrame:
+    """(lang, low, high): bounds of nats a character, from a histogram of all distinct texts that passed the base rules."""
+    texts = scored.where("not base_failed").groupBy("lang", "content").agg(F.min(F.round(F.col("nats") * 1000).cast("long")).alias("bin"))
+    found = texts.groupBy("lang", "bin").count().groupBy("lang").applyInPandas(_shortest_half, "lang string, centre double, spread double")
+    return found.select("lang", (F.col("centre") - width * F.col("spread")).alias("low"), (F.col("centre") + width * F.col("spread")).alias("high"))
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", min_words: int = 50, repeat_percent: int = 50, bits: int = BITS, width: float = WIDTH) -> DataFrame:
@@ -285,11 +311,14 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
-    model = Model(train(materialise(count_grams(rows)), ORDER, bits).toArrow(), ORDER, bits)
+    fold = F.pmod(F.xxhash64("text"), F.lit(2))
+    counted = rows.select("text", F.concat("lang", F.lit(FOLD), fold).alias("lang"))
+    model = Model(train(materialise(count_grams(counted)), ORDER, bits, LEAST_DISCOUNT).toArrow(), ORDER, bits)
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema[doc_id].dataType.simpleString()
-    scored = rows.withColumn("row", F.xxhash64("doc_id", "text")).mapInArrow(
-        _score(shared, ["doc_id", "lang", "row"]), f"doc_id {kind}, lang string, row long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, nats double"
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("content", F.xxhash64("text")).withColumn("model", F.concat("lang", F.lit(FOLD), 1 - fold))
+    scored = rows.mapInArrow(
+        _score(shared, ["doc_id", "lang", "row", "content"]), f"doc_id {kind}, lang string, row long, content long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, nats double"
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     scored = materialise(scored.withColumn("base_failed", failed))

@@ -232,6 +232,24 @@ def test_perplexity_band_rejects_noise(spark):
     assert all(kept[i] for i, *_ in good) and not kept[100] and not kept[101]
 
 
+@pytest.mark.parametrize("share", [0.1, 0.33])
+@pytest.mark.parametrize("kind", ["letters", "copies", "near"])
+def test_perplexity_band_rejects_much_junk(spark, share, kind):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice(["ta", "ren", "o", "shi", "lum", "e", "dor", "ka"]) for _ in range(rng.randrange(1, 4))) for _ in range(300)]
+    letters = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    good = [" ".join(rng.choice(vocabulary) for _ in range(100)) for _ in range(120)]
+    base = [letters() for _ in range(100)]
+    junk = []
+    for _ in range(round(len(good) * share / (1 - share))):
+        near = [letters() if rng.random() < 0.05 else x for x in base]
+        junk.append(" ".join({"letters": [letters() for _ in range(100)], "copies": base, "near": near}[kind]))
+    out = perplexity.quality_rules(spark.createDataFrame(list(enumerate(good + junk)), "doc_id long, text string").selectExpr("*", "'en' as lang")).collect()
+    assert not any(r.base_failed for r in out)
+    kept = {r.doc_id: r.kept for r in out}
+    assert not any(kept[i] for i in range(len(good), len(kept))) and sum(kept[i] for i in range(len(good))) >= 0.98 * len(good)
+
+
 def test_quality_rules_empty(empty):
     assert perplexity.quality_rules(empty).count() == 0
 
