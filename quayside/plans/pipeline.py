@@ -68,7 +68,7 @@ def gold(spark: SparkSession, silver_dir: str, attribution: kpi.Attribution = "r
 
 
 def export(relations: dict[str, DataFrame], layers: Layers, out_dir: str, snapshot_id: str, generated_at: datetime | None = None) -> dict:
-    """Publishes the five documents; the quality document has the true counts."""
+    """Publishes the five datasets, incidents and events in parts; the quality document has the true counts."""
     kpis = relations["overview_kpis"].persist()
     try:
         if not documents.kpi_violations(kpis).isEmpty():
@@ -79,8 +79,8 @@ def export(relations: dict[str, DataFrame], layers: Layers, out_dir: str, snapsh
         datasets = {
             "overview": overviews[0] if len(overviews) == 1 else overviews,
             "equipment": publish.documents(documents.equipment(telemetry, relations["alarms"], kpis)),
-            "incidents": publish.documents(documents.incidents(documents.incidents_with_terminal(relations["incidents"], telemetry))),
-            "event-replay": publish.documents(documents.replay_events(telemetry)),
+            "incidents": documents.incidents(documents.incidents_with_terminal(relations["incidents"], telemetry)),
+            "event-replay": documents.replay_events(telemetry),
             "quality": {"bronze_rows": layers.bronze_rows, "silver_rows": layers.silver_rows, "quarantine_rows": layers.quarantine_rows, "reason_counts": layers.reason_counts, "dbt_test_status": "PASS"},
         }
         return publish.publish(out_dir, datasets, snapshot_id=snapshot_id, quality_status="PASS", period=(period["a"], period["b"]), generated_at=generated_at)

@@ -1,6 +1,8 @@
-"""Publishing small documents: canonical JSON, manifest, atomic swap.
+"""Publishing snapshots: canonical JSON, manifest, atomic swap.
 
-Only aggregated relations come here; each is a bounded list of documents.
+Aggregated relations are bounded lists of documents in one file.  Relations that
+grow with the input are DataFrames: Spark writes them as sorted parts of JSON
+lines into the snapshot, and the driver sees only the parts' names and digests.
 """
 
 from __future__ import annotations
@@ -8,15 +10,20 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import shutil
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents of one dataset at most; a snapshot is for reading in a browser.
+from ..operators.verify import fingerprint
+
+#: Documents of one file at most, as it is for reading in a browser.
 MOST_DOCUMENTS = 100_000
+#: Rows of one part at most.
+PART_ROWS = 100_000
 
 
 class PublishError(RuntimeError):
@@ -35,6 +42,34 @@ def documents(df: DataFrame) -> list[dict]:
     return [json.loads(r["j"]) for r in rows]
 
 
+def write_parts(df: DataFrame, target: Path) -> None:
+    """One JSON object a row, in the order of ``df``, whose sort deals the parts."""
+    lines = df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"))
+    lines.write.option("maxRecordsPerFile", PART_ROWS).text(target.absolute().as_uri())
+
+
+def _lines(spark: SparkSession, target: Path) -> DataFrame:
+    return spark.read.schema("value string").text(target.absolute().as_uri())
+
+
+def describe_parts(spark: SparkSession, target: Path) -> list[dict]:
+    """Name, rows, bytes and digest of each part, in the rows' order."""
+    counts = _lines(spark, target).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("rows"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(target.absolute().as_uri())
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    found = files.join(counts, "name", "left").select("name", F.coalesce("rows", F.lit(0)).alias("rows"), "bytes", "sha256").collect()
+    return sorted((r.asDict() for r in found), key=lambda r: [int(x) for x in re.search(r"^part-(\d+)-.*-c(\d+)", r["name"]).groups()])
+
+
+def rows(spark: SparkSession, out_dir: str, name: str, schema: str) -> DataFrame:
+    """The rows of a dataset of the published snapshot that is written in parts; fails if a part is not as published."""
+    entry = json.loads((Path(out_dir) / "manifest.json").read_text(encoding="utf-8"))["datasets"][name]
+    target = Path(out_dir) / entry["path"]
+    if describe_parts(spark, target) != entry["parts"]:
+        raise PublishError(f"{name} is not as published")
+    return _lines(spark, target).select(F.from_json("value", schema).alias("j")).select("j.*")
+
+
 def _replace(path: Path, text: str) -> None:
     held = path.with_suffix(path.suffix + ".tmp")
     with held.open("w", encoding="utf-8") as f:
@@ -70,7 +105,12 @@ def publish(out_dir: str, datasets: dict[str, object], *, snapshot_id: str, qual
             if wrong := check_overview(doc):
                 raise PublishError("; ".join(wrong))
         entries, counts = {}, {}
+        relations = {name: value for name, value in datasets.items() if isinstance(value, DataFrame)}
+        for name, value in relations.items():
+            write_parts(value, staging / name)
         for name, value in sorted(datasets.items()):
+            if name in relations:
+                continue
             text = canonical_json(value)
             _replace(staging / f"{name}.json", text)
             entries[name] = {"path": f"snapshots/{snapshot_id}/{name}.json", "sha256": hashlib.sha256(text.encode()).hexdigest()}
@@ -80,10 +120,19 @@ def publish(out_dir: str, datasets: dict[str, object], *, snapshot_id: str, qual
                 held = target / f"{name}.json"
                 if not held.exists() or hashlib.sha256(held.read_bytes()).hexdigest() != entry["sha256"]:
                     raise PublishError(f"snapshot {snapshot_id} exists with other content")
+            # part files are not byte-stable, so identity is that of the rows
+            for name, value in relations.items():
+                new = fingerprint(_lines(value.sparkSession, staging / name)).first()
+                if not (target / name).is_dir() or fingerprint(_lines(value.sparkSession, target / name)).first() != new:
+                    raise PublishError(f"snapshot {snapshot_id} exists with other content")
             shutil.rmtree(staging)
         else:
             target.parent.mkdir(parents=True, exist_ok=True)
             staging.rename(target)
+        for name, value in relations.items():
+            parts = describe_parts(value.sparkSession, target / name)
+            entries[name] = {"path": f"snapshots/{snapshot_id}/{name}", "format": "json lines", "parts": parts}
+            counts[name] = sum(x["rows"] for x in parts)
         manifest = {
             "schema_version": 1,
             "snapshot_id": snapshot_id,
@@ -104,7 +153,9 @@ def publish(out_dir: str, datasets: dict[str, object], *, snapshot_id: str, qual
 def load(out_dir: str) -> dict[str, dict]:
     """Datasets of the published snapshot with a status each: ready, empty, absent, unavailable or malformed.
 
-    The manifest and the overview must be there; the others may fail alone.
+    The manifest and the overview must be there; the others may fail alone.  Data of
+    a dataset in parts are its parts, of which only the sizes are compared here;
+    ``rows`` reads it.
     """
     root = Path(out_dir)
     manifest = json.loads((root / "manifest.json").read_text(encoding="utf-8"))
@@ -115,6 +166,12 @@ def load(out_dir: str) -> dict[str, dict]:
             out[name] = {"status": "absent", "data": None}
             continue
         try:
+            if "parts" in entry:
+                sizes = [(root / entry["path"] / x["name"]).stat().st_size for x in entry["parts"]]
+                if sizes != [x["bytes"] for x in entry["parts"]]:
+                    raise ValueError("size")
+                out[name] = {"status": "ready" if manifest["record_counts"][name] else "empty", "data": entry["parts"]}
+                continue
             raw = (root / entry["path"]).read_bytes()
             if hashlib.sha256(raw).hexdigest() != entry["sha256"]:
                 raise ValueError("digest")

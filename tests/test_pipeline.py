@@ -2,6 +2,7 @@ import json
 from datetime import UTC, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from quayside.plans import pipeline
 from quayside.schemas import TABLES
@@ -27,6 +28,32 @@ def test_whole_path_and_rerun(spark, tmp_path):
     assert manifest["snapshot_id"] == "run-1" and json.loads((tmp_path / "out/manifest.json").read_text()) == manifest
 
 
+def test_events_beyond_one_file_are_published_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(publish, "MOST_DOCUMENTS", 100)
+    monkeypatch.setattr(publish, "PART_ROWS", 50)
+    source = generators.operational_seed(spark)
+    at = datetime(2026, 9, 3, tzinfo=UTC)
+    manifest = pipeline.run(spark, source, f"{tmp_path}/work", f"{tmp_path}/out", "run-1", at)
+    want = [r.event_id for r in source["telemetry_events"].select("event_id").orderBy("event_id").collect()]
+    parts = manifest["datasets"]["event-replay"]["parts"]
+    assert len(want) > 100 and manifest["record_counts"]["event-replay"] == len(want) and max(x["rows"] for x in parts) <= 50
+    folder = tmp_path / "out" / manifest["datasets"]["event-replay"]["path"]
+    assert [json.loads(x)["event_id"] for p in parts for x in (folder / p["name"]).read_text().splitlines()] == want
+    assert sorted(r.event_id for r in publish.rows(spark, f"{tmp_path}/out", "event-replay", "event_id string").collect()) == want
+    # the same rows again keep the snapshot, other rows are refused
+    overview = publish.load(f"{tmp_path}/out")["overview"]["data"]
+    events = spark.createDataFrame([(x,) for x in want], "event_id string")
+    go = lambda df: publish.publish(f"{tmp_path}/again", {"overview": overview, "event-replay": df}, snapshot_id="s", quality_status="PASS", period=("a", "b"), generated_at=at)
+    assert go(events.orderBy("event_id")) == go(events.repartition(3).orderBy("event_id"))
+    with pytest.raises(publish.PublishError):
+        go(events.where(F.col("event_id") != want[0]))
+    (folder / f".{parts[0]['name']}.crc").unlink()
+    (folder / parts[0]["name"]).write_text("{}\n")
+    assert publish.load(f"{tmp_path}/out")["event-replay"]["status"] == "malformed"
+    with pytest.raises(publish.PublishError):
+        publish.rows(spark, f"{tmp_path}/out", "event-replay", "event_id string")
+
+
 def test_simulator_is_deterministic(spark):
     a, b = (generators.simulate(42, "QC-001", "TM-001", 50, datetime(2026, 1, 1, tzinfo=UTC)) for _ in range(2))
     assert a == b and a != generators.simulate(43, "QC-001", "TM-001", 50, datetime(2026, 1, 1, tzinfo=UTC))
