@@ -1,20 +1,30 @@
-"""Substring dedup with prefix-partitioned suffix groups.
+"""Substring dedup with prefix-partitioned suffix trees.
 
-A suffix starts at every word.  Each suffix is keyed by a variable-length prefix:
-its words up to and including the least-hash ``gram`` of its first ``window``
-words, so equal windows always carry equal prefixes, and the neighbouring
-suffixes that share such a prefix end travel as one row.  The keys split all
-suffixes into groups that fit a task; each group is a suffix tree cut at depth
-``window``, whose edges are 40-bit labels under a 64-bit prefix.  An internal
-node at that depth (two leaves or more) is a repeated window; consecutive ones
-join to maximal repeats.
+A suffix starts at every word.  Its prefix runs up to the end of the least-hash
+``gram`` of its first ``window`` words (the anchor), so prefixes vary in length,
+equal windows always carry equal prefixes, and the neighbouring suffixes that
+share an anchor travel as one row.
 
-Copies inside one slice of a task are recognised there: their rows leave for the
-documents at once and one of them goes on, so a passage that fills a third of
-all documents reaches its group once per slice, not once per document.
+1. Spark counts the anchors.  A suffix whose anchor occurs once has no repeat and
+   goes no further, which is nearly all text without copies.
+2. Anchors met more often than ``group_runs`` would be groups beyond a task's
+   memory: their suffixes get the longest prefix there is, the whole window, and
+   counting these prefixes (partial sums, then a join that is split where it is
+   skewed) answers them, however often a passage occurs.
+3. All other groups fit memory.  They are dealt to tasks by their measured total,
+   and each becomes a suffix tree: the suffixes at the anchors sorted by their words,
+   with the common prefix lengths of neighbours.  A node at depth ``d`` is a run of
+   neighbours with at least ``d`` words in common; with ``window - d`` equal words
+   to the left of the anchor it is an internal node of depth ``window``, a repeat.
+   Repeats at consecutive words join to maximal ones.
+
+Words in the trees are 32-bit hashes, whole windows and anchors 64-bit ones: equality
+of two windows is that of all their words' hashes.
 
 Rows: a null text or one shorter than the window has no repeat; repeated rows
-are repeats of each other; other columns are left alone.
+are repeats of each other; a very long text is one row of a task, about 60 times its
+bytes in memory; other columns are left alone, but one with the name of an output
+column gives way to it; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,11 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import task_count
+from .common import materialise
 
 _GRAM = 8
-_HEAD = np.dtype([("key", "<u8"), ("row", "<i8"), ("at", "<i4"), ("lead", "u1"), ("n", "u1")])
-_SCHEMA = "bucket int, row long, payload binary"
+_HEAD = np.dtype([("row", "<i8"), ("at", "<i4"), ("lead", "u1"), ("n", "u1")])
+#: Runs of suffixes that one prefix may have before its suffixes are split by whole windows.
+GROUP_RUNS = 4096
+#: Bytes of suffixes dealt to one task.
+TASK_BYTES = 16 << 20
 
 
 def _anchors(h: np.ndarray, span: int) -> np.ndarray:
@@ -45,110 +58,183 @@ def _anchors(h: np.ndarray, span: int) -> np.ndarray:
     return index
 
 
-def _suffix_rows(window: int, buckets: int):
+def _runs(w: K.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of suffixes that share an anchor: text, first word in the text, number of suffixes, anchor (word index); and the anchors' hashes."""
+    rows = len(w.first) - 1
+    many = np.maximum(np.diff(w.first) - window + 1, 0)
+    doc = np.repeat(np.arange(rows), many)
+    if not len(doc):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none.astype(np.uint64)
+    gram = K.runs(w.hash, _GRAM)
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + w.first[doc]
+    anchor = _anchors(gram, window - _GRAM + 1)[at]
+    cut = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
+    n = np.diff(np.r_[cut, len(doc)])
+    return doc[cut], at[cut] - w.first[doc[cut]], n, anchor[cut], gram[anchor[cut]]
+
+
+def _heads(window: int):
+    """(key, row, at) of each run of suffixes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in K.slices(batches, limit=K.WIDE_SLICE_BYTES):
-            data, off = K.text_bytes(part.column("text"))
-            w = K.words(data, off)
-            at, label = K.run_hashes(w, window)
-            if not len(at):
-                continue
-            gram = K.runs(w.hash, _GRAM)
-            anchor = _anchors(gram, window - _GRAM + 1)[at]
-            doc = np.repeat(np.arange(part.num_rows), np.maximum(np.diff(w.first) - window + 1, 0))
-            row = part.column("row").to_numpy()
-            cut = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
-            n = np.diff(np.r_[cut, len(at)])
-            # suffixes whose window occurs again in this slice
-            order = np.argsort(label, kind="stable")
-            same = label[order[1:]] == label[order[:-1]]
-            again, later = np.zeros(len(at), bool), np.zeros(len(at), bool)
-            again[order[1:][same]] = again[order[:-1][same]] = True
-            later[order[1:][same]] = True
-            marked = np.flatnonzero(again)
-            yield from _marks(row[doc[marked]], at[marked] - w.first[doc[marked]])
-            # a run goes on unless all its windows stand earlier in the slice too
-            stay = np.flatnonzero(np.add.reduceat(later.astype(np.int32), cut) < n)
-            cut, n = cut[stay], n[stay]
-            if not len(cut):
+        for part in K.slices(batches):
+            doc, at, _, _, key = _runs(K.words(*K.text_bytes(part.column("text"))), window)
+            if len(doc):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part.column("row").to_numpy()[doc]), pa.array(at.astype(np.int32))], names=["key", "row", "at"])
+
+    return run
+
+
+def _chosen(part: pa.RecordBatch, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs of a batch that its column ``live`` names."""
+    live = part.column("live")
+    place = np.repeat(np.arange(part.num_rows), live.value_lengths().to_numpy())
+    wanted = np.unique(place << 32 | live.flatten().to_numpy().astype(np.int64))
+    own = doc << 32 | at
+    return np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own)
+
+
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] of them), start[1], ..."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _segments(window: int, buckets: int):
+    """The words that the chosen runs cover, by the bucket of their prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in K.slices(batches):
+            w = K.words(*K.text_bytes(part.column("text")))
+            doc, at, n, anchor, key = _runs(w, window)
+            if not len(doc):
                 continue
-            head = np.zeros(len(cut), _HEAD)
-            head["key"], head["row"], head["n"] = gram[anchor[cut]], row[doc[cut]], n
-            head["at"], head["lead"] = at[cut] - w.first[doc[cut]], anchor[cut] - at[cut]
-            bucket = (head["key"] >> np.uint64(20)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            head, bucket, cut, n = head[order], bucket[order], cut[order], n[order]
-            lot = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = np.r_[lot[1:], len(head)]
-            each = np.repeat(cut - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            short = np.ascontiguousarray(label[each]).view(np.uint8).reshape(-1, 8)[:, :5]
-            edge = np.r_[0, np.cumsum(n)]
+            bucket = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+            take = _chosen(part, doc, at)
+            take = take[np.argsort(bucket[take], kind="stable")]
+            doc, at, n, anchor, bucket = doc[take], at[take], n[take], anchor[take], bucket[take]
+            first = at + w.first[doc]
+            head = np.zeros(len(take), _HEAD)
+            head["row"], head["at"], head["lead"], head["n"] = part.column("row").to_numpy()[doc], at, anchor - first, n
+            word = (w.hash >> np.uint64(32)).astype("<u4")[_spread(first, n + window - 1)]
+            edge = np.r_[0, np.cumsum(n + window - 1)]
+            lot = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(take) else take
+            ends = np.r_[lot[1:], len(take)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(bucket[lot].astype(np.int32)),
-                    pa.nulls(len(lot), pa.int64()),
-                    K.pack([len(head[a:b]).to_bytes(4, "little") + head[a:b].tobytes() + short[edge[a] : edge[b]].tobytes() for a, b in zip(lot, ends, strict=True)]),
-                ],
-                names=["bucket", "row", "payload"],
+                [pa.array(bucket[lot]), K.pack([len(head[a:b]).to_bytes(4, "little") + head[a:b].tobytes() + word[edge[a] : edge[b]].tobytes() for a, b in zip(lot, ends, strict=True)])], names=["bucket", "payload"]
             )
 
-    def _marks(row: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(row):
-            lot = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            ends = np.r_[lot[1:], len(row)]
-            at = at.astype("<i4")
+    return run
+
+
+def _windows(window: int):
+    """(prefix, row, at) of each suffix of the chosen runs, its prefix the whole window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in K.slices(batches):
+            w = K.words(*K.text_bytes(part.column("text")))
+            doc, at, n, _, _ = _runs(w, window)
+            if not len(doc):
+                continue
+            take = _chosen(part, doc, at)
+            doc, each = np.repeat(doc[take], n[take]), _spread(at[take], n[take])
+            prefix = K.runs(w.hash, window)[each + w.first[doc]]
+            yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(part.column("row").to_numpy()[doc]), pa.array(each.astype(np.int32))], names=["prefix", "row", "at"])
+
+    return run
+
+
+def suffix_tree(words: np.ndarray, anchor: np.ndarray, right: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at ``anchor`` (indices into ``words``, each with ``right`` words known), sorted, and the words each shares with the one before, at most ``depth``.
+
+    Nodes of the tree at depth ``d`` are the maximal runs of suffixes whose common
+    lengths within the run are at least ``d``.
+    """
+    step = np.arange(depth)
+    label = np.where(step < right[:, None], words[np.minimum(anchor[:, None] + step, len(words) - 1)], 0).astype("<u4")
+    order = np.argsort(label.view(f"S{4 * depth}")[:, 0], kind="stable")
+    label, right = label[order], right[order]
+    unequal = label[1:] != label[:-1]
+    common = np.where(unequal.any(1), unequal.argmax(1), depth)
+    return order, np.r_[0, np.minimum(common, np.minimum(right[1:], right[:-1]))]
+
+
+def _deep_nodes(window: int):
+    """The leaves below internal nodes of depth ``window`` of the groups in one partition, by row of the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, held = [], []
+        for batch in batches:
+            for x in batch.column("payload"):
+                raw = x.as_buffer()
+                size = int.from_bytes(raw[:4].to_pybytes(), "little")
+                heads.append(np.frombuffer(raw, _HEAD, size, 4))
+                held.append(np.frombuffer(raw, "<u4", -1, 4 + size * _HEAD.itemsize))
+        if not heads:
+            return
+        head, word = np.concatenate(heads), np.concatenate(held)
+        del heads, held
+        lead, n = head["lead"].astype(np.int64), head["n"].astype(np.int64)
+        size = n + window - 1
+        anchor = np.cumsum(size) - size + lead
+        order, common = suffix_tree(word, anchor, size - lead, window)
+        head, lead, n, anchor = head[order], lead[order], n[order], anchor[order]
+        left = np.zeros(len(head), np.uint64)
+        rows, places = [], []
+        for back in range(window - _GRAM + 1):  # suffixes that start this many words before the anchor
+            if back:
+                left = left * np.uint64(0x9E3779B97F4A7C15) + K.mix(word[np.maximum(anchor - back, 0)].astype(np.uint64) + np.uint64(1))
+            leaf = np.flatnonzero((back <= lead) & (back > lead - n))
+            if len(leaf) < 2:
+                continue
+            node = np.cumsum(common < window - back)
+            inner = K.mix(K.mix(node[leaf].astype(np.uint64)) + left[leaf])
+            s = np.sort(inner)
+            twice = np.unique(s[1:][s[1:] == s[:-1]])
+            if len(twice):
+                hit = leaf[twice[np.minimum(np.searchsorted(twice, inner), len(twice) - 1)] == inner]
+                rows.append(head["row"][hit])
+                places.append(head["at"][hit] + lead[hit] - back)
+        if not rows:
+            return
+        row, at = np.concatenate(rows), np.concatenate(places).astype("<i4")
+        order = np.lexsort((at, row))
+        row, at = row[order], at[order]
+        lot = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        ends = np.r_[lot[1:], len(row)]
+        for i in range(0, len(lot), 20_000):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(((row[lot] >> 7) % buckets).astype(np.int32)), pa.array(row[lot]), K.pack([at[a:b] for a, b in zip(lot, ends, strict=True)])], names=["bucket", "row", "payload"]
+                [pa.array(row[lot[i : i + 20_000]]), K.pack([at[a:b] for a, b in zip(lot[i : i + 20_000], ends[i : i + 20_000], strict=True)])], names=["row", "payload"]
             )
 
     return run
 
 
-def _deep_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The repeated windows of the groups in one partition, by row of the documents."""
-    heads, labels = [], []
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks as they leave the trees, from the list of a row's repeated windows."""
     for batch in batches:
-        direct = batch.filter(batch.column("row").is_valid())
-        if direct.num_rows:
-            yield direct.select(["row", "payload"])
-        for x in batch.column("payload").filter(batch.column("row").is_null()):
-            raw = x.as_buffer()
-            size = int.from_bytes(raw[:4].to_pybytes(), "little")
-            heads.append(np.frombuffer(raw, _HEAD, size, 4))
-            labels.append(np.frombuffer(raw, np.uint8, -1, 4 + size * _HEAD.itemsize).reshape(-1, 5))
-    if not heads:
-        return
-    head, label = np.concatenate(heads), np.concatenate(labels)
-    heads, labels = [], []
-    key = np.sort(head["key"])
-    twice = np.unique(key[1:][key[1:] == key[:-1]])
-    if not len(twice):
-        return
-    place = np.minimum(np.searchsorted(twice, head["key"]), len(twice) - 1)
-    live = np.flatnonzero(twice[place] == head["key"])
-    begin = (np.cumsum(head["n"], dtype=np.int64) - head["n"])[live]
-    head = head[live]
-    n = head["n"].astype(np.int64)
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    wide = np.zeros((len(step), 8), np.uint8)
-    wide[:, :5] = label[np.repeat(begin, n) + step]
-    depth = np.repeat(head["lead"].astype(np.int64), n) - step
-    node = K.mix(np.repeat(head["key"], n) + depth.astype(np.uint64)) ^ K.mix(wide.reshape(-1).view(np.uint64) + np.uint64(1))
-    leaf = np.sort(node)
-    deep = np.unique(leaf[1:][leaf[1:] == leaf[:-1]])
-    if not len(deep):
-        return
-    place = np.minimum(np.searchsorted(deep, node), len(deep) - 1)
-    hit = np.flatnonzero(deep[place] == node)
-    row, at = np.repeat(head["row"], n)[hit], (np.repeat(head["at"].astype(np.int64), n) + step)[hit].astype("<i4")
-    order = np.argsort(row, kind="stable")
-    row, at = row[order], at[order]
-    lot = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    ends = np.r_[lot[1:], len(row)]
-    for i in range(0, len(lot), 20_000):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(row[lot[i : i + 20_000]]), K.pack([at[a:b] for a, b in zip(lot[i : i + 20_000], ends[i : i + 20_000], strict=True)])], names=["row", "payload"]
-        )
+        at = batch.column("at")
+        yield pa.RecordBatch.from_arrays([batch.column("row"), K.pack([np.asarray(x.values, "<i4") for x in at])], names=["row", "payload"])
+
+
+def repeated_windows(rows: DataFrame, window: int, group_runs: int = GROUP_RUNS) -> DataFrame:
+    """(row, payload): the first words of the windows of (row, text, ...) that occur elsewhere too, as little-endian 32-bit numbers."""
+    heads = rows.select("row", "text").mapInArrow(_heads(window), "key long, row long, at int")
+    counts = heads.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    live = materialise(heads.join(counts, "key").select("row", "at", (F.col("n") > group_runs).alias("large")))
+    buckets = live.count() * (_HEAD.itemsize + 4 * (window + window // 2)) // TASK_BYTES + 1
+
+    def with_texts(large: bool) -> DataFrame:
+        chosen = live.where("large" if large else "not large").groupBy("row").agg(F.collect_list("at").alias("live"))
+        return rows.join(chosen, "row")
+
+    marks = with_texts(False).mapInArrow(_segments(window, buckets), "bucket int, payload binary").repartitionById(buckets, "bucket").mapInArrow(_deep_nodes(window), "row long, payload binary")
+    if not live.where("large").isEmpty():
+        windows = materialise(with_texts(True).mapInArrow(_windows(window), "prefix long, row long, at int"))
+        again = windows.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix")
+        found = windows.join(again, "prefix").groupBy("row").agg(F.collect_list("at").alias("at"))
+        marks = marks.unionByName(found.mapInArrow(_joined, "row long, payload binary"))
+    return marks
 
 
 def _cut(window: int, layout: bool):
@@ -187,24 +273,30 @@ def _cut(window: int, layout: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", keep: list[str] | None = None, layout: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame,
+    window: int = 35,
+    text: str = "text",
+    keep: list[str] | None = None,
+    layout: bool = False,
+    names: tuple[str, str, str] = ("kept_text", "n_words", "n_removed"),
+    group_runs: int = GROUP_RUNS,
+) -> DataFrame:
     """Removes each word covered by a window of ``window`` words that starts anywhere else too.
 
-    Returns the columns ``keep`` (default: all but the text) with ``kept_text`` (kept
-    words joined by one space; with ``layout`` the text's own separators stay),
-    ``n_words`` and ``n_removed``.  All occurrences of
-    a repeat go, the first as well.  ``keep`` must not hold these new names.
+    Returns the columns ``keep`` (default: all but the text) and, under ``names``, the
+    text left (kept words joined by one space; with ``layout`` the text's own
+    separators stay), the number of words and the number removed.  All occurrences of
+    a repeat go, the first as well.  A column of ``keep`` with one of these names gives
+    way to it.
     """
     if not _GRAM < window < 256:
         raise ValueError(f"window must be over {_GRAM} and under 256 words")
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
-    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).alias("text"))
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names and (c != text or keep is not None)]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("text"))
     rows = rows.withColumn("row", F.xxhash64(*[c for c, kind in rows.dtypes if kind in ("bigint", "int", "string")]))
-    buckets = task_count(docs, text, 16 << 20)
-    suffixes = rows.select("row", "text").mapInArrow(_suffix_rows(window, buckets), _SCHEMA)
-    marks = suffixes.repartition(buckets, "bucket").mapInArrow(_deep_nodes, "row long, payload binary")
-    marks = marks.groupBy("row").agg(F.collect_list("payload").alias("marks"))
+    marks = repeated_windows(rows, window, group_runs).groupBy("row").agg(F.collect_list("payload").alias("marks"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"`c{i}` {kinds[f'c{i}']}" for i in range(len(keep))), "kept_text string, n_words long, n_removed long"])
     out = rows.join(marks, "row", "left").drop("row").mapInArrow(_cut(window, layout), schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "kept_text", "n_words", "n_removed")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).alias(n) for c, n in zip(("kept_text", "n_words", "n_removed"), names, strict=True)])
