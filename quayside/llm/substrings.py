@@ -41,6 +41,7 @@ from .common import materialise
 
 _GRAM = 8
 _HEAD = np.dtype([("row", "<i8"), ("at", "<i4"), ("lead", "u1"), ("n", "u1")])
+_PLACE = np.dtype([("row", "<i8"), ("at", "<i4")])
 #: Runs of suffixes that one prefix may have before its suffixes are split by whole windows.
 GROUP_RUNS = 4096
 #: Bytes of suffixes dealt to one task.
@@ -128,10 +129,10 @@ def _segments(window: int, buckets: int):
 
 
 def _windows(window: int):
-    """(prefix, row, at) of each suffix of the chosen runs, its prefix the whole window."""
+    """(prefix, n, places) of the distinct suffixes of the chosen runs in a slice, the prefix the whole window; a place is a row and a first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in K.slices(batches):
+        for part in K.slices(batches, limit=K.WIDE_SLICE_BYTES):
             w = K.words(*K.text_bytes(part.column("text")))
             doc, at, n, _, _ = _runs(w, window)
             if not len(doc):
@@ -139,11 +140,36 @@ def _windows(window: int):
             take = _chosen(part, doc, at)
             doc, each = np.repeat(doc[take], n[take]), _spread(at[take], n[take])
             prefix = K.runs(w.hash, window)[each + w.first[doc]]
-            yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(part.column("row").to_numpy()[doc]), pa.array(each.astype(np.int32))], names=["prefix", "row", "at"])
+            order = np.argsort(prefix, kind="stable")
+            place = np.zeros(len(order), _PLACE)
+            place["row"], place["at"], prefix = part.column("row").to_numpy()[doc[order]], each[order], prefix[order]
+            lot = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
+            ends = np.r_[lot[1:], len(prefix)]
+            for i in range(0, len(lot), 20_000):
+                a, b = lot[i : i + 20_000], ends[i : i + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(prefix[a].view(np.int64)), pa.array(b - a), K.pack([place[x:y] for x, y in zip(a, b, strict=True)])], names=["prefix", "n", "places"])
 
     return run
 
 
+def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of repeated windows in the form in which the trees give theirs."""
+    for batch in batches:
+        if batch.num_rows:
+            place = np.concatenate([np.frombuffer(x.as_buffer(), _PLACE) for x in batch.column("places")])
+            yield from _marks(place["row"], place["at"])
+
+
+def _marks(row: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(row, payload): the first words of repeated windows, by row."""
+    order = np.lexsort((at, row))
+    row, at = row[order], at[order].astype("<i4")
+    lot = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    ends = np.r_[lot[1:], len(row)]
+    for i in range(0, len(lot), 20_000):
+        yield pa.RecordBatch.from_arrays([pa.array(row[lot[i : i + 20_000]]), K.pack([at[a:b] for a, b in zip(lot[i : i + 20_000], ends[i : i + 20_000], strict=True)])], names=["row", "payload"])
+
+
 def suffix_tree(words: np.ndarray, anchor: np.ndarray, right: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes at ``anchor`` (indices into ``words``, each with ``right`` words known), sorted, and the words each shares with the one before, at most ``depth``.
 
@@ -195,32 +221,17 @@ def _deep_nodes(window: int):
                 hit = leaf[twice[np.minimum(np.searchsorted(twice, inner), len(twice) - 1)] == inner]
                 rows.append(head["row"][hit])
                 places.append(head["at"][hit] + lead[hit] - back)
-        if not rows:
-            return
-        row, at = np.concatenate(rows), np.concatenate(places).astype("<i4")
-        order = np.lexsort((at, row))
-        row, at = row[order], at[order]
-        lot = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        ends = np.r_[lot[1:], len(row)]
-        for i in range(0, len(lot), 20_000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row[lot[i : i + 20_000]]), K.pack([at[a:b] for a, b in zip(lot[i : i + 20_000], ends[i : i + 20_000], strict=True)])], names=["row", "payload"]
-            )
+        if rows:
+            yield from _marks(np.concatenate(rows), np.concatenate(places))
 
     return run
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks as they leave the trees, from the list of a row's repeated windows."""
-    for batch in batches:
-        at = batch.column("at")
-        yield pa.RecordBatch.from_arrays([batch.column("row"), K.pack([np.asarray(x.values, "<i4") for x in at])], names=["row", "payload"])
-
-
 def repeated_windows(rows: DataFrame, window: int, group_runs: int = GROUP_RUNS) -> DataFrame:
     """(row, payload): the first words of the windows of (row, text, ...) that occur elsewhere too, as little-endian 32-bit numbers."""
     heads = rows.select("row", "text").mapInArrow(_heads(window), "key long, row long, at int")
-    counts = heads.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that the joins with these counts are between plain shuffles, which Spark splits where they are skewed
+    counts = materialise(heads.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     live = materialise(heads.join(counts, "key").select("row", "at", (F.col("n") > group_runs).alias("large")))
     buckets = live.count() * (_HEAD.itemsize + 4 * (window + window // 2)) // TASK_BYTES + 1
 
@@ -230,10 +241,9 @@ def repeated_windows(rows: DataFrame, window: int, group_runs: int = GROUP_RUNS)
 
     marks = with_texts(False).mapInArrow(_segments(window, buckets), "bucket int, payload binary").repartitionById(buckets, "bucket").mapInArrow(_deep_nodes(window), "row long, payload binary")
     if not live.where("large").isEmpty():
-        windows = materialise(with_texts(True).mapInArrow(_windows(window), "prefix long, row long, at int"))
-        again = windows.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix")
-        found = windows.join(again, "prefix").groupBy("row").agg(F.collect_list("at").alias("at"))
-        marks = marks.unionByName(found.mapInArrow(_joined, "row long, payload binary"))
+        windows = materialise(with_texts(True).mapInArrow(_windows(window), "prefix long, n long, places binary"))
+        again = materialise(windows.groupBy("prefix").agg(F.sum("n").alias("n")).where("n > 1").select("prefix"))
+        marks = marks.unionByName(windows.join(again, "prefix").select("places").mapInArrow(_by_row, "row long, payload binary"))
     return marks
 
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quayside.llm import jaccard, langid, packing, perplexity, substrings, textkernel, weaklabels
 
@@ -90,9 +91,10 @@ def removed(all_words, window):
     return out
 
 
-@pytest.mark.parametrize("window", [35, 10])
-def test_substrings(spark, docs, rows, window):
-    got = Counter((r.doc_id, r.kept_text, r.n_words, r.n_removed) for r in substrings.remove_repeats(docs.select("doc_id", "text", "marks", "row"), window).collect())
+@pytest.mark.parametrize("window, group_runs", [(35, substrings.GROUP_RUNS), (35, 3), (10, 2)])
+def test_substrings(spark, docs, rows, window, group_runs):
+    out = substrings.remove_repeats(docs.select("doc_id", "text", "marks", "row"), window, group_runs=group_runs)
+    got = Counter((r.doc_id, r.kept_text, r.n_words, r.n_removed) for r in out.collect())
     all_words = [words(t) for _, t in rows]
     want = Counter((i, " ".join(x for x, g in zip(w, gone, strict=True) if not g), len(w), sum(gone)) for (i, _), w, gone in zip(rows, all_words, removed(all_words, window), strict=True))
     assert got == want and sum(x[3] for x in got) > 0
@@ -110,6 +112,42 @@ def test_substrings_empty(empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_substrings_columns_with_names_of_its_own(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "k", 9)], "doc_id long, text string, n_words int, kept_text string, other int")
+    out = substrings.remove_repeats(df).collect()
+    assert [r.asDict() for r in out] == [{"doc_id": 1, "other": 9, "kept_text": "a b", "n_words": 2, "n_removed": 0}]
+
+
+def test_suffix_tree_nodes_are_the_common_prefixes():
+    """Runs of neighbours with common length d or more are the sets of suffixes with equal first d words, at every d."""
+    rng = np.random.default_rng(3)
+    word = rng.integers(1, 4, 400).astype("<u4")
+    anchor, right = rng.permutation(350)[:200], rng.integers(3, 12, 200)
+    order, common = substrings.suffix_tree(word, anchor, right, 12)
+    assert sorted(order.tolist()) == list(range(200))
+    for d in range(1, 13):
+        node = np.cumsum(common < d)
+        got, want = defaultdict(set), defaultdict(set)
+        for place, i in enumerate(order.tolist()):
+            if right[i] >= d:
+                got[node[place]].add(i)
+                want[tuple(word[anchor[i] : anchor[i] + d])].add(i)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_a_passage_in_all_documents_is_dealt_over_tasks(spark):
+    """Its suffixes are counted by whole windows; no tree gets a group above the size asked for."""
+    rng = random.Random(21)
+    shared = _prose(rng, 80)
+    rows = [(i, f"{_prose(rng, 40, 10**6)} {shared} {_prose(rng, 40, 10**6)}") for i in range(120)]
+    df = spark.createDataFrame(rows, "row long, text string").repartition(6)
+    heads = df.mapInArrow(substrings._heads(35), "key long, row long, at int")
+    groups = {r.n: r.groups for r in heads.groupBy("key").count().groupBy("count").count().toDF("n", "groups").collect()}
+    assert max(groups) >= 120
+    got = {r.row: {int(x) for b in r.marks for x in np.frombuffer(b, "<i4")} for r in substrings.repeated_windows(df, 35, group_runs=16).groupBy("row").agg(F.collect_list("payload").alias("marks")).collect()}
+    assert got == {i: set(range(40, 40 + 46)) for i, _ in rows}
+
+
 # op6
 
 
@@ -182,11 +220,8 @@ def test_base_rules_match_plain_counts(rows):
         assert tuple(int(got[c][n]) for c in perplexity._RULES) == want
 
 
-def test_kneser_ney_matches_a_plain_model(spark):
-    texts = ["abcab", "abd", "bca bca", "aab", "ccc"]
-    df = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
-    table = perplexity.train(perplexity.count_grams(df)).toArrow()
-    model = perplexity.Model(table, perplexity.ORDER, perplexity.BITS)
+def plain_kneser_ney(texts):
+    """The interpolated probability of an n-gram, by definition."""
     order = perplexity.ORDER
     count = Counter(tuple("\0" * (order - 1) + t)[i : i + order] for t in texts for i in range(len(t)))
     levels = [count]
@@ -196,23 +231,59 @@ def test_kneser_ney_matches_a_plain_model(spark):
     def discount(c, k):
         n = Counter(c.values())
         y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
-        return min(k, max(0.0, k - (k + 1) * y * n[k + 1] / n[k])) if n[k] else 0.5 * k
+        d = min(k, k - (k + 1) * y * n[k + 1] / n[k]) if n[k] else 0.0
+        return d if d > 0 else perplexity.LEAST_DISCOUNT * k
 
     def p(g):
         c = levels[len(g) - 1]
         same = {x: v for x, v in c.items() if x[:-1] == g[:-1]}
-        d = lambda v: discount(c, min(v, 3))
-        low = p(g[1:]) if len(g) > 1 else 1 / (1 << perplexity.SYMBOL)
+        low = p(g[1:]) if len(g) > 1 else 1 / perplexity.ALPHABET
         total = sum(same.values())
-        return (c[g] - d(c[g])) / total + sum(d(v) for v in same.values()) / total * low
+        if not total:
+            return low
+        return max(0, c[g] - discount(c, min(c[g], 3)) if c[g] else 0) / total + sum(discount(c, min(v, 3)) for v in same.values()) / total * low
 
-    data, off = textkernel.text_bytes(pa.array(texts))
-    gram, at = perplexity.packed_grams(data, off)
-    got = model.logp(gram, np.full(len(gram), perplexity._seed("en")))
-    want = [np.log(p((tuple("\0" * (order - 1) + t))[i : i + order])) for t in texts for i in range(len(t))]
-    assert np.allclose(got, want, atol=1e-5)
-    # an unknown gram backs off and stays finite
-    assert np.isfinite(model.logp(np.array([99]), np.array([perplexity._seed("xx")]))).all()
+    return p
+
+
+def test_kneser_ney_matches_a_plain_model(spark):
+    """Every n-gram of fold 0 under the model of fold 1 and the other way round, with symbols of all planes."""
+    folds = [["abcab", "abd", "bca bca", "aab", "ccc", "漢字漢", "a🙂b"], ["abc", "bca aab aab", "字漢漢", "xyz", "ab🙂"]]
+    df = spark.createDataFrame([(t, 7, f) for f in (0, 1) for t in folds[f]], "text string, model long, fold int")
+    own = perplexity.levels(perplexity.count_grams(df))
+    got = perplexity.probabilities(own, [x.selectExpr("*", "1 - fold as other").drop("fold").withColumnRenamed("other", "fold") for x in own]).collect()
+    want = {}
+    for f in (0, 1):
+        p = plain_kneser_ney(folds[1 - f])
+        for t in folds[f]:
+            for i in range(len(t)):
+                g = tuple("\0" * (perplexity.ORDER - 1) + t)[i : i + perplexity.ORDER]
+                want[f, g] = p(g)
+    assert {(r.fold, tuple(chr(r[x]) for x in perplexity.SYMBOLS)): pytest.approx(r.p) for r in got} == want
+
+
+def test_scores_are_sums_of_log_probabilities(spark):
+    """Lots, packed texts and hash arrays give what the plain model gives for each text, lots split or not."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["ab", "abc", "漢字", "c🙂", "bca"]) for _ in range(rng.randrange(50, 60))) for _ in range(30)] + ["", None]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    fold = {r.doc_id: r.f for r in df.selectExpr("doc_id", "pmod(xxhash64(text), 2) as f").collect()}
+    model = [plain_kneser_ney([t for i, t in enumerate(texts) if t and fold[i] == f]) for f in (0, 1)]
+    for lot_bytes in (perplexity.LOT_BYTES, 500):
+        got = {r.doc_id: r.perplexity for r in perplexity.quality_rules(df, lot_bytes=lot_bytes).collect()}
+        for i, t in enumerate(texts):
+            padded = tuple("\0" * (perplexity.ORDER - 1) + (t or ""))
+            nats = [-np.log(model[1 - fold[i]](padded[j : j + perplexity.ORDER])) for j in range(len(t or ""))]
+            assert got[i] == pytest.approx(np.exp(np.mean(nats)) if nats else 1.0, rel=1e-4)
+
+
+def test_many_symbols_in_one_slice():
+    """More symbols than four fit 64 bits."""
+    point = np.array([c for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000], np.uint32)
+    at = np.array([0, 70_000, len(point)])
+    of, symbols, n = perplexity._distinct(point, at, np.array([0, 1]))
+    want = perplexity._before(point, at)
+    assert set(zip(of.tolist(), *(x.tolist() for x in symbols), strict=True)) == set(zip(np.repeat([0, 1], np.diff(at)).tolist(), *(x.tolist() for x in want), strict=True)) and n.sum() == len(point)
 
 
 def test_quality_rules(docs, rows):
