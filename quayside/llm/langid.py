@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .perplexity import SYMBOL, packed_grams
 
 #: Rows that train the weights, at most about this many.
 TRAIN_ROWS = 6000
@@ -36,8 +35,13 @@ def _lower(data: np.ndarray) -> np.ndarray:
 
 def slots(data: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Per order the slot of the n-gram that ends at each character; the rows' offsets in characters."""
-    gram, at = packed_grams(_lower(data), off, max(ORDERS))
-    out = [(K.mix((gram & ((1 << SYMBOL * n) - 1)).astype(np.uint64) * np.uint64(8) + np.uint64(n)) & np.uint64((1 << BITS) - 1)).astype(np.int32) for n in ORDERS]
+    point, at = K.code_points(_lower(data), off)
+    place = np.arange(len(point)) - np.repeat(at[:-1], np.diff(at))
+    gram, out = np.zeros(len(point), np.uint64), []
+    for n in ORDERS:  # 21 bits a code point; 0 is what is before a text
+        back = n - 1
+        gram |= np.where(place >= back, np.concatenate([np.zeros(min(back, len(point)), np.uint64), point[: len(point) - back].astype(np.uint64)]), np.uint64(0)) << np.uint64(21 * back)
+        out.append((K.mix(gram + np.uint64(n << 61)) & np.uint64((1 << BITS) - 1)).astype(np.int32))
     return out, at
 
 

@@ -1,180 +1,217 @@
 """Quality rules with an n-gram perplexity verdict.
 
-Spark counts every character n-gram of all texts per language; modified
-Kneser-Ney smoothing is joins and sums over these counts.  The finished model is
-one sorted array of hashed n-grams per order with log probabilities and back-off
-weights.  Hashes have ``bits`` bits, so an order never holds more than
-``2 ** bits`` entries of 12 bytes, whatever the corpus; colliding n-grams share
-the mean of their probabilities.
+Spark counts every character n-gram of all texts per language, over all code points.
+Modified Kneser-Ney smoothing is joins and sums over these counts, with the
+discounts of each language.
 
 Texts fall into two folds by a hash of the text, and each is scored by the model
 that counted the other fold of its language: its own n-grams, and those of its
-exact copies, don't vouch for it.  Each language then gets a lower and an upper
-bound of perplexity around the shortest interval that holds half of its distinct
-texts, which up to half of junk can't carry away.
-
-Rows: a null text has no words and fails the base rules; a null language is the
-language ``und``; repeated rows count as often as they stand there.
+exact copies, don't vouch for it.  The n-grams to be scored are those counted, so
+a join gives each the probability that the other fold's model has for it, back-off
+included, and these stand under 64-bit hashes.
+
+Neither the model nor the texts pass through one place.  Texts are dealt to lots of
+one language and fold and of bounded size; the distinct n-grams of a lot fetch
+their probabilities by a shuffled join, and each lot is scored with the sorted hash
+array of its own n-grams.
+
+Each language then gets a lower and an upper bound of perplexity around the shortest
+interval that holds half of its distinct texts, which up to half of junk can't carry
+away.
+
+Rows: a null or empty text has no words and fails the base rules; a null language is
+the language ``und``; repeated rows count as often as they stand there; a very long
+text is one row of its lot, about 60 times its bytes in memory; columns that the
+operator doesn't name are not read, whatever they are called; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .common import materialise
 
-ORDER = 4
-#: Bits of a symbol in a packed n-gram.
-SYMBOL = 12
-BITS = 24
+#: The symbols of an n-gram, oldest first; an n-gram of order n has the last n of them.
+SYMBOLS = ("a", "b", "c", "d")
+ORDER = len(SYMBOLS)
+#: Code points there are: what no count has seen is spread over all of them.
+ALPHABET = 0x110000
 #: Width of either side of a band in halves of the shortest half (0.67 sigma of a normal spread).  README has the rates on planted junk.
 WIDTH = 12.0
 #: Least half of a shortest half, in nats a character, where texts hardly differ.
 LEAST_SPREAD = 0.01
 #: Discount of each count where the counts show none: half of it.
 LEAST_DISCOUNT = 0.5
-#: Between a language and its fold in the name of a model.
-FOLD = "\x1f"
-
-_code = np.arange(1 << 16, dtype=np.int64)
-_code[3968:] = 3968 + _code[3968:] % 127
-_code[[9, 10, 11, 12, 13]] = 32
-_code[48:58] = 48
-_code[0] = 1
+#: Bytes of text in a lot.
+LOT_BYTES = 32 << 20
+#: Distinct n-grams that a task holds before it hands them on.
+HELD_GRAMS = 2_000_000
+
 _SYMBOL_BYTES = np.zeros(256, bool)
 _SYMBOL_BYTES[list(b"#*$%&|<>")] = True
+_FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, ORDER + 1)]
+
+
+def _before(point: np.ndarray, at: np.ndarray, order: int = ORDER) -> list[np.ndarray]:
+    """Of each character, the symbols ``order - 1``, ... 1 and 0 places before it; 0 stands for what is before a text."""
+    place = np.arange(len(point)) - np.repeat(at[:-1], np.diff(at))
+    return [np.where(place >= j, np.concatenate([np.zeros(min(j, len(point)), point.dtype), point[: len(point) - j]]), 0) for j in range(order - 1, -1, -1)]
+
+
+def gram_keys(seed: np.ndarray, symbols: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of n-grams under their model's seed."""
+    total = seed.astype(np.uint64)
+    for factor, symbol in zip(_FACTORS, symbols, strict=True):
+        total = total + K.mix(symbol + np.uint64(1)) * factor
+    return K.mix(total)
+
+
+def _seed(model: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    return K.mix(model.astype(np.int64).view(np.uint64) * np.uint64(2) + fold.astype(np.uint64))
+
+
+def _distinct(point: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """The distinct n-grams of a slice by ``kind`` (a small number of each row): kind, symbols and count of each."""
+    seen = np.zeros(ALPHABET, bool)
+    seen[point] = True
+    alphabet = np.r_[np.uint32(0), np.flatnonzero(seen).astype(np.uint32)]
+    bits = int(len(alphabet) - 1).bit_length()
+    number = np.zeros(ALPHABET, np.uint32)
+    number[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
+    symbols = _before(number[point], at)
+    of = np.repeat(kind, np.diff(at))
+    if ORDER * bits + int(kind.max(initial=0)).bit_length() <= 64:
+        packed = of.astype(np.uint64)
+        for x in symbols:
+            packed = packed << np.uint64(bits) | x.astype(np.uint64)
+        packed.sort()
+        cut = np.flatnonzero(np.r_[True, packed[1:] != packed[:-1]])
+        count, packed = np.diff(np.r_[cut, len(packed)]), packed[cut]
+        mask = np.uint64((1 << bits) - 1)
+        symbols = [packed >> np.uint64(bits * (ORDER - 1 - i)) & mask for i in range(ORDER)]
+        of = packed >> np.uint64(bits * ORDER)
+    else:  # more symbols than fit a word
+        rows, count = np.unique(np.stack([of, *symbols], 1), axis=0, return_counts=True)
+        of, symbols = rows[:, 0], list(rows[:, 1:].T)
+    return of.astype(np.int64), [alphabet[x] for x in symbols], count
+
+
+def _kinds(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A small number for each pair of model and fold in a batch: of each row, and the pairs."""
+    model, fold = part.column("model").to_numpy(), part.column("fold").to_numpy()
+    pairs, kind = np.unique(np.stack([model, fold.astype(np.int64)], 1), axis=0, return_inverse=True)
+    return kind.reshape(-1), pairs[:, 0], pairs[:, 1]
 
 
-def _seed(lang: str | None) -> np.uint64:
-    return np.uint64(zlib.crc32((lang or "und").encode()) * 0x9E3779B97F4A7C15 % (1 << 64))
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of one task: a row per language, fold and n-gram."""
+    held: list[tuple] = []
+
+    def merged() -> None:
+        key, model, fold, n, *symbols = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, first, of = np.unique(key, return_index=True, return_inverse=True)
+        held[:] = [(key, model[first], fold[first], np.bincount(of, n).astype(np.int64), *(x[first] for x in symbols))]
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        merged()
+        _, model, fold, n, *symbols = held.pop()
+        for i in range(0, len(n), 50_000):
+            j = slice(i, i + 50_000)
+            columns = [pa.array(model[j]), pa.array(fold[j].astype(np.int32)), *(pa.array(x[j].astype(np.int32)) for x in symbols), pa.array(n[j])]
+            yield pa.RecordBatch.from_arrays(columns, names=["model", "fold", *SYMBOLS, "n"])
 
+    for part in K.slices(batches):
+        point, at = K.code_points(*K.text_bytes(part.column("text")))
+        if not len(point):
+            continue
+        kind, model, fold = _kinds(part)
+        of, symbols, n = _distinct(point, at, kind)
+        held.append((gram_keys(_seed(model[of], fold[of]), symbols), model[of], fold[of], n, *symbols))
+        if len(held) > 8:
+            merged()
+            if len(held[0][0]) > HELD_GRAMS:
+                yield from rows()
+    if held:
+        yield from rows()
+
+
+def count_grams(texts: DataFrame) -> DataFrame:
+    """(model, fold, a, b, c, d, n) over all rows of (text, model, fold)."""
+    kinds = ", ".join(f"{x} int" for x in SYMBOLS)
+    counted = texts.select("text", "model", "fold").mapInArrow(_count_grams, f"model long, fold int, {kinds}, n long")
+    return counted.groupBy("model", "fold", *SYMBOLS).agg(F.sum("n").alias("n"))
+
+
+def levels(counts: DataFrame) -> list[DataFrame]:
+    """The Kneser-Ney counts of each order from 1 on: below the highest, how many symbols an n-gram was seen after."""
+    out = [counts]
+    for n in range(ORDER - 1, 0, -1):
+        out.insert(0, materialise(out[0].groupBy("model", "fold", *SYMBOLS[ORDER - n :]).agg(F.count("*").alias("n"))))
+    return out
 
-def packed_grams(data: np.ndarray, off: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """For each character the packed n-gram that ends there, and the rows' offsets in characters.
 
-    Symbol 0 stands for what is before a text.
-    """
-    point = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    at = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][off]
-    code = _code[np.where(point < 1 << 16, point, 4000)]
-    gram, start = code.copy(), np.repeat(at[:-1], np.diff(at))
-    place = np.arange(len(code)) - start
-    for j in range(1, order):
-        gram[j:] |= np.where(place[j:] >= j, code[:-j], 0) << (SYMBOL * j)
-    return gram, at
+def _discounted(level: DataFrame, least: float) -> DataFrame:
+    """``level`` with ``cut``, the modified Kneser-Ney discount of each count from its model's numbers of counts one to four; ``least`` of a count where they show none."""
+    c = {k: F.col(f"c{k}") for k in (1, 2, 3, 4)}
+    y = F.coalesce(F.try_divide(c[1], c[1] + 2 * c[2]), F.lit(0.0))
+    found = {k: F.least(F.lit(float(k)), k - (k + 1) * y * F.try_divide(c[k + 1], c[k])) for k in (1, 2, 3)}
+    found = {k: F.when(c[k] > 0, x) for k, x in found.items()}
+    of = level.where("n <= 4").groupBy("model", "fold").agg(*[F.count_if(F.col("n") == k).alias(f"c{k}") for k in (1, 2, 3, 4)])
+    of = of.select("model", "fold", *[F.when(found[k] > 0, found[k]).otherwise(least * k).alias(f"d{k}") for k in (1, 2, 3)])
+    cut = F.coalesce(F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")), F.least("n", F.lit(3)) * least)
+    return level.join(of, ["model", "fold"], "left").withColumn("cut", cut).drop("d1", "d2", "d3")
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of one task: a row per language and n-gram."""
-    held: dict[str, list] = {}
+def probabilities(scored: list[DataFrame], counted: list[DataFrame], least: float = LEAST_DISCOUNT) -> DataFrame:
+    """(model, fold, a, b, c, d, p): of each n-gram of ``scored`` its interpolated probability by the counts ``counted`` of the same model and fold.
 
-    def fold(lang: str) -> None:
-        gram, n = (np.concatenate(x) for x in zip(*held[lang], strict=True))
-        order = np.argsort(gram)
-        gram, n = gram[order], n[order]
-        cut = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        held[lang] = [(gram[cut], np.add.reduceat(n, cut))]
+    Both are levels, lowest first.  A discount of zero would leave nothing for unseen n-grams.
+    """
+    below = None
+    for n, (own, level) in enumerate(zip(scored, counted, strict=True), 1):
+        names = list(SYMBOLS[ORDER - n :])
+        level = _discounted(level, least)
+        context = level.groupBy("model", "fold", *names[:-1]).agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("gamma"))
+        p = own.select("model", "fold", *names).join(level.select("model", "fold", *names, (F.col("n") - F.col("cut")).alias("left")), ["model", "fold", *names], "left")
+        p = p.join(context, ["model", "fold", *names[:-1]], "left")
+        p = p.withColumn("lower", F.lit(1.0 / ALPHABET)) if below is None else p.join(below.withColumnRenamed("p", "lower"), ["model", "fold", *names[1:]])
+        below = p.select("model", "fold", *names, (F.coalesce(F.col("left") / F.col("total"), F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("lower")).alias("p"))
+    return below
 
-    for part in K.slices(batches):
-        gram, at = packed_grams(*K.text_bytes(part.column("text")))
-        langs = np.array([x or "und" for x in part.column("lang").to_pylist()], object)
-        of = np.repeat(np.arange(len(langs)), np.diff(at))
-        for lang in sorted(set(langs)):
-            x = np.sort(gram[(langs == lang)[of]])
-            if len(x):
-                cut = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-                held.setdefault(lang, []).append((x[cut], np.diff(np.r_[cut, len(x)])))
-                if len(held[lang]) > 8:
-                    fold(lang)
-    for lang in held:
-        fold(lang)
-        gram, n = held[lang][0]
-        for i in range(0, len(gram), 50_000):
-            g = gram[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n[i : i + 50_000].astype(np.int64))], names=["lang", "gram", "a"])
-
-
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, a) over all rows of (text, lang)."""
-    return docs.select("text", "lang").mapInArrow(_count_grams, "lang string, gram long, a long").groupBy("lang", "gram").agg(F.sum("a").alias("a"))
-
-
-def _discounts(levels: list[DataFrame], least: float) -> list[tuple[float, float, float]]:
-    """Modified Kneser-Ney discounts of each order from its numbers of counts one to four; ``least`` of a count where they show none."""
-    one = [x.where("a <= 4").groupBy("a").count().withColumn("n", F.lit(i)) for i, x in enumerate(levels)]
-    every = one[0]
-    for x in one[1:]:
-        every = every.unionByName(x)
-    n = {(r.n, r.a): r["count"] for r in every.collect()}
-    out = []
-    for i in range(len(levels)):
-        c = [n.get((i, k), 0) for k in (1, 2, 3, 4)]
-        y = c[0] / (c[0] + 2 * c[1]) if c[0] else 0.0
-        found = [min(k, k - (k + 1) * y * c[k] / c[k - 1]) if c[k - 1] else 0.0 for k in (1, 2, 3)]
-        out.append(tuple(d if d > 0 else least * k for k, d in zip((1, 2, 3), found, strict=True)))
-    return out
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        key = gram_keys(_seed(b.column("model").to_numpy(), b.column("fold").to_numpy()), [b.column(x).to_numpy().astype(np.uint32) for x in SYMBOLS])
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.log(b.column("p").to_numpy()).astype(np.float32))], names=["key", "logp"])
 
-def train(counts: DataFrame, order: int = ORDER, bits: int = BITS, least: float = 0.0) -> DataFrame:
-    """(n, hash, logp, bow) of every n-gram: interpolated probabilities and back-off weights.
 
-    A discount of zero leaves nothing for unseen n-grams; ``least`` above zero is for scoring texts that weren't counted.
-    """
-    levels = [counts]
-    for n in range(order - 1, 0, -1):
-        levels.insert(0, levels[0].groupBy("lang", F.col("gram").bitwiseAND((1 << SYMBOL * n) - 1).alias("gram")).agg(F.count("*").alias("a")))
-    levels = [materialise(x) for x in levels]
-    below, rows = None, None
-    contexts, probs = [], []
-    for level, (d1, d2, d3) in zip(levels, _discounts(levels, least), strict=True):
-        level = level.withColumn("context", F.shiftright("gram", SYMBOL)).withColumn("d", F.when(F.col("a") == 1, d1).when(F.col("a") == 2, d2).otherwise(d3))
-        context = level.groupBy("lang", "context").agg(F.sum("a").alias("total"), F.sum("d").alias("freed"))
-        context = context.select("lang", "context", "total", (F.col("freed") / F.col("total")).alias("gamma"))
-        p = level.join(context, ["lang", "context"])
-        if below is None:
-            p = p.withColumn("lower", F.lit(1.0 / (1 << SYMBOL)))
-        else:
-            n = len(probs)
-            p = p.withColumn("suffix", F.col("gram").bitwiseAND((1 << SYMBOL * n) - 1)).join(below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower")), ["lang", "suffix"])
-        below = materialise(p.select("lang", "gram", "a", ((F.col("a") - F.col("d")) / F.col("total") + F.col("gamma") * F.col("lower")).alias("p")))
-        probs.append(below)
-        contexts.append(context)
-    for n, p in enumerate(probs, 1):
-        if n < order:
-            p = p.join(contexts[n].select("lang", F.col("context").alias("gram"), F.col("gamma").alias("bow")), ["lang", "gram"], "left")
-        else:
-            p = p.withColumn("bow", F.lit(1.0))
-        p = p.select(F.lit(n).alias("n"), "lang", "gram", F.log("p").alias("logp"), F.log(F.coalesce("bow", F.lit(1.0))).alias("bow"))
-        rows = p if rows is None else rows.unionByName(p)
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seed = np.array([_seed(x) for x in b.column("lang").to_pylist()], np.uint64)
-            h = K.mix(b.column("gram").to_numpy().astype(np.uint64) + seed) & np.uint64((1 << bits) - 1)
-            yield pa.RecordBatch.from_arrays([b.column("n"), pa.array(h.astype(np.int32)), b.column("logp"), b.column("bow")], names=["n", "hash", "logp", "bow"])
-
-    return rows.mapInArrow(hashed, "n int, hash int, logp double, bow double").groupBy("n", "hash").agg(F.avg("logp").cast("float").alias("logp"), F.avg("bow").cast("float").alias("bow"))
+def cross_scores(counts: DataFrame) -> DataFrame:
+    """(key, logp) of each counted n-gram by the model of the other fold of its language."""
+    own = levels(counts)
+    other = [x.withColumn("fold", 1 - F.col("fold")) for x in own]
+    return probabilities(own, other).mapInArrow(_keyed, "key long, logp float")
 
 
 class SortedHashes:
-    """A sorted array of hashes; a table of the first place of each leading part finds one in a step or two."""
+    """A sorted array of 64-bit hashes; a table of the first place of each leading part finds one in a step or two."""
 
-    def __init__(self, hashes: np.ndarray, bits: int):
-        self.keys = np.r_[hashes, [-1]].astype(np.int32)
-        self.shift = max(0, bits - max(8, int(len(hashes)).bit_length()))
-        self.first = np.searchsorted(hashes, np.arange((1 << bits >> self.shift) + 1) << self.shift).astype(np.int32)
+    def __init__(self, hashes: np.ndarray):
+        self.shift = np.uint64(64 - max(8, int(len(hashes)).bit_length()))
+        self.keys = np.r_[hashes, hashes[-1:] ^ np.uint64(1)] if len(hashes) else np.zeros(1, np.uint64)
+        self.first = np.searchsorted(hashes >> self.shift, np.arange((1 << 64 - int(self.shift)) + 1, dtype=np.uint64)).astype(np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The place of each hash, or -1."""
-        at, end = self.first[h >> self.shift], self.first[(h >> self.shift) + 1]
-        out = np.where(self.keys[at] == h, at, -1)
+        part = (h >> self.shift).astype(np.int64)
+        at, end = self.first[part], self.first[part + 1]
+        out = np.where((self.keys[at] == h) & (at < end), at, -1)
         todo = np.flatnonzero((out < 0) & (at + 1 < end))
         step = 1
         while len(todo):
@@ -186,42 +223,6 @@ class SortedHashes:
         return out
 
 
-class Model:
-    """Scores packed n-grams: the longest known one, discounted by the weights of the contexts passed."""
-
-    def __init__(self, table: pa.Table, order: int, bits: int):
-        self.order, self.bits, self.levels = order, bits, []
-        n = table["n"].to_numpy()
-        for k in range(1, order + 1):
-            own = table.filter(pa.array(n == k)).sort_by("hash")
-            self.levels.append((own["hash"].to_numpy(), own["logp"].to_numpy(), np.r_[own["bow"].to_numpy(), [0]].astype(np.float32)))
-        self.index: list[SortedHashes] = []
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"index": []}
-
-    def _find(self, n: int, gram: np.ndarray, seed: np.ndarray) -> np.ndarray:
-        if not self.index:
-            self.index = [SortedHashes(x[0], self.bits) for x in self.levels]
-        h = K.mix((gram & ((1 << SYMBOL * n) - 1)).astype(np.uint64) + seed) & np.uint64((1 << self.bits) - 1)
-        return self.index[n - 1].find(h.astype(np.int32))
-
-    def logp(self, gram: np.ndarray, seed: np.ndarray) -> np.ndarray:
-        out, todo = np.zeros(len(gram)), np.arange(len(gram))
-        for n in range(self.order, 0, -1):
-            at = self._find(n, gram[todo], seed[todo])
-            hit = at >= 0
-            out[todo[hit]] += self.levels[n - 1][1][at[hit]]
-            todo = todo[~hit]
-            if not len(todo):
-                break
-            if n > 1:
-                out[todo] += self.levels[n - 2][2][self._find(n - 1, gram[todo] >> SYMBOL, seed[todo])]
-            else:
-                out[todo] += np.log(1.0 / (1 << SYMBOL))
-        return out
-
-
 def base_rules(column: pa.Array, w: K.Words | None = None) -> dict[str, np.ndarray]:
     """Counts of each row: words, characters in words, symbols, repeated lines, words in repeated 3-word windows.
 
@@ -266,20 +267,67 @@ def base_rules(column: pa.Array, w: K.Words | None = None) -> dict[str, np.ndarr
 
 
 _RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_KEPT = ("doc_id", "lang", "row", "content")
 
 
-def _score(shared, keep: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for part in K.slices(batches):
-            rules = base_rules(part.column("text"))
-            gram, at = packed_grams(*K.text_bytes(part.column("text")))
-            seed = np.repeat(np.array([_seed(x) for x in part.column("model").to_pylist()], np.uint64), np.diff(at))
-            logp = np.r_[0.0, np.cumsum(model.logp(gram, seed))][at]
-            nats = -np.diff(logp) / np.maximum(np.diff(at), 1)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(rules[c]) for c in _RULES), pa.array(nats)], names=[*keep, *_RULES, "nats"])
-
-    return run
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as zstd bytes with their length, for the way to their lots."""
+    codec = pa.Codec("zstd", 1)
+    for part in K.slices(batches):
+        data, off = K.text_bytes(part.column("text"))
+        raw = data.tobytes()
+        zipped = [codec.compress(raw[a:b], asbytes=True) for a, b in zip(off[:-1], off[1:], strict=True)]
+        names = [c for c in part.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(zipped, pa.binary()), pa.array(np.diff(off))], names=[*names, "zipped", "size"])
+
+
+def _texts(lot: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows of a lot with their texts, in slices."""
+    codec = pa.Codec("zstd", 1)
+    lot = lot.combine_chunks()
+    size = lot["size"].to_numpy()
+    at = 0
+    while at < lot.num_rows:
+        end = at + max(1, int(np.searchsorted(np.cumsum(size[at:]), K.SLICE_BYTES, "right")))
+        texts = [codec.decompress(x.as_buffer(), int(n), asbytes=True) for x, n in zip(lot["zipped"].slice(at, end - at), size[at:end], strict=True)]
+        text = pa.array(texts, pa.binary()).cast(pa.string())
+        part = lot.slice(at, end - at).drop_columns(["zipped"]).append_column("text", text).combine_chunks()
+        yield part.to_batches()[0]
+        at = end
+
+
+def _grams_of_lot(lot: pa.Table) -> pa.Table:
+    """(lot, key) of the distinct n-grams of a lot."""
+    held: list[np.ndarray] = []
+    for part in _texts(lot):
+        point, at = K.code_points(*K.text_bytes(part.column("text")))
+        if len(point):
+            kind, model, fold = _kinds(part)
+            of, symbols, _ = _distinct(point, at, kind)
+            held.append(gram_keys(_seed(model[of], fold[of]), symbols))
+    key = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+    return pa.table({"lot": pa.array(np.full(len(key), lot["lot"][0].as_py(), np.int64)), "key": pa.array(key.view(np.int64))})
+
+
+def _score_lot(lot: pa.Table, scores: pa.Table) -> pa.Table:
+    """Rule counts and nats a character of each row of a lot, with the sorted hash array of the lot's n-grams."""
+    key, logp = scores["key"].to_numpy().view(np.uint64), scores["logp"].to_numpy()
+    order = np.argsort(key)
+    known, logp = SortedHashes(key[order]), np.r_[logp[order], np.float32(0)]
+    out = []
+    for part in _texts(lot):
+        rules = base_rules(part.column("text"))
+        point, at = K.code_points(*K.text_bytes(part.column("text")))
+        seed = np.repeat(_seed(part.column("model").to_numpy(), part.column("fold").to_numpy()), np.diff(at))
+        total = np.r_[0.0, np.cumsum(logp[known.find(gram_keys(seed, _before(point, at)))], dtype=np.float64)][at]
+        nats = -np.diff(total) / np.maximum(np.diff(at), 1)
+        out.append(pa.RecordBatch.from_arrays([*(part.column(c) for c in _KEPT), *(pa.array(rules[c]) for c in _RULES), pa.array(nats)], names=[*_KEPT, *_RULES, "nats"]))
+    if not out:
+        lot = lot.select(_KEPT).slice(0, 0)
+        for c in _RULES:
+            lot = lot.append_column(c, pa.array([], pa.int64()))
+        return lot.append_column("nats", pa.array([], pa.float64()))
+    return pa.Table.from_batches(out)
 
 
 def _shortest_half(bins):
@@ -304,24 +352,39 @@ def bands(scored: DataFrame, width: float = WIDTH) -> DataFrame:
     return found.select("lang", (F.col("centre") - width * F.col("spread")).alias("low"), (F.col("centre") + width * F.col("spread")).alias("high"))
 
 
-def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", min_words: int = 50, repeat_percent: int = 50, bits: int = BITS, width: float = WIDTH) -> DataFrame:
+def in_lots(rows: DataFrame, lot_bytes: int = LOT_BYTES) -> DataFrame:
+    """Rows of (text, model, fold, row, ...) with their texts packed and ``lot``: rows of one model and fold, about ``lot_bytes`` of text."""
+    sizes = rows.groupBy("model", "fold").agg((F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) / lot_bytes + 1).cast("long").alias("parts"))
+    kinds = ", ".join(f"{c} {k}" for c, k in rows.dtypes if c != "text")
+    packed = rows.mapInArrow(_packed, f"{kinds}, zipped binary, size long")
+    return packed.join(materialise(sizes), ["model", "fold"]).withColumn("lot", F.xxhash64("model", "fold", F.pmod("row", "parts"))).drop("parts")
+
+
+def quality_rules(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+    min_words: int = 50,
+    repeat_percent: int = 50,
+    width: float = WIDTH,
+    lot_bytes: int = LOT_BYTES,
+) -> DataFrame:
     """Rule counts, perplexity and verdict of each row: the columns of op4's contract and ``perplexity``, ``row``.
 
     ``row`` is ``xxhash64`` of (doc_id, text), for joining verdicts to rows that repeat a doc_id.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
-    fold = F.pmod(F.xxhash64("text"), F.lit(2))
-    counted = rows.select("text", F.concat("lang", F.lit(FOLD), fold).alias("lang"))
-    model = Model(train(materialise(count_grams(counted)), ORDER, bits, LEAST_DISCOUNT).toArrow(), ORDER, bits)
-    shared = spark.sparkContext.broadcast(model)
+    fold: Column = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
+    rows = rows.select("*", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("content"), F.xxhash64("lang").alias("model"), fold.alias("fold"))
+    scores = materialise(cross_scores(materialise(count_grams(rows))))
+    lots = in_lots(rows, lot_bytes)
+    fetched = lots.groupBy("lot").applyInArrow(_grams_of_lot, "lot long, key long").join(scores, "key").select("lot", "key", "logp")
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("content", F.xxhash64("text")).withColumn("model", F.concat("lang", F.lit(FOLD), 1 - fold))
-    scored = rows.mapInArrow(
-        _score(shared, ["doc_id", "lang", "row", "content"]), f"doc_id {kind}, lang string, row long, content long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, nats double"
-    )
+    counts = ", ".join(f"{c} long" for c in _RULES)
+    scored = lots.groupBy("lot").cogroup(fetched.groupBy("lot")).applyInArrow(_score_lot, f"doc_id {kind}, lang string, row long, content long, {counts}, nats double")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     scored = materialise(scored.withColumn("base_failed", failed))
     out = scored.join(bands(scored, width), "lang", "left")
     kept = ~F.col("base_failed") & F.col("nats").between(F.col("low"), F.col("high"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"), F.exp("nats").alias("perplexity"), "row")
+    return out.select("doc_id", *_RULES, "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"), F.exp("nats").alias("perplexity"), "row")

@@ -76,6 +76,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def code_points(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of a batch, digits as 0, controls that separate as spaces and U+0000 as U+0001, and the rows' offsets in characters."""
+    point = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).copy()
+    point[(point >= 48) & (point < 58)] = 48
+    point[(point >= 9) & (point < 14)] = 32
+    point[point == 0] = 1
+    return point, np.r_[0, np.cumsum((data & 0xC0) != 0x80)][off]
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds at most ``limit`` bytes of text, or one row; at the end Arrow's spare memory goes back."""
     for batch in batches:
