@@ -385,6 +385,7 @@ def quality_rules(
     scored = lots.groupBy("lot").cogroup(fetched.groupBy("lot")).applyInArrow(_score_lot, f"doc_id {kind}, lang string, row long, content long, {counts}, nats double")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     scored = materialise(scored.withColumn("base_failed", failed))
-    out = scored.join(bands(scored, width), "lang", "left")
+    # one row per language, written: Spark sees its size and broadcasts it only where that is small
+    out = scored.join(materialise(bands(scored, width)), "lang", "left")
     kept = ~F.col("base_failed") & F.col("nats").between(F.col("low"), F.col("high"))
     return out.select("doc_id", *_RULES, "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"), F.exp("nats").alias("perplexity"), "row")
