@@ -1,19 +1,25 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers each vote good, bad or nothing on every document; most know
-one defect and vote only when they see it.  The votes
-of a document are one pattern; there are at most ``3 ** labellers`` patterns, so
-their counts over all documents are a small table.  Expectation-maximisation on
-that table estimates each labeller's accuracy and each pattern's posterior.  The posteriors of a bounded sample of documents train a
-hashed linear scorer on byte trigrams and binned statistics, which scores all.
+Heuristic labellers each vote good, bad or nothing on every document, good where
+their statistic is as low as in ordinary prose, bad where it is as high as a defect
+makes it.  The votes of a document are one pattern; there are at most
+``3 ** labellers`` patterns, so their counts over all documents are a small table.
+Expectation-maximisation on that table estimates the share of good documents, how
+often each labeller is right on good and on bad documents, and each pattern's
+posterior; a weak prior of ``PRIOR_VOTES`` votes only keeps rates off 0 and 1.  The
+posteriors of a bounded sample of documents train a hashed linear scorer on byte
+trigrams and binned statistics, which scores all.
 
 Rows: a null or empty text gets the votes of an empty text; repeated rows count
-as often as they stand there.
+as often as they stand there, but train once; a very long text is one row of a task,
+about 60 times its bytes in memory; other columns are carried along, whatever their
+names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,26 +29,31 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 from .perplexity import base_rules
 
-#: Documents that train the scorer, at most about this many, the least in a hash.
+#: Documents that train the scorer, at most about this many: half dealt evenly over the
+#: vote patterns, half by their counts, and weighed so that each pattern counts as it stands in the data.
 TRAIN_ROWS = 4000
 BITS = 16
 _MASK = np.uint32((1 << BITS) - 1)
 _BINS = 12
 
-#: Per labeller: the statistic, votes bad at or above, votes good at or below (None: never).
+#: Per labeller: the statistic, votes bad at or above, votes good at or below.  The lower
+#: bounds are what prose stays under (its largest percent may lie above, where there is no
+#: vote); the upper ones stand where a defect fills a third to a half of a text.
 LABELLERS = (
-    ("symbols", 0.30, None),
-    ("upper", 0.50, None),
-    ("shouts", 0.20, None),
-    ("repeats", 0.40, None),
-    ("copies", 0.50, None),
-    ("bars", 0.20, None),
-    ("unended", 0.998, None),
-    ("dup_lines", 0.50, None),
-    ("odd", None, 0.02),
+    ("symbols", 0.30, 0.02),
+    ("upper", 0.50, 0.15),
+    ("shouts", 0.20, 0.02),
+    ("repeats", 0.40, 0.10),
+    ("copies", 0.50, 0.15),
+    ("bars", 0.20, 0.02),
+    ("unended", 0.998, 0.96),
+    ("dup_lines", 0.50, 0.10),
+    ("odd", 0.30, 0.02),
 )
-#: Share of good documents that the label model assumes: no vote leaves a document there.
-PRIOR = 0.5
+#: The label model's start and, with the weight of PRIOR_VOTES votes, its prior: how often a
+#: labeller sees a bad document (it may know one defect of many) and how often a good one.
+START_BAD, START_GOOD = 0.4, 0.9
+PRIOR_VOTES = 10.0
 _PLAIN = np.zeros(256, bool)
 _PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), *range(0x09, 0x0E), *b" .,;:'?()\"-"]] = True
 
@@ -84,37 +95,49 @@ def statistics(column: pa.Array) -> np.ndarray:
 
 def votes(stats: np.ndarray) -> np.ndarray:
     """0 bad, 1 good, 2 no vote, for each document and labeller."""
-    bad = np.array([np.inf if x[1] is None else x[1] for x in LABELLERS])
-    good = np.array([-np.inf if x[2] is None else x[2] for x in LABELLERS])
-    return np.where(stats >= bad, 0, np.where(stats <= good, 1, 2))
+    _, bad, good = zip(*LABELLERS, strict=True)
+    return np.where(stats >= np.array(bad), 0, np.where(stats <= np.array(good), 1, 2))
 
 
 def _pattern(v: np.ndarray) -> np.ndarray:
     return v @ (3 ** np.arange(v.shape[1]))
 
 
-def fit_labellers(pattern: np.ndarray, count: np.ndarray, rounds: int = 200, start: float = 0.8, trust: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of good for each pattern, and each labeller's accuracy where it votes.
+class LabelModel(NamedTuple):
+    """Posterior of good for each pattern; rates at which each labeller is right on bad and on good documents where it votes; share of good documents."""
 
-    A labeller that does not vote says nothing.  Each accuracy has a Beta prior of
-    mean ``start`` that weighs ``trust`` times its votes, so the label model can't
-    turn a labeller round that seldom meets another.
+    posterior: np.ndarray
+    right_on_bad: np.ndarray
+    right_on_good: np.ndarray
+    share: float
+
+    @property
+    def accuracy(self) -> np.ndarray:
+        return self.share * self.right_on_good + (1 - self.share) * self.right_on_bad
+
+
+def fit_labellers(pattern: np.ndarray, count: np.ndarray, rounds: int = 500, prior_votes: float = PRIOR_VOTES) -> LabelModel:
+    """Expectation-maximisation over vote patterns.
+
+    Labellers are independent given the class; one that does not vote says nothing.
+    One that is wrong on most of its votes counts for the other class.
     """
     n = len(LABELLERS)
     v = pattern[:, None] // 3 ** np.arange(n) % 3
-    voted, good = v != 2, v == 1
-    accuracy = np.full(n, start)
+    bad, good, voted = v == 0, v == 1, v != 2
+    on_bad, on_good, share = np.full(n, START_BAD), np.full(n, START_GOOD), 0.5
     for _ in range(rounds):
-        pull = np.log(accuracy / (1 - accuracy))
-        odds = np.log(PRIOR / (1 - PRIOR)) + np.where(voted, np.where(good, pull, -pull), 0.0).sum(1)
-        post = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-        right = np.where(good, post[:, None], 1 - post[:, None]) * voted * count[:, None]
-        votes_of = (voted * count[:, None]).sum(0)
-        new = (right.sum(0) + start * (trust * votes_of + 1)) / ((1 + trust) * votes_of + 1)
-        done, accuracy = np.abs(new - accuracy).max() < 1e-9, new
-        if done:
+        for_good = np.log(share) + good @ np.log(on_good) + bad @ np.log(1 - on_good)
+        for_bad = np.log(1 - share) + bad @ np.log(on_bad) + good @ np.log(1 - on_bad)
+        post = 1 / (1 + np.exp(np.clip(for_bad - for_good, -50, 50)))
+        of_bad, of_good = (1 - post) * count, post * count
+        was = np.r_[on_bad, on_good, share]
+        on_bad = (of_bad @ bad + prior_votes * START_BAD) / (of_bad @ voted + prior_votes)
+        on_good = (of_good @ good + prior_votes * START_GOOD) / (of_good @ voted + prior_votes)
+        share = (of_good.sum() + 1) / (count.sum() + 2)
+        if np.abs(np.r_[on_bad, on_good, share] - was).max() < 1e-9:
             break
-    return post, accuracy
+    return LabelModel(post, on_bad, on_good, float(share))
 
 
 def _hashed(data: np.ndarray) -> np.ndarray:
@@ -135,25 +158,38 @@ def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int64)), pa.array(n.astype(np.int64))], names=["pattern", "n"])
 
 
-def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in K.slices(batches):
-        data, off = K.text_bytes(part.column("text"))
-        stats = statistics(part.column("text"))
-        slots, values = [], []
-        for i in range(part.num_rows):
-            h = _hashed(data[off[i] : off[i + 1]]) if off[i + 1] - off[i] > 2 else np.zeros(0, np.uint32)
-            s, n = np.unique(h, return_counts=True)
-            slots.append(np.r_[s, _bins(stats[i : i + 1])[0]].astype("<i4"))
-            values.append(np.r_[n / max(len(h), 1) * 4, np.ones(stats.shape[1])].astype("<f4"))
-        yield pa.RecordBatch.from_arrays([pa.array(_pattern(votes(stats)).astype(np.int64)), K.pack(slots), K.pack(values)], names=["pattern", "slots", "values"])
-
-
-def fit_scorer(slots: list[np.ndarray], values: list[np.ndarray], target: np.ndarray, epochs: int = 8, rate: float = 0.3, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets by AdaGrad; classes weigh the same."""
+def _train_rows(shared):
+    """The chosen rows with their features: a row is chosen if its hash lies under the rate of its pattern."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rates = shared.value
+        for part in K.slices(batches):
+            stats = statistics(part.column("text"))
+            pattern, row = _pattern(votes(stats)), part.column("row").to_numpy()
+            part_of = K.mix(row.view(np.uint64)) / 2.0**64
+            take = np.flatnonzero(part_of < np.array([rates[p] for p in pattern.tolist()]))
+            take = take[np.unique(row[take], return_index=True)[1]]
+            if not len(take):
+                continue
+            data, off = K.text_bytes(part.column("text"))
+            slots, values = [], []
+            for i in take:
+                h = _hashed(data[off[i] : off[i + 1]]) if off[i + 1] - off[i] > 2 else np.zeros(0, np.uint32)
+                s, n = np.unique(h, return_counts=True)
+                slots.append(np.r_[s, _bins(stats[i : i + 1])[0]].astype("<i4"))
+                values.append(np.r_[n / max(len(h), 1) * 4, np.ones(stats.shape[1])].astype("<f4"))
+            yield pa.RecordBatch.from_arrays([pa.array(row[take]), pa.array(pattern[take].astype(np.int64)), K.pack(slots), K.pack(values)], names=["row", "pattern", "slots", "values"])
+
+    return run
+
+
+def fit_scorer(slots: list[np.ndarray], values: list[np.ndarray], target: np.ndarray, count: np.ndarray | None = None, epochs: int = 8, rate: float = 0.3, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets by AdaGrad; a row weighs as ``count`` documents, and the classes the same in all."""
     w, g2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
     b, b2 = 0.0, 1e-6
-    share = np.clip(target.mean(), 0.02, 0.98)
-    weight = target / (2 * share) + (1 - target) / (2 * (1 - share))
+    count = np.ones(len(target)) if count is None else count / count.mean()
+    share = np.clip((target * count).mean(), 0.02, 0.98)
+    weight = count * (target / (2 * share) + (1 - target) / (2 * (1 - share)))
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         for i in rng.permutation(len(slots)):
@@ -169,7 +205,7 @@ def fit_scorer(slots: list[np.ndarray], values: list[np.ndarray], target: np.nda
 
 def _score(shared, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b, by_pattern = shared.value
+        w, b, by_pattern, share = shared.value
         for part in K.slices(batches):
             data, off = K.text_bytes(part.column("text"))
             size = np.diff(off)
@@ -179,28 +215,32 @@ def _score(shared, keep: list[str]):
             last = len(total) - 1
             gram = total[np.minimum(np.maximum(off[1:] - 2, off[:-1]), last)] - total[np.minimum(off[:-1], last)]
             z = 4 * gram / np.maximum(size - 2, 1) + w[_bins(stats)].sum(1) + b
-            posterior = [by_pattern.get(p, PRIOR) for p in _pattern(votes(stats)).tolist()]
+            posterior = [by_pattern.get(p, share) for p in _pattern(votes(stats)).tolist()]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30)))), pa.array(posterior, pa.float64())], names=[*keep, "score", "posterior"])
 
     return run
 
 
-def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[dict[int, float], tuple[np.ndarray, float]]:
-    """Posterior of good by vote pattern, and the scorer's weights and bias, from (text, row)."""
+def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float, dict[int, float], float]:
+    """The scorer's weights and bias, the posterior of good by vote pattern and the share of good documents, from (text, row)."""
     # at most 3 ** labellers rows
     counts = rows.select("text").mapInArrow(_vote_rows, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
     if counts.empty:
-        return {}, (np.zeros(1 << BITS, np.float32), 0.0)
-    posterior, _ = fit_labellers(counts["pattern"].to_numpy(), counts["n"].to_numpy())
-    by_pattern = dict(zip(counts["pattern"].tolist(), posterior.tolist(), strict=True))
-    part = F.pmod(F.xxhash64("row"), F.lit(1 << 30))
-    most = max(1, int((1 << 30) * train_rows / counts["n"].sum()))
-    sample = rows.where(part < most).select("text", "row").limit(2 * train_rows).mapInArrow(_train_rows, "pattern long, slots binary, values binary").toPandas()
-    sample = sample.sort_values(["pattern", "slots"])
+        return np.zeros(1 << BITS, np.float32), 0.0, {}, 0.5
+    pattern, n = counts["pattern"].to_numpy(), counts["n"].to_numpy()
+    model = fit_labellers(pattern, n)
+    by_pattern = dict(zip(pattern.tolist(), model.posterior.tolist(), strict=True))
+    wanted = train_rows / 2 * (1 / len(n) + n / n.sum())
+    rates = dict(zip(pattern.tolist(), np.minimum(1.0, wanted / n).tolist(), strict=True))
+    shared = rows.sparkSession.sparkContext.broadcast(rates)
+    chosen = rows.select("text", "row").mapInArrow(_train_rows(shared), "row long, pattern long, slots binary, values binary")
+    sample = chosen.groupBy("row").agg(*[F.first(c).alias(c) for c in ("pattern", "slots", "values")]).toPandas().sort_values(["pattern", "row"])
     if sample.empty:
-        return by_pattern, (np.zeros(1 << BITS, np.float32), 0.0)
+        return np.zeros(1 << BITS, np.float32), 0.0, by_pattern, model.share
     arrays = lambda c, kind: [np.frombuffer(x, kind) for x in sample[c]]
-    return by_pattern, fit_scorer(arrays("slots", "<i4"), arrays("values", "<f4"), np.array([by_pattern[p] for p in sample["pattern"]]))
+    stands_for = sample["pattern"].map(dict(zip(pattern.tolist(), n.tolist(), strict=True))) / sample.groupby("pattern")["row"].transform("size")
+    weights = fit_scorer(arrays("slots", "<i4"), arrays("values", "<f4"), sample["pattern"].map(by_pattern).to_numpy(), stands_for.to_numpy())
+    return *weights, by_pattern, model.share
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -210,8 +250,7 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def quality_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_above: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, score, posterior, kept) of each row: the scorer's probability, the label model's, and the verdict."""
     rows = _rows(docs, doc_id, text)
-    by_pattern, w = fit(rows, train_rows)
-    shared = docs.sparkSession.sparkContext.broadcast((*w, by_pattern))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(rows, train_rows))
     kind = docs.schema[doc_id].dataType.simpleString()
     scored = rows.mapInArrow(_score(shared, ["doc_id"]), f"doc_id {kind}, score double, posterior double")
     return scored.select("doc_id", "score", "posterior", (F.col("score") >= keep_above).alias("kept"))
@@ -219,8 +258,7 @@ def quality_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_above: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, all columns; scoring carries them along, so nothing is shuffled."""
-    by_pattern, w = fit(_rows(docs, doc_id, text), train_rows)
-    shared = docs.sparkSession.sparkContext.broadcast((*w, by_pattern))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(_rows(docs, doc_id, text), train_rows))
     own = {f"c{i}": c for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(c).alias(n) for n, c in own.items()], F.col(text).alias("text"))
     kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in own.items())

@@ -340,18 +340,132 @@ def test_quality_scores_rows_and_labels(spark, docs, rows, empty):
     assert right >= 0.97 * len(labels) and sum(clean) >= 0.99 * len(clean)
 
 
-def test_label_model_finds_accuracies():
+@pytest.mark.parametrize("share, missing", [(0.5, 0.0), (0.8, 0.3)])
+def test_label_model_finds_accuracies(share, missing):
+    """With the production defaults, a labeller worse than chance among them."""
     rng = np.random.default_rng(4)
-    n, k = 20_000, len(weaklabels.LABELLERS)
-    truth = rng.random(n) < 0.5
-    skill = np.linspace(0.65, 0.95, k)
-    votes = np.where(rng.random((n, k)) < skill, truth[:, None], ~truth[:, None]).astype(int)
-    votes[rng.random((n, k)) < 0.3] = 2
+    n, skill = 20_000, np.array([0.95, 0.9, 0.85, 0.8, 0.7, 0.6, 0.3, 0.55, 0.9])
+    truth = rng.random(n) < share
+    votes = np.where(rng.random((n, len(skill))) < skill, truth[:, None], ~truth[:, None]).astype(int)
+    votes[rng.random((n, len(skill))) < missing] = 2
     p, c = np.unique(weaklabels._pattern(votes), return_counts=True)
-    post, found = weaklabels.fit_labellers(p, c, trust=0.0)
-    assert np.abs(found - skill).max() < 0.03
-    guess = dict(zip(p.tolist(), post > 0.5, strict=True))
-    assert np.mean([guess[x] == t for x, t in zip(weaklabels._pattern(votes).tolist(), truth, strict=True)]) > 0.97
+    model = weaklabels.fit_labellers(p, c)
+    for found in (model.right_on_bad, model.right_on_good, model.accuracy):
+        assert np.abs(found - skill).max() < 0.04
+    assert abs(model.share - share) < 0.02
+    guess = dict(zip(p.tolist(), model.posterior > 0.5, strict=True))
+    assert np.mean([guess[x] == t for x, t in zip(weaklabels._pattern(votes).tolist(), truth, strict=True)]) > 0.96
+
+
+def test_label_model_matches_plain_em():
+    """One loop per document instead of arrays over patterns."""
+    rng = np.random.default_rng(8)
+    k, votes = len(weaklabels.LABELLERS), rng.choice([0, 1, 2], (60, len(weaklabels.LABELLERS)), p=[0.2, 0.6, 0.2])
+    a, b, share = [weaklabels.START_BAD] * k, [weaklabels.START_GOOD] * k, 0.5
+    for _ in range(500):
+        post = []
+        for v in votes:
+            good, bad = share, 1 - share
+            for j, x in enumerate(v):
+                good *= {0: 1 - b[j], 1: b[j], 2: 1}[x]
+                bad *= {0: a[j], 1: 1 - a[j], 2: 1}[x]
+            post.append(good / (good + bad))
+        w = weaklabels.PRIOR_VOTES
+        for j in range(k):
+            a[j] = (sum(1 - q for q, v in zip(post, votes, strict=True) if v[j] == 0) + w * weaklabels.START_BAD) / (sum(1 - q for q, v in zip(post, votes, strict=True) if v[j] != 2) + w)
+            b[j] = (sum(q for q, v in zip(post, votes, strict=True) if v[j] == 1) + w * weaklabels.START_GOOD) / (sum(q for q, v in zip(post, votes, strict=True) if v[j] != 2) + w)
+        share = (sum(post) + 1) / (len(post) + 2)
+    p, c = np.unique(weaklabels._pattern(votes), return_counts=True)
+    model = weaklabels.fit_labellers(p, c)
+    got = dict(zip(p.tolist(), model.posterior.tolist(), strict=True))
+    assert [got[x] for x in weaklabels._pattern(votes).tolist()] == pytest.approx(post, abs=1e-5)
+
+
+def test_scorer_matches_plain_adagrad():
+    rng = np.random.default_rng(5)
+    slots = [rng.choice(50, 6, replace=False) for _ in range(40)]
+    values = [rng.random(6) for _ in slots]
+    target, count = rng.random(40), rng.integers(1, 9, 40).astype(float)
+    got, bias = weaklabels.fit_scorer(slots, values, target, count, epochs=2)
+    w, g2, b, b2 = defaultdict(float), defaultdict(lambda: 1e-6), 0.0, 1e-6
+    c = count / count.mean()
+    share = (target * c).mean()
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for i in order.permutation(40):
+            z = sum(w[s] * v for s, v in zip(slots[i], values[i], strict=True)) + b
+            e = (1 / (1 + np.exp(-z)) - target[i]) * c[i] * (target[i] / (2 * share) + (1 - target[i]) / (2 * (1 - share)))
+            for s, v in zip(slots[i], values[i], strict=True):
+                g = e * v + 1e-6 * w[s]
+                g2[s] += g * g
+                w[s] -= 0.3 * g / np.sqrt(g2[s])
+            b2 += e * e
+            b -= 0.3 * e / np.sqrt(b2)
+    assert bias == pytest.approx(b) and all(got[s] == pytest.approx(x, abs=1e-5) for s, x in w.items())
+
+
+def test_scores_of_rows_match_a_plain_sum(spark):
+    """What a task computes over the bytes of a slice is the linear score of each text by itself."""
+    rng = np.random.default_rng(6)
+    w, bias = rng.normal(size=1 << weaklabels.BITS).astype(np.float32), 0.3
+    texts = ["", None, "ab", "abc", "Äh, 漢字 und mehr. " * 9, "a | b\n" * 30, "x" * 500]
+
+    class Shared:
+        value = (w, bias, {}, 0.5)
+
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    (out,) = weaklabels._score(Shared, ["text"])(iter([batch]))
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        stats = weaklabels.statistics(pa.array([t], pa.string()))
+        grams = [float(w[((raw[j] | raw[j + 1] << 8 | raw[j + 2] << 16) * 2654435761 % 2**32 >> 12) & (1 << weaklabels.BITS) - 1]) for j in range(len(raw) - 2)]
+        z = 4 * sum(grams) / max(len(raw) - 2, 1) + float(w[weaklabels._bins(stats)].sum()) + bias
+        assert out.column("score")[i].as_py() == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-6)
+
+
+def test_ftrl_matches_a_plain_version():
+    """Follow-the-regularised-leader with both penalties, one weight at a time."""
+    rng = np.random.default_rng(2)
+    rows = [(np.r_[np.sort(rng.choice(40, 5, replace=False)), 1 << langid.BITS], np.r_[rng.random(5) * 3, 1.0], int(rng.integers(3))) for _ in range(30)]
+    got = langid.fit_ftrl(rows, 3, epochs=2, batch=4)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.01
+    n, z = defaultdict(float), defaultdict(float)
+
+    def weight(i, c):
+        return 0.0 if abs(z[i, c]) <= l1 else -(z[i, c] - np.sign(z[i, c]) * l1) / ((beta + np.sqrt(n[i, c])) / alpha + l2)
+
+    order = np.random.default_rng(11)
+    for _ in range(2):
+        p = order.permutation(30)
+        for k in range(0, 30, 4):
+            part, g = [rows[j] for j in p[k : k + 4]], defaultdict(float)
+            for s, x, y in part:
+                e = np.exp([sum(weight(i, c) * v for i, v in zip(s, x, strict=True)) for c in range(3)])
+                for c in range(3):
+                    for i, v in zip(s, x, strict=True):
+                        g[i, c] += v * (e[c] / e.sum() - (c == y)) / len(part)
+            old = {key: weight(*key) for key in g}
+            for key, d in g.items():
+                sigma = (np.sqrt(n[key] + d * d) - np.sqrt(n[key])) / alpha
+                z[key] += d - sigma * old[key]
+                n[key] += d * d
+    assert all(got[i, c] == pytest.approx(weight(i, c), abs=1e-9) for i, c in n)
+    assert (got == 0).mean() > 0.99
+
+
+def test_temperature_is_the_best_of_a_fine_search():
+    rng = np.random.default_rng(3)
+    logits = rng.normal(size=(300, 4)) * 6
+    y = np.array([rng.choice(4, p=np.exp(v / 2.5) / np.exp(v / 2.5).sum()) for v in logits])
+    loss = lambda t: -np.mean([np.log(np.exp(v[k] / t) / np.exp(v / t).sum()) for v, k in zip(logits, y, strict=True)])
+    t = langid.fit_temperature(logits, y)
+    assert abs(t - 2.5) < 0.5 and loss(t) <= min(loss(x) for x in np.linspace(0.5, 10, 400)) + 1e-4
+
+
+def test_language_features_tell_symbols_of_all_planes_apart():
+    data, off = textkernel.text_bytes(pa.array(["漢", "字", "かな", "🙂"]))
+    found, at = langid.slots(data, off)
+    assert len(set(found[0].tolist())) == 5 and at.tolist() == [0, 1, 2, 4, 5]
 
 
 def test_language_id(spark, docs, rows, empty):
