@@ -490,6 +490,15 @@ def test_language_id_ignores_held_out_rows_and_null_languages(spark):
     assert {got[i] for i in held} <= {"aa", "xx"} and all(got[i] == lang for i, _, lang in rows) and got[1000] == "aa"
 
 
+def test_language_id_learns_rare_languages_among_copies(spark):
+    """A hot text and few rows of a language: both are learned."""
+    rng = random.Random(1)
+    rows = [(i, "la la lu le " * 20, "aa") for i in range(600)] + [(1000 + i, _prose(rng, 30), "bb") for i in range(600)] + [(5000 + i, " ".join(rng.choice(["xyz", "zyx", "qqu", "xqz"]) for _ in range(30)), "cc") for i in range(6)]
+    rows += [(9000, "zyx qqu xyz xqz zyx xyz", None)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_rows=60).collect()}
+    assert all(got[i] == lang for i, _, lang in rows if lang) and got[9000] == "cc"
+
+
 # op10
 
 
