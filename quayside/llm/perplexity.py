@@ -50,7 +50,7 @@ LEAST_SPREAD = 0.01
 #: Discount of each count where the counts show none: half of it.
 LEAST_DISCOUNT = 0.5
 #: Bytes of text in a lot.
-LOT_BYTES = 32 << 20
+LOT_BYTES = 8 << 20
 #: Distinct n-grams that a task holds before it hands them on.
 HELD_GRAMS = 2_000_000
 
