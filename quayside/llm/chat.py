@@ -1,16 +1,19 @@
 """Chat formatting with a grammar round trip.
 
 Turns are rendered with a template of control strings and read again by a
-deterministic parser.  Where the turns read differ from the source, the texts of
-these turns are escaped and the conversation is rendered again, until both are
-identical.  Escaping puts a backslash after the first character of a control
-string (and one more where backslashes already stand there), so it is undone
-exactly; a text without control strings is never changed.
+deterministic parser.  The first turn that is read differently from the source is
+escaped and the conversation is rendered again, until both are identical.  Escaping
+puts a backslash after the first character of each control string of a text (and one
+more where backslashes already stand there), so it is undone exactly.  A turn ends at
+the first closing string of its own role, so only texts that hold this string, or
+that look escaped, are ever changed.
 
 The loss mask is the span of every assistant text, markers left out.
 
 Rows: turns go by (turn, role, text); a null text or role is empty; repeated rows
-are turns of their own; a null id is a conversation like others.
+are turns of their own; a null id is a conversation like others; columns that the
+operator doesn't name are not read; an empty table gives an empty one.  A conversation
+is one value: all its turns meet in one task and its text must fit there (under 2 GB).
 """
 
 from __future__ import annotations
@@ -52,9 +55,9 @@ def render(turns: list[tuple[str, str]], escaped: set[int]) -> str:
     return "".join(out)
 
 
-def parse(formatted: str) -> list[tuple[str, str, int, int]] | None:
-    """(role, text, start, end of the rendered text) of each turn, or None if the grammar does not hold."""
-    at, turns = 0, []
+def read(formatted: str) -> Iterator[tuple[str, str, int, int]]:
+    """(role, text, start, end of the rendered text) of each turn, as far as the grammar holds."""
+    at = 0
     while at < len(formatted):
         for role, (begin, end) in MARKS.items():
             if formatted.startswith(begin, at):
@@ -63,20 +66,24 @@ def parse(formatted: str) -> list[tuple[str, str, int, int]] | None:
         else:
             close = formatted.find(OTHER[1], at)
             if not formatted.startswith(OTHER[0], at) or close < 0:
-                return None
+                return
             name, end, start = formatted[at + len(OTHER[0]) : close], OTHER[2], close + len(OTHER[1])
             if not _ROLE.match(name):
-                return None
+                return
             try:
                 role = bytes.fromhex(name[2:]).decode("utf-8") if name.startswith("0x") else name
             except ValueError:
-                return None
+                return
         stop = formatted.find(end, start)
         if stop < 0:
-            return None
-        turns.append((role, unescape(formatted[start:stop]), start, stop))
+            return
+        yield role, unescape(formatted[start:stop]), start, stop
         at = stop + len(end)
-    return turns
+
+
+def parse(formatted: str) -> list[tuple[str, str, int, int]]:
+    """All turns that ``read`` finds."""
+    return list(read(formatted))
 
 
 def format_conversation(turns: list[tuple[str, str]]) -> str:
@@ -84,15 +91,13 @@ def format_conversation(turns: list[tuple[str, str]]) -> str:
     escaped: set[int] = set()
     while True:
         formatted = render(turns, escaped)
-        back = [(t[0], t[1]) for t in parse(formatted) or []]
+        back = [(t[0], t[1]) for t in read(formatted)]
         if back == turns:
             return formatted
-        # the first turn read wrongly holds the conflict, or what is before it does
-        wrong = next((i for i, (a, b) in enumerate(zip(turns, back, strict=False)) if a != b), min(len(back), len(turns) - 1))
-        more = {i for i in range(wrong + 1) if i not in escaped and escape(turns[i][1]) != turns[i][1]} or {i for i in range(len(turns)) if i not in escaped}
-        if not more:
+        wrong = next((i for i, (a, b) in enumerate(zip(turns, back, strict=False)) if a != b), len(back))
+        if wrong in escaped or wrong >= len(turns):
             raise ValueError("a conversation can't be rendered")
-        escaped |= more
+        escaped.add(wrong)
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -95,7 +95,7 @@ ORACLES: dict[str, str] = {
   union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
  c as (select *, case role when 'user' then ' [/INST]' when 'assistant' then ' </s>' when 'system' then ' <</SYS>>' else ' [/ROLE]' end as stop,
   case role when 'user' then 18 when 'assistant' then 14 when 'system' then 20 else 19 + length(role) end as marks from t),
- f as (select *, length(text) + marks + case when contains(text, stop) then len(regexp_extract_all(text, '[<\[]\\*(/?s>|/?INST\]|OUT\]|</?SYS>>|/?ROLE\b)')) else 0 end as chars from c)
+ f as (select *, length(text) + marks + case when contains(text, stop) or regexp_matches(text, '[<\[]\\+(/?s>|/?INST\]|OUT\]|</?SYS>>|/?ROLE\b)') then len(regexp_extract_all(text, '[<\[]\\*(/?s>|/?INST\]|OUT\]|</?SYS>>|/?ROLE\b)')) else 0 end as chars from c)
  select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256, cast(sum(chars) as bigint) as formatted_chars from f group by conv_id""",

@@ -117,16 +117,42 @@ def test_neighbours_small_tables(spark):
 
 
 def test_neighbours_over_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 100)
-    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 3)
-    x = np.random.default_rng(3).standard_normal((450, 8))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {(r.query_id, r.rank): r.vec_id for r in neighbours.nearest(df, F.pmod("vec_id", F.lit(50)) == 0, k=3).collect()}
+    """Recall over 120 queries, blocks and query lots: vectors without structure, some near copies, repeated rows and ids."""
+    monkeypatch.setattr(neighbours, "BLOCK", 500)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 30)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((2400, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[1000:1040] = x[1000] + 0.01 * rng.standard_normal((40, 32))
+    ids = np.arange(2400)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(20, x[20].tolist()), (40, (x[40] + 0.05).tolist())]
+    x, ids = np.concatenate([x, x[[20]], x[[40]] + 0.05]), np.r_[ids, 20, 40]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, F.pmod("vec_id", F.lit(20)) == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert len(got) == 120 and len(got[40]) == 20 and all(len(v) == 10 for q, v in got.items() if q != 40)
+    assert got[20][0] == (20, 0.0)  # a repeated row is a candidate of the other
     hits = 0
-    for q in range(0, 450, 50):
-        d = ((x - x[q]) ** 2).sum(1)
-        hits += sum(got[q, r] == i for r, i in enumerate([i for i in np.argsort(d) if i != q][:3], 1))
-    assert len(got) == 27 and hits >= 25
+    for q in got:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        best = np.lexsort((ids, d))[:10]
+        hits += len({(int(ids[i]), round(float(d[i]), 9)) for i in best} & {(i, round(s, 9)) for i, s in got[q]})
+    assert hits >= 0.95 * 10 * len(got)
+
+
+def test_a_bound_loses_nothing_nearer(spark):
+    """Windows opened at the bound find what widening windows find within it."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((800, 16))
+    block = neighbours.Block(np.arange(800), x, rng.standard_normal((128, 16)))
+    near = 0
+    for q in rng.standard_normal((40, 16)):
+        ids, dist = block.search(q, None, 10, 118, np.inf, 0.5)
+        again, _ = block.search(q, None, 10, 118, float(dist[-1]), 0.5)
+        near += len(set(ids) & set(again))
+    assert near >= 0.95 * 400
 
 
 # op7
@@ -191,6 +217,31 @@ def test_escape_is_undone(text):
     assert chat.unescape(chat.escape(text)) == text
 
 
+def test_only_the_turn_in_conflict_is_escaped():
+    assert len(chat.format_conversation([("user", "say [INST] twice"), ("assistant", "a </s> b")])) == 57
+    assert len(chat.format_conversation([("user", "lit <\\/s> here")])) == 32 + 1
+    assert chat.format_conversation([("user", "a </s> [/INS b")]) == "<s>[INST] a </s> [/INS b [/INST]"
+
+
+def test_the_oracle_counts_escapes(spark):
+    """Texts that look escaped, closings of other roles, closings of their own: SQL and operator agree."""
+    import duckdb
+
+    from quayside.llm.queries import ORACLES
+
+    texts = ["say [INST] twice", "a </s> b", "lit <\\/s> here", "x [/INST] y [/INST]", " <</SYS>>", "<\\\\s> </s>", "[/ROLE] z [/ROLE]", "[ROLE a] [\\/ROLE]", None, ""]
+    rows = [(i, j, role, t) for i, role in enumerate(["user", "assistant", "system", "tool", None]) for j, t in enumerate(texts)] + [(10 + i, 0, "user", t) for i, t in enumerate(texts)]
+    said = "</s>[INST] ok [/INST]"
+    df = spark.createDataFrame([*rows, (-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    want = con.execute(ORACLES["op8_chat_formatting"]).fetchall()
+    columns = [c[0] for c in con.description]
+    got = [tuple(r[c] for c in columns) for r in chat.digest(chat.format_chats(df)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_plain_text_is_not_changed():
     turns = [("user", "hi [there] <b>\\</b>"), ("assistant", "ok")]
     assert chat.format_conversation(turns) == "<s>[INST] hi [there] <b>\\</b> [/INST]<s>[OUT] ok </s>"
