@@ -66,21 +66,48 @@ def terminal_of_equipment(telemetry: DataFrame) -> DataFrame:
     return telemetry.groupBy("equipment_id").agg(F.min("terminal_id").alias("terminal_id"))
 
 
-def _per_terminal(rows: DataFrame, telemetry: DataFrame) -> DataFrame:
-    return rows.drop("terminal_id").join(terminal_of_equipment(telemetry), "equipment_id")
+def telemetry_units(telemetry: DataFrame) -> DataFrame:
+    """Telemetry reduced to a row per equipment and terminal, from which periods and places follow."""
+    return telemetry.groupBy("equipment_id", "terminal_id").agg(
+        F.min("event_timestamp").alias("first"), F.max("event_timestamp").alias("last"), F.count("*").alias("n"), F.count_if("available").alias("available"), F.count_if(F.col("state") == "ACTIVE").alias("active")
+    )
+
+
+def _period(units: DataFrame, interval_minutes: int = INTERVAL_MINUTES) -> DataFrame:
+    """``telemetry_period`` from units."""
+    return units.groupBy("terminal_id").agg(
+        F.min("first").alias("source_period_start"),
+        F.max("last").alias("source_period_end"),
+        F.sum("n").alias("scheduled_intervals"),
+        F.sum("available").alias("available_intervals"),
+        F.sum("active").alias("active_intervals"),
+        (F.sum("available") * interval_minutes).alias("available_time_minutes"),
+    )
+
+
+def _placed(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """Rows with the terminal of their equipment and its period; the small side has a row per equipment."""
+    places = units.groupBy("equipment_id").agg(F.min("terminal_id").alias("terminal_id")).join(_period(units).select("terminal_id", "source_period_start", "source_period_end"), "terminal_id")
+    return rows.drop("terminal_id").join(places, "equipment_id")
 
 
 def incident_metrics(incidents: DataFrame, telemetry: DataFrame, attribution: Attribution = "reference") -> DataFrame:
-    """Repairs, failures and active incidents per terminal.
+    """Repairs, failures and active incidents per terminal that has incidents.
 
     "reference" gives every incident to one fixed terminal; "equipment" follows
     the equipment's terminal.
     """
-    period = telemetry_period(telemetry).select("terminal_id", "source_period_end")
+    return _incidents(incidents, telemetry_units(telemetry), attribution)
+
+
+def _incidents(incidents: DataFrame, units: DataFrame, attribution: Attribution) -> DataFrame:
+    rows = incidents.select("equipment_id", "severity", "status", "opened_at", "resolved_at")
     if attribution == "reference":
-        rows = incidents.drop("terminal_id").withColumn("terminal_id", F.lit(DEFAULT_TERMINAL)).join(period, "terminal_id")
+        # one value, so no join: incidents stay where they are and only their sums move
+        period = _period(units.where(F.col("terminal_id") == DEFAULT_TERMINAL)).select(F.struct("terminal_id", "source_period_end")).scalar()
+        rows = rows.withColumn("period", period).select("*", "period.*").where("terminal_id is not null")
     else:
-        rows = _per_terminal(incidents, telemetry).join(period, "terminal_id")
+        rows = _placed(rows, units)
     return rows.groupBy("terminal_id").agg(*_incident_sums())
 
 
@@ -96,47 +123,45 @@ def _incident_sums() -> list[Column]:
 
 
 def alarm_metrics(alarms: DataFrame, telemetry: DataFrame, attribution: Attribution = "reference") -> DataFrame:
-    """Critical alarms opened inside a terminal's period.
+    """Critical alarms opened inside a terminal's period, for every terminal that reported.
 
-    "reference" tests every alarm against every terminal's period.  Only
-    critical alarms matter and only their times, so they are first counted by
-    time, and each period meets times rather than alarms.
+    "reference" tests every alarm against every terminal's period.
     """
-    period = telemetry_period(telemetry).select("terminal_id", "source_period_start", "source_period_end")
-    critical = alarms.where(F.col("severity") == "CRITICAL")
-    inside = F.col("opened_at").between(F.col("source_period_start"), F.col("source_period_end"))
-    if attribution == "reference":
-        times = critical.groupBy("opened_at").agg(F.count("*").alias("n"))
-        hit = times.join(period, inside).groupBy("terminal_id").agg(F.sum("n").alias("critical_alarms"))
-    else:
-        hit = _per_terminal(critical, telemetry).join(period, "terminal_id").where(inside).groupBy("terminal_id").agg(F.count("*").alias("critical_alarms"))
-    return period.select("terminal_id").join(hit, "terminal_id", "left").select("terminal_id", F.coalesce("critical_alarms", F.lit(0)).alias("critical_alarms"))
+    units = telemetry_units(telemetry)
+    hit = _critical_alarms(alarms, units, attribution)
+    return _period(units).select("terminal_id").join(hit, "terminal_id", "left").select("terminal_id", F.coalesce("critical_alarms", F.lit(0)).alias("critical_alarms"))
 
 
-def _carried(rows: DataFrame, base: DataFrame, sums: list[Column]) -> DataFrame:
-    """Sums per terminal, with the columns of its one row in ``base``."""
-    return rows.groupBy("terminal_id").agg(*[F.first(c).alias(c) for c in base.columns if c != "terminal_id"], *sums)
+def _critical_alarms(alarms: DataFrame, units: DataFrame, attribution: Attribution) -> DataFrame:
+    critical = alarms.where(F.col("severity") == "CRITICAL").select("equipment_id", "opened_at")
+    inside = F.col("opened_at").between(F.col("source_period_start"), F.col("source_period_end"))
+    if attribution == "equipment":
+        return _placed(critical, units).where(inside).groupBy("terminal_id").agg(F.count("*").alias("critical_alarms"))
+    # hours that lie inside a period take the hour's count; only alarms of a period's first and last hour are looked at one by one
+    hour = lambda c: F.date_trunc("hour", c)
+    period = _period(units).select("terminal_id", "source_period_start", "source_period_end", hour("source_period_start").alias("begin"), hour("source_period_end").alias("end"))
+    step = F.expr("interval 1 hour")
+    between = F.when(F.col("begin") + step < F.col("end"), F.sequence(F.col("begin") + step, F.col("end") - step, step))
+    by_hour = critical.groupBy(hour("opened_at").alias("hour")).agg(F.count("*").alias("n"))
+    whole = period.select("terminal_id", F.explode(between).alias("hour")).join(by_hour, "hour").select("terminal_id", "n")
+    edges = period.select("terminal_id", "source_period_start", "source_period_end", F.explode(F.array_distinct(F.array("begin", "end"))).alias("hour"))
+    part = edges.join(critical.select("opened_at", hour("opened_at").alias("hour")), "hour").where(inside).groupBy("terminal_id").agg(F.count("*").alias("n"))
+    return whole.unionByName(part).groupBy("terminal_id").agg(F.sum("n").alias("critical_alarms"))
 
 
 def overview_kpis(telemetry: DataFrame, movements: DataFrame, incidents: DataFrame, alarms: DataFrame, attribution: Attribution = "reference", pairing: Pairing = "minmax") -> DataFrame:
-    """All KPIs, one row per terminal that reported; a ratio without a denominator is null."""
-    # telemetry is read once: each step adds sums to the one row of a terminal and carries it on
-    base = telemetry_period(telemetry).join(movement_metrics(movement_pairs(movements, pairing)), "terminal_id", "left").withColumn("throughput", F.coalesce("throughput", F.lit(0)))
-    if attribution == "reference":
-        own = incidents.drop("terminal_id").withColumn("terminal_id", F.lit(DEFAULT_TERMINAL))
-    else:
-        own = _per_terminal(incidents, telemetry)
-    base = _carried(own.select("terminal_id", "severity", "status", "opened_at", "resolved_at").join(base, "terminal_id", "right"), base, _incident_sums())
-    critical = alarms.where(F.col("severity") == "CRITICAL").select("equipment_id", "opened_at")
-    inside = F.col("opened_at").between(F.col("source_period_start"), F.col("source_period_end"))
-    if attribution == "reference":
-        # a time of no alarm keeps terminals whose period holds none
-        times = critical.groupBy("opened_at").agg(F.count("*").alias("n"))
-        times = times.unionByName(times.sparkSession.range(1).select(F.lit(None).cast(times.schema["opened_at"].dataType).alias("opened_at"), F.lit(0).cast("long").alias("n")))
-        met = times.join(base, inside | F.col("opened_at").isNull())
-        joined = _carried(met, base, [F.sum("n").alias("critical_alarms")])
-    else:
-        joined = _carried(_per_terminal(critical, telemetry).join(base, "terminal_id", "right"), base, [F.count_if(inside).alias("critical_alarms")])
+    """All KPIs, one row per terminal that reported; a ratio without a denominator is null.
+
+    Telemetry is reduced once to a row per equipment and terminal (its shuffle is
+    reused); incidents, alarms and movements are summed per terminal before they meet
+    the few rows of the periods.
+    """
+    units = telemetry_units(telemetry)
+    joined = _period(units)
+    for part in (movement_metrics(movement_pairs(movements, pairing)), _incidents(incidents, units, attribution), _critical_alarms(alarms, units, attribution)):
+        joined = joined.join(part, "terminal_id", "left")
+    zero = {c: F.lit(0) for c in ("throughput", "resolved_incident_count", "qualifying_failure_count", "active_incidents", "critical_alarms")} | {"repair_minutes": F.lit(0.0)}
+    joined = joined.withColumns({c: F.coalesce(c, z) for c, z in zero.items()})
     hours = F.col("scheduled_intervals") * F.lit(5.0) / F.lit(60.0)
     return joined.withColumns(
         {

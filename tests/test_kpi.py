@@ -1,5 +1,8 @@
+from datetime import datetime
+
 import pytest
 
+from quayside import adapters
 from quayside.operators import documents, kpi, verify
 from quayside.schemas import KPI_COLUMNS
 from quayside.sources import generators
@@ -59,3 +62,25 @@ def test_compare(spark):
     assert verify.compare(f, f.withColumn("state", f.event_id)) == "result_hash_mismatch"
     assert verify.compare(f, f.drop("state")) == "schema_mismatch"
     assert verify.result_hash(f) == verify.result_hash(f.orderBy("state"))
+
+
+@pytest.mark.parametrize("attribution", ["reference", "equipment"])
+def test_no_join_broadcasts_incidents_or_alarms(spark, attribution):
+    """Joins have equal keys, and incidents and alarms are never the built side of one."""
+    sf = "/root/testdata/sf0.001"
+    read = (adapters.telemetry, adapters.movements, adapters.incidents, adapters.alarms)
+    df = kpi.overview_kpis(*(f(spark, sf) for f in read), attribution=attribution)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_alarms_at_the_ends_of_a_period(spark):
+    """Whole hours are counted by the hour, the first and last hour one by one, both ends included."""
+    at = lambda h, m: datetime(2024, 1, 1, h, m)
+    telemetry = [("TM-001", "QC-001", at(1, 30)), ("TM-001", "QC-001", at(5, 10)), ("TM-002", "QC-002", at(3, 15)), ("TM-002", "QC-002", at(3, 45)), ("TM-003", "QC-003", at(2, 50)), ("TM-003", "QC-003", at(3, 5))]
+    opened = [at(h, m) for h in range(7) for m in (0, 5, 10, 15, 29, 30, 45, 50, 59)]
+    t = spark.createDataFrame([(*r, "ACTIVE", True) for r in telemetry], "terminal_id string, equipment_id string, event_timestamp timestamp, state string, available boolean")
+    a = spark.createDataFrame([("QC-001", "CRITICAL", o) for o in opened] * 2 + [("QC-001", "INFO", at(4, 0)), ("QC-001", "CRITICAL", None)], "equipment_id string, severity string, opened_at timestamp")
+    got = {r.terminal_id: r.critical_alarms for r in kpi.alarm_metrics(a, t).collect()}
+    ends = {"TM-001": (at(1, 30), at(5, 10)), "TM-002": (at(3, 15), at(3, 45)), "TM-003": (at(2, 50), at(3, 5))}
+    assert got == {k: 2 * sum(s <= o <= e for o in opened) for k, (s, e) in ends.items()}
