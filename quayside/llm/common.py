@@ -31,12 +31,30 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quayside-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it again, which cuts the lineage."""
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, lengthened until no column of ``df`` has that name."""
+    held = {c.lower() for c in df.columns}
+    while base.lower() in held:
+        base += "_"
+    return base
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark, to = df.sparkSession, scratch_dir(df.sparkSession)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(to)
-    return spark.read.schema(schema).parquet(to)
+    return spark.read.schema(schema).parquet(to), to
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Writes a table to the shared folder and reads it again, which cuts the lineage."""
+    return _written(df)[0]
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Removes a scratch table that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def task_count(df: DataFrame, column: str, per_task: int = TASK_BYTES) -> int:
@@ -45,23 +63,25 @@ def task_count(df: DataFrame, column: str, per_task: int = TASK_BYTES) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // per_task + 1)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list as (node, component), component the least node.
 
     Each round gives every node the least label among its neighbours and then
     jumps along labels, so chains shrink by more than half in a round.  Rounds
-    are written tables in the shared folder; only their change count reaches the
-    driver.  A node without an edge has no row.
+    are written tables in the shared folder, of which the last one stays; only their
+    change count reaches the driver.  A node without an edge has no row.
     """
+    spark = edges.sparkSession
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("other")))
-    both = materialise(both.where("node != other").distinct())
-    labels = materialise(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component")))
-    for _ in range(limit):
+    both, edge_table = _written(both.where("node != other").distinct())
+    labels, label_table = _written(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component")))
+    while True:
         near = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
         step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("now"))
         jump = labels.select(F.col("node").alias("now"), F.col("component").alias("far"))
-        after = materialise(step.join(jump, "now", "left").select("node", "was", F.least("now", F.coalesce("far", "now")).alias("component")))
-        labels = after.select("node", "component")
+        after, table = _written(step.join(jump, "now", "left").select("node", "was", F.least("now", F.coalesce("far", "now")).alias("component")))
+        discard(spark, label_table)
+        labels, label_table = after.select("node", "component"), table
         if after.where("was != component").isEmpty():
+            discard(spark, edge_table)
             return labels
-    raise RuntimeError(f"components did not settle in {limit} rounds")

@@ -17,12 +17,17 @@ words lower-cased in A-Z).  Equal sets are one record.  Two records link when
    (the record with the largest shared part).  Records that reach one component
    need no pair among them, and with both distances to one hub known the
    symmetric difference of two records is at least their difference, which
-   decides most other pairs unread.  Every pair left is verified on its texts;
-   long lists do so block against block, without a row per pair.
+   decides most other pairs unread.  Every pair left is verified on its texts.
+5. A list that still has more than ``SHORT_LIST`` records of different components
+   leaves this path: its records are compared block against block, sizes apart by more
+   than a band skipped, as matrix products over the shingles that two of them share.
+   This is exact, and quadratic in the records of such a list.
 
 Rows: a null or empty text has no shingle and no link; fewer than ``k`` words
 are one shingle; rows that repeat a doc_id are told apart by their text and a
-component's id is the least doc_id in it.
+component's id is the least doc_id in it; a very long text is one row of a task, about
+60 times its bytes in memory; columns that the operator doesn't name are not read; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import components, materialise, task_count
+from .common import components, free_name, materialise, task_count
 
 #: Share of the hash range that the first space posts.  It must exceed the share
 #: of a set that a partner may miss (a quarter at 75 percent).
@@ -49,7 +54,9 @@ _POST = np.dtype([("part", "<u4"), ("record", "<i8")])
 _SHARED = np.dtype([("record", "<i8"), ("df", "<i4"), ("token", "<i8")])
 #: A list of at most this many open records is compared pair by pair, a longer one in blocks.
 SHORT_LIST = 48
+#: Records of a block, and about how many shingles.
 BLOCK = 384
+BLOCK_SHINGLES = 1 << 20
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -79,17 +86,27 @@ def _missing(s: int, percent: int) -> int:
     return s - -(-percent * s // 100)
 
 
-def _spaces(x: np.ndarray, percent: int) -> list[np.ndarray]:
+def _tokens(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The distinct tokens of shingle hashes: a bucket and 32 bits.
+
+    Shingles of a set that share a token are one posted token, and are counted as one
+    wherever tokens are counted: a set misses at most as many of a partner's tokens as
+    of its shingles, so the bounds hold.
+    """
+    return np.unique((((h >> np.uint64(40)) % np.uint64(buckets)) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)).astype(np.int64))
+
+
+def _spaces(x: np.ndarray, percent: int, buckets: int) -> list[np.ndarray]:
     """The tokens that a set posts: of the range and, if these may all be missing in a partner, all."""
-    near = K.mix(x[x < np.uint64(int(RANGE * 2**64))])
-    return [near] if len(x) > SMALL and len(near) > _missing(len(x), percent) else [near, K.mix(x ^ _SALT)]
+    near = _tokens(K.mix(x[x < np.uint64(int(RANGE * 2**64))]), buckets)
+    return [near] if len(x) > SMALL and len(near) > _missing(len(x), percent) else [near, _tokens(K.mix(x ^ _SALT), buckets)]
 
 
-def _describe(k: int, percent: int):
+def _describe(k: int, percent: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in K.slices(batches):
             sets = shingle_sets(part.column("text"), k)
-            spaces = [_spaces(x, percent) if len(x) else [] for x in sets]
+            spaces = [_spaces(x, percent, buckets) if len(x) else [] for x in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("row"),
@@ -115,13 +132,13 @@ def _post(k: int, percent: int, buckets: int, remember: int = 200_000):
                 if len(seen) >= remember:
                     seen.clear()
                 seen.add(name)
-                for space, y in enumerate(_spaces(x, percent)):
+                for space, y in enumerate(_spaces(x, percent, buckets)):
                     tokens.append(y)
                     records.append(np.full(len(y), name | space, np.int64))
             if not tokens:
                 continue
             token, record = np.concatenate(tokens), np.concatenate(records)
-            bucket = ((token >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+            bucket = (token >> 32).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             bucket, post = bucket[order], np.zeros(len(order), _POST)
             post["part"], post["record"] = token[order].astype(np.uint32), record[order]
@@ -229,12 +246,12 @@ def _compare_blocks(k: int, percent: int):
         token, of = slot[token[use]], of[use]
         left = np.flatnonzero(part["side"].to_numpy() == 0)
         right = np.flatnonzero(part["side"].to_numpy() == 1) if (part["side"] == 1).any() else left
-        both = np.zeros((len(left), len(right)), np.float32)
+        both = np.zeros((len(left), len(right)), np.int64)
         for a in range(0, int(token.max(initial=-1)) + 1, 4096):
             own = (token >= a) & (token < a + 4096)
             dense = np.zeros((len(sets), 4096), np.float32)
             dense[of[own], token[own] - a] = 1
-            both += dense[left] @ dense[right].T
+            both += (dense[left] @ dense[right].T).astype(np.int64)  # at most 4096 each, exact
         c, node = part["c"].to_numpy(), part["node"].to_numpy()
         total = sizes[left][:, None] + sizes[right][None, :] - both
         i, j = np.nonzero((100 * both >= percent * total) & (c[left][:, None] != c[right][None, :]))
@@ -279,23 +296,28 @@ def _verify(k: int, percent: int):
 def _long_lists(lists: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links among the open records of long lists, (a, b).
 
-    Records that long lists connect are laid in blocks by component; two blocks
-    meet in one task, unless both lie in one component, and give their shared
+    Records that long lists connect are dealt to blocks of bounded number and total
+    size, by cluster and band of set sizes.  Two blocks of the same or of neighbouring
+    bands meet in one task, unless both lie in one component, and give their shared
     counts as one matrix product: no pair becomes a row.
     """
     heads = lists.groupBy("token").agg(F.min("node").alias("head"))
     clusters = components(lists.join(heads, "token").select("head", "node").distinct(), "head", "node").withColumnRenamed("component", "cluster")
-    nodes = lists.select("node", "c").distinct().join(clusters, "node")
-    placed = nodes.withColumn("block", F.floor((F.row_number().over(W.partitionBy("cluster").orderBy("c", "node")) - 1) / BLOCK).cast("int"))
-    placed = materialise(placed)
-    blocks = placed.groupBy("cluster", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    meet = x.join(y, "cluster").where("x.block <= y.block and not (x.lo = x.hi and y.lo = y.hi and x.lo = y.lo)").select("cluster", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
-    sides = F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side")))
+    nodes = lists.select("node", "c", "band", "size").distinct().join(clusters, "node")
+    shares = nodes.groupBy("cluster", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
+    placed = nodes.join(materialise(shares), ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    placed = materialise(placed.select("cluster", F.col("band"), "block", "node", "c"))
+    blocks = placed.groupBy("cluster", "band", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    x = blocks.select("*", F.explode(F.array("band", F.col("band") + 1)).alias("near")).alias("x")
+    meet = x.join(blocks.alias("y"), (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.near") == F.col("y.band")))
+    meet = meet.where("(x.band < y.band or x.block <= y.block) and not (x.lo = x.hi and y.lo = y.hi and x.lo = y.lo)")
+    ends = [F.struct(F.col(f"{s}.band").alias("band"), F.col(f"{s}.block").alias("block")) for s in ("x", "y")]
+    meet = meet.select(F.col("x.cluster").alias("cluster"), ends[0].alias("i"), ends[1].alias("j"))
+    sides = F.array(F.struct("i.*", F.lit(0).alias("side")), F.struct("j.*", F.lit(1).alias("side")))
     sides = F.when(F.col("i") == F.col("j"), F.slice(sides, 1, 1)).otherwise(sides)
-    dealt = meet.select("cluster", "i", "j", F.explode(sides).alias("s")).select("cluster", "i", "j", "s.block", "s.side")
-    rows = dealt.join(placed, ["cluster", "block"]).join(texts.withColumnRenamed("record", "node"), "node")
-    return materialise(rows.groupBy("cluster", "i", "j").applyInPandas(_compare_blocks(k, percent), "a long, b long"))
+    dealt = meet.select("cluster", "i", "j", F.explode(sides).alias("s")).select("cluster", F.xxhash64("i", "j").alias("pair"), "s.band", "s.block", "s.side")
+    rows = dealt.join(placed, ["cluster", "band", "block"]).join(texts.withColumnRenamed("record", "node"), "node")
+    return materialise(rows.groupBy("cluster", "pair").applyInPandas(_compare_blocks(k, percent), "a long, b long"))
 
 
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, with_rows: bool = False) -> DataFrame:
@@ -307,17 +329,17 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     if not 100 * (1 - RANGE) < percent <= 100:
         raise ValueError(f"percent must be over {100 * (1 - RANGE):.0f} and at most 100")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("long"), text).alias("row"))
-    sets = materialise(rows.mapInArrow(_describe(k, percent), "row long, doc_id long, n_shingles long, record long, posted array<int>"))
     buckets = task_count(rows, "text")
+    sets = materialise(rows.mapInArrow(_describe(k, percent, buckets), "row long, doc_id long, n_shingles long, record long, posted array<int>"))
 
     records = sets.where("record is not null").groupBy("record").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.first("n_shingles").cast("int").alias("size"), F.first("posted").alias("posted"))
     records = materialise(records)
     spaces = records.select("size", F.posexplode("posted").alias("space", "n"), "record").select((F.col("record") + F.col("space")).alias("record"), "size", "n")
 
     posts = rows.select("text").mapInArrow(_post(k, percent, buckets), "bucket int, payload binary")
-    shared = posts.repartition(buckets, "bucket").mapInArrow(_shared(buckets), "lot int, payload binary")
+    shared = posts.repartitionById(buckets, "bucket").mapInArrow(_shared(buckets), "lot int, payload binary")
     known = spaces.mapInArrow(_spaces_by_lot(buckets), "lot int, record long, size int, n int")
-    lots = shared.unionByName(known, allowMissingColumns=True).repartition(buckets, "lot")
+    lots = shared.unionByName(known, allowMissingColumns=True).repartitionById(buckets, "lot")
     lists = lots.mapInArrow(_prefixes(percent), "token long, record long, size int, n int, place int, alone float")
     # the two spaces of a set are one node; sizes a factor of 100 / percent apart never share a block or its neighbour
     band = F.floor(F.log("size") / F.log(F.lit(100 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("size")
@@ -378,6 +400,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """The row of least doc_id of each component, all columns; repeated rows are one, a row without an id comes last."""
     groups = similar_components(docs, doc_id, text, k, percent, with_rows=True)
+    name = free_name(docs, "row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    firsts = groups.groupBy(F.coalesce("group", "row").alias("key")).agg(first).select(F.col("first.row").alias("_row"))
-    return docs.withColumn("_row", F.xxhash64(F.col(doc_id).cast("long"), text)).join(firsts, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    firsts = groups.groupBy(F.coalesce("group", "row").alias("key")).agg(first).select(F.col("first.row").alias(name))
+    return docs.withColumn(name, F.xxhash64(F.col(doc_id).cast("long"), text)).join(firsts, name, "left_semi").dropDuplicates([name]).drop(name)

@@ -182,6 +182,23 @@ def test_jaccard(docs, rows, monkeypatch, short, block):
     assert got == components(rows)
 
 
+def test_jaccard_with_few_token_bits(spark, monkeypatch):
+    """Shingles of one set that share a token lose no link, however often that happens."""
+    plain = jaccard._tokens
+    monkeypatch.setattr(jaccard, "_tokens", lambda h, buckets: np.unique(plain(h, buckets) & ((0x7FFF << 32) | 0x1F)))
+    rng = random.Random(4)
+    rows = []
+    for i in range(12):
+        base = _prose(rng, rng.choice([8, 30, 150, 400]), 10**6).split(" ")
+        for j in range(4):
+            copy = list(base)
+            for _ in range(max(1, len(base) // 40)):
+                copy[rng.randrange(len(base))] = f"x{rng.randrange(10**6)}"
+            rows.append((10 * i + j, " ".join(copy)))
+    got = Counter(tuple(r) for r in jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == components(rows)
+
+
 def test_jaccard_chain_over_hubs(spark):
     """Near copies that link with few others: components are chains, not stars."""
     rng = random.Random(9)
@@ -588,5 +605,9 @@ def test_one_of_each(spark):
     rng = random.Random(8)
     a, b = _prose(rng, 80, 10**6), _prose(rng, 80, 10**6)
     rows = [(5, a), (3, a + " x"), (3, b), (None, b), (None, "only here"), (9, None), (9, None), (7, ""), (4, "q r"), (4, "q r")]
-    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clash = jaccard.one_of_each(df.selectExpr("*", "1 as row", "2 as _row", "3 as `group`"))
+    assert clash.columns == ["doc_id", "text", "row", "_row", "group"]
+    assert Counter(tuple(r)[:2] for r in clash.collect()) == Counter(map(tuple, jaccard.one_of_each(df).collect()))
+    got = jaccard.one_of_each(df).collect()
     assert Counter(map(tuple, got)) == Counter([(3, a + " x"), (3, b), (None, "only here"), (9, None), (7, ""), (4, "q r")])
