@@ -1,8 +1,10 @@
 """A training-corpus pipeline over ``documents``: filter, deduplicate, pack.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of ``documents``.  ``run`` writes each stage to the shared
-folder as Parquet and reads it again for the next.
+return the columns of ``documents``, and further columns of ``docs``, whatever their
+names, go along.  ``run`` writes each stage to the shared folder as Parquet and reads it
+again for the next.  An empty table stays empty in every stage; a text is always taken
+whole, and one row must fit a task at about 60 times its bytes.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import materialise, table
+from quayside.llm.common import free_name, materialise, table
 from quayside.llm.jaccard import one_of_each
 from quayside.llm.packing import pack
 from quayside.llm.perplexity import quality_rules
@@ -18,35 +20,55 @@ from quayside.llm.substrings import remove_repeats
 from quayside.llm.weaklabels import keep_good
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows whose verdict is kept; a hash of (doc_id, text) tells rows apart that repeat a doc_id."""
-    good = verdicts.where("kept").select(F.col("row").alias("_row")).distinct()
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(good, "_row", "left_semi").drop("_row")
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label classifier keeps."""
+    """Documents that the weak-label classifier keeps.
+
+    A null text is judged like an empty one; rows that repeat each other share a verdict;
+    a score just at the threshold stays.
+    """
     return keep_good(docs)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie in their language's perplexity band."""
-    return _kept(docs, quality_rules(docs))
+    """Documents that pass the base rules and lie in their language's perplexity band.
+
+    A null or empty text fails the base rules; a null language is a language of its own;
+    rows that repeat each other share a verdict; the band's ends belong to it.
+    """
+    name = free_name(docs, "row")
+    # a hash of (doc_id, text) tells rows apart that repeat a doc_id
+    good = quality_rules(docs).where("kept").select(F.col("row").alias(name)).distinct()
+    return docs.withColumn(name, F.xxhash64("doc_id", "text")).join(good, name, "left_semi").drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the least doc_id."""
+    """One document of each group of near copies: that with the least doc_id.
+
+    Null and empty texts are groups of their own; rows that repeat doc_id and text are
+    one; a null doc_id is larger than any.
+    """
     return one_of_each(docs, k=5, percent=75)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that repeat; a document of which nothing is left goes."""
-    cut = remove_repeats(docs, window=35, keep=[c for c in docs.columns if c not in ("text", "n_chars")], layout=True)
-    return cut.where("n_words > n_removed").withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Texts without the passages that repeat; a document of which nothing is left goes.
+
+    So do null and empty texts.  All copies of a passage go, also those in repeated rows.
+    """
+    own = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    text = docs.columns.index("text")
+    carried = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in own.items()])
+    cut = remove_repeats(carried, text=f"c{text}", keep=[n for n, c in own.items() if c not in ("text", "n_chars")], window=35, layout=True)
+    cut = cut.where("n_words > n_removed")
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return cut.select(*[new.get(c, F.col(n)).alias(c) for n, c in own.items()])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token windows of the documents left, one row per piece."""
+    """Token windows of the documents left, one row per piece.
+
+    A null or empty text is its end token; rows that repeat each other are packed each.
+    """
     return pack(docs, capacity=2048, end_id=1)
 
 
