@@ -1,33 +1,48 @@
 """WARC archives of pages, and their merged capture index.
 
 Writing is a Spark text write whose line ends are the ends of WARC records, so
-part files are whole archives and the committer makes retries safe.  Payloads
-seen before become revisit records that refer to one response.
+part files are whole archives and the committer makes retries safe.  Pages are dealt
+to archives of about ``ARCHIVE_BYTES`` before compression.  Payloads seen before become
+revisit records that refer to one response.
 
-Reading parses the archives and indexes them by external merge: each archive
-yields a run of captures sorted by (URL key, time, id); ranges of the key space
-are dealt to tasks, and a loser tree merges the runs of a range, so the ranges
-in order are the capture history of every URL in global order.
+Reading unpacks the archives as streams, a record at a time, and indexes them by
+external merge: each archive yields a run of captures sorted by (URL key, time, id);
+Spark deals ranges of the key space, about ``RANGE_ROWS`` captures each, and a loser
+tree merges the runs of a range, so the ranges in order are the capture history of
+every URL in global order.
+
+An archive is one gzip stream: offsets in the index are those of the unpacked archive,
+since a text write can't start a gzip member at each record.
 
 Rows: a null payload is empty; a null URL becomes ``urn:page:<id>``; a payload
-under ``least`` bytes is always a response; repeated rows are records of their
-own.
+under ``least`` bytes is always a response; a page without an id is always a response
+and never referred to; repeated rows are records of their own; a very long payload is
+one record, which a task holds a few times; columns that the operator doesn't name are
+not read; an empty table gives an empty index.
 """
 
 from __future__ import annotations
 
-import base64
+import gzip
+import hashlib
+import io
+import itertools
 import re
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import urlsplit
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_dir
+from .common import materialise, scratch_dir, task_count
+
+#: Bytes of payload in an archive, and captures of a key range.
+ARCHIVE_BYTES = 32 << 20
+RANGE_ROWS = 20_000
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "url_key string, ts string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, record_offset long, archive string"
@@ -35,7 +50,7 @@ INDEX = "url_key string, ts string, page_id long, url string, record_type string
 
 def decide(pages: DataFrame, least: int = 1000) -> DataFrame:
     """(page_id, digest, refers_to) of each distinct page and payload; ``refers_to`` is null for responses."""
-    ids = pages.select("page_id", F.sha1(F.encode("html", "utf-8")).alias("digest"), F.octet_length("html").alias("size")).distinct()
+    ids = pages.select("page_id", F.sha1(F.encode("html", "utf-8")).alias("digest"), F.octet_length("html").alias("size")).where("page_id is not null").distinct()
     ids = materialise(ids)
     # partial aggregation meets a payload that fills a third of all pages; only payloads found twice go on
     groups = ids.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1")
@@ -46,11 +61,12 @@ def decide(pages: DataFrame, least: int = 1000) -> DataFrame:
     return out.select("page_id", "digest", F.when(F.col("response") != F.col("page_id"), F.col("response")).alias("refers_to"))
 
 
-def records(pages: DataFrame, decisions: DataFrame, time: Column) -> DataFrame:
-    """One WARC record per page as a string, without the two line ends that close it."""
-    urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
-    rows = pages.withColumn("digest", F.sha1(F.encode("html", "utf-8"))).join(decisions, ["page_id", "digest"])
-    safe = F.regexp_replace(F.coalesce("url", F.concat(F.lit("urn:page:"), F.col("page_id").cast("string"))), r"[\r\n\s]", "%20")
+def records(pages: DataFrame, decisions: DataFrame, time: Column, archives: int) -> DataFrame:
+    """One WARC record per page as a string, without the two line ends that close it, dealt over ``archives`` partitions."""
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
+    urn = lambda c: F.concat(F.lit("<urn:page:"), name(c), F.lit(">"))
+    rows = pages.withColumn("digest", F.sha1(F.encode("html", "utf-8"))).repartition(archives, "page_id", "digest").join(decisions, ["page_id", "digest"], "left")
+    safe = F.regexp_replace(F.coalesce("url", F.concat(F.lit("urn:page:"), name(F.col("page_id")))), r"[\r\n\s]", "%20")
     payload = F.when(F.col("refers_to").isNull(), F.col("html")).otherwise("")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit("\r\n\r\n"))
     head = F.concat(
@@ -68,12 +84,11 @@ def records(pages: DataFrame, decisions: DataFrame, time: Column) -> DataFrame:
     return rows.select(F.concat(head, http, payload).alias("record"))
 
 
-def write(pages: DataFrame, to: str, least: int = 1000, per_archive: int = 4000) -> None:
-    """Writes gzip WARC files of at most ``per_archive`` records under ``to``; pages are (page_id, url, html)."""
+def write(pages: DataFrame, to: str, least: int = 1000, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes gzip WARC files of about ``archive_bytes`` of payload under ``to``; pages are (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     time = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(31_536_000)))
-    pages = pages.withColumn("page_id", F.coalesce("page_id", F.lit(-1).cast("long")))
-    records(pages, decide(pages, least), time).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_archive).text(to)
+    records(pages, decide(pages, least), time, task_count(pages, "html", archive_bytes)).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(to)
 
 
 def url_key(url: str) -> str:
@@ -89,48 +104,58 @@ def url_key(url: str) -> str:
     return (",".join(reversed(labels)) + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")).lower()
 
 
-def parse(raw: bytes) -> Iterator[tuple[int, dict, bytes]]:
-    """(offset, header, block) of each record of an unpacked archive."""
+def parse(stream: BinaryIO) -> Iterator[tuple[int, dict, bytes]]:
+    """(offset, header, block) of each record of an unpacked archive, read as it goes."""
     at = 0
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:end].decode("utf-8").split("\r\n")
-        if lines[0] != "WARC/1.1":
+    while line := stream.readline():
+        if line != b"WARC/1.1\r\n":
             raise ValueError(f"no WARC record at {at}")
-        head = dict(x.split(": ", 1) for x in lines[1:])
-        size = int(head["Content-Length"])
-        yield at, head, raw[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        if raw[at : at + 4] != b"\r\n\r\n":
+        head, size = {}, len(line)
+        while (line := stream.readline()) != b"\r\n":
+            if not line.endswith(b"\r\n"):
+                raise ValueError(f"a header ends wrongly at {at}")
+            size += len(line)
+            key, value = line[:-2].decode("utf-8").split(": ", 1)
+            head[key] = value
+        block = stream.read(int(head["Content-Length"]))
+        if len(block) < int(head["Content-Length"]) or stream.read(4) != b"\r\n\r\n":
             raise ValueError(f"a record ends wrongly at {at}")
-        at += 4
+        yield at, head, block
+        at += size + 2 + len(block) + 4
 
 
 def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sorted run of captures of each archive."""
-    import hashlib
-    import zlib
 
-    number = lambda x: int(x[len("<urn:page:") : -1])
+    def number(x: str) -> int | None:
+        name = x[len("<urn:page:") : -1]
+        return None if name == "none" else int(name)
+
     names = [c.split()[0] for c in INDEX.split(", ")]
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             rows = []
-            for at, head, block in parse(zlib.decompress(content.as_buffer(), 47)):
-                http, _, payload = block.partition(b"\r\n\r\n")
-                revisit = head["WARC-Type"] == "revisit"
-                digest = head["WARC-Payload-Digest"].partition(":")[2]
-                size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-                if not revisit and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != size):
-                    raise ValueError(f"{path}: a payload does not match its digest at {at}")
-                url = head["WARC-Target-URI"]
-                rows.append((url_key(url), re.sub(r"\D", "", head["WARC-Date"]), number(head["WARC-Record-ID"]), url, head["WARC-Type"], size, digest, number(head["WARC-Refers-To"]) if revisit else None, at, path))
-            rows.sort(key=lambda r: (r[0], r[1], r[2], r[8]))
+            with gzip.GzipFile(fileobj=pa.BufferReader(content.as_buffer())) as unpacked:
+                for at, head, block in parse(io.BufferedReader(unpacked, 1 << 20)):
+                    http, _, payload = block.partition(b"\r\n\r\n")
+                    revisit = head["WARC-Type"] == "revisit"
+                    digest = head["WARC-Payload-Digest"].partition(":")[2]
+                    size = int(re.search(rb"Content-Length: (\d+)", http)[1])
+                    if not revisit and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != size):
+                        raise ValueError(f"{path}: a payload does not match its digest at {at}")
+                    url = head["WARC-Target-URI"]
+                    rows.append((url_key(url), re.sub(r"\D", "", head["WARC-Date"]), number(head["WARC-Record-ID"]), url, head["WARC-Type"], size, digest, number(head["WARC-Refers-To"]) if revisit else None, at, path))
+            rows.sort(key=_place)
             if rows:
                 kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
+def _place(row: tuple) -> tuple:
+    """Where a capture stands in the history: URL key, time, id (none first, as Spark sorts it), offset and archive."""
+    return (row[0], row[1], row[2] is not None, row[2] or 0, row[8], row[9])
+
+
 class LoserTree:
     """k-way merge of sorted runs with one comparison per level for each item."""
 
@@ -142,7 +167,7 @@ class LoserTree:
             self._play(i)
 
     def _key(self, i: int):
-        """An ended run is larger than all; a run number settles ties, so the merge is stable."""
+        """An ended run is larger than all; equal items go by the number of their run, so the merge is stable."""
         return (1,) if self.at[i] >= len(self.runs[i]) else (0, self.runs[i][self.at[i]], i)
 
     def _play(self, i: int) -> None:
@@ -164,33 +189,29 @@ class LoserTree:
             self._play(i)
 
 
-def _merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-    """Merges the runs (one per archive) of one key range."""
-    keys = list(zip(part["url_key"], part["ts"], part["page_id"], part["record_offset"], part.index, strict=True))
-    runs: dict[str, list] = {}
-    for run, item in zip(part["archive"], keys, strict=True):
-        runs.setdefault(run, []).append(item)
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merges the runs (one per archive) of the key range in this partition."""
+    runs: dict[str, list[tuple]] = {}
+    names = [c.split()[0] for c in INDEX.split(", ")]
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            runs.setdefault(row[9], []).append((_place(row), row))
     for run in runs.values():
-        if any(a > b for a, b in zip(run, run[1:], strict=False)):
-            run.sort()  # a shuffle may hand the pieces of a run over in another order
-    order = [item[-1] for item in LoserTree(list(runs.values()))]
-    out = part.loc[order].reset_index(drop=True)
-    out["place"] = np.arange(len(out))
-    return out
+        if any(a[0] > b[0] for a, b in zip(run, run[1:], strict=False)):
+            run.sort(key=lambda x: x[0])  # a shuffle may hand the pieces of a run over in another order
+    merged, number, at = iter(LoserTree(list(runs.values()))), TaskContext.get().partitionId(), 0
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    while rows := [row for _, row in itertools.islice(merged, 10_000)]:
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(rows), number, np.int32)), pa.array(np.arange(at, at + len(rows)))], names=[*names, "key_range", "place"])
+        at += len(rows)
 
 
-def history(archives: DataFrame) -> DataFrame:
+def history(archives: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The merged index of (path, content) archives: captures with ``key_range`` and ``place`` in it, which order them globally."""
-    spark = archives.sparkSession
     runs = materialise(archives.mapInArrow(_captures, INDEX))
-    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), runs.count() // 2000 + 1))
-    # bounds of the ranges are the keys at even ranks of a bounded sample; the id splits a hot URL
-    full = F.concat_ws("\x01", "url_key", "ts", F.lpad(F.col("page_id").cast("string"), 20, "0"))
-    sample = runs.select(full.alias("k"), F.xxhash64("page_id", "url_key").alias("h")).orderBy("h").limit(n * 50).select("k").toPandas()["k"].sort_values().tolist()
-    bounds = [sample[len(sample) * i // n] for i in range(1, n)] if sample else []
-    range_of = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= full)) if bounds else F.lit(0)
-    ranged = runs.withColumn("key_range", range_of.cast("int"))
-    return ranged.groupBy("key_range").applyInPandas(_merge, INDEX + ", key_range int, place long")
+    ranges = runs.count() // range_rows + 1
+    return runs.repartitionByRange(ranges, "url_key", "ts", "page_id").mapInArrow(_merge, INDEX + ", key_range int, place long")
 
 
 def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:

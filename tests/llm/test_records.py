@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import io
 import itertools
 import random
 from collections import Counter, defaultdict
@@ -160,29 +161,53 @@ def test_a_bound_loses_nothing_nearer(spark):
 
 def test_warc_round_trip(spark, tmp_path):
     big, bigger = "é" * 600, "<p>\r\n\r\nWARC/1.1\r\n</p>" * 80
-    pages = [(1, "http://www.b.com/Q?x=1", big, "r"), (2, "http://a.org/", big, "r"), (9, "http://a.org/", big, "r"), (3, "http://a.org/", "small", "r"), (4, None, "small", "r"), (5, "http://c.net/ x\r\ny", None, "r"), (6, "bad[url", "", "r"), (7, "http://b.com/q", bigger, "r"), (8, "ftp://b.com:21/q", " " * 400, "r"), (8, "ftp://b.com:21/q", " " * 400, "r")]
+    pages = [(1, "http://www.b.com/Q?x=1", big, "r"), (2, "http://a.org/", big, "r"), (9, "http://a.org/", big, "r"), (3, "http://a.org/", "small", "r"), (4, None, "small", "r"), (5, "http://c.net/ x\r\ny", None, "r"), (6, "bad[url", "", "r"), (7, "http://b.com/q", bigger, "r"), (8, "ftp://b.com:21/q", " " * 400, "r"), (8, "ftp://b.com:21/q", " " * 400, "r")]
+    pages += [(None, "http://a.org/", big, "r"), (None, None, big, "r"), (-1, "http://a.org/", "lone " * 300, "r"), (None, "http://a.org/", "lone " * 300, "r"), (20, "http://long.org/", "w " * 400_000, "r")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, record string").repartition(3)
     out = warc.round_trip(df).collect()
     assert len(out) == len(pages)
-    got = {r.page_id: r for r in out}
+    want = Counter()
     for i, _, html, _ in pages:
-        raw, r = (html or "").encode(), got[i]
-        assert (r.payload_bytes, r.payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
-        assert (r.record_type, r.refers_to) == (("revisit", 9) if i in (1, 2) else ("response", None))
-    order = [(r.url_key, r.ts, r.page_id) for r in sorted(out, key=lambda r: (r.key_range, r.place))]
+        raw = (html or "").encode()
+        want[i, len(raw), hashlib.sha1(raw).hexdigest(), *(("revisit", 9) if i in (1, 2) else ("response", None))] += 1
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out) == want
+    order = [(r.url_key, r.ts, r.page_id is not None, r.page_id or 0) for r in sorted(out, key=lambda r: (r.key_range, r.place))]
     assert order == sorted(order)
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_warc_history_over_ranges(spark, tmp_path):
+    """Many ranges of one hot URL and others are one history in order, and offsets find their records."""
+    rng = random.Random(6)
+    rows = [(i, "http://hot.org/" if rng.random() < 0.4 else f"http://h{rng.randrange(9)}.org/{rng.randrange(50)}", f"page {i}") for i in range(3000)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}/w", archive_bytes=2000)
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(f"{tmp_path}/w").select("path", "content")
+    out = sorted(warc.history(archives, range_rows=100).collect(), key=lambda r: (r.key_range, r.place))
+    assert len(out) == 3000 and len({r.key_range for r in out}) > 10 and len({r.archive for r in out}) > 10
+    order = [(r.url_key, r.ts, r.page_id) for r in out]
+    assert order == sorted(order)
+    r = out[1234]
+    found = {at: head for at, head, _ in warc.parse(gzip.open(r.archive.removeprefix("file:")))}
+    assert found[r.record_offset]["WARC-Record-ID"] == f"<urn:page:{r.page_id}>"
+
+
 def test_warc_files_are_whole_archives(spark, tmp_path):
     rows = [(i, f"http://h{i % 3}.org/{i}", "x" * (1000 + i % 2)) for i in range(40)]
-    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}/w", per_archive=7)
-    seen = []
-    for f in (tmp_path / "w").glob("*.gz"):
-        found = list(warc.parse(gzip.decompress(f.read_bytes())))
-        assert 0 < len(found) <= 7
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}/w", archive_bytes=4000)
+    seen, files = [], list((tmp_path / "w").glob("*.gz"))
+    for f in files:
+        found = list(warc.parse(gzip.open(f)))
+        assert found
         seen += [head["WARC-Type"] for _, head, _ in found]
-    assert Counter(seen) == {"response": 2, "revisit": 38}
+    assert len(files) > 4 and Counter(seen) == {"response": 2, "revisit": 38}
+
+
+@pytest.mark.parametrize("cut", [5, 60, -3])
+def test_a_broken_archive_is_no_archive(cut):
+    whole = b"WARC/1.1\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n" * 2
+    assert len(list(warc.parse(io.BytesIO(whole)))) == 2
+    with pytest.raises(ValueError):
+        list(warc.parse(io.BytesIO(whole[:cut])))
 
 
 @given(st.lists(st.lists(st.integers(0, 9), max_size=6), max_size=7))

@@ -560,6 +560,20 @@ def test_packing_ids_and_special_strings(spark):
         assert at == len(ids)
 
 
+def test_ids_are_those_of_the_tokenizers_library_for_all_of_unicode():
+    """The rank file gives the ids that the tokenizer file gives: every code point alone, inside a word and after a space, and mixtures."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    t, encode, rng = Tokenizer.from_file(path("byte_bpe_50k.json")), packing._encoder(None, None), random.Random(31)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b {c}1" for c in points[i : i + 2000]) for i in range(0, len(points), 2000)]
+    texts += ["".join(rng.choice(points[:3000] if rng.random() < 0.5 else points) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts += ["".join(rng.choice(["'s", "'LL", "  ", "\n\n", "\t", "12", "½", "é", "e\u0301", "ß", "ǅ", "\u200d", "\u00a0", "\u3000", "x"]) for _ in range(rng.randrange(20))) for _ in range(3000)]
+    for text, want in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(text).tolist() == want.ids
+
+
 def test_windows_emit_the_fullest_when_none_fits():
     out: list = []
     w = packing.Windows(10, 2, 0, out)
