@@ -63,49 +63,98 @@ class Table:
         return T.StructType([T.StructField(c, t, True) for c, t in (*self.all_columns.items(), *LINEAGE)])
 
 
-def _table(name: str, key: str, columns: str, **more) -> Table:
-    kinds = {"s": _TEXT, "t": _TIME, "b": T.BooleanType(), "d": T.DateType(), "i": T.ShortType(), "load": T.DecimalType(5, 2), "temp": T.DecimalType(6, 2)}
-    return Table(name, key, {c: kinds[k] for c, k in (x.split(":") for x in columns.split())}, **more)
-
-
-TABLES = {
-    t.name: t
-    for t in (
-        _table("terminals", "terminal_id", "terminal_id:s name:s timezone_name:s"),
-        _table("equipment", "equipment_id", "equipment_id:s terminal_id:s equipment_type:s commissioning_date:d", references=("terminal_id",)),
-        _table(
-            "telemetry_events",
-            "event_id",
-            "event_id:s schema_version:i equipment_id:s terminal_id:s event_timestamp:t ingestion_timestamp:t state:s available:b load_percent:load temperature_c:temp",
-            references=("equipment_id", "terminal_id"),
-            orders=(("event_timestamp", "ingestion_timestamp"),),
-        ),
-        _table("alarms", "alarm_id", "alarm_id:s equipment_id:s severity:s code:s opened_at:t cleared_at:t", nullable=frozenset({"cleared_at"}), references=("equipment_id",), orders=(("opened_at", "cleared_at"),)),
-        _table(
-            "incidents",
-            "incident_id",
-            "incident_id:s equipment_id:s severity:s status:s opened_at:t resolved_at:t root_cause:s",
-            nullable=frozenset({"resolved_at"}),
-            references=("equipment_id",),
-            orders=(("opened_at", "resolved_at"),),
-        ),
-        _table(
-            "maintenance_orders",
-            "maintenance_order_id",
-            "maintenance_order_id:s equipment_id:s status:s started_at:t completed_at:t",
-            nullable=frozenset({"completed_at"}),
-            references=("equipment_id",),
-            orders=(("started_at", "completed_at"),),
-        ),
-        _table("container_movements", "movement_id", "movement_id:s terminal_id:s equipment_id:s movement_type:s container_ref:s event_timestamp:t", references=("terminal_id", "equipment_id")),
-    )
-}
-
-#: Output of the KPI relation, in order.
-KPI_COLUMNS = (
-    "terminal_id source_period_start source_period_end available_intervals scheduled_intervals active_intervals available_time_minutes resolved_incident_count "
-    "repair_minutes qualifying_failure_count operating_hours throughput average_dwell_minutes availability utilization mttr_minutes mtbf_hours active_incidents critical_alarms"
-).split()
+#: The seven relations of the data contract, their columns in order.
+_LIST = (
+    Table("terminals", "terminal_id", {"terminal_id": _TEXT, "name": _TEXT, "timezone_name": _TEXT}),
+    Table(
+        "equipment",
+        "equipment_id",
+        {"equipment_id": _TEXT, "terminal_id": _TEXT, "equipment_type": _TEXT, "commissioning_date": T.DateType()},
+        references=("terminal_id",),
+    ),
+    Table(
+        "telemetry_events",
+        "event_id",
+        {
+            "event_id": _TEXT,
+            "schema_version": T.ShortType(),
+            "equipment_id": _TEXT,
+            "terminal_id": _TEXT,
+            "event_timestamp": _TIME,
+            "ingestion_timestamp": _TIME,
+            "state": _TEXT,
+            "available": T.BooleanType(),
+            "load_percent": T.DecimalType(5, 2),
+            "temperature_c": T.DecimalType(6, 2),
+        },
+        references=("equipment_id", "terminal_id"),
+        orders=(("event_timestamp", "ingestion_timestamp"),),
+    ),
+    Table(
+        "alarms",
+        "alarm_id",
+        {"alarm_id": _TEXT, "equipment_id": _TEXT, "severity": _TEXT, "code": _TEXT, "opened_at": _TIME, "cleared_at": _TIME},
+        nullable=frozenset({"cleared_at"}),
+        references=("equipment_id",),
+        orders=(("opened_at", "cleared_at"),),
+    ),
+    Table(
+        "incidents",
+        "incident_id",
+        {"incident_id": _TEXT, "equipment_id": _TEXT, "severity": _TEXT, "status": _TEXT, "opened_at": _TIME, "resolved_at": _TIME, "root_cause": _TEXT},
+        nullable=frozenset({"resolved_at"}),
+        references=("equipment_id",),
+        orders=(("opened_at", "resolved_at"),),
+    ),
+    Table(
+        "maintenance_orders",
+        "maintenance_order_id",
+        {"maintenance_order_id": _TEXT, "equipment_id": _TEXT, "status": _TEXT, "started_at": _TIME, "completed_at": _TIME},
+        nullable=frozenset({"completed_at"}),
+        references=("equipment_id",),
+        orders=(("started_at", "completed_at"),),
+    ),
+    Table(
+        "container_movements",
+        "movement_id",
+        {"movement_id": _TEXT, "terminal_id": _TEXT, "equipment_id": _TEXT, "movement_type": _TEXT, "container_ref": _TEXT, "event_timestamp": _TIME},
+        references=("terminal_id", "equipment_id"),
+    ),
+)
+TABLES = {t.name: t for t in _LIST}
+
+#: Output of the KPI relation, in order.
+KPI_COLUMNS = [
+    "terminal_id",
+    "source_period_start",
+    "source_period_end",
+    "available_intervals",
+    "scheduled_intervals",
+    "active_intervals",
+    "available_time_minutes",
+    "resolved_incident_count",
+    "repair_minutes",
+    "qualifying_failure_count",
+    "operating_hours",
+    "throughput",
+    "average_dwell_minutes",
+    "availability",
+    "utilization",
+    "mttr_minutes",
+    "mtbf_hours",
+    "active_incidents",
+    "critical_alarms",
+]
 KPI_INTEGERS = frozenset(
-    "available_intervals scheduled_intervals active_intervals available_time_minutes resolved_incident_count qualifying_failure_count throughput active_incidents critical_alarms".split()
+    {
+        "available_intervals",
+        "scheduled_intervals",
+        "active_intervals",
+        "available_time_minutes",
+        "resolved_incident_count",
+        "qualifying_failure_count",
+        "throughput",
+        "active_incidents",
+        "critical_alarms",
+    }
 )
