@@ -266,6 +266,24 @@ def base_rules(column: pa.Array, w: K.Words | None = None) -> dict[str, np.ndarr
     return out
 
 
+def count_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
+    """(doc_id, counts..., base_failed): the base rules alone."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in K.slices(batches):
+            rules = base_rules(part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(rules[c]) for c in _RULES)], names=["doc_id", *_RULES])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    counted = rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _RULES))
+    return counted.withColumn("base_failed", _failed(min_words, repeat_percent))
+
+
+def _failed(min_words: int, repeat_percent: int) -> Column:
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
+
+
 _RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _KEPT = ("doc_id", "lang", "row", "content")
 
@@ -383,8 +401,7 @@ def quality_rules(
     kind = docs.schema[doc_id].dataType.simpleString()
     counts = ", ".join(f"{c} long" for c in _RULES)
     scored = lots.groupBy("lot").cogroup(fetched.groupBy("lot")).applyInArrow(_score_lot, f"doc_id {kind}, lang string, row long, content long, {counts}, nats double")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    scored = materialise(scored.withColumn("base_failed", failed))
+    scored = materialise(scored.withColumn("base_failed", _failed(min_words, repeat_percent)))
     # one row per language, written: Spark sees its size and broadcasts it only where that is small
     out = scored.join(materialise(bands(scored, width)), "lang", "left")
     kept = ~F.col("base_failed") & F.col("nats").between(F.col("low"), F.col("high"))

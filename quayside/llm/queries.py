@@ -30,6 +30,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality_rules(table(spark, sf_dir, "documents")).drop("row")
 
 
+def quality_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 counts before its model judges."""
+    return perplexity.count_rules(table(spark, sf_dir, "documents"))
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0, k=10)
 
@@ -65,6 +70,7 @@ QUERIES = {
         op2_language_id,
         op3_sentencepiece,
         op4_quality_rules,
+        quality_base_rules,
         op5_nearest_neighbours,
         op6_jaccard_join,
         op7_warc,
@@ -87,6 +93,14 @@ ORACLES: dict[str, str] = {
  e as (select a, b from l union all select b, a from l),
  r as (select doc_id, doc_id as other from documents union select r.doc_id, e.b from r join e on e.a = r.other)
  select d.doc_id, coalesce(n.n, 0) as n_shingles, m.least as component_id from documents d left join n on n.doc_id = d.doc_id join (select doc_id, min(other) as least from r group by doc_id) m on m.doc_id = d.doc_id""",
+    "quality_base_rules": f"""with w as (select row_number() over () as r, doc_id, coalesce(text, '') as t, {_WORDS.format(text="text")} as x from documents),
+ v as (select r, i, array_to_string(x[i : i + 2], ' ') as k from (select r, x, unnest(range(1, len(x) - 1)) as i from w where len(x) >= 3)),
+ g as (select distinct r, i + j as p from (select r, i, count(*) over (partition by r, k) as c from v) cross join range(3) as q(j) where c > 1),
+ n as (select r, count(*) as n from g group by r),
+ l as (select r, count(*) - count(distinct line) as n from (select r, unnest(string_split(t, chr(10))) as line from w) where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
+ c as (select doc_id, len(x) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(l.n, 0) as n_dup_lines, coalesce(n.n, 0) as n_repeat_words
+  from w left join l on l.r = w.r left join n on n.r = w.r)
+ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c""",
     "op7_warc": """with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
  m as (select *, max(page_id) over (partition by payload_digest) as last from p)
  select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and last <> page_id then 'revisit' else 'response' end as record_type,
