@@ -17,7 +17,9 @@ array of its own n-grams.
 
 Each language then gets a lower and an upper bound of perplexity around the shortest
 interval that holds half of its distinct texts, which up to half of junk can't carry
-away.
+away.  A text outside its language's band may be prose of two languages, or hold a
+passage in another: the same counts of all languages together are a second model, with
+bands for each language of their own, and a text goes only if it lies outside both.
 
 Rows: a null or empty text has no words and fails the base rules; a null language is
 the language ``und``; repeated rows count as often as they stand there; a very long
@@ -189,14 +191,20 @@ def probabilities(scored: list[DataFrame], counted: list[DataFrame], least: floa
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         key = gram_keys(_seed(b.column("model").to_numpy(), b.column("fold").to_numpy()), [b.column(x).to_numpy().astype(np.uint32) for x in SYMBOLS])
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.log(b.column("p").to_numpy()).astype(np.float32))], names=["key", "logp"])
+        logs = [pa.array(np.log(b.column(c).to_numpy()).astype(np.float32)) for c in ("p", "p_all")]
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *logs], names=["key", "logp", "logp_all"])
 
 
-def cross_scores(counts: DataFrame) -> DataFrame:
-    """(key, logp) of each counted n-gram by the model of the other fold of its language."""
+def _across_folds(counts: DataFrame) -> DataFrame:
     own = levels(counts)
-    other = [x.withColumn("fold", 1 - F.col("fold")) for x in own]
-    return probabilities(own, other).mapInArrow(_keyed, "key long, logp float")
+    return probabilities(own, [x.withColumn("fold", 1 - F.col("fold")) for x in own])
+
+
+def cross_scores(counts: DataFrame) -> DataFrame:
+    """(key, logp, logp_all) of each counted n-gram, by the other fold's model of its language and by that of all languages."""
+    together = counts.groupBy(F.lit(0).cast("long").alias("model"), "fold", *SYMBOLS).agg(F.sum("n").alias("n"))
+    of_all = _across_folds(materialise(together)).select("fold", *SYMBOLS, F.col("p").alias("p_all"))
+    return _across_folds(counts).join(of_all, ["fold", *SYMBOLS]).mapInArrow(_keyed, "key long, logp float, logp_all float")
 
 
 class SortedHashes:
@@ -329,22 +337,23 @@ def _grams_of_lot(lot: pa.Table) -> pa.Table:
 
 def _score_lot(lot: pa.Table, scores: pa.Table) -> pa.Table:
     """Rule counts and nats a character of each row of a lot, with the sorted hash array of the lot's n-grams."""
-    key, logp = scores["key"].to_numpy().view(np.uint64), scores["logp"].to_numpy()
+    key = scores["key"].to_numpy().view(np.uint64)
     order = np.argsort(key)
-    known, logp = SortedHashes(key[order]), np.r_[logp[order], np.float32(0)]
+    known = SortedHashes(key[order])
+    models = [np.r_[scores[c].to_numpy()[order], np.float32(0)] for c in ("logp", "logp_all")]
     out = []
     for part in _texts(lot):
         rules = base_rules(part.column("text"))
         point, at = K.code_points(*K.text_bytes(part.column("text")))
         seed = np.repeat(_seed(part.column("model").to_numpy(), part.column("fold").to_numpy()), np.diff(at))
-        total = np.r_[0.0, np.cumsum(logp[known.find(gram_keys(seed, _before(point, at)))], dtype=np.float64)][at]
-        nats = -np.diff(total) / np.maximum(np.diff(at), 1)
-        out.append(pa.RecordBatch.from_arrays([*(part.column(c) for c in _KEPT), *(pa.array(rules[c]) for c in _RULES), pa.array(nats)], names=[*_KEPT, *_RULES, "nats"]))
+        place = known.find(gram_keys(seed, _before(point, at)))
+        nats = [pa.array(-np.diff(np.r_[0.0, np.cumsum(logp[place], dtype=np.float64)][at]) / np.maximum(np.diff(at), 1)) for logp in models]
+        out.append(pa.RecordBatch.from_arrays([*(part.column(c) for c in _KEPT), *(pa.array(rules[c]) for c in _RULES), *nats], names=[*_KEPT, *_RULES, "nats", "nats_all"]))
     if not out:
         lot = lot.select(_KEPT).slice(0, 0)
         for c in _RULES:
             lot = lot.append_column(c, pa.array([], pa.int64()))
-        return lot.append_column("nats", pa.array([], pa.float64()))
+        return lot.append_column("nats", pa.array([], pa.float64())).append_column("nats_all", pa.array([], pa.float64()))
     return pa.Table.from_batches(out)
 
 
@@ -363,9 +372,9 @@ def _shortest_half(bins):
     return bins.head(1)[["lang"]].assign(centre=centre, spread=spread)
 
 
-def bands(scored: DataFrame, width: float = WIDTH) -> DataFrame:
+def bands(scored: DataFrame, width: float = WIDTH, nats: str = "nats") -> DataFrame:
     """(lang, low, high): bounds of nats a character, from a histogram of all distinct texts that passed the base rules."""
-    texts = scored.where("not base_failed").groupBy("lang", "content").agg(F.min(F.round(F.col("nats") * 1000).cast("long")).alias("bin"))
+    texts = scored.where("not base_failed").groupBy("lang", "content").agg(F.min(F.round(F.col(nats) * 1000).cast("long")).alias("bin"))
     found = texts.groupBy("lang", "bin").count().groupBy("lang").applyInPandas(_shortest_half, "lang string, centre double, spread double")
     return found.select("lang", (F.col("centre") - width * F.col("spread")).alias("low"), (F.col("centre") + width * F.col("spread")).alias("high"))
 
@@ -397,12 +406,13 @@ def quality_rules(
     rows = rows.select("*", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("content"), F.xxhash64("lang").alias("model"), fold.alias("fold"))
     scores = materialise(cross_scores(materialise(count_grams(rows))))
     lots = in_lots(rows, lot_bytes)
-    fetched = lots.groupBy("lot").applyInArrow(_grams_of_lot, "lot long, key long").join(scores, "key").select("lot", "key", "logp")
+    fetched = lots.groupBy("lot").applyInArrow(_grams_of_lot, "lot long, key long").join(scores, "key").select("lot", "key", "logp", "logp_all")
     kind = docs.schema[doc_id].dataType.simpleString()
     counts = ", ".join(f"{c} long" for c in _RULES)
-    scored = lots.groupBy("lot").cogroup(fetched.groupBy("lot")).applyInArrow(_score_lot, f"doc_id {kind}, lang string, row long, content long, {counts}, nats double")
+    scored = lots.groupBy("lot").cogroup(fetched.groupBy("lot")).applyInArrow(_score_lot, f"doc_id {kind}, lang string, row long, content long, {counts}, nats double, nats_all double")
     scored = materialise(scored.withColumn("base_failed", _failed(min_words, repeat_percent)))
     # one row per language, written: Spark sees its size and broadcasts it only where that is small
-    out = scored.join(materialise(bands(scored, width)), "lang", "left")
-    kept = ~F.col("base_failed") & F.col("nats").between(F.col("low"), F.col("high"))
+    of_all = bands(scored, width, "nats_all").withColumnsRenamed({"low": "low_all", "high": "high_all"})
+    out = scored.join(materialise(bands(scored, width).join(of_all, "lang")), "lang", "left")
+    kept = ~F.col("base_failed") & (F.col("nats").between(F.col("low"), F.col("high")) | F.col("nats_all").between(F.col("low_all"), F.col("high_all")))
     return out.select("doc_id", *_RULES, "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"), F.exp("nats").alias("perplexity"), "row")

@@ -338,6 +338,19 @@ def test_perplexity_band_rejects_much_junk(spark, share, kind):
     assert not any(kept[i] for i in range(len(good), len(kept))) and sum(kept[i] for i in range(len(good))) >= 0.98 * len(good)
 
 
+def test_prose_of_two_languages_stays(spark):
+    """Half of a text in another language is no junk; random letters in the same place are."""
+    rng = random.Random(17)
+    vocabularies = [["".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(300)] for parts in (["ta", "ren", "o", "shi", "lum", "dor"], ["ß", "ech", "ung", "wü", "zer", "plk"])]
+    prose = lambda v, n: " ".join(rng.choice(v) for _ in range(n))
+    rows = [(200 * k + i, prose(v, 100), "ab"[k]) for k, v in enumerate(vocabularies) for i in range(150)]
+    rows += [(1000 + i, f"{prose(vocabularies[0], 50)} {prose(vocabularies[1], 50)}", "a") for i in range(10)]
+    noise = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    rows += [(2000 + i, f"{prose(vocabularies[0], 50)} {' '.join(noise() for _ in range(50))}", "a") for i in range(10)]
+    kept = {r.doc_id: r.kept for r in perplexity.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(kept[i] == (i < 2000) for i, *_ in rows)
+
+
 def test_quality_rules_empty(empty):
     assert perplexity.quality_rules(empty).count() == 0
 
