@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made inside each open ``scratch_scope``.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the scratch tables made inside; for steps whose result has been written elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for folder in _scopes.pop():
+            discard(spark, folder)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share.
 
@@ -28,7 +45,10 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         held = spark.sparkContext.getCheckpointDir()
         base = held or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
-    return f"{base.rstrip('/')}/quayside-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/quayside-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(folder)
+    return folder
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -39,16 +59,16 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def _written(df: DataFrame) -> tuple[DataFrame, str]:
-    spark, to = df.sparkSession, scratch_dir(df.sparkSession)
+def _written(df: DataFrame, to: str | None = None) -> tuple[DataFrame, str]:
+    spark, to = df.sparkSession, to or scratch_dir(df.sparkSession)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(to)
     return spark.read.schema(schema).parquet(to), to
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it again, which cuts the lineage."""
-    return _written(df)[0]
+def materialise(df: DataFrame, to: str | None = None) -> DataFrame:
+    """Writes a table to the shared folder (or to ``to``) and reads it again, which cuts the lineage."""
+    return _written(df, to)[0]
 
 
 def discard(spark: SparkSession, folder: str) -> None:

@@ -1,5 +1,6 @@
 """Every pipeline stage on awkward rows: nulls, empty and long texts, repeats, clashing columns, an empty table."""
 
+import os
 import random
 
 import pytest
@@ -52,3 +53,12 @@ def test_awkward_rows(spark, docs, name, stage):
 @pytest.mark.parametrize("name, stage", P.STAGES)
 def test_empty_table(spark, docs, name, stage):
     assert stage(spark, docs.where("false"), "").count() == 0
+
+
+def test_run_leaves_one_table(spark):
+    """The whole pipeline; only its result stays in the shared folder."""
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    held = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = P.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 100 and out.agg({"length": "max"}).first()[0] <= 2048
+    assert len(set(os.listdir(folder)) - held) == 1
