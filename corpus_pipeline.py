@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import free_name, materialise, table
+from quayside.llm.common import discard, free_name, materialise, scratch_dir, scratch_scope, table
 from quayside.llm.jaccard import one_of_each
 from quayside.llm.packing import pack
 from quayside.llm.perplexity import quality_rules
@@ -79,7 +79,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; each stage's scratch tables and its predecessor's output go when it is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+        to = scratch_dir(spark)
+        with scratch_scope(spark):
+            docs = materialise(stage(spark, docs, sf_dir), to)
+        if before:
+            discard(spark, before)
+        before = to
     return docs
