@@ -196,8 +196,9 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across_folds(counts: DataFrame) -> DataFrame:
+    """Probabilities of the counted n-grams by the other fold's counts, written: plans of one chain of joins at a time keep the driver small."""
     own = levels(counts)
-    return probabilities(own, [x.withColumn("fold", 1 - F.col("fold")) for x in own])
+    return materialise(probabilities(own, [x.withColumn("fold", 1 - F.col("fold")) for x in own]))
 
 
 def cross_scores(counts: DataFrame) -> DataFrame:
