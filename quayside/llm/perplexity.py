@@ -31,6 +31,7 @@ empty one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ SYMBOLS = ("a", "b", "c", "d")
 ORDER = len(SYMBOLS)
 #: Code points there are: what no count has seen is spread over all of them.
 ALPHABET = 0x110000
+#: The model of all languages; those of single ones are 64-bit hashes of their names.
+ALL = 0
 #: Width of either side of a band in halves of the shortest half (0.67 sigma of a normal spread).  README has the rates on planted junk.
 WIDTH = 12.0
 #: Least half of a shortest half, in nats a character, where texts hardly differ.
@@ -159,16 +162,18 @@ def levels(counts: DataFrame) -> list[DataFrame]:
     return out
 
 
-def _discounted(level: DataFrame, least: float) -> DataFrame:
-    """``level`` with ``cut``, the modified Kneser-Ney discount of each count from its model's numbers of counts one to four; ``least`` of a count where they show none."""
+def discounts(counted: list[DataFrame], least: float) -> DataFrame:
+    """(order, model, fold, d1, d2, d3): the modified Kneser-Ney discounts of counts one, two and more, from the numbers of counts one to four; ``least`` of a count where they show none.
+
+    Written: a row for each order, model and fold, whose measured size lets Spark leave the n-grams where they are when it joins them.
+    """
     c = {k: F.col(f"c{k}") for k in (1, 2, 3, 4)}
     y = F.coalesce(F.try_divide(c[1], c[1] + 2 * c[2]), F.lit(0.0))
     found = {k: F.least(F.lit(float(k)), k - (k + 1) * y * F.try_divide(c[k + 1], c[k])) for k in (1, 2, 3)}
     found = {k: F.when(c[k] > 0, x) for k, x in found.items()}
-    of = level.where("n <= 4").groupBy("model", "fold").agg(*[F.count_if(F.col("n") == k).alias(f"c{k}") for k in (1, 2, 3, 4)])
-    of = of.select("model", "fold", *[F.when(found[k] > 0, found[k]).otherwise(least * k).alias(f"d{k}") for k in (1, 2, 3)])
-    cut = F.coalesce(F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")), F.least("n", F.lit(3)) * least)
-    return level.join(of, ["model", "fold"], "left").withColumn("cut", cut).drop("d1", "d2", "d3")
+    few = [level.where("n <= 4").select(F.lit(i).alias("order"), "model", "fold", "n") for i, level in enumerate(counted, 1)]
+    numbers = reduce(DataFrame.unionByName, few).groupBy("order", "model", "fold").agg(*[F.count_if(F.col("n") == k).alias(f"c{k}") for k in (1, 2, 3, 4)])
+    return materialise(numbers.select("order", "model", "fold", *[F.when(found[k] > 0, found[k]).otherwise(least * k).alias(f"d{k}") for k in (1, 2, 3)]))
 
 
 def probabilities(scored: list[DataFrame], counted: list[DataFrame], least: float = LEAST_DISCOUNT) -> DataFrame:
@@ -176,10 +181,11 @@ def probabilities(scored: list[DataFrame], counted: list[DataFrame], least: floa
 
     Both are levels, lowest first.  A discount of zero would leave nothing for unseen n-grams.
     """
-    below = None
+    below, cuts = None, discounts(counted, least)
+    cut = F.coalesce(F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")), F.least("n", F.lit(3)) * least)
     for n, (own, level) in enumerate(zip(scored, counted, strict=True), 1):
         names = list(SYMBOLS[ORDER - n :])
-        level = _discounted(level, least)
+        level = level.join(cuts.where(F.col("order") == n).drop("order"), ["model", "fold"], "left").withColumn("cut", cut)
         context = level.groupBy("model", "fold", *names[:-1]).agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("gamma"))
         p = own.select("model", "fold", *names).join(level.select("model", "fold", *names, (F.col("n") - F.col("cut")).alias("left")), ["model", "fold", *names], "left")
         p = p.join(context, ["model", "fold", *names[:-1]], "left")
@@ -195,17 +201,16 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *logs], names=["key", "logp", "logp_all"])
 
 
-def _across_folds(counts: DataFrame) -> DataFrame:
-    """Probabilities of the counted n-grams by the other fold's counts, written: plans of one chain of joins at a time keep the driver small."""
-    own = levels(counts)
-    return materialise(probabilities(own, [x.withColumn("fold", 1 - F.col("fold")) for x in own]))
-
-
 def cross_scores(counts: DataFrame) -> DataFrame:
-    """(key, logp, logp_all) of each counted n-gram, by the other fold's model of its language and by that of all languages."""
-    together = counts.groupBy(F.lit(0).cast("long").alias("model"), "fold", *SYMBOLS).agg(F.sum("n").alias("n"))
-    of_all = _across_folds(materialise(together)).select("fold", *SYMBOLS, F.col("p").alias("p_all"))
-    return _across_folds(counts).join(of_all, ["fold", *SYMBOLS]).mapInArrow(_keyed, "key long, logp float, logp_all float")
+    """(key, logp, logp_all) of each counted n-gram, by the other fold's model of its language and by that of all languages.
+
+    The model of all languages is one model more in the same chain of joins.
+    """
+    together = counts.groupBy(F.lit(ALL).cast("long").alias("model"), "fold", *SYMBOLS).agg(F.sum("n").alias("n"))
+    own = levels(counts.unionByName(materialise(together)))
+    p = materialise(probabilities(own, [x.withColumn("fold", 1 - F.col("fold")) for x in own]))
+    of_all = p.where(F.col("model") == ALL).select("fold", *SYMBOLS, F.col("p").alias("p_all"))
+    return p.where(F.col("model") != ALL).join(of_all, ["fold", *SYMBOLS]).mapInArrow(_keyed, "key long, logp float, logp_all float")
 
 
 class SortedHashes:
