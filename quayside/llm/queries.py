@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, langid, neighbours, packing, perplexity, pieces, substrings, warc, weaklabels
+from . import chat, jaccard, langid, neighbours, packing, perplexity, pieces, repair, substrings, warc, weaklabels
 from .common import table
 
 
@@ -63,6 +63,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=2048, end_id=1)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    found = repair.repair(repair.damage(table(spark, sf_dir, "conversations")), F.col("live"))
+    return found.withColumn("repaired_sha256", F.sha2(F.array_join(said, "\n"), 256)).drop("repaired")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,13 +83,51 @@ QUERIES = {
         op8_chat_formatting,
         op9_substring_dedup,
         op10_packing,
+        op13_conversation_repair,
     )
 }
 
 _WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _repair_sql() -> str:
+    """The repair as a forward programme: the least (cost, edit string) of each state, a row a turn, both in one string that sorts by cost."""
+
+    def add(state: str, cost: str, letter: str) -> str:
+        return f"printf('%09d', cast(left({state}, 9) as bigint) + {cost}) || substr({state}, 10) || '{letter}'"
+
+    def step(letter: str, cost: str) -> dict[str, str]:
+        return {"v2": ", ".join(add(v, cost, letter) for v in ("v0", "v1", "v3")), "v3": add("v2", cost, letter)}
+
+    kept, rerole, put = step("K", "more"), step("R", "3 + more"), step("I", "3")
+    gone = {v: add(v, "4", "D") for v in ("v0", "v1", "v2", "v3")}
+    inserted = f"select conv_id, t, v0, v1, v2, least(v3, {put['v3']}) as v3 from (select conv_id, t, v0, v1, least(v2, {put['v2']}) as v2, v3 from {{}})"
+    return rf"""with recursive table_ as (select list(x order by i) as crc from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) as x from range(256) as r(i))),
+ keyed as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations),
+ fated as (select *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: cast(ascii(k[i]) as bigint))), lambda x, b: xor(crc[xor(x & 255, b) + 1], x >> 8)), 4294967295) % 20 as fate from keyed, table_),
+ damaged as (select conv_id, turn, case fate when 4 then 'user' else role end as role, case fate when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case fate when 0 then 0 when 3 then 2 else 1 end)) as copy from fated),
+ placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as t, left(role, 1) as kind, not regexp_matches(text, '[^ 	-]') as blank, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) as last from damaged),
+ pairs as (select *, row_number() over (partition by conv_id, role, text order by t) > 1 as again, lag(kind) over (partition by conv_id order by t) || kind as pair from placed),
+ faults as (select *, blank or again as gone, case when not blank and not again and last not in ('.', '!', '?') then 3 else 0 end as more from pairs),
+ told as (select conv_id, count(turn) as turns, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where blank) as blank, count(*) filter (where again and not blank) as duplicate, count(*) filter (where more > 0) as truncated, count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal, max(t) as n from faults group by conv_id),
+ states as (select distinct conv_id, cast(0 as bigint) as t, '000000000' as v0, cast(null as varchar) as v1, cast(null as varchar) as v2, cast(null as varchar) as v3 from conversations union all
+  select s.conv_id, s.t + 1, {gone['v0']}, case when gone or kind <> 's' then {gone['v1']} else least({gone['v1']}, {add('v0', 'more', 'K')}) end,
+  case when gone then {gone['v2']} when kind = 'u' then least({gone['v2']}, {kept['v2']}, {rerole['v2']}) else least({gone['v2']}, {rerole['v2']}) end,
+  case when gone then {gone['v3']} when kind = 'a' then least({gone['v3']}, {kept['v3']}, {rerole['v3']}) else least({gone['v3']}, {rerole['v3']}) end
+  from ({inserted.format('states')}) s join faults f on f.conv_id is not distinct from s.conv_id and f.t = s.t + 1),
+ ended as (select s.conv_id, least(v0, v3) as best from ({inserted.format('states')}) s left join told n on n.conv_id is not distinct from s.conv_id where s.t = coalesce(n.n, 0)),
+ edits as (select conv_id, p, substr(best, p + 9, 1) as edit from (select conv_id, best, unnest(range(1, length(best) - 8)) as p from ended)),
+ rows_ as (select *, count(*) filter (where edit <> 'I') over (partition by conv_id order by p) as t, count(*) filter (where edit <> 'D') over (partition by conv_id order by p) as j from edits),
+ outs as (select r.conv_id, r.p, r.j, r.edit, f.role, case when edit = 'I' then '' else f.text end as text, bool_or(edit = 'K' and kind = 's') over (partition by r.conv_id) as led from rows_ r left join faults f on f.conv_id is not distinct from r.conv_id and f.t = r.t and edit <> 'I' where edit <> 'D'),
+ said as (select conv_id, string_agg(case when edit = 'K' then role when (j % 2 = 1) = led then 'assistant' else 'user' end || ':' || text, chr(10) order by p) as body from outs group by conv_id)
+ select e.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(left(best, 9) as bigint) as cost, substr(best, 10) as audit, sha256(coalesce(body, '')) as repaired_sha256
+ from ended e left join told t on t.conv_id is not distinct from e.conv_id left join said s on s.conv_id is not distinct from e.conv_id"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_conversation_repair": _repair_sql(),
     "op6_jaccard_join": f"""with recursive w as (select doc_id, {_WORDS.format(text=_LOWER)} as x from documents),
  s as (select distinct doc_id, case when len(x) < 5 then md5(array_to_string(x, ' ')) else md5(array_to_string(x[i : i + 4], ' ')) end as k
   from (select doc_id, x, unnest(range(1, greatest(len(x) - 4, 1) + 1)) as i from w where len(x) > 0)),
