@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, langid, neighbours, packing, perplexity, pieces, repair, substrings, warc, weaklabels
+from . import chat, decontaminate, jaccard, langid, neighbours, packing, perplexity, pieces, repair, substrings, warc, weaklabels
 from .common import table
 
 
@@ -63,6 +63,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=2048, end_id=1)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), least=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
     found = repair.repair(repair.damage(table(spark, sf_dir, "conversations")), F.col("live"))
@@ -83,12 +88,14 @@ QUERIES = {
         op8_chat_formatting,
         op9_substring_dedup,
         op10_packing,
+        op11_decontamination,
         op13_conversation_repair,
     )
 }
 
 _WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TOKENS = rf"regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
 
@@ -108,7 +115,10 @@ def _repair_sql() -> str:
  keyed as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations),
  fated as (select *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: cast(ascii(k[i]) as bigint))), lambda x, b: xor(crc[xor(x & 255, b) + 1], x >> 8)), 4294967295) % 20 as fate from keyed, table_),
  damaged as (select conv_id, turn, case fate when 4 then 'user' else role end as role, case fate when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case fate when 0 then 0 when 3 then 2 else 1 end)) as copy from fated),
- placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as t, left(role, 1) as kind, not regexp_matches(text, '[^ 	-]') as blank, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) as last from damaged),
+ placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as t, left(role, 1) as kind, not regexp_matches(text, '[^ 	-
+]') as blank, regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) as last from damaged),
  pairs as (select *, row_number() over (partition by conv_id, role, text order by t) > 1 as again, lag(kind) over (partition by conv_id order by t) || kind as pair from placed),
  faults as (select *, blank or again as gone, case when not blank and not again and last not in ('.', '!', '?') then 3 else 0 end as more from pairs),
  told as (select conv_id, count(turn) as turns, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where blank) as blank, count(*) filter (where again and not blank) as duplicate, count(*) filter (where more > 0) as truncated, count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal, max(t) as n from faults group by conv_id),
@@ -127,6 +137,13 @@ def _repair_sql() -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op11_decontamination": rf"""with b as (select item_id, {_TOKENS} as x from benchmark), d as (select row_number() over () as r, doc_id, {_TOKENS} as x from documents),
+ i as (select distinct item_id, least(len(x), 10) as k, array_to_string(x[p : p + least(len(x), 10) - 1], ' ') as w from (select item_id, x, unnest(range(1, len(x) - least(len(x), 10) + 2)) as p from b where len(x) > 0)),
+ s as (select r, k, p, array_to_string(x[p : p + k - 1], ' ') as w from (select r, x, k, unnest(range(1, len(x) - k + 2)) as p from d, (select distinct k from i) where len(x) >= k)),
+ h as (select r, item_id, s.k, p from s join i on i.k = s.k and i.w = s.w),
+ c as (select r, count(distinct p) as n from (select r, p + unnest(range(k)) as p from (select distinct r, k, p from h)) group by r),
+ n as (select r, count(*) as n, string_agg(item, ',' order by item) as t from (select distinct r, cast(item_id as varchar) as item from h where item_id is not null) group by r)
+ select doc_id, len(x) as n_words, coalesce(c.n, 0) as n_hit, coalesce(n.n, 0) as n_items, sha256(coalesce(n.t, '')) as items_sha256, c.n is not null as contaminated from d left join c on c.r = d.r left join n on n.r = d.r""",
     "op13_conversation_repair": _repair_sql(),
     "op6_jaccard_join": f"""with recursive w as (select doc_id, {_WORDS.format(text=_LOWER)} as x from documents),
  s as (select distinct doc_id, case when len(x) < 5 then md5(array_to_string(x, ' ')) else md5(array_to_string(x[i : i + 4], ' ')) end as k

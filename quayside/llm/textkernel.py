@@ -113,13 +113,13 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(data: np.ndarray, off: np.ndarray) -> Words:
-    """All words of a batch; a row's end also ends a word."""
+def words(data: np.ndarray, off: np.ndarray, separator: np.ndarray = SEPARATOR) -> Words:
+    """All words of a batch, divided by bytes that ``separator`` marks; a row's end also ends a word."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(none, none, none.astype(np.uint64), np.zeros(len(off), np.int64))
-    inside = ~SEPARATOR[data]
+    inside = ~separator[data]
     full = np.flatnonzero(np.diff(off))
     before = np.empty(n, bool)
     before[0], before[1:] = False, inside[:-1]

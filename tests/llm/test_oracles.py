@@ -14,6 +14,8 @@ COLUMNS = {
     "op7": "page_id payload_bytes payload_digest record_type refers_to",
     "op8": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
     "op9": "doc_id n_words n_removed kept_sha256",
+    "op11": "doc_id n_words n_hit n_items items_sha256 contaminated",
+    "op13": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
     "op10": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
 }
 
@@ -21,7 +23,7 @@ COLUMNS = {
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.execute(ORACLES[name]).fetchall()
     columns = [c[0] for c in con.description]
