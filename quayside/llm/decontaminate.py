@@ -231,7 +231,7 @@ class Automaton:
         return np.c_[np.repeat(owner, n), rows[place]]
 
 
-def _segments(least: int):
+def _segments(least: int, size: int):
     """Items as sequences of word hashes, long ones cut so that no window is lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,8 +240,8 @@ def _segments(least: int):
             names = part.column("name").to_pylist()
             out = []
             for name, a, b in zip(names, w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-                for at in range(a, max(b - least + 1, a + 1), SEGMENT_WORDS):
-                    end = min(at + SEGMENT_WORDS + least - 1, b)
+                for at in range(a, max(b - least + 1, a + 1), size):
+                    end = min(at + size + least - 1, b)
                     if end > at:
                         out.append((name, w.hash[at:end].tobytes(), (end - at)))
             columns = list(zip(*out, strict=True)) or [(), (), ()]
@@ -262,7 +262,7 @@ def _build(least: int):
 def automata(items: DataFrame, least: int = 10, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(shard, automaton): pickled automata of all items, written to the shared folder."""
     named = items.select(F.col(item_id).cast("string").alias("name"), F.col(text).cast("string").alias("text"))
-    parts = materialise(named.mapInArrow(_segments(least), "name string, words binary, n long").distinct())
+    parts = materialise(named.mapInArrow(_segments(least, SEGMENT_WORDS), "name string, words binary, n long").distinct())
     shards = (parts.agg(F.sum("n")).first()[0] or 0) // SHARD_WORDS + 1
     dealt = parts.withColumn("shard", F.pmod(F.xxhash64("name", "words"), F.lit(shards)))
     built = materialise(dealt.groupBy("shard").applyInArrow(_build(least), "shard long, automaton binary"))

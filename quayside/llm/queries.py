@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, langid, neighbours, packing, perplexity, pieces, repair, substrings, warc, weaklabels
+from . import chat, collocations, decontaminate, jaccard, langid, neighbours, packing, perplexity, pieces, repair, substrings, warc, weaklabels
 from .common import table
 
 
@@ -68,6 +68,10 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, longest=4, top=2000, share=80)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
     found = repair.repair(repair.damage(table(spark, sf_dir, "conversations")), F.col("live"))
@@ -89,6 +93,7 @@ QUERIES = {
         op9_substring_dedup,
         op10_packing,
         op11_decontamination,
+        op12_collocations,
         op13_conversation_repair,
     )
 }
@@ -144,6 +149,16 @@ ORACLES: dict[str, str] = {
  c as (select r, count(distinct p) as n from (select r, p + unnest(range(k)) as p from (select distinct r, k, p from h)) group by r),
  n as (select r, count(*) as n, string_agg(item, ',' order by item) as t from (select distinct r, cast(item_id as varchar) as item from h where item_id is not null) group by r)
  select doc_id, len(x) as n_words, coalesce(c.n, 0) as n_hit, coalesce(n.n, 0) as n_items, sha256(coalesce(n.t, '')) as items_sha256, c.n is not null as contaminated from d left join c on c.r = d.r left join n on n.r = d.r""",
+    "op12_collocations": rf"""with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(coalesce({_LOWER}, ''), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+ w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as x from p), n as (select lang, cast(sum(len(x)) as bigint) as n from w group by lang),
+ g as (select lang, k, array_to_string(x[i : i + k - 1], ' ') as phrase from (select lang, x, k, unnest(range(1, len(x) - k + 2)) as i from w, range(1, 5) as s(k) where len(x) >= k)),
+ f as (select lang, k, phrase, count(*) as a, string_split(phrase, ' ') as x from g group by all having count(*) >= 30),
+ c as (select f.lang, f.phrase, f.a, f.k as size, cut, l.a as l, r.a as r, cast(cast(2000000 as hugeint) * f.a // (cast(l.a as hugeint) + r.a) as bigint) as score from (select *, unnest(range(1, k)) as cut from f) f
+  join f l on l.lang = f.lang and l.phrase = array_to_string(f.x[1:cut], ' ') join f r on r.lang = f.lang and r.phrase = array_to_string(f.x[cut + 1 :], ' ')),
+ b as (select * from c qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+ i as (select lang, array_to_string(x[p : p + m - 1], ' ') as phrase, max(a) as longer from (select lang, a, x, k, m, unnest(range(1, k - m + 2)) as p from (select lang, a, x, k, unnest(range(2, k)) as m from f where k > 2)) group by 1, 2),
+ o as (select b.* from b left join i on i.lang = b.lang and i.phrase = b.phrase where i.longer is null or 100 * i.longer < 80 * b.a)
+ select o.lang, row_number() over (partition by o.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from o join n on n.lang = o.lang qualify rank <= 2000""",
     "op13_conversation_repair": _repair_sql(),
     "op6_jaccard_join": f"""with recursive w as (select doc_id, {_WORDS.format(text=_LOWER)} as x from documents),
  s as (select distinct doc_id, case when len(x) < 5 then md5(array_to_string(x, ' ')) else md5(array_to_string(x[i : i + 4], ' ')) end as k

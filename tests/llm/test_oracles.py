@@ -15,6 +15,7 @@ COLUMNS = {
     "op8": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
     "op9": "doc_id n_words n_removed kept_sha256",
     "op11": "doc_id n_words n_hit n_items items_sha256 contaminated",
+    "op12": "lang rank phrase a l r n score",
     "op13": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
     "op10": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
 }
