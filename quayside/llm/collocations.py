@@ -39,7 +39,7 @@ from . import textkernel as K
 from .common import materialise
 
 #: Bytes of text in a lot, and keys in one automaton.
-LOT_BYTES = 8 << 20
+LOT_BYTES = 32 << 20
 GROUP_KEYS = 200_000
 #: Bits of a cell beside its bucket, and cells for each word of the corpus.
 CELL_BITS = 24
@@ -83,7 +83,7 @@ def _lots(lot_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[int]] = {}
-        made, part_id, pack = 0, TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
+        made, part_id, pack = 0, TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3)
         for part in K.slices(batches):
             rows = []
             langs = part.column("lang").dictionary_encode()
@@ -216,16 +216,20 @@ def _sums(least: int):
 def _candidates(chunks: list[Runs], cells: np.ndarray, longest: int, shift: int) -> list[str]:
     """The distinct runs of a lot in the given cells."""
     hashes, chunk, first, size = [], [], [], []
+    low = np.uint64((1 << 22) - 1)
+    maybe = np.zeros(1 << 22, bool)  # most runs are told by their cell's last bits
+    maybe[cells & low] = True
     for i, runs in enumerate(chunks):
         for k in range(1, longest + 1):
             at, h = runs.of(k)
-            cell = h >> np.uint64(shift)
+            likely = np.flatnonzero(maybe[h >> np.uint64(shift) & low])
+            once, place = np.unique(h[likely], return_index=True)
+            cell = once >> np.uint64(shift)
             good = np.flatnonzero(cells[np.minimum(np.searchsorted(cells, cell), len(cells) - 1)] == cell)
-            once, place = np.unique(h[good], return_index=True)
-            hashes.append(once)
-            first.append(at[good[place]])
-            chunk.append(np.full(len(once), i))
-            size.append(np.full(len(once), k))
+            hashes.append(once[good])
+            first.append(at[likely[place[good]]])
+            chunk.append(np.full(len(good), i))
+            size.append(np.full(len(good), k))
     h, place = np.unique(np.concatenate(hashes), return_index=True)
     chunk, first, size = (np.concatenate(x)[place] for x in (chunk, first, size))
     out = []
@@ -309,7 +313,7 @@ def _part(words: str, start: object, length: object):
     return F.array_join(F.slice(words, start, length), " ")
 
 
-def scored(counts: DataFrame, scale: int = 2_000_000) -> DataFrame:
+def scored(counts: DataFrame, longest: int = 4, scale: int = 2_000_000) -> DataFrame:
     """(lang, phrase, words, a, l, r, score) of phrases of two words and more, by their lowest-scoring cut."""
     phrases = counts.where("words > 1").withColumn("w", F.split("phrase", " "))
     cuts = phrases.select("lang", "phrase", "words", "a", "w", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
@@ -318,12 +322,13 @@ def scored(counts: DataFrame, scale: int = 2_000_000) -> DataFrame:
     salts = F.when(F.col("words") == 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     held = counts.select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"), F.explode(salts).alias("salt"))
     met = parts.join(held, ["lang", "part", "salt"])
-    side = lambda s, name: F.max(F.when(F.col("side") == s, F.col("f"))).alias(name)
-    both = met.groupBy("lang", "phrase", "k").agg(F.max("words").alias("words"), F.max("a").alias("a"), side(0, "l"), side(1, "r"))
-    wide = lambda c: F.col(c).cast("decimal(20,0)")
-    both = both.withColumns({"_over": F.lit(scale).cast("decimal(10,0)") * wide("a"), "_under": wide("l") + wide("r")}).withColumn("score", F.expr("_over div _under"))
-    cut = F.struct("score", "k", "l", "r", "words", "a")
-    return both.groupBy("lang", "phrase").agg(F.min(cut).alias("cut")).select("lang", "phrase", "cut.words", "cut.a", "cut.l", "cut.r", "cut.score")
+    wide = lambda c: c.cast("decimal(20,0)")
+    cuts_of = range(1, longest)
+    found = met.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.first("a").alias("a"), *[F.max(F.when((F.col("k") == k) & (F.col("side") == s), F.col("f"))).alias(f"{name}{k}") for k in cuts_of for s, name in enumerate("lr")])
+    both = found.withColumns({f"under{k}": wide(F.col(f"l{k}")) + wide(F.col(f"r{k}")) for k in cuts_of}).withColumn("over", F.lit(scale).cast("decimal(10,0)") * wide(F.col("a")))
+    # a cut that a phrase is too short for has no score
+    cuts = F.array_compact(F.array(*[F.when(F.col(f"under{k}").isNotNull(), F.struct(F.expr(f"over div under{k}").alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r"))) for k in cuts_of]))
+    return both.withColumn("cut", F.array_min(cuts)).select("lang", "phrase", "words", "a", "cut.l", "cut.r", "cut.score")
 
 
 def covered(counts: DataFrame, longest: int = 4) -> DataFrame:
@@ -349,7 +354,7 @@ def _first(rows: DataFrame, top: int) -> DataFrame:
 def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, share: int = 80) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases."""
     counts, totals = phrase_counts(docs, least, longest)
-    rows = scored(counts).join(covered(counts, longest), ["lang", "phrase"], "left")
+    rows = scored(counts, longest).join(covered(counts, longest), ["lang", "phrase"], "left")
     wide = lambda c: F.col(c).cast("decimal(20,0)")
     kept = materialise(rows.where(F.col("longer").isNull() | (wide("longer") * 100 < wide("a") * share)))
     return _first(kept, top).join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
