@@ -9,7 +9,8 @@
    counts of all runs in its cell; the cells that reach ``least`` go back to their lots.
 3. A lot's runs in such cells are its candidates.  They are compiled into automata of at
    most ``GROUP_KEYS`` keys, guarded by a space at both ends, which scan the lot and count
-   overlapping occurrences.  Spark sums these exact counts and applies the threshold.
+   overlapping occurrences.  A task does so for several lots of a language and adds them
+   up; Spark sums these exact counts and applies the threshold.
 4. Phrases are scored by joins with the counts of their parts, single words salted;
    phrases inside a longer one of nearly the same count are dropped; the first ones of a
    language are found in levels, none of which sorts a whole language in one task.
@@ -38,14 +39,17 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 from .common import materialise
 
-#: Bytes of text in a lot, and keys in one automaton.
-LOT_BYTES = 32 << 20
+#: Bytes of text in a lot, and in the lots of a language that one task counts; keys in one automaton.
+LOT_BYTES = 20 << 20
+TASK_BYTES = 96 << 20
 GROUP_KEYS = 200_000
 #: Bits of a cell beside its bucket, and cells for each word of the corpus.
 CELL_BITS = 24
 CELLS_PER_WORD = 16
 #: Bytes of cells in a task that sums them.
 SUM_BYTES = 64 << 20
+#: Phrases that a task adds up before it hands them on.
+HELD_PHRASES = 500_000
 #: Salts of single words in joins, and phrases that one task ranks.
 SALTS = 16
 RANKED = 200_000
@@ -95,9 +99,9 @@ def _lots(lot_bytes: int):
                     lot[:] = [part_id << 32 | made, 0]
                     made += 1
                 lot[1] += len(text)
-                rows.append((lot[0], lang, n, pack.compress(text)))
+                rows.append((lot[0], lang, n, len(text), pack.compress(text)))
             columns = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["lot", "lang", "n", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["lot", "lang", "n", "size", "payload"])
 
     return run
 
@@ -121,9 +125,9 @@ class Runs:
 
 
 def _cells(least: int, longest: int, bits: int, cell_bits: int, lot_bytes: int):
-    """(lot, bucket, payload): the sorted cells of a lot in a bucket, as differences by byte planes, and their counts up to ``least``."""
+    """(lot, lang, bucket, payload): the sorted cells of a lot in a bucket, as differences by byte planes, and their counts up to ``least``."""
 
-    def emit(lot: int, found: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
+    def emit(lot: int, lang: str, found: list[np.ndarray]) -> Iterator[tuple[int, str, int, bytes]]:
         cell, count = np.unique(np.concatenate(found) >> np.uint64(64 - bits - cell_bits), return_counts=True)
         bucket, rest = (cell >> np.uint64(cell_bits)).astype(np.int64), (cell & np.uint64((1 << cell_bits) - 1)).astype("<u4")
         first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -133,16 +137,16 @@ def _cells(least: int, longest: int, bits: int, cell_bits: int, lot_bytes: int):
         step[first] = rest[first]
         planes = step.view(np.uint8).reshape(-1, 4)[:, :3]
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(cell)], strict=True):
-            yield lot, int(bucket[a]), planes[a:b].T.tobytes() + count[a:b].tobytes()
+            yield lot, lang, int(bucket[a]), planes[a:b].T.tobytes() + count[a:b].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+        held: dict[tuple[int, str], list[np.ndarray]] = {}
         size, unpack = 0, zstandard.ZstdDecompressor()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lot, found in held.items():
-                rows = list(emit(lot, found))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["lot", "bucket", "payload"])
+            for (lot, lang), found in held.items():
+                rows = list(emit(lot, lang, found))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.binary()), strict=True)], names=["lot", "lang", "bucket", "payload"])
 
         for batch in batches:
             for lot, lang, payload in zip(*(batch.column(c).to_pylist() for c in ("lot", "lang", "payload")), strict=True):
@@ -150,7 +154,7 @@ def _cells(least: int, longest: int, bits: int, cell_bits: int, lot_bytes: int):
                 if not text:
                     continue
                 runs = Runs(text, lang)
-                held.setdefault(lot, []).extend(runs.of(k)[1] for k in range(1, longest + 1))
+                held.setdefault((lot, lang), []).extend(runs.of(k)[1] for k in range(1, longest + 1))
                 size += len(text)
                 if size >= lot_bytes:
                     yield from flush()
@@ -168,9 +172,9 @@ def _unit(least: int) -> int:
 def _sums(least: int):
     """The cells of each lot whose sums reach ``least``; rows come sorted by bucket."""
 
-    def reach(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple[int, int, int, bytes]]:
+    def reach(bucket: int, rows: list[tuple[int, str, bytes]]) -> list[tuple[int, str, int, int, bytes]]:
         cells, counts = [], []
-        for _, payload in rows:
+        for _, _, payload in rows:
             raw = np.frombuffer(payload, np.uint8).reshape(4, -1)
             step = np.zeros((raw.shape[1], 4), np.uint8)
             step[:, :3] = raw[:3].T
@@ -186,17 +190,17 @@ def _sums(least: int):
         place = order[good]
         place = place[np.argsort(lot[place], kind="stable")]
         ends = np.searchsorted(lot[place], np.arange(len(rows) + 1))
-        return [(rows[i][0], 0, bucket, cell[place[a:b]].astype("<u4").tobytes()) for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if b > a]
+        return [(*rows[i][:2], 0, bucket, cell[place[a:b]].astype("<u4").tobytes()) for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if b > a]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, out = None, [], []
 
         def told() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["lot", "kind", "bucket", "payload"])
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["lot", "lang", "kind", "bucket", "payload"])
 
         for batch in batches:
-            for lot, bucket, payload in zip(*(batch.column(c).to_pylist() for c in ("lot", "bucket", "payload")), strict=True):
+            for lot, lang, bucket, payload in zip(*(batch.column(c).to_pylist() for c in ("lot", "lang", "bucket", "payload")), strict=True):
                 if bucket != now and rows:
                     out += reach(now, rows)
                     rows = []
@@ -204,7 +208,7 @@ def _sums(least: int):
                         yield told()
                         out = []
                 now = bucket
-                rows.append((lot, payload))
+                rows.append((lot, lang, payload))
         if rows:
             out += reach(now, rows)
         if out:
@@ -254,37 +258,45 @@ def _occurrences(texts: list[str], phrases: list[str], group: int) -> np.ndarray
 
 
 def _count(longest: int, bits: int, cell_bits: int, group: int):
-    """(lang, phrase, words, a) of each lot; a lot's rows come together, its cells before its chunks."""
+    """(lang, phrase, words, a), added up over the lots of a language in a task; a lot's rows come together, its cells before its chunks."""
     shift = 64 - bits - cell_bits
 
-    def lot(lang: str, cells: list[tuple[int, bytes]], payloads: list[bytes]) -> pa.RecordBatch | None:
+    def lot(lang: str, cells: list[tuple[int, bytes]], payloads: list[bytes], held: dict[str, int]) -> None:
         unpack = zstandard.ZstdDecompressor()
         chunks = [Runs(t, lang) for p in payloads if (t := unpack.decompress(p))]
         if not chunks or not cells:
-            return None
+            return
         wanted = np.sort(np.concatenate([np.uint64(b << cell_bits) | np.frombuffer(p, "<u4").astype(np.uint64) for b, p in cells]))
         phrases = _candidates(chunks, wanted, longest, shift)
         texts = [" " + c.text.replace(b"\n", b" \n ").decode("utf-8") for c in chunks]
-        del chunks
-        counts = _occurrences(texts, phrases, group)
-        size = np.array([p.count(" ") + 1 for p in phrases], np.int32)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(size), pa.array(counts)], names=["lang", "phrase", "words", "a"])
+        del chunks, wanted
+        for phrase, n in zip(phrases, _occurrences(texts, phrases, group).tolist(), strict=True):
+            held[phrase] = held.get(phrase, 0) + n
+
+    def told(lang: str, held: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        phrases, counts = list(held), np.fromiter(held.values(), np.int64)
+        held.clear()
+        for at in range(0, len(phrases), 50_000):
+            part = phrases[at : at + 50_000]
+            size = np.array([p.count(" ") + 1 for p in part], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.string()), pa.array(size), pa.array(counts[at : at + 50_000])], names=["lang", "phrase", "words", "a"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, lang, cells, payloads = None, "", [], []
+        held: dict[str, int] = {}
         for batch in batches:
             for own, kind, bucket, name, payload in zip(*(batch.column(c).to_pylist() for c in ("lot", "kind", "bucket", "lang", "payload")), strict=True):
                 if own != now:
-                    if now is not None and (out := lot(lang, cells, payloads)) is not None:
-                        yield out
-                    now, cells, payloads = own, [], []
+                    lot(lang, cells, payloads, held)
+                    if name != lang or len(held) >= HELD_PHRASES:
+                        yield from told(lang, held)
+                    now, lang, cells, payloads = own, name, [], []
                 if kind:
-                    lang = name
                     payloads.append(payload)
                 else:
                     cells.append((bucket, payload))
-        if now is not None and (out := lot(lang, cells, payloads)) is not None:
-            yield out
+        lot(lang, cells, payloads, held)
+        yield from told(lang, held)
         pa.default_memory_pool().release_unused()
 
     return run
@@ -294,19 +306,20 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4) -> tuple[D
     """(lang, phrase, words, a) of all runs of up to ``longest`` words found ``least`` times or more, and (lang, n) of all words; both written."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    lots = materialise(rows.mapInArrow(_lots(LOT_BYTES), "lot long, lang string, n long, payload binary"))
-    totals = materialise(lots.groupBy("lang").agg(F.sum("n").alias("n")))
-    words, many = lots.agg(F.sum("n"), F.count_distinct("lot")).first()
+    lots = materialise(rows.mapInArrow(_lots(LOT_BYTES), "lot long, lang string, n long, size long, payload binary"))
+    totals = materialise(lots.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).withColumn("groups", F.expr(f"size div {TASK_BYTES} + 1")))
+    words, many = totals.agg(F.sum("n"), F.sum("groups")).first()
     bits = min(max((CELLS_PER_WORD * max(words or 0, 1)).bit_length() - CELL_BITS, 4), 20)
     tasks = lambda need: max(int(spark.conf.get("spark.sql.shuffle.partitions")), need + 1)
-    cells = lots.select("lot", "lang", "payload").mapInArrow(_cells(least, longest, bits, CELL_BITS, LOT_BYTES), "lot long, bucket int, payload binary")
+    cells = lots.select("lot", "lang", "payload").mapInArrow(_cells(least, longest, bits, CELL_BITS, LOT_BYTES), "lot long, lang string, bucket int, payload binary")
     summed = cells.repartition(tasks(3 * longest * (words or 0) // SUM_BYTES), "bucket").sortWithinPartitions("bucket")
-    back = summed.mapInArrow(_sums(least), "lot long, kind int, bucket int, payload binary").withColumn("lang", F.lit(None).cast("string"))
-    chunks = lots.select("lot", F.lit(1).alias("kind"), F.lit(0).alias("bucket"), "payload", "lang")
-    met = back.unionByName(chunks).repartition(tasks(many or 0), "lot").sortWithinPartitions("lot", "kind")
-    found = met.mapInArrow(_count(longest, bits, CELL_BITS, GROUP_KEYS), "lang string, phrase string, words int, a long")
+    back = summed.mapInArrow(_sums(least), "lot long, lang string, kind int, bucket int, payload binary")
+    chunks = lots.select("lot", "lang", F.lit(1).alias("kind"), F.lit(0).alias("bucket"), "payload")
+    met = back.unionByName(chunks).join(totals.select("lang", "groups"), "lang").withColumn("group", F.pmod(F.xxhash64("lot"), F.col("groups")))
+    met = met.repartition(tasks(2 * (many or 0)), "lang", "group").sortWithinPartitions("lang", "group", "lot", "kind")
+    found = met.select("lot", "lang", "kind", "bucket", "payload").mapInArrow(_count(longest, bits, CELL_BITS, GROUP_KEYS), "lang string, phrase string, words int, a long")
     counts = found.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("a").alias("a")).where(F.col("a") >= least)
-    return materialise(counts), totals
+    return materialise(counts), totals.select("lang", "n")
 
 
 def _part(words: str, start: object, length: object):

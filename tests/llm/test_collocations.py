@@ -60,7 +60,7 @@ def test_collocations_match_plain(spark, seed):
 
 def test_small_lots_groups_and_levels(spark, monkeypatch):
     docs = random_docs(7)
-    for name, value in {"LOT_BYTES": 300, "GROUP_KEYS": 11, "RANKED": 20, "SUM_BYTES": 500}.items():
+    for name, value in {"LOT_BYTES": 300, "GROUP_KEYS": 11, "RANKED": 20, "SUM_BYTES": 500, "TASK_BYTES": 700}.items():
         monkeypatch.setattr(C, name, value)
     got = C.collocations(spark.createDataFrame(docs, SCHEMA).repartition(3), least=4, longest=3, top=6, share=60)
     assert sorted(tuple(r) for r in got.collect()) == plain(docs, 4, 3, 6, 60)
