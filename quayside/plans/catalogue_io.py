@@ -17,7 +17,7 @@ from ..functions import scalars as S
 from ..operators import documents, kpi, presentation, silver
 from ..schemas import KPI_COLUMNS, TABLES
 from ..sinks import bronze
-from ..sources import records, tables
+from ..sources import log, records, tables
 from ..streaming import consumer, decode
 from . import catalogue as base
 from .catalogue import _query, _sql_ts, _ts
@@ -228,7 +228,7 @@ def import_normalised(spark, d):
     return out.select("row_index", "alarm_id", _ts("opened_at").alias("opened_at"), "code")
 
 
-# Streams over three files, with state
+# Streams over a log of several partitions, with state
 
 _SENT = """select *, cast(right(event_id, 6) as integer) as n, case when event_timestamp < timestamp '2024-01-10' then 0 when event_timestamp < timestamp '2024-01-20' then 1 else 2 end as part,
  load_percent between 0 and 100 as valid from telemetry"""
@@ -242,8 +242,8 @@ _OUTCOMES = """select event_id, batch, case when not valid then 'invalid' when n
 _STREAMED = {"sent": _SENT, "batches": _BATCHES, "marks": _MARKS, "outcomes": _OUTCOMES}
 
 
-def _consumed(spark, d) -> tuple[str, consumer.Report]:
-    """Three record files consumed as a stream of three batches: new events, repeats, changed repeats and events that come too late."""
+def _sent(spark, d) -> str:
+    """A log of four partitions and three commits: new events, repeats, changed repeats and events that come too late."""
     root = scratch(spark)
     t = telemetry(spark, d).withColumns({c: F.col(c).cast("timestamp") for c in ("event_timestamp", "ingestion_timestamp")})
     n, day = F.substring("event_id", -6, 6).cast("int"), F.col("event_timestamp")
@@ -252,11 +252,19 @@ def _consumed(spark, d) -> tuple[str, consumer.Report]:
     own = t.where(n % 50 != 0)
     changed = own.where(first & (n % 12 == 0)).withColumn("temperature_c", F.col("temperature_c") + 0.5)
     files = [own.where(first), own.where(part == 1).unionByName(own.where(first & (n % 6 == 0))).unionByName(t.where(held_back)), own.where(part == 2).unionByName(changed).unionByName(t.where(held_back))]
-    for i, rows in enumerate(files):
-        rows = decode.encode(rows, "telemetry").withColumns({"partition": F.lit(0), "offset": F.lit(i).cast("long") * (1 << 40) + F.conv(F.substring(F.sha2("key", 256), 1, 8), 16, 10).cast("long")})
-        consumer.write_records(rows, f"{root}/log")
-    report = consumer.consume(spark, f"{root}/log", topic="telemetry", bronze_dir=f"{root}/bronze", state_dir=f"{root}/state", checkpoint_dir=f"{root}/offsets", run_id="run-1", dead_letter_dir=f"{root}/dead")
-    return root, report
+    for rows in files:
+        log.append(decode.encode(rows, "telemetry"), f"{root}/log", partitions=4)
+    return root
+
+
+def _consume(spark, root: str, run_id: str = "run-1", **how) -> consumer.Report:
+    return consumer.consume_log(spark, f"{root}/log", commits=1, topic="telemetry", bronze_dir=f"{root}/bronze", state_dir=f"{root}/state", checkpoint_dir=f"{root}/offsets", run_id=run_id, dead_letter_dir=f"{root}/dead", **how)
+
+
+def _consumed(spark, d) -> tuple[str, consumer.Report]:
+    """The log consumed as a stream of three batches."""
+    root = _sent(spark, d)
+    return root, _consume(spark, root)
 
 
 @_query(
@@ -301,6 +309,70 @@ def stream_bronze(spark, d):
     return tables.read_bronze(spark, f"{root}/bronze", "telemetry_events").select("event_id", _ts("updated_at").alias("updated_at"), "extraction_run_id")
 
 
+def _letters(spark, root: str) -> DataFrame:
+    body = F.from_json("value", "reason_code string, source_value_base64 string")
+    rows = spark.read.parquet(f"{root}/dead").select(body.alias("b"))
+    return rows.select(F.get_json_object(F.decode(F.unbase64("b.source_value_base64"), "utf-8"), "$.event_id").alias("event_id"), F.col("b.reason_code").alias("outcome"))
+
+
+class _Crash(RuntimeError):
+    """What ``stream_restart`` raises between two writes of a batch."""
+
+
+@_query(
+    "telemetry",
+    """select point, kind, event_id, outcome, n from (values ('bronze'), ('state'), ('dead_letters')) as p(point), (select 'bronze' as kind, event_id, cast(null as varchar) as outcome, cast(1 as bigint) as n from outcomes where outcome = 'accepted'
+ union all select 'state', event_id, outcome || ' ' || batch, 1 from outcomes where outcome in ('accepted', 'late')
+ union all select 'dead letter', event_id, case outcome when 'late' then 'late_event' when 'conflict' then 'duplicate_conflict' else 'invalid_telemetry' end as o, count(*) from outcomes where outcome in ('late', 'conflict', 'invalid') group by 1, 2, 3) as t""",
+    **_STREAMED,
+)
+def stream_restart(spark, d):
+    """Runs that crash in the second batch after each of its writes, and run again: all tables are those of an undisturbed run."""
+    found = []
+    for point in consumer.WRITES:
+        root = _sent(spark, d)
+
+        def crash(write: str, batch: str, point: str = point) -> None:
+            if write == point and int(batch) == 1:
+                raise _Crash(point)
+
+        try:
+            _consume(spark, root, "run-1", after=crash)
+        except Exception as error:
+            if "_Crash" not in str(error):
+                raise
+        _consume(spark, root, "run-2")
+        state = consumer.StreamState(spark, f"{root}/state", "telemetry").events()
+        told = F.concat(F.when(F.col("outcome") == "bronze", "accepted").otherwise("late"), F.lit(" "), F.col("batch").cast("long").cast("string"))
+        bronze_rows = tables.read_bronze(spark, f"{root}/bronze", "telemetry_events").select(F.lit("bronze").alias("kind"), "event_id", F.lit(None).cast("string").alias("outcome"))
+        rows = bronze_rows.unionByName(state.select(F.lit("state").alias("kind"), "event_id", told.alias("outcome"))).unionByName(_letters(spark, root).withColumn("kind", F.lit("dead letter")))
+        found.append(rows.groupBy("kind", "event_id", "outcome").agg(F.count("*").alias("n")).withColumn("point", F.lit(point)))
+    return tables.union_by_name(*found)
+
+
+@_query(
+    "telemetry",
+    """select event_id, part as partition, place as "offset", place // (select count(*) // 20 + 1 from telemetry) as batch from (select event_id, part, row_number() over (partition by part order by event_id) - 1 as place from (select event_id, cast(right(event_id, 6) as integer) % 5 as part from telemetry))""",
+)
+def stream_log_batches(spark, d):
+    """Where a log of five partitions keeps each event, and the micro-batch, bounded by messages, that brings it."""
+    root, t = scratch(spark), telemetry(spark, d)
+    t = t.withColumns({c: F.col(c).cast("timestamp") for c in ("event_timestamp", "ingestion_timestamp")})
+    rows = decode.encode(t, "telemetry").withColumn("partition", F.substring(F.decode("key", "utf-8"), -6, 6).cast("int") % 5)
+    log.append(rows, f"{root}/log")
+    bound = 5 * (t.count() // 20 + 1)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.select(F.decode("key", "utf-8").alias("event_id"), "partition", "offset").write.mode("overwrite").parquet(f"{root}/seen/batch={number}")
+
+    query = log.stream(spark, f"{root}/log", f"{root}/planned", messages=bound).writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/offsets").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.parquet(f"{root}/seen").select("event_id", F.col("partition").cast("long").alias("partition"), "offset", F.col("batch").cast("long").alias("batch"))
+
+
 # Documents read back, texts, scalars
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sinks.bronze import bronze_rows
+from ..sources import log
 from .classify import STATE, classify, counters, state_rows
 from .decode import EVENT, FIELDS, RECORD, dead_letter, decode
 
@@ -26,6 +27,14 @@ class DeadLettersNotConfigured(RuntimeError):
     """A batch has rejects and no place for them; nothing of it was written."""
 
 
+class FewerMessages(RuntimeError):
+    """A log held fewer messages than a run was asked for."""
+
+
+#: The writes of a batch, in order; ``after`` hooks are called with their names.
+WRITES = ("bronze", "state", "dead_letters")
+
+
 @dataclass
 class Report:
     run_id: str
@@ -112,8 +121,13 @@ def process_batch(
     dead_letter_dir: str | None,
     allowed_lateness_seconds: int = 300,
     writer: Callable[[DataFrame, str], None] | None = None,
+    after: Callable[[str, str], None] | None = None,
 ) -> dict[str, int]:
-    """Classifies and writes one batch: Bronze, then state, then dead letters; returns its counts."""
+    """Classifies and writes one batch: Bronze, then state, then dead letters; returns its counts.
+
+    ``after`` is called with each write's name and the batch when it is done.
+    """
+    done = after or (lambda write, batch: None)
     mark = state.watermark(before=batch)
     classified = classify(decode(records), state.events(before=batch).select("event_id", "digest"), None if mark is None else F.lit(mark), allowed_lateness_seconds).persist()
     try:
@@ -124,11 +138,14 @@ def process_batch(
         accepted = classified.where("outcome = 'accepted'").select("event.*")
         if n["accepted"]:
             (writer or _write_bronze(bronze_dir, run_id))(accepted, batch)
+        done("bronze", batch)
         fresh = state_rows(classified)
         state.add(batch, fresh, accepted.agg(F.max("ingestion_timestamp").alias("watermark")) if n["accepted"] else None)
+        done("state", batch)
         if rejects:
             letters = dead_letter(classified.where("reason_code is not null"), run_id)
             letters.write.mode("overwrite").parquet(f"{dead_letter_dir}/batch={batch}")
+        done("dead_letters", batch)
         return n
     finally:
         classified.unpersist()
@@ -156,12 +173,17 @@ def consume(
     allowed_lateness_seconds: int = 300,
     files_per_batch: int = 1,
     writer: Callable[[DataFrame, str], None] | None = None,
+    after: Callable[[str, str], None] | None = None,
+    bounded: bool = False,
+    max_messages: int | None = None,
 ) -> Report:
     """Consumes what a stream holds now and ends.
 
     ``source`` is a streaming DataFrame of records, or a folder of JSON record
     files in the shape of a message log.  Offsets are committed when a batch is
-    done; a failed run leaves its batch to be read again.
+    done; a failed run leaves its batch to be read again.  ``bounded`` says that the
+    source bounds its batches itself, which a run of all that is available would not ask.
+    With ``max_messages`` a run that found fewer fails, its batches kept.
     """
     report = Report(run_id or f"run-{uuid.uuid4().hex[:12]}")
     state = StreamState(spark, state_dir, topic)
@@ -169,7 +191,7 @@ def consume(
     stream = source if isinstance(source, DataFrame) else record_stream(spark, source, files_per_batch)
 
     def each(batch_df: DataFrame, batch_id: int) -> None:
-        n = process_batch(batch_df.where(F.col("topic") == topic), f"{batch_id:012d}", state, bronze_dir, report.run_id, dead_letter_dir, allowed_lateness_seconds, writer)
+        n = process_batch(batch_df.where(F.col("topic") == topic), f"{batch_id:012d}", state, bronze_dir, report.run_id, dead_letter_dir, allowed_lateness_seconds, writer, after)
         report.consumed += n["consumed"]
         report.bronze_rows += n["accepted"]
         report.duplicates += n["duplicate"]
@@ -180,8 +202,17 @@ def consume(
         report.committed_batches += 1
 
     try:
-        query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
-        query.awaitTermination()
+        started = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_dir)
+        if bounded:
+            query = started.start()
+            try:
+                query.processAllAvailable()
+            finally:
+                query.stop()
+        else:
+            started.trigger(availableNow=True).start().awaitTermination()
+        if max_messages is not None and report.consumed < max_messages:
+            raise FewerMessages(f"{report.consumed} of {max_messages} messages were there")
     except BaseException as error:
         state.finish(report, error)
         raise
@@ -189,6 +220,12 @@ def consume(
     return report
 
 
+def consume_log(spark: SparkSession, folder: str, *, checkpoint_dir: str, messages: int | None = None, commits: int | None = None, max_messages: int | None = None, **how) -> Report:
+    """Consumes a partitioned log in batches bounded by messages or by commit records; the rest as ``consume``."""
+    rows = log.stream(spark, folder, f"{checkpoint_dir}/planned", messages, commits, max_messages)
+    return consume(spark, rows, checkpoint_dir=f"{checkpoint_dir}/offsets", bounded=True, max_messages=max_messages, **how)
+
+
 def record_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
     """Record files (JSON lines; key, value and header values in base64) as a stream."""
     raw = "key string, value string, headers array<struct<name: string, value: string>>, topic string, partition int, offset long"
@@ -213,4 +250,4 @@ def write_records(records: DataFrame, folder: str) -> None:
     out.coalesce(1).write.mode("append").json(folder)
 
 
-__all__ = ["EVENT", "RECORD", "Report", "StreamState", "consume", "kafka_stream", "process_batch", "record_stream", "write_records"]
+__all__ = ["EVENT", "RECORD", "WRITES", "FewerMessages", "Report", "StreamState", "consume", "consume_log", "kafka_stream", "process_batch", "record_stream", "write_records"]
