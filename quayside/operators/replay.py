@@ -8,6 +8,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import ranked
+
 SPEEDS = (0.5, 1.0, 2.0, 4.0)
 
 
@@ -27,6 +29,34 @@ def progress(events: DataFrame, until) -> DataFrame:
     return row.withColumn("complete", (F.col("total") > 0) & (F.col("applied") == F.col("total")))
 
 
+def ticks(events: DataFrame, milliseconds: int, speeds: tuple[float, ...] = SPEEDS) -> DataFrame:
+    """(speed, tick, now) of a replay from the first event until the first tick at which all events are applied."""
+    at = F.col("event_timestamp").cast("timestamp")
+    whole = events.agg(F.min(at).alias("start"), F.max(at).alias("end")).where("start is not null")
+    rows = whole.select("start", "end", F.explode(F.array(*[F.lit(float(s)) for s in speeds])).alias("speed"))
+    step = (F.col("speed") * milliseconds * 1000).cast("long")
+    last = F.ceil((F.unix_micros("end") - F.unix_micros("start")) / step)
+    rows = rows.select("start", "speed", step.alias("step"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("tick"))
+    return rows.select("speed", "tick", F.timestamp_micros(F.unix_micros("start") + F.col("tick") * F.col("step")).alias("now"))
+
+
+def as_of(times: DataFrame, events: DataFrame, *names: str) -> DataFrame:
+    """``names`` and ``now`` of ``times`` with what a replay shows then: ``applied``, ``last_applied``, ``complete``.
+
+    Both sides are ranked in one order, an event before a tick of the same time; a tick's
+    place less the ticks before it is its count of events, and the event of that place is
+    the last one applied.  No tick meets an event but in joins on places.
+    """
+    t = events.select(F.col("event_timestamp").cast("timestamp").alias("now"))
+    ours = ranked(times.select(*names, "now"), "now", *names, at="_tick")
+    both = ranked(t.select("now", F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_tick")).unionByName(ours.select("now", F.lit(1).alias("_kind"), "_tick")), "now", "_kind", "_tick", at="_place")
+    counts = both.where("_kind = 1").select("_tick", (F.col("_place") - F.col("_tick")).alias("applied"))
+    placed = ranked(t, "now", at="_at").select((F.col("_at") + 1).alias("applied"), F.col("now").alias("last_applied"))
+    total = t.agg(F.count("*").alias("_total"))  # one row
+    found = ours.join(counts, "_tick").join(placed, "applied", "left").join(F.broadcast(total))
+    return found.select(*names, "now", "applied", "last_applied", ((F.col("_total") > 0) & (F.col("applied") == F.col("_total"))).alias("complete"))
+
+
 @dataclass(frozen=True)
 class Clock:
     """State of a replay over sorted times."""

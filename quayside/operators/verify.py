@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import iso_micros
+from ..session import written
 
 REASONS = ("match", "schema_mismatch", "row_count_mismatch", "result_hash_mismatch")
 
@@ -46,6 +48,54 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return h.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws("|", F.count("*").cast("string"), total("a"), total("b")), 256).alias("fingerprint"))
 
 
+#: Leaves of a digest tree, and children of one of its nodes, as bits.
+LEAF_BITS, NODE_BITS = 16, 4
+
+
+def digest_tree(df: DataFrame, *key: str, bits: int = LEAF_BITS) -> DataFrame:
+    """(node, rows, a, b) of the leaves: rows by a hash of their key, each node with sums of two hashes of its rows.
+
+    Sums don't depend on order and add up, so the nodes above come from ``above``.
+    """
+    rows = canonical(df)
+    text = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    leaf = F.shiftrightunsigned(F.xxhash64(*key), 64 - bits)
+    hashed = rows.select(leaf.alias("node"), F.xxhash64(text).cast("decimal(38,0)").alias("a"), F.xxhash64(text, F.lit(1)).cast("decimal(38,0)").alias("b"))
+    return hashed.groupBy("node").agg(F.count("*").alias("rows"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def above(nodes: DataFrame, bits: int = NODE_BITS) -> DataFrame:
+    """The next level of a digest tree."""
+    return nodes.groupBy(F.shiftrightunsigned("node", bits).alias("node")).agg(*[F.sum(c).alias(c) for c in ("rows", "a", "b")])
+
+
+def differing_nodes(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Nodes of one level that the trees have in different forms."""
+    named = right.withColumnsRenamed({c: f"_{c}" for c in ("rows", "a", "b")})
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("rows", "a", "b")])
+    return left.join(named, "node", "full").where(~same).select("node")
+
+
+def differences(left: DataFrame, right: DataFrame, *key: str, bits: int = LEAF_BITS) -> DataFrame:
+    """(key..., problem) of rows that are not the same: ``missing_left``, ``missing_right`` or ``changed`` (rows of a key differ, also in number).
+
+    Only rows of leaves that differ are compared.  A key's rows are summed before they meet.
+    """
+    leaves = written(differing_nodes(digest_tree(left, *key, bits=bits), digest_tree(right, *key, bits=bits)))
+    leaf = F.shiftrightunsigned(F.xxhash64(*key), 64 - bits)
+
+    def keyed(df: DataFrame, side: str) -> DataFrame:
+        rows = canonical(df)
+        text = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+        rows = rows.select(*key, leaf.alias("node"), *[F.xxhash64(text, F.lit(i)).cast("decimal(38,0)").alias(f"h{i}") for i in range(2)]).join(leaves, "node", "left_semi")
+        return rows.groupBy(*key).agg(F.struct(F.count("*").alias("n"), F.sum("h0").alias("h0"), F.sum("h1").alias("h1")).alias(side))
+
+    a, b = keyed(left, "_left"), keyed(right, "_right").withColumnsRenamed({k: f"_r_{k}" for k in key})
+    met = a.join(b, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in key]), "full")
+    problem = F.when(F.col("_left").isNull(), "missing_left").when(F.col("_right").isNull(), "missing_right").when(F.col("_left") != F.col("_right"), "changed")
+    return met.select(*[F.when(F.col("_left").isNull(), F.col(f"_r_{k}")).otherwise(F.col(k)).alias(k) for k in key], problem.alias("problem")).where("problem is not null")
+
+
 def result_hash(df: DataFrame, most: int = 10_000) -> str:
     """SHA-256 of the sorted canonical rows of a small result, such as a KPI relation."""
     rows = canonical(df).toJSON().take(most + 1)

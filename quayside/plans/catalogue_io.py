@@ -6,18 +6,18 @@ that is not set) and read it back.
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..adapters import alarms, incidents, movements, read, telemetry
 from ..functions import scalars as S
-from ..operators import documents, kpi, presentation, silver
+from ..operators import documents, kpi, presentation, replay, silver, verify
 from ..schemas import KPI_COLUMNS, TABLES
+from ..session import scratch
 from ..sinks import bronze
-from ..sources import log, records, tables
+from ..sources import keyset, log, records, tables
 from ..streaming import consumer, decode
 from . import catalogue as base
 from .catalogue import _query, _sql_ts, _ts
@@ -25,12 +25,6 @@ from .catalogue import _query, _sql_ts, _ts
 EXTRACTED = datetime(2024, 3, 1)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
-    return f"{shared.rstrip('/')}/quayside-{uuid.uuid4().hex}"
-
-
 # Bronze trees and staging
 
 _ORDERS = """select 'mnt-' || lpad(cast(o_orderkey % 1000000 as varchar), 6, '0') as maintenance_order_id, 'QC-' || lpad(cast(o_custkey % 32 as varchar), 3, '0') as equipment_id,
@@ -188,11 +182,11 @@ def gold_assertions_broken(spark, d):
 
 # Import
 
-_LINES = """select event_id as i, 'alm-' || lpad(cast(case when event_id % 7 = 3 then event_id - 1 else event_id end as varchar), 6, '0') as id, user_id % 32 as machine, ts, event_id % 5 = 1 as extra, event_id % 11 = 2 as no_code, event_id % 13 = 3 as bad_severity,
- event_id % 17 = 4 as no_zone, event_id % 19 = 5 as backwards, event_id % 23 = 6 as blank, event_id % 29 = 7 as no_object from events where event_id < 1000000"""
+_LINES = """select event_id as i, event_id // 1000000 as batch, 'alm-' || lpad(cast((case when event_id % 7 = 3 then event_id - 1 else event_id end) % 1000000 as varchar), 6, '0') as id, user_id % 32 as machine, ts, event_id % 5 = 1 as extra, event_id % 11 = 2 as no_code, event_id % 13 = 3 as bad_severity,
+ event_id % 17 = 4 as no_zone, event_id % 19 = 5 as backwards, event_id % 23 = 6 as blank, event_id % 29 = 7 as no_object from events"""
 _SHAPES = """select i as row_index, '' as field, 'not a JSON object' as problem from l where no_object union all select i, 'extra', 'unknown field' from l where extra and not no_object union all select i, 'code', 'missing field' from l where no_code and not no_object
  union all select i, 'severity', 'not a valid string' from l where bad_severity and not no_object union all select i, 'opened_at', 'not a valid timestamp' from l where no_zone and not no_object union all select i, 'code', 'not a valid string' from l where blank and not no_code and not no_object"""
-_REPEATED = "select i, row_number() over (partition by id order by i) as nth from l where not no_object"
+_REPEATED = "select i, row_number() over (partition by batch, id order by i) as nth from l where not no_object"
 
 
 @_query(
@@ -202,27 +196,27 @@ _REPEATED = "select i, row_number() over (partition by id order by i) as nth fro
     l=_LINES, shapes=_SHAPES, repeated=_REPEATED,
 )
 def import_issues(spark, d):
-    """JSON lines of alarms: unknown, missing and wrong fields, times without a zone, times out of order, repeated keys."""
-    e, i = read(spark, d, "events").where("event_id < 1000000"), F.col("event_id")
+    """JSON lines of alarms, in batches of a million keys: unknown, missing and wrong fields, times without a zone, times out of order, repeated keys."""
+    e, i = read(spark, d, "events"), F.col("event_id")
     at = S.iso_micros("ts")
-    key = S.padded("alm-", F.when(i % 7 == 3, i - 1).otherwise(i), 6)
+    key = S.padded("alm-", F.when(i % 7 == 3, i - 1).otherwise(i) % 1_000_000, 6)
     fields = [
         ("alarm_id", key), ("equipment_id", S.padded("QC-", F.col("user_id") % 32)), ("severity", F.when(i % 13 == 3, "LOUD").otherwise("INFO")), ("opened_at", F.when(i % 17 == 4, F.regexp_replace(at, "Z$", "")).otherwise(at)),
         ("cleared_at", F.when(i % 19 == 5, "2000-01-01T00:00:00Z").otherwise("2030-01-01T00:00:00Z")), ("created_at", at), ("updated_at", at), ("code", F.when(i % 23 == 6, "  ").otherwise("c")), ("extra", F.lit("x")),
     ]
     whole = F.create_map(*[x for n, v in fields for x in (F.lit(n), v)])
     kept = F.map_filter(whole, lambda k, v: ~((k == "code") & (i % 11 == 2)) & ~((k == "extra") & (i % 5 != 1)))
-    lines = e.select(i.alias("row_index"), F.when(i % 29 == 7, "not json").otherwise(F.to_json(kept)).alias("raw"))
+    lines = e.select(i.alias("row_index"), F.expr("event_id div 1000000").alias("batch"), F.when(i % 29 == 7, "not json").otherwise(F.to_json(kept)).alias("raw"))
     known = {"equipment_id": telemetry(spark, d).select("equipment_id")}
-    return records.import_issues(lines, "alarms", known).select("row_index", "field", "problem")
+    return records.import_issues(lines, "alarms", known, batch="batch").select("row_index", "field", "problem")
 
 
 @_query("", f"select i as row_index, id as alarm_id, {_sql_ts('ts')} as opened_at, case when no_code then null when blank then '  ' else 'c' end as code from l where not no_object and not no_zone", l=_LINES)
 def import_normalised(spark, d):
     """The typed fields of lines that are objects with a time in UTC."""
-    e, i = read(spark, d, "events").where("event_id < 1000000"), F.col("event_id")
+    e, i = read(spark, d, "events"), F.col("event_id")
     at = S.iso_micros("ts")
-    body = F.struct(S.padded("alm-", F.when(i % 7 == 3, i - 1).otherwise(i), 6).alias("alarm_id"), F.when(i % 17 == 4, F.regexp_replace(at, "Z$", "")).otherwise(at).alias("opened_at"), F.when(i % 11 == 2, None).when(i % 23 == 6, "  ").otherwise("c").alias("code"))
+    body = F.struct(S.padded("alm-", F.when(i % 7 == 3, i - 1).otherwise(i) % 1_000_000, 6).alias("alarm_id"), F.when(i % 17 == 4, F.regexp_replace(at, "Z$", "")).otherwise(at).alias("opened_at"), F.when(i % 11 == 2, None).when(i % 23 == 6, "  ").otherwise("c").alias("code"))
     lines = e.select(i.alias("row_index"), F.when(i % 29 == 7, "[1]").otherwise(F.to_json(body)).alias("raw"))
     out = records.normalise(lines, "alarms").where("opened_at is not null")
     return out.select("row_index", "alarm_id", _ts("opened_at").alias("opened_at"), "code")
@@ -373,6 +367,41 @@ def stream_log_batches(spark, d):
     return spark.read.parquet(f"{root}/seen").select("event_id", F.col("partition").cast("long").alias("partition"), "offset", F.col("batch").cast("long").alias("batch"))
 
 
+# Ranks and comparison over whole relations
+
+
+_TICKS = "select speed, i as tick, s + to_microseconds(cast(i * speed * 21600000000 as bigint)) as now from (select s, speed, unnest(range(cast(ceil((epoch_us(e) - epoch_us(s)) / (speed * 21600000000)) as bigint) + 1)) as i from (select min(event_timestamp) as s, max(event_timestamp) as e from telemetry), (values (0.5), (1.0), (2.0), (4.0)) as v(speed))"
+_SHOWN = "select speed, tick, now, (select count(*) from telemetry where event_timestamp <= now) as applied, (select max(event_timestamp) from telemetry where event_timestamp <= now) as last from ticks"
+
+
+@_query("telemetry", f"select cast(speed as double) as speed, tick, {_sql_ts('now')} as now, applied, {_sql_ts('last')} as last_applied, applied = (select count(*) from telemetry) as complete from shown", ticks=_TICKS, shown=_SHOWN)
+def replay_ticks(spark, d):
+    """A tick of six hours at each speed: events applied, the last of them, whether the replay is complete."""
+    t = telemetry(spark, d)
+    shown = replay.as_of(replay.ticks(t, 6 * 3600 * 1000), t, "speed", "tick")
+    return shown.select("speed", "tick", _ts("now").alias("now"), "applied", _ts("last_applied").alias("last_applied"), "complete")
+
+
+@_query("telemetry", "select event_id, cast((row_number() over (order by event_id) - 1) // 37 as bigint) as batch from telemetry")
+def keyset_one_hour(spark, d):
+    """Batches of rows that all have the same time."""
+    rows = telemetry(spark, d).select("event_id").withColumn("updated_at", F.lit(EXTRACTED))
+    return keyset.batches(rows, "event_id", size=37).select("event_id", "batch")
+
+
+@_query(
+    "telemetry",
+    """select event_id, case when n % 97 = 0 then 'missing_right' else 'changed' end as problem from (select event_id, cast(right(event_id, 6) as integer) as n, load_percent from telemetry) where n % 97 = 0 or n % 89 = 0 or n % 79 = 0
+ union all select 'new-' || event_id, 'missing_left' from telemetry where cast(right(event_id, 6) as integer) % 83 = 0""",
+)
+def relation_differences(spark, d):
+    """Rows that were dropped, changed, repeated and added, named exactly."""
+    t, n = telemetry(spark, d), F.substring("event_id", -6, 6).cast("int")
+    other = t.where(n % 97 != 0).withColumn("temperature_c", F.when(n % 89 == 0, F.col("temperature_c") + 0.25).otherwise(F.col("temperature_c")))
+    added = t.where(n % 83 == 0).withColumn("event_id", F.concat(F.lit("new-"), "event_id"))
+    return verify.differences(t, other.unionByName(other.where(n % 79 == 0)).unionByName(added), "event_id")
+
+
 # Documents read back, texts, scalars
 
 

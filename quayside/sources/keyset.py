@@ -8,9 +8,10 @@ from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.prefix import ranked
+
 FIRST = (datetime(1970, 1, 1, tzinfo=UTC), "")
 
 
@@ -26,16 +27,8 @@ def page(rows: DataFrame, key: str, cursor: tuple = FIRST, size: int = 1000, tim
 
 
 def batches(rows: DataFrame, key: str, cursor: tuple = FIRST, size: int = 1000, time: str = "updated_at") -> DataFrame:
-    """All rows after a cursor with ``batch``, the page each would come in.
-
-    Ranks are made in two steps: rows are ranked inside their hour, and the
-    hours' counts give each hour its first rank, so no task holds all rows.
-    """
-    new = rows.where(after(time, key, cursor)).withColumn("_hour", F.date_trunc("hour", time))
-    counts = new.groupBy("_hour").agg(F.count("*").alias("_n"))
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(W.orderBy("_hour").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_hour", "_start")
-    ranked = new.withColumn("_at", F.row_number().over(W.partitionBy("_hour").orderBy(time, key)) - 1)
-    return ranked.join(starts, "_hour").withColumn("batch", F.floor((F.col("_start") + F.col("_at")) / size)).drop("_hour", "_at", "_start")
+    """All rows after a cursor with ``batch``, the page each would come in."""
+    return ranked(rows.where(after(time, key, cursor)), time, key, at="_at").withColumn("batch", F.expr(f"_at div {size}")).drop("_at")
 
 
 class CursorStore:

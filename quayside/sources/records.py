@@ -25,7 +25,7 @@ def _typed(value: Column, kind: T.DataType) -> Column:
     return value if isinstance(kind, T.StringType) else value.try_cast(kind)
 
 
-def normalise(rows: DataFrame, table: str) -> DataFrame:
+def normalise(rows: DataFrame, table: str, *carried: str) -> DataFrame:
     """(row_index, columns..., problems): typed fields and what was wrong with them.
 
     ``problems`` holds (field, problem): unknown and missing fields, wrong kinds,
@@ -52,19 +52,23 @@ def normalise(rows: DataFrame, table: str) -> DataFrame:
         checks.append(F.when(F.col("_m").isNotNull(), F.when(~there, problem(c, "missing field")).when(there & value.isNull() & F.lit(c not in spec.nullable), problem(c, "must not be null")).when(wrong, problem(c, f"not a valid {kind.simpleString()}"))))
         columns.append(typed.alias(c))
     found = F.filter(F.concat(F.array(*checks), F.coalesce(unknown, F.array().cast("array<struct<field: string, problem: string>>"))), lambda x: x.isNotNull())
-    return parsed.select("row_index", *columns, found.alias("problems"))
+    return parsed.select("row_index", *carried, *columns, found.alias("problems"))
 
 
-def import_issues(rows: DataFrame, table: str, references: dict[str, DataFrame]) -> DataFrame:
-    """(row_index, field, problem) of a batch: shape, then rules, then keys repeated inside it."""
-    from pyspark.sql import Window as W
+def import_issues(rows: DataFrame, table: str, references: dict[str, DataFrame], batch: str | None = None) -> DataFrame:
+    """(row_index, field, problem) of a batch: shape, then rules, then keys repeated inside it.
 
+    Rows of several batches at once have a column ``batch``, inside which keys are compared.  A key's
+    first row is found by partial aggregation, so a key of very many rows is no task's.
+    """
     spec = TABLES[table]
-    typed = normalise(rows, table)
+    own = [] if batch is None else [batch]
+    typed = normalise(rows, table, *own)
     shape = typed.select("row_index", F.explode("problems").alias("p")).select("row_index", "p.field", "p.problem")
     checked = with_references(typed, spec, references) if spec.references else typed
     rules = issues(_ranges(spec) + reference_rules(spec) + temporal_rules(spec))
     broken = checked.where(F.size("problems") == 0).select("row_index", F.explode(rules).alias("i")).select("row_index", F.lit("").alias("field"), F.col("i.detail").alias("problem"))
-    w = W.partitionBy(spec.key).orderBy("row_index")
-    repeats = typed.where(F.col(spec.key).isNotNull()).withColumn("_nth", F.row_number().over(w)).where("_nth > 1").select("row_index", F.lit(spec.key).alias("field"), F.lit("repeated in this batch").alias("problem"))
+    keyed = typed.where(F.col(spec.key).isNotNull()).select("row_index", *own, spec.key)
+    first = keyed.groupBy(*own, spec.key).agg(F.min("row_index").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    repeats = keyed.join(first, [*own, spec.key]).where("row_index > _first").select("row_index", F.lit(spec.key).alias("field"), F.lit("repeated in this batch").alias("problem"))
     return shape.unionByName(broken).unionByName(repeats)
