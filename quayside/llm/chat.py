@@ -1,8 +1,9 @@
 """Chat formatting with a grammar round trip.
 
 Turns are rendered with a template of control strings and read again by a
-deterministic parser.  The first turn that is read differently from the source is
-escaped and the conversation is rendered again, until both are identical.  Escaping
+deterministic parser.  A turn that is read differently from the source is escaped and
+rendered again, once, since a turn is read alone; then the whole conversation is read and
+compared, so the work is linear in its text.  Escaping
 puts a backslash after the first character of each control string of a text (and one
 more where backslashes already stand there), so it is undone exactly.  A turn ends at
 the first closing string of its own role, so only texts that hold this string, or
@@ -13,7 +14,8 @@ The loss mask is the span of every assistant text, markers left out.
 Rows: turns go by (turn, role, text); a null text or role is empty; repeated rows
 are turns of their own; a null id is a conversation like others; columns that the
 operator doesn't name are not read; an empty table gives an empty one.  A conversation
-is one value: all its turns meet in one task and its text must fit there (under 2 GB).
+is one value: its turns come to one task one after another and its text must fit there
+(under 2 GB).
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ OTHER = ("<s>[ROLE ", "] ", " [/ROLE]")
 _CONTROL = re.compile(r"([<\[])(\\*)(/?s>|/?INST\]|OUT\]|</?SYS>>|/?ROLE\b)")
 _ESCAPED = re.compile(r"([<\[])\\(\\*)(/?s>|/?INST\]|OUT\]|</?SYS>>|/?ROLE\b)")
 _ROLE = re.compile(r"[A-Za-z0-9_.-]*\Z")
+#: Characters of formatted text that a task holds before it hands them on.
+OUT_CHARS = 16 << 20
 
 
 def escape(text: str) -> str:
@@ -42,17 +46,14 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1\2\3", text)
 
 
-def render(turns: list[tuple[str, str]], escaped: set[int]) -> str:
-    out = []
-    for i, (role, text) in enumerate(turns):
-        text = escape(text) if i in escaped else text
-        if role in MARKS:
-            begin, end = MARKS[role]
-        else:
-            name = role if _ROLE.match(role) and not role.startswith("0x") else "0x" + role.encode("utf-8").hex()
-            begin, end = f"{OTHER[0]}{name}{OTHER[1]}", OTHER[2]
-        out += [begin, text, end]
-    return "".join(out)
+def _dressed(role: str, text: str) -> str:
+    """A turn with the control strings of its role."""
+    if role in MARKS:
+        begin, end = MARKS[role]
+    else:
+        name = role if _ROLE.match(role) and not role.startswith("0x") else "0x" + role.encode("utf-8").hex()
+        begin, end = f"{OTHER[0]}{name}{OTHER[1]}", OTHER[2]
+    return f"{begin}{text}{end}"
 
 
 def read(formatted: str) -> Iterator[tuple[str, str, int, int]]:
@@ -86,35 +87,71 @@ def parse(formatted: str) -> list[tuple[str, str, int, int]]:
     return list(read(formatted))
 
 
+def format_turn(role: str, text: str) -> str:
+    """The rendered turn whose parse is identical to the source, escaped only if it is in conflict.
+
+    A turn ends at the first closing string of its role, so what it is read as does not
+    depend on the turns beside it.
+    """
+    for said in (text, escape(text)):
+        turn = _dressed(role, said)
+        if [(t[0], t[1]) for t in read(turn)] == [(role, text)]:
+            return turn
+    raise ValueError("a turn can't be rendered")
+
+
 def format_conversation(turns: list[tuple[str, str]]) -> str:
     """The rendered text whose parse is identical to ``turns``."""
-    escaped: set[int] = set()
-    while True:
-        formatted = render(turns, escaped)
-        back = [(t[0], t[1]) for t in read(formatted)]
-        if back == turns:
-            return formatted
-        wrong = next((i for i, (a, b) in enumerate(zip(turns, back, strict=False)) if a != b), len(back))
-        if wrong in escaped or wrong >= len(turns):
-            raise ValueError("a conversation can't be rendered")
-        escaped.add(wrong)
+    formatted = "".join(format_turn(role, text) for role, text in turns)
+    if [(t[0], t[1]) for t in read(formatted)] != turns:
+        raise ValueError("a conversation can't be rendered")
+    return formatted
+
+
+_SPANS = pa.list_(pa.struct([("role", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted turns to a row for each conversation, turn by turn; a conversation may go on in the next batch."""
+    now: tuple[int | None] | None = None
+    turns: list[tuple[str, str]] = []
+    out: list[tuple] = []
+    size = 0
+
+    def end() -> None:
+        formatted = format_conversation(turns)
+        out.append((now[0], formatted, [{"role": r, "start": a, "end": b} for r, _, a, b in read(formatted)]))
+        turns.clear()
+
+    def told() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], _SPANS)], names=["conv_id", "formatted", "spans"])
+        out.clear()
+        return batch
+
     for batch in batches:
-        out = []
-        for turns in batch.column("turns").to_pylist():
-            formatted = format_conversation([(t["role"], t["text"]) for t in turns])
-            out.append((formatted, [{"role": r, "start": a, "end": b} for r, _, a, b in parse(formatted)]))
-        kind = pa.list_(pa.struct([("role", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], kind)], names=["conv_id", "formatted", "spans"])
+        for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+            if (conv,) != now:
+                if now is not None:
+                    end()
+                    size += len(out[-1][1])
+                    if size > OUT_CHARS:
+                        yield told()
+                        size = 0
+                now = (conv,)
+            turns.append((role, text))
+    if now is not None:
+        end()
+        yield told()
 
 
 def format_chats(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, formatted, spans): rendered conversations; a span is the place of a turn's text, its role with it."""
-    one = F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    chats = rows.groupBy(F.col(conv_id).cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("turns"))
-    return chats.mapInArrow(_format, "conv_id long, formatted string, spans array<struct<role: string, start: int, end: int>>")
+    """(conv_id, formatted, spans): rendered conversations; a span is the place of a turn's text, its role with it.
+
+    Spark sorts the turns of whole conversations into tasks, which read them one after another.
+    """
+    turns = rows.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    turns = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    return turns.mapInArrow(_format, "conv_id long, formatted string, spans array<struct<role: string, start: int, end: int>>")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
