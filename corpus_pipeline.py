@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quayside.llm.common import discard, free_name, materialise, scratch_dir, scratch_scope, table
 from quayside.llm.jaccard import one_of_each
 from quayside.llm.packing import pack
-from quayside.llm.perplexity import quality_rules
+from quayside.llm.perplexity import row_key, verdicts
 from quayside.llm.substrings import remove_repeats
 from quayside.llm.weaklabels import keep_good
 
@@ -36,9 +36,9 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows that repeat each other share a verdict; the band's ends belong to it.
     """
     name = free_name(docs, "row")
-    # a hash of (doc_id, text) tells rows apart that repeat a doc_id
-    good = quality_rules(docs).where("kept").select(F.col("row").alias(name)).distinct()
-    return docs.withColumn(name, F.xxhash64("doc_id", "text")).join(good, name, "left_semi").drop(name)
+    # tells rows apart that repeat a doc_id
+    good = verdicts(docs).where("kept").select(F.col("row").alias(name))
+    return docs.withColumn(name, row_key()).join(good, name, "left_semi").drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -303,9 +303,12 @@ _KEPT = ("doc_id", "lang", "row", "content")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as zstd bytes with their length, for the way to their lots."""
+    """Texts as zstd bytes with their length, for the way to their lots; a row that repeats one of its task stays behind."""
     codec = pa.Codec("zstd", 1)
+    seen: set[int] = set()
     for part in K.slices(batches):
+        fresh = [not (r in seen or seen.add(r)) for r in part.column("row").to_pylist()]
+        part = part.filter(pa.array(fresh))
         data, off = K.text_bytes(part.column("text"))
         raw = data.tobytes()
         zipped = [codec.compress(raw[a:b], asbytes=True) for a, b in zip(off[:-1], off[1:], strict=True)]
@@ -343,6 +346,8 @@ def _grams_of_lot(lot: pa.Table) -> pa.Table:
 
 def _score_lot(lot: pa.Table, scores: pa.Table) -> pa.Table:
     """Rule counts and nats a character of each row of a lot, with the sorted hash array of the lot's n-grams."""
+    # a row that several tasks sent is scored once
+    lot = lot.take(pa.array(np.sort(np.unique(lot["row"].to_numpy(), return_index=True)[1])))
     key = scores["key"].to_numpy().view(np.uint64)
     order = np.argsort(key)
     known = SortedHashes(key[order])
@@ -393,7 +398,18 @@ def in_lots(rows: DataFrame, lot_bytes: int = LOT_BYTES) -> DataFrame:
     return packed.join(materialise(sizes), ["model", "fold"]).withColumn("lot", F.xxhash64("model", "fold", F.pmod("row", "parts"))).drop("parts")
 
 
-def quality_rules(
+def row_key(doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Column:
+    """A hash that rows share only if they are judged alike."""
+    return F.xxhash64(F.col(doc_id), F.col(text), F.coalesce(F.col(lang), F.lit("und")))
+
+
+def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **how) -> DataFrame:
+    """``verdicts`` for each row of ``docs``: rows that repeat each other have the same."""
+    found = verdicts(docs, doc_id, text, lang, **how).drop("doc_id")
+    return docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text, lang).alias("row")).join(found, "row")
+
+
+def verdicts(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -403,13 +419,14 @@ def quality_rules(
     width: float = WIDTH,
     lot_bytes: int = LOT_BYTES,
 ) -> DataFrame:
-    """Rule counts, perplexity and verdict of each row: the columns of op4's contract and ``perplexity``, ``row``.
+    """Rule counts, perplexity and verdict of each distinct (doc_id, text, lang): the columns of op4's contract and ``perplexity``, ``row``.
 
-    ``row`` is ``xxhash64`` of (doc_id, text), for joining verdicts to rows that repeat a doc_id.
+    ``row`` is their ``row_key``.  However often a row is repeated, it is packed once a
+    task and scored once, so no lot fills with its copies.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
     fold: Column = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
-    rows = rows.select("*", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("content"), F.xxhash64("lang").alias("model"), fold.alias("fold"))
+    rows = rows.select("*", row_key().alias("row"), F.xxhash64("text").alias("content"), F.xxhash64("lang").alias("model"), fold.alias("fold"))
     scores = materialise(cross_scores(materialise(count_grams(rows))))
     lots = in_lots(rows, lot_bytes)
     fetched = lots.groupBy("lot").applyInArrow(_grams_of_lot, "lot long, key long").join(scores, "key").select("lot", "key", "logp", "logp_all")

@@ -351,6 +351,17 @@ def test_prose_of_two_languages_stays(spark):
     assert all(kept[i] == (i < 2000) for i, *_ in rows)
 
 
+def test_repeated_rows_are_packed_once_a_task(spark):
+    """A third of all rows repeat one row, some under another language: each has its verdict, and a task packs it once."""
+    rows = [(i, f"{'lorem ipsum dolor sit amet ' * 12}{i}", "la") for i in range(60)] + [(999, "same words over and over again, " * 20, "la")] * 30 + [(999, "same words over and over again, " * 20, "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    out = perplexity.quality_rules(df).collect()
+    assert len(out) == len(rows) and len({r.row for r in out}) == 62
+    assert len({(r.n_words, r.kept, r.perplexity) for r in out if r.doc_id == 999}) <= 2
+    judged = df.select("doc_id", "text", "lang", perplexity.row_key().alias("row"), F.lit(0).cast("long").alias("model"), F.lit(0).alias("fold"), F.lit(0).cast("long").alias("content"))
+    assert perplexity.in_lots(judged).where("doc_id = 999").count() <= 2 * 3
+
+
 def test_quality_rules_empty(empty):
     assert perplexity.quality_rules(empty).count() == 0
 
