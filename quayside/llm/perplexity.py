@@ -180,6 +180,8 @@ def probabilities(scored: list[DataFrame], counted: list[DataFrame], least: floa
     """(model, fold, a, b, c, d, p): of each n-gram of ``scored`` its interpolated probability by the counts ``counted`` of the same model and fold.
 
     Both are levels, lowest first.  A discount of zero would leave nothing for unseen n-grams.
+    Each order is a plan of its own over written tables, which keeps the plans, and what the
+    driver holds to revise them, small.
     """
     below, cuts = None, discounts(counted, least)
     cut = F.coalesce(F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")), F.least("n", F.lit(3)) * least)
@@ -191,6 +193,8 @@ def probabilities(scored: list[DataFrame], counted: list[DataFrame], least: floa
         p = p.join(context, ["model", "fold", *names[:-1]], "left")
         p = p.withColumn("lower", F.lit(1.0 / ALPHABET)) if below is None else p.join(below.withColumnRenamed("p", "lower"), ["model", "fold", *names[1:]])
         below = p.select("model", "fold", *names, (F.coalesce(F.col("left") / F.col("total"), F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("lower")).alias("p"))
+        if n < ORDER:
+            below = materialise(below)
     return below
 
 
