@@ -96,6 +96,23 @@ def bronze_lineage(spark, d):
     return tables.read_bronze(spark, root, "alarms").select("alarm_id", "source_table", "extraction_run_id", _ts("source_updated_at").alias("source_updated_at"), _ts("extracted_at").alias("extracted_at"))
 
 
+@_query(
+    "telemetry",
+    """select event_id, origin, case when origin = 'database' then round(load_percent, 2) else load_percent end as load_percent, case when origin = 'stream' then event_id end as note, origin <> 'old' as has_state from telemetry, (values ('database'), ('stream'), ('old')) as o(origin)""",
+)
+def bronze_both_origins(spark, d):
+    """One tree of a database's decimals, a stream's doubles with a column more, and an old part with a column less."""
+    root, t = scratch(spark), telemetry(spark, d)
+    t = t.withColumns({c: F.col("event_timestamp") for c in ("created_at", "updated_at")}).withColumn("schema_version", F.lit(1))
+    for origin, rounded in (("database", True), ("stream", False), ("old", False)):
+        rows = t.withColumn("load_percent", F.round("load_percent", 2)) if rounded else t
+        part = bronze.bronze_rows(rows, "telemetry_events", origin, F.lit(EXTRACTED), decimals=rounded)
+        part = part.withColumn("note", F.col("event_id")) if origin == "stream" else part.drop("state") if origin == "old" else part
+        bronze.write_once(part, f"{root}/telemetry_events/run={origin}")
+    rows = tables.read_bronze(spark, root, "telemetry_events")
+    return rows.select("event_id", F.col("extraction_run_id").alias("origin"), "load_percent", "note", F.col("state").isNotNull().alias("has_state"))
+
+
 # All reasons of quarantine
 
 _BAD = """select event_id, run, load_percent, state, available, n % 13 = 0 as no_run, n % 23 = 0 as bad_id, n % 17 = 0 as bad_state, n % 19 = 0 as bad_version, n % 11 = 0 as no_terminal, n % 31 = 0 as early,

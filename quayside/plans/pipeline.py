@@ -71,19 +71,21 @@ def export(relations: dict[str, DataFrame], layers: Layers, out_dir: str, snapsh
     """Publishes the five datasets, incidents and events in parts; the quality document has the true counts."""
     kpis = relations["overview_kpis"].persist()
     try:
-        if not documents.kpi_violations(kpis).isEmpty():
+        status = "PASS" if documents.kpi_violations(kpis).isEmpty() else "FAIL"
+        if status == "FAIL":
             raise PipelineError("the KPI relation contradicts itself")
+        balanced = "PASS" if layers.bronze_rows == layers.silver_rows + layers.quarantine_rows else "FAIL"
         telemetry = relations["telemetry_events"]
         period = kpis.agg(iso_seconds(F.min("source_period_start")).alias("a"), iso_seconds(F.max("source_period_end")).alias("b")).first()
         overviews = publish.documents(documents.overview(kpis).orderBy("terminal_id"))
         datasets = {
             "overview": overviews[0] if len(overviews) == 1 else overviews,
-            "equipment": publish.documents(documents.equipment(telemetry, relations["alarms"], kpis)),
+            "equipment": documents.equipment(telemetry, relations["alarms"], kpis),
             "incidents": documents.incidents(documents.incidents_with_terminal(relations["incidents"], telemetry)),
             "event-replay": documents.replay_events(telemetry),
-            "quality": {"bronze_rows": layers.bronze_rows, "silver_rows": layers.silver_rows, "quarantine_rows": layers.quarantine_rows, "reason_counts": layers.reason_counts, "dbt_test_status": "PASS"},
+            "quality": {"bronze_rows": layers.bronze_rows, "silver_rows": layers.silver_rows, "quarantine_rows": layers.quarantine_rows, "reason_counts": layers.reason_counts, "dbt_test_status": status},
         }
-        return publish.publish(out_dir, datasets, snapshot_id=snapshot_id, quality_status="PASS", period=(period["a"], period["b"]), generated_at=generated_at)
+        return publish.publish(out_dir, datasets, snapshot_id=snapshot_id, quality_status=balanced, period=(period["a"], period["b"]), generated_at=generated_at)
     finally:
         kpis.unpersist()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.verify import fingerprint
 from ..schemas import TABLES
@@ -13,9 +14,13 @@ class BronzeConflict(RuntimeError):
     """A target exists with other rows."""
 
 
-def bronze_rows(rows: DataFrame, table: str, run_id: str, extracted_at: Column) -> DataFrame:
-    """Declared columns and types, and lineage; ``extracted_at`` is made two seconds later."""
-    cast = [F.col(c).cast(t).alias(c) for c, t in TABLES[table].all_columns.items()]
+def bronze_rows(rows: DataFrame, table: str, run_id: str, extracted_at: Column, decimals: bool = True) -> DataFrame:
+    """Declared columns and types, and lineage; ``extracted_at`` is made two seconds later.
+
+    Without ``decimals`` numbers of the source stay doubles, as they came.
+    """
+    kinds = {c: T.DoubleType() if isinstance(t, T.DecimalType) and not decimals else t for c, t in TABLES[table].all_columns.items()}
+    cast = [F.col(c).cast(t).alias(c) for c, t in kinds.items()]
     later = (extracted_at + F.expr("interval 2 seconds")).alias("extracted_at")
     return rows.select(*cast, F.lit(table).alias("source_table"), F.lit(run_id).alias("extraction_run_id"), F.col("updated_at").cast("timestamp").alias("source_updated_at"), later)
 

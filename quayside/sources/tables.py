@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,19 +12,41 @@ from ..schemas import TABLES
 
 
 def read_bronze(spark: SparkSession, bronze_dir: str, table: str) -> DataFrame:
-    """All Bronze rows of a table, schemas united by name, with origin; staging folders are skipped."""
+    """All Bronze rows of a table, schemas united by name, with origin; staging folders are skipped.
+
+    A column missing from a part is null there.  Parts whose types can't be merged, such as
+    decimals of a database and doubles of a stream, are read by groups of one schema and
+    brought to the wider type, so that no value is rounded.
+    """
     path = f"{bronze_dir}/{table}"
     try:
         rows = spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(path)
     except Exception as error:
+        if "CANNOT_MERGE_SCHEMAS" in str(error):
+            return _by_schema(spark, path)
         if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
             rows = spark.createDataFrame([], TABLES[table].bronze)
             return rows.withColumn("_path", F.lit("")).withColumn("_ordinal", F.lit(0).cast("long"))
         raise
+    return _with_origin(rows)
+
+
+def _with_origin(rows: DataFrame) -> DataFrame:
     rows = rows.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_ordinal"))
     return rows.where(~F.col("_path").contains("/.staging/"))
 
 
+def _by_schema(spark: SparkSession, path: str) -> DataFrame:
+    """The parts of a tree (its first level of folders, one write each) in groups of one schema, united by name."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    place = F.regexp_extract("path", "/" + re.escape(path.rstrip("/").rpartition("/")[2]) + "/([^/]+)", 1)
+    groups: dict[str, list[str]] = {}
+    for part in sorted(r.part for r in files.select(place.alias("part")).where("part != '.staging'").distinct().collect()):
+        kind = spark.read.option("recursiveFileLookup", True).parquet(f"{path}/{part}").schema
+        groups.setdefault(kind.json(), []).append(f"{path}/{part}")
+    return union_by_name(*[_with_origin(spark.read.option("recursiveFileLookup", True).parquet(*parts)) for _, parts in sorted(groups.items())])
+
+
 def staging(rows: DataFrame, table: str) -> DataFrame:
     """The typed projection that Gold reads: decimals become doubles, types are fixed."""
     spec = TABLES[table]

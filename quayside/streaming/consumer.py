@@ -154,7 +154,7 @@ def process_batch(
 def _write_bronze(bronze_dir: str, run_id: str) -> Callable[[DataFrame, str], None]:
     def write(events: DataFrame, batch: str) -> None:
         rows = events.select(*FIELDS).withColumn("created_at", F.col("ingestion_timestamp")).withColumn("updated_at", F.col("ingestion_timestamp"))
-        rows = bronze_rows(rows, "telemetry_events", run_id, F.col("ingestion_timestamp"))
+        rows = bronze_rows(rows, "telemetry_events", run_id, F.col("ingestion_timestamp"), decimals=False)
         rows.write.mode("overwrite").parquet(f"{bronze_dir}/telemetry_events/batch-{batch}")
 
     return write

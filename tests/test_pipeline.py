@@ -21,8 +21,9 @@ def test_whole_path_and_rerun(spark, tmp_path):
     over = shown["overview"]["data"]
     assert over["scheduled_intervals"] == 288 and over["throughput"] == 4 and over["mttr_minutes"] == 30.0 and over["mtbf_hours"] == 24.0
     assert over["active_incidents"] == 1 and over["critical_alarms"] == 1 and over["operating_hours"] == 24.0
-    (machine,) = shown["equipment"]["data"]
-    assert machine["equipment_id"] == "QC-001" and machine["alarm_count"] == 3
+    (machine,) = publish.rows(spark, f"{tmp_path}/out", "equipment", "equipment_id string, alarm_count long").collect()
+    assert (machine.equipment_id, machine.alarm_count) == ("QC-001", 3)
+    assert manifest["quality_status"] == quality["dbt_test_status"] == "PASS"
     # nothing new: the cursors stand at the end
     assert pipeline.extract(source, f"{tmp_path}/work/bronze", keyset.CursorStore(f"{tmp_path}/work/cursors.json"), "run-2") == 0
     assert manifest["snapshot_id"] == "run-1" and json.loads((tmp_path / "out/manifest.json").read_text()) == manifest
