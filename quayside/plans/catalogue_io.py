@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..adapters import alarms, incidents, movements, read, telemetry
+from ..functions import jsonschema
 from ..functions import scalars as S
 from ..operators import documents, kpi, presentation, replay, silver, verify
-from ..schemas import KPI_COLUMNS, TABLES
+from ..schemas import DOCUMENT_SCHEMAS, KPI_COLUMNS, TABLES
 from ..session import scratch
 from ..sinks import bronze
 from ..sources import keyset, log, records, tables
@@ -419,6 +420,63 @@ def relation_differences(spark, d):
     return verify.differences(t, other.unionByName(other.where(n % 79 == 0)).unionByName(added), "event_id")
 
 
+# Published documents against their schemas
+
+_EVENT_DOCS = "select event_id as id, cast(right(event_id, 6) as integer) as n from telemetry"
+_INCIDENT_DOCS = "select incident_id as id, cast(right(incident_id, 6) as integer) as n, resolved_at from (select * exclude (terminal_id) from incidents) join bridge using (equipment_id)"
+
+
+@_query(
+    "telemetry incidents",
+    """select 'event' as document, id, '' as path, 'json' as rule from e where n % 29 = 0 union all select 'event', id, '/state', 'enum' from e where n % 7 = 0 and n % 29 <> 0
+ union all select 'event', id, '/event_timestamp', 'required' from e where n % 11 = 0 and n % 29 <> 0 union all select 'event', id, '/note', 'additionalProperties' from e where n % 13 = 0 and n % 29 <> 0
+ union all select 'event', id, '/available', 'type' from e where n % 17 = 0 and n % 29 <> 0 union all select 'event', id, '/terminal_id', 'pattern' from e where n % 19 = 0 and n % 29 <> 0
+ union all select 'event', id, '/event_timestamp', 'pattern' from e where n % 23 = 0 and n % 11 <> 0 and n % 29 <> 0
+ union all select 'incident', id, '/severity', 'enum' from i where n % 5 = 0 union all select 'incident', id, '/root_cause', 'minLength' from i where n % 7 = 0
+ union all select 'incident', id, '/status', 'enum' from i where n % 11 = 0 union all select 'incident', id, '/resolved_at', 'pattern' from i where n % 13 = 0 and resolved_at is not null""",
+    bridge=base._BRIDGE, e=_EVENT_DOCS, i=_INCIDENT_DOCS,
+)
+def document_issues(spark, d):
+    """Event and incident documents, spoilt in every way their schemas speak of, and the path and keyword of each issue."""
+    n, put = F.col("n"), lambda c, by, value: F.when(F.col("n") % by == 0, value).otherwise(F.col(c)).alias(c)
+    unzoned = lambda c: F.regexp_replace(c, "Z$", "")
+    e = documents.replay_events(telemetry(spark, d)).withColumns({"n": F.substring("event_id", -6, 6).cast("int"), "id": F.col("event_id")})
+    at = F.when(n % 11 == 0, None).when(n % 23 == 0, unzoned("event_timestamp")).otherwise(F.col("event_timestamp")).alias("event_timestamp")
+    body = F.to_json(F.struct("event_id", "equipment_id", put("terminal_id", 19, "TM-1"), at, put("state", 7, "BROKEN"), "available", F.when(n % 13 == 0, "x").alias("note")))
+    body = F.when(n % 17 == 0, F.regexp_replace(body, '"available":(true|false)', '"available":"$1"')).otherwise(body)
+    e = e.select("id", F.when(n % 29 == 0, F.substring(body, 1, 20)).otherwise(body).alias("body"))
+    i = documents.incidents(documents.incidents_with_terminal(incidents(spark, d), telemetry(spark, d))).withColumns({"n": F.substring("incident_id", -6, 6).cast("int"), "id": F.col("incident_id")})
+    spoilt = F.struct("incident_id", "equipment_id", "terminal_id", put("severity", 5, "INFO"), put("status", 11, "CLOSED"), "opened_at", put("resolved_at", 13, unzoned("resolved_at")), put("root_cause", 7, ""))
+    i = i.select("id", F.to_json(spoilt, {"ignoreNullFields": "false"}).alias("body"))
+    found = [jsonschema.violations(rows, "body", DOCUMENT_SCHEMAS[name], "id").withColumn("document", F.lit(kind)) for rows, name, kind in ((e, "event-replay", "event"), (i, "incidents", "incident"))]
+    return found[0].unionByName(found[1]).select("document", "id", "path", "rule")
+
+
+@_query(
+    "telemetry",
+    """select terminal_id, path, rule from (select distinct terminal_id from telemetry) join (values ('TM-001', '/availability/available_intervals', 'minimum'), ('TM-002', '/availability/value', 'type'), ('TM-003', '/mttr_minutes', 'type'), ('TM-003', '/schema_version', 'const'), ('TM-004', '/availability/value', 'maximum')) as v(terminal_id, path, rule) using (terminal_id)
+ union all select terminal_id, '/' || place || '/downtime_minutes', 'minimum' from (select terminal_id, equipment_id, row_number() over (partition by terminal_id order by equipment_id) - 1 as place from (select distinct terminal_id, equipment_id from telemetry)) where cast(right(equipment_id, 3) as integer) % 5 = 0""",
+)
+def overview_document_issues(spark, d):
+    """Overviews whose nested and conditional rules are broken, and a list of equipment per terminal with wrong items."""
+    kpis, at = kpi.overview_kpis(*base._all(spark, d)), F.col("terminal_id")
+    put = lambda terminal, value, c: F.when(at == terminal, value).otherwise(F.col(c))
+    share = F.struct(
+        put("TM-001", -1, "availability.available_intervals").alias("available_intervals"),
+        put("TM-002", 0, "availability.scheduled_intervals").alias("scheduled_intervals"),
+        put("TM-002", 0.5, "availability.value").alias("value"),
+    )
+    share = F.when(at == "TM-004", share.withField("value", F.lit(1.5))).otherwise(share)
+    over = documents.overview(kpis).withColumns({"availability": share, "resolved_incident_count": put("TM-003", 0, "resolved_incident_count"), "mttr_minutes": put("TM-003", 5.0, "mttr_minutes"), "schema_version": put("TM-003", 2, "schema_version")})
+    over = over.select("terminal_id", F.to_json(F.struct(*over.columns), {"ignoreNullFields": "false"}).alias("body"))
+    machines = documents.equipment(telemetry(spark, d), alarms(spark, d), kpis)
+    machines = machines.withColumn("downtime_minutes", F.when(F.substring("equipment_id", -3, 3).cast("int") % 5 == 0, -5).otherwise(F.col("downtime_minutes")))
+    item = F.struct("equipment_id", *[c for c in machines.columns if c != "equipment_id"])
+    lists = machines.groupBy("terminal_id").agg(F.to_json(F.array_sort(F.collect_list(item)), {"ignoreNullFields": "false"}).alias("body"))
+    found = jsonschema.violations(over, "body", DOCUMENT_SCHEMAS["overview"], "terminal_id")
+    return found.unionByName(jsonschema.violations(lists, "body", {"type": "array", "minItems": 1, "items": DOCUMENT_SCHEMAS["equipment"]}, "terminal_id"))
+
+
 # Documents read back, texts, scalars
 
 

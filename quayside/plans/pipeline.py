@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import iso_seconds
 from ..operators import documents, kpi, silver
-from ..schemas import TABLES
+from ..schemas import DOCUMENT_SCHEMAS, TABLES
 from ..sinks import bronze as bronze_sink
 from ..sinks import publish
 from ..sources import keyset, tables
@@ -85,7 +85,7 @@ def export(relations: dict[str, DataFrame], layers: Layers, out_dir: str, snapsh
             "event-replay": documents.replay_events(telemetry),
             "quality": {"bronze_rows": layers.bronze_rows, "silver_rows": layers.silver_rows, "quarantine_rows": layers.quarantine_rows, "reason_counts": layers.reason_counts, "dbt_test_status": status},
         }
-        return publish.publish(out_dir, datasets, snapshot_id=snapshot_id, quality_status=balanced, period=(period["a"], period["b"]), generated_at=generated_at)
+        return publish.publish(out_dir, datasets, snapshot_id=snapshot_id, quality_status=balanced, period=(period["a"], period["b"]), generated_at=generated_at, schemas=DOCUMENT_SCHEMAS)
     finally:
         kpis.unpersist()
 

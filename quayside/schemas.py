@@ -158,3 +158,85 @@ KPI_INTEGERS = frozenset(
         "critical_alarms",
     }
 )
+
+
+def _record(required: dict[str, dict], **more: object) -> dict:
+    """An object that has exactly these properties."""
+    return {"type": "object", "additionalProperties": False, "required": list(required), "properties": required} | more
+
+
+def _null_if_zero(count: str, value: str) -> dict:
+    return {"if": {"properties": {count: {"const": 0}}}, "then": {"properties": {value: {"type": "null"}}}}
+
+
+_COUNT, _AMOUNT = {"type": "integer", "minimum": 0}, {"type": "number", "minimum": 0}
+_SHARE, _KNOWN_AMOUNT = {"type": ["number", "null"], "minimum": 0, "maximum": 1}, {"type": ["number", "null"], "minimum": 0}
+_UTC, _FLAG = {"type": "string", "format": "date-time", "pattern": "Z$"}, {"type": "boolean"}
+_ID = {c: {"type": "string", "pattern": p} for c, p in ID_PATTERNS.items()}
+_STATES = {"type": "string", "enum": list(ENUMS["state"])}
+
+# Names, types and limits of the published documents.
+DOCUMENT_SCHEMAS = {
+    "overview": _record(
+        {
+            "schema_version": {"const": 1},
+            "terminal_id": _ID["terminal_id"],
+            "source_period_start": _UTC,
+            "source_period_end": _UTC,
+            "available_intervals": _COUNT,
+            "scheduled_intervals": _COUNT,
+            "active_intervals": _COUNT,
+            "availability": _record(
+                {"available_intervals": _COUNT, "scheduled_intervals": _COUNT, "value": _SHARE},
+                allOf=[
+                    _null_if_zero("scheduled_intervals", "value"),
+                    {"if": {"properties": {"scheduled_intervals": {"minimum": 1}}}, "then": {"properties": {"value": {"type": "number"}}}},
+                ],
+            ),
+            "utilization": _SHARE,
+            "throughput": _COUNT,
+            "average_dwell_minutes": _KNOWN_AMOUNT,
+            "mttr_minutes": _KNOWN_AMOUNT,
+            "mtbf_hours": _KNOWN_AMOUNT,
+            "resolved_incident_count": _COUNT,
+            "repair_minutes": _AMOUNT,
+            "qualifying_failure_count": _COUNT,
+            "operating_hours": _AMOUNT,
+            "active_incidents": _COUNT,
+            "critical_alarms": _COUNT,
+        },
+        allOf=[_null_if_zero("available_intervals", "utilization"), _null_if_zero("resolved_incident_count", "mttr_minutes"), _null_if_zero("qualifying_failure_count", "mtbf_hours")],
+    ),
+    "equipment": _record(
+        {
+            "equipment_id": _ID["equipment_id"],
+            "terminal_id": _ID["terminal_id"],
+            "current_state": _STATES,
+            "available": _FLAG,
+            "availability": _SHARE,
+            "utilization": _SHARE,
+            "alarm_count": _COUNT,
+            "downtime_minutes": _AMOUNT,
+            "mttr_minutes": _KNOWN_AMOUNT,
+            "mtbf_hours": _KNOWN_AMOUNT,
+        }
+    ),
+    "incidents": _record(
+        {
+            "incident_id": _ID["incident_id"],
+            "equipment_id": _ID["equipment_id"],
+            "terminal_id": _ID["terminal_id"],
+            "severity": {"type": "string", "enum": ["MINOR", "MAJOR", "CRITICAL"]},
+            "status": {"type": "string", "enum": ["OPEN", "RESOLVED"]},
+            "opened_at": _UTC,
+            "resolved_at": {"type": ["string", "null"], "pattern": "Z$"},
+            "root_cause": {"type": "string", "minLength": 1},
+        }
+    ),
+    "event-replay": _record(
+        {"event_id": _ID["event_id"], "equipment_id": _ID["equipment_id"], "terminal_id": _ID["terminal_id"], "event_timestamp": _UTC, "state": _STATES, "available": _FLAG},
+    ),
+    "quality": _record(
+        {"bronze_rows": _COUNT, "silver_rows": _COUNT, "quarantine_rows": _COUNT, "reason_counts": {"type": "object", "additionalProperties": _COUNT}, "dbt_test_status": {"const": "PASS"}},
+    ),
+}

@@ -18,6 +18,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import jsonschema
 from ..operators.verify import fingerprint
 
 #: Documents of one file at most, as it is for reading in a browser.
@@ -94,8 +95,20 @@ def check_overview(doc: dict) -> list[str]:
     return wrong
 
 
-def publish(out_dir: str, datasets: dict[str, object], *, snapshot_id: str, quality_status: str, period: tuple[str, str], generated_at: datetime | None = None) -> dict:
-    """Writes a snapshot folder once and swaps the manifest to it; a failure leaves the old manifest."""
+def check_schema(lines: DataFrame, name: str, schema: dict) -> None:
+    """Fails with an issue of a dataset's JSON lines (column ``value``), if there is one."""
+    wrong = jsonschema.violations(lines, "value", schema).first()
+    if wrong:
+        raise PublishError(f"{name}: {wrong['rule']} fails at {wrong['path'] or '/'}")
+
+
+def publish(
+    out_dir: str, datasets: dict[str, object], *, snapshot_id: str, quality_status: str, period: tuple[str, str], generated_at: datetime | None = None, schemas: dict[str, dict] | None = None
+) -> dict:
+    """Writes a snapshot folder once and swaps the manifest to it; a failure leaves the old manifest.
+
+    Each document of a dataset that has a schema must conform to it.
+    """
     root, target = Path(out_dir), Path(out_dir) / "snapshots" / snapshot_id
     staging = root / f".staging-{snapshot_id}"
     shutil.rmtree(staging, ignore_errors=True)
@@ -106,12 +119,18 @@ def publish(out_dir: str, datasets: dict[str, object], *, snapshot_id: str, qual
                 raise PublishError("; ".join(wrong))
         entries, counts = {}, {}
         relations = {name: value for name, value in datasets.items() if isinstance(value, DataFrame)}
+        schemas = schemas or {}
         for name, value in relations.items():
             write_parts(value, staging / name)
+            if name in schemas:
+                check_schema(_lines(value.sparkSession, staging / name), name, schemas[name])
         for name, value in sorted(datasets.items()):
             if name in relations:
                 continue
             text = canonical_json(value)
+            if name in schemas:
+                docs = value if isinstance(value, list) else [value]
+                check_schema(SparkSession.active().createDataFrame([(canonical_json(x),) for x in docs], "value string"), name, schemas[name])
             _replace(staging / f"{name}.json", text)
             entries[name] = {"path": f"snapshots/{snapshot_id}/{name}.json", "sha256": hashlib.sha256(text.encode()).hexdigest()}
             counts[name] = len(value) if isinstance(value, list) else 1
