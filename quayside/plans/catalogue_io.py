@@ -18,6 +18,7 @@ from ..operators import documents, kpi, presentation, replay, silver, verify
 from ..schemas import DOCUMENT_SCHEMAS, KPI_COLUMNS, TABLES
 from ..session import scratch
 from ..sinks import bronze
+from ..sinks.versions import Versions
 from ..sources import keyset, log, records, tables
 from ..streaming import consumer, decode
 from . import catalogue as base
@@ -420,6 +421,54 @@ def relation_differences(spark, d):
     return verify.differences(t, other.unionByName(other.where(n % 79 == 0)).unionByName(added), "event_id")
 
 
+# Upserts into a relation in versions
+
+_PUT_IN = "select o_orderkey, o_orderstatus, o_totalprice * 2 as o_totalprice from orders where o_orderkey % 5003 = 0 union all select -1 - o_orderkey, 'N', o_totalprice from orders where o_orderkey % 1009 = 0"
+
+
+def _upserted(spark, d) -> Versions:
+    """Orders as version 1; some of them changed and some added as version 2."""
+    o, k = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), F.col("o_orderkey")
+    changed = o.where(k % 5003 == 0).withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    added = o.where(k % 1009 == 0).select((-1 - k).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), "o_totalprice")
+    held = Versions(spark, f"{scratch(spark)}/orders")
+    held.create(o, "o_orderkey", buckets=32)
+    held.upsert(changed.unionByName(added))
+    return held
+
+
+@_query(
+    "",
+    """select cast(1 as bigint) as version, o_orderkey, o_orderstatus, round(o_totalprice, 4) as o_totalprice from orders union all select 2, coalesce(n.o_orderkey, o.o_orderkey), coalesce(n.o_orderstatus, o.o_orderstatus), round(coalesce(n.o_totalprice, o.o_totalprice), 4) from orders o full join neu n on n.o_orderkey = o.o_orderkey""",
+    neu=_PUT_IN,
+)
+def upsert_versions(spark, d):
+    """Both versions of an upserted relation, read after the upsert."""
+    held = _upserted(spark, d)
+    both = [held.read(n).withColumn("version", F.lit(n).cast("long")) for n in (1, 2)]
+    return both[0].unionByName(both[1]).select("version", "o_orderkey", "o_orderstatus", F.round("o_totalprice", 4).alias("o_totalprice"))
+
+
+@_query(
+    "",
+    """select cast(1 as bigint) as version, (select count(*) from orders) as rows, (select count(*) from orders) as inserted, 0 as updated, 0 as rewritten_in_vain, 0 as left_unwritten union all
+ select 2, (select count(*) from orders) + (select count(*) from neu where o_orderkey < 0), (select count(*) from neu where o_orderkey < 0), (select count(*) from neu where o_orderkey >= 0), 0, 0""",
+    neu=_PUT_IN,
+)
+def upsert_rewrites(spark, d):
+    """Rows of each version by its index and what its record counts; files that were rewritten but held no changed key, or that held one and stayed."""
+    held = _upserted(spark, d)
+    gone = held.files(1).join(held.files(2), "_file", "left_anti").select("_file")
+    holders = held.read(1).select("o_orderkey", F.col("_metadata.file_path").alias("_file")).where(F.col("o_orderkey") % 5003 == 0).select("_file").distinct()
+    differing = {"rewritten_in_vain": gone.join(holders, "_file", "left_anti").count(), "left_unwritten": holders.join(gone, "_file", "left_anti").count()}
+    out = []
+    for n in (1, 2):
+        v, wrong = held.version(n), differing if n == 2 else dict.fromkeys(differing, 0)
+        told = {"inserted": v.inserted, "updated": v.updated} | wrong
+        out.append(held.files(n).agg(F.sum("rows").alias("rows")).select(F.lit(n).cast("long").alias("version"), "rows", *[F.lit(x).cast("long").alias(c) for c, x in told.items()]))
+    return out[0].unionByName(out[1])
+
+
 # Published documents against their schemas
 
 _EVENT_DOCS = "select event_id as id, cast(right(event_id, 6) as integer) as n from telemetry"
