@@ -9,7 +9,7 @@ other than those below, or one that refers to itself, is refused when it is comp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +25,7 @@ _OTHER = {"$ref", "type", "const", "enum", "pattern", "properties", "required",
 
 def issues(document: Column, schema: dict | bool, root: dict | None = None) -> Column:
     """Issues of a variant; of none where it is SQL's null.  ``root`` holds the definitions, if not ``schema`` itself."""
-    return _Compiler(root if root is not None else schema).check(document, schema, F.lit(""), ())
+    return _Compiler(root if root is not None else schema).check(_Value(document), schema, F.lit(""), ())
 
 
 def violations(rows: DataFrame, text: str, schema: dict | bool, *keep: str, root: dict | None = None) -> DataFrame:
@@ -55,7 +55,7 @@ def _when(wrong: Column, path: Column, rule: str) -> Column:
     return F.when(wrong, F.array(_issue(path, rule))).otherwise(_none())
 
 
-def _any(parts: Iterator[Column]) -> Column:
+def _any(parts: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, parts)
 
 
@@ -63,32 +63,46 @@ def _below(path: Column, name: str) -> Column:
     return F.concat(path, F.lit("/" + name.replace("~", "~0").replace("/", "~1")))
 
 
-def _is(value: Column, kind: str) -> Column:
-    """Whether a variant is of a type of JSON Schema."""
-    held = F.schema_of_variant(value)
-    if kind in ("object", "array"):
-        return held.startswith(f"{kind.upper()}<")
-    if kind in ("null", "boolean", "string"):
-        return held == {"null": "VOID", "boolean": "BOOLEAN", "string": "STRING"}[kind]
-    number = held.isin("BIGINT", "DOUBLE", "FLOAT") | held.startswith("DECIMAL(")
-    if kind == "number":
-        return number
-    if kind == "integer":
-        x = F.try_variant_get(value, "$", "double")
-        return (held == "BIGINT") | (number & (x == F.floor(x)))
-    raise ValueError(f"unknown type {kind!r}")
-
-
-def _equals(value: Column, wanted: object) -> Column:
-    if wanted is None:
-        return _is(value, "null")
-    if isinstance(wanted, bool):
-        return _is(value, "boolean") & (F.try_variant_get(value, "$", "boolean") == wanted)
-    if isinstance(wanted, (int, float)):
-        return _is(value, "number") & (F.try_variant_get(value, "$", "double") == float(wanted))
-    if isinstance(wanted, str):
-        return _is(value, "string") & (F.try_variant_get(value, "$", "string") == wanted)
-    raise ValueError("only scalars can be compared with const and enum")
+class _Value:
+    """A variant whose type and readings are built once, however many rules ask for them."""
+
+    def __init__(self, column: Column):
+        self.column = column
+        self._kind = F.schema_of_variant(column)
+        self._held: dict[str, Column] = {}
+
+    def get(self, kind: str) -> Column:
+        if kind not in self._held:
+            self._held[kind] = F.try_variant_get(self.column, F.lit("$"), kind)
+        return self._held[kind]
+
+    def is_(self, kind: str) -> Column:
+        """Whether it is of a type of JSON Schema."""
+        if (name := f"is {kind}") not in self._held:
+            self._held[name] = self._test(kind)
+        return self._held[name]
+
+    def _test(self, kind: str) -> Column:
+        if kind in ("object", "array"):
+            return self._kind.startswith(f"{kind.upper()}<")
+        if kind in ("null", "boolean", "string"):
+            return self._kind == {"null": "VOID", "boolean": "BOOLEAN", "string": "STRING"}[kind]
+        if kind == "number":
+            return self._kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+        if kind == "integer":
+            return (self._kind == "BIGINT") | (self.is_("number") & (self.get("double") == F.floor(self.get("double"))))
+        raise ValueError(f"unknown type {kind!r}")
+
+    def equals(self, wanted: object) -> Column:
+        if wanted is None:
+            return self.is_("null")
+        if isinstance(wanted, bool):
+            return self.is_("boolean") & (self.get("boolean") == wanted)
+        if isinstance(wanted, (int, float)):
+            return self.is_("number") & (self.get("double") == float(wanted))
+        if isinstance(wanted, str):
+            return self.is_("string") & (self.get("string") == wanted)
+        raise ValueError("only scalars can be compared with const and enum")
 
 
 class _Compiler:
@@ -103,7 +117,7 @@ class _Compiler:
             found = found[name.replace("~1", "/").replace("~0", "~")]
         return found
 
-    def check(self, value: Column, schema: dict | bool, path: Column, trail: tuple[str, ...]) -> Column:
+    def check(self, value: _Value, schema: dict | bool, path: Column, trail: tuple[str, ...]) -> Column:
         if isinstance(schema, bool):
             return _none() if schema else F.array(_issue(path, "false"))
         if unknown := set(schema) - _ANNOTATIONS - _OTHER - set(_NUMBERS) - set(_SIZES):
@@ -115,52 +129,54 @@ class _Compiler:
             return self.check(value, self._definition(ref), path, (*trail, ref))
         parts = [*self._scalars(value, schema, path)]
         if {"properties", "required", "additionalProperties"} & set(schema):
-            parts.append(F.when(_is(value, "object"), _joined([*self._object(value, schema, path, trail)])).otherwise(_none()))
+            parts.append(F.when(value.is_("object"), _joined([*self._object(value, schema, path, trail)])).otherwise(_none()))
         if "items" in schema:
-            each = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x, i: self.check(x, schema["items"], F.concat(path, F.lit("/"), i.cast("string")), trail))
-            parts.append(F.when(_is(value, "array"), F.flatten(each)).otherwise(_none()))
+            each = F.transform(value.get("array<variant>"), lambda x, i: self.check(_Value(x), schema["items"], F.concat(path, F.lit("/"), i.cast("string")), trail))
+            parts.append(F.when(value.is_("array"), F.flatten(each)).otherwise(_none()))
         parts += self._combined(value, schema, path, trail)
         return _joined(parts)
 
-    def _scalars(self, value: Column, schema: dict, path: Column) -> Iterator[Column]:
+    def _scalars(self, value: _Value, schema: dict, path: Column) -> Iterator[Column]:
         if "type" in schema:
             kinds = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-            yield _when(~_any(_is(value, k) for k in kinds), path, "type")
+            yield _when(~_any(value.is_(k) for k in kinds), path, "type")
         for rule, wanted in (("const", [schema.get("const")]), ("enum", schema.get("enum"))):
             if rule in schema:
-                yield _when(~_any(_equals(value, w) for w in wanted), path, rule)
+                texts = [w for w in wanted if isinstance(w, str)]
+                tests = [value.equals(w) for w in wanted if not isinstance(w, str)] + ([value.is_("string") & value.get("string").isin(texts)] if texts else [])
+                yield _when(~_any(tests), path, rule)
         for rule, outside in _NUMBERS.items():
             if rule in schema:
-                yield _when(_is(value, "number") & getattr(F.try_variant_get(value, "$", "double"), outside)(float(schema[rule])), path, rule)
+                yield _when(value.is_("number") & getattr(value.get("double"), outside)(float(schema[rule])), path, rule)
         for rule, (kind, outside) in _SIZES.items():
             if rule in schema:
-                size = F.char_length(F.try_variant_get(value, "$", "string")) if kind == "string" else F.size(F.try_variant_get(value, "$", "array<variant>"))
-                yield _when(_is(value, kind) & getattr(size, outside)(schema[rule]), path, rule)
+                size = F.char_length(value.get("string")) if kind == "string" else F.size(value.get("array<variant>"))
+                yield _when(value.is_(kind) & getattr(size, outside)(schema[rule]), path, rule)
         if "pattern" in schema:
-            yield _when(_is(value, "string") & ~F.try_variant_get(value, "$", "string").rlike(schema["pattern"]), path, "pattern")
+            yield _when(value.is_("string") & ~value.get("string").rlike(schema["pattern"]), path, "pattern")
 
-    def _object(self, value: Column, schema: dict, path: Column, trail: tuple[str, ...]) -> Iterator[Column]:
+    def _object(self, value: _Value, schema: dict, path: Column, trail: tuple[str, ...]) -> Iterator[Column]:
         known = schema.get("properties", {})
         for name in sorted({*known, *schema.get("required", [])}):
             if set(name) & set("'\"[]"):
                 raise ValueError(f"a property's name can't hold quotes or brackets: {name!r}")
-            child, at = F.try_variant_get(value, f"$['{name}']", "variant"), _below(path, name)
+            child, at = F.try_variant_get(value.column, F.lit(f"$['{name}']"), "variant"), _below(path, name)
             if name in schema.get("required", []):
                 yield _when(child.isNull(), at, "required")
             if name in known:
-                yield F.when(child.isNotNull(), self.check(child, known[name], at, trail)).otherwise(_none())
+                yield F.when(child.isNotNull(), self.check(_Value(child), known[name], at, trail)).otherwise(_none())
         more = schema.get("additionalProperties", True)
         if more is True:
             return
         names = F.array(*[F.lit(n) for n in known]).cast("array<string>")
-        others = F.map_filter(F.try_variant_get(value, "$", "map<string,variant>"), lambda k, _: ~F.array_contains(names, k))
+        others = F.map_filter(value.get("map<string,variant>"), lambda k, _: ~F.array_contains(names, k))
         at = lambda k: F.concat(path, F.lit("/"), F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
         if more is False:
             yield F.transform(F.array_sort(F.map_keys(others)), lambda k: _issue(at(k), "additionalProperties"))
         else:
-            yield F.flatten(F.transform(F.map_entries(others), lambda e: self.check(e["value"], more, at(e["key"]), trail)))
+            yield F.flatten(F.transform(F.map_entries(others), lambda e: self.check(_Value(e["value"]), more, at(e["key"]), trail)))
 
-    def _combined(self, value: Column, schema: dict, path: Column, trail: tuple[str, ...]) -> list[Column]:
+    def _combined(self, value: _Value, schema: dict, path: Column, trail: tuple[str, ...]) -> list[Column]:
         found = [self.check(value, s, path, trail) for s in schema.get("allOf", [])]
         holds = lambda s: F.size(self.check(value, s, path, trail)) == 0
         if "anyOf" in schema:

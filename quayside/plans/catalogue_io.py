@@ -16,7 +16,7 @@ from ..functions import jsonschema
 from ..functions import scalars as S
 from ..operators import documents, kpi, presentation, replay, silver, verify
 from ..schemas import DOCUMENT_SCHEMAS, KPI_COLUMNS, TABLES
-from ..session import scratch
+from ..session import scratch, written
 from ..sinks import bronze
 from ..sinks.versions import Versions
 from ..sources import keyset, log, records, tables
@@ -508,7 +508,7 @@ def document_issues(spark, d):
 )
 def overview_document_issues(spark, d):
     """Overviews whose nested and conditional rules are broken, and a list of equipment per terminal with wrong items."""
-    kpis, at = kpi.overview_kpis(*base._all(spark, d)), F.col("terminal_id")
+    kpis, at = written(kpi.overview_kpis(*base._all(spark, d))), F.col("terminal_id")
     put = lambda terminal, value, c: F.when(at == terminal, value).otherwise(F.col(c))
     share = F.struct(
         put("TM-001", -1, "availability.available_intervals").alias("available_intervals"),
