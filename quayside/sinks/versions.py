@@ -139,7 +139,7 @@ class Versions:
         schema = T.StructType.fromJson(json.loads(v.schema))
         if not names:  # an empty folder, so that file metadata can be asked for all the same
             empty = f"{self.root}/empty"
-            self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(empty)
+            self.spark.createDataFrame([], schema).write.mode("ignore").parquet(empty)
             names = [empty]
         return self.spark.read.schema(schema).parquet(*names)
 
