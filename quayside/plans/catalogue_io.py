@@ -20,7 +20,7 @@ from ..session import scratch, written
 from ..sinks import bronze
 from ..sinks.versions import Versions
 from ..sources import keyset, log, records, tables
-from ..streaming import consumer, decode
+from ..streaming import consumer, decode, keyed
 from . import catalogue as base
 from .catalogue import _query, _sql_ts, _ts
 
@@ -292,6 +292,23 @@ def stream_state(spark, d):
     return held.select("event_id", "outcome", "reason_code", F.col("batch").cast("long").alias("batch"))
 
 
+@_query(
+    "telemetry",
+    """select event_id, outcome, batch, n from (select event_id, outcome, cast(batch as bigint) as batch, count(*) as n from outcomes where outcome in ('accepted', 'late') group by 1, 2, 3
+ union all select event_id, case outcome when 'late' then 'late_event' when 'conflict' then 'duplicate_conflict' else 'invalid_telemetry' end, null, count(*) from outcomes where outcome in ('late', 'conflict', 'invalid') group by 1, 2)""",
+    **_STREAMED,
+)
+def stream_keyed_state(spark, d):
+    """Events that the state store holds, each with its outcome and batch, and the dead letters of the same run with state by key."""
+    root = _sent(spark, d)
+    _consume(spark, root, keyed=True)
+    events = consumer.StreamState(spark, f"{root}/state", "telemetry").events()
+    kept = keyed.stored(spark, f"{root}/offsets/offsets").join(events.drop("ingestion_timestamp"), ["event_id", "digest"])
+    kept = kept.select("event_id", F.when(F.col("outcome") == "bronze", "accepted").otherwise("late").alias("outcome"), F.col("batch").cast("long").alias("batch"))
+    rows = kept.unionByName(_letters(spark, root).withColumn("batch", F.lit(None).cast("long")))
+    return rows.groupBy("event_id", "outcome", "batch").agg(F.count("*").alias("n"))
+
+
 @_query(
     "telemetry",
     """select count(*) as consumed, count(*) filter (where outcome = 'accepted') as bronze_rows, cast(3 as bigint) as committed_batches, count(*) filter (where outcome = 'duplicate') as duplicates, count(*) filter (where outcome = 'late') as late,

@@ -17,11 +17,11 @@ OUTCOMES = ("accepted", "duplicate", "conflict", "late", "invalid")
 REASON = {"invalid": "invalid_telemetry", "late": "late_event", "conflict": "duplicate_conflict"}
 
 
-def classify(decoded: DataFrame, stored: DataFrame, watermark: Column | None, allowed_lateness_seconds: int = 300) -> DataFrame:
+def classify(decoded: DataFrame, stored: DataFrame | None, watermark: Column | None, allowed_lateness_seconds: int = 300) -> DataFrame:
     """Decoded records with ``outcome`` and, where rejected, ``reason_code`` and ``reason``.
 
     ``stored`` has (event_id, digest).  One shuffle by event serves the window
-    and the join.
+    and the join.  Without it the records tell in ``stored`` what is kept for their event.
     """
     rows = decoded.withColumn("event_id", F.col("event.event_id"))
     valid = F.col("event").isNotNull()
@@ -29,7 +29,10 @@ def classify(decoded: DataFrame, stored: DataFrame, watermark: Column | None, al
     spread = F.when(valid, F.col("event_id")).otherwise(F.concat_ws(":", F.lit("invalid"), "topic", F.col("partition").cast("string"), F.col("offset").cast("string")))
     w = W.partitionBy("_key").orderBy("partition", "offset")
     rows = rows.withColumn("_key", spread).withColumn("_nth", F.row_number().over(w)).withColumn("_first", F.first("digest").over(w))
-    rows = rows.join(stored.select(F.col("event_id").alias("_key"), F.col("digest").alias("_stored")), "_key", "left")
+    if stored is None:
+        rows = rows.withColumnRenamed("stored", "_stored")
+    else:
+        rows = rows.join(stored.select(F.col("event_id").alias("_key"), F.col("digest").alias("_stored")), "_key", "left")
     bound = None if watermark is None else watermark - F.make_dt_interval(secs=F.lit(float(allowed_lateness_seconds)))
     late = F.lit(False) if bound is None else F.coalesce(F.col("event.ingestion_timestamp") < bound, F.lit(False))
     outcome = (

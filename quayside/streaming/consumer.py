@@ -3,14 +3,16 @@
 ``withWatermark`` can't express the contract (equality with the bound is on
 time, late events are kept as dead letters and remembered, only accepted events
 move the watermark, one watermark per topic), so each micro-batch is classified
-against state tables in ``foreachBatch``.  Paths are keyed by batch, so a batch
-that runs again overwrites what it wrote before.
+against state tables in ``foreachBatch``, or, with ``keyed``, against the state store, a
+row per event.  Paths are keyed by batch, so a batch that runs again overwrites what it
+wrote before.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import nullcontext
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..sinks.bronze import bronze_rows
 from ..sources import log
+from . import keyed as by_key
 from .classify import STATE, classify, counters, state_rows
 from .decode import EVENT, FIELDS, RECORD, dead_letter, decode
 
@@ -122,14 +125,17 @@ def process_batch(
     allowed_lateness_seconds: int = 300,
     writer: Callable[[DataFrame, str], None] | None = None,
     after: Callable[[str, str], None] | None = None,
+    keyed: bool = False,
 ) -> dict[str, int]:
     """Classifies and writes one batch: Bronze, then state, then dead letters; returns its counts.
 
-    ``after`` is called with each write's name and the batch when it is done.
+    ``after`` is called with each write's name and the batch when it is done.  ``keyed``
+    records come from ``keyed.remember``; the table of events is then written, never read.
     """
     done = after or (lambda write, batch: None)
     mark = state.watermark(before=batch)
-    classified = classify(decode(records), state.events(before=batch).select("event_id", "digest"), None if mark is None else F.lit(mark), allowed_lateness_seconds).persist()
+    decoded, held = (by_key.told(records), None) if keyed else (decode(records), state.events(before=batch).select("event_id", "digest"))
+    classified = classify(decoded, held, None if mark is None else F.lit(mark), allowed_lateness_seconds).persist()
     try:
         n = counters(classified).first().asDict()
         rejects = n["invalid"] + n["conflict"] + n["late"]
@@ -176,6 +182,7 @@ def consume(
     after: Callable[[str, str], None] | None = None,
     bounded: bool = False,
     max_messages: int | None = None,
+    keyed: bool = False,
 ) -> Report:
     """Consumes what a stream holds now and ends.
 
@@ -183,15 +190,18 @@ def consume(
     files in the shape of a message log.  Offsets are committed when a batch is
     done; a failed run leaves its batch to be read again.  ``bounded`` says that the
     source bounds its batches itself, which a run of all that is available would not ask.
-    With ``max_messages`` a run that found fewer fails, its batches kept.
+    With ``max_messages`` a run that found fewer fails, its batches kept.  ``keyed`` keeps
+    the state by event in the checkpoint's state store; a topic is run either way, not both.
     """
     report = Report(run_id or f"run-{uuid.uuid4().hex[:12]}")
     state = StreamState(spark, state_dir, topic)
     state.begin(report.run_id)
     stream = source if isinstance(source, DataFrame) else record_stream(spark, source, files_per_batch)
+    stream = stream.where(F.col("topic") == topic)
+    stream = by_key.remember(stream) if keyed else stream
 
     def each(batch_df: DataFrame, batch_id: int) -> None:
-        n = process_batch(batch_df.where(F.col("topic") == topic), f"{batch_id:012d}", state, bronze_dir, report.run_id, dead_letter_dir, allowed_lateness_seconds, writer, after)
+        n = process_batch(batch_df, f"{batch_id:012d}", state, bronze_dir, report.run_id, dead_letter_dir, allowed_lateness_seconds, writer, after, keyed)
         report.consumed += n["consumed"]
         report.bronze_rows += n["accepted"]
         report.duplicates += n["duplicate"]
@@ -203,14 +213,15 @@ def consume(
 
     try:
         started = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_dir)
+        with by_key.rocksdb(spark) if keyed else nullcontext():
+            query = (started if bounded else started.trigger(availableNow=True)).start()
         if bounded:
-            query = started.start()
             try:
                 query.processAllAvailable()
             finally:
                 query.stop()
         else:
-            started.trigger(availableNow=True).start().awaitTermination()
+            query.awaitTermination()
         if max_messages is not None and report.consumed < max_messages:
             raise FewerMessages(f"{report.consumed} of {max_messages} messages were there")
     except BaseException as error:

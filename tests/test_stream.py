@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quayside.streaming import classify as C
-from quayside.streaming import consumer, decode
+from quayside.streaming import consumer, decode, keyed
 
 T0 = datetime(2026, 1, 1, tzinfo=UTC)
 
@@ -92,3 +92,72 @@ def test_stream_end_to_end(spark, tmp_path):
     assert {r.run_id: r.status for r in consumer.StreamState(spark, f"{tmp_path}/state", "telemetry").runs().collect()} == {"r1": "succeeded", "r2": "failed", "r3": "succeeded", "r4": "succeeded"}
     with pytest.raises(ValueError):
         go("r1")
+
+
+def _go(spark, root, run, **more):
+    how = {"dead_letter_dir": f"{root}/dlq", "keyed": True} | more
+    return consumer.consume(spark, f"{root}/log", topic="telemetry", bronze_dir=f"{root}/bronze", state_dir=f"{root}/state", checkpoint_dir=f"{root}/cp", run_id=run, **how)
+
+
+def _held(spark, root):
+    return sorted((r.event_id, r.digest) for r in keyed.stored(spark, f"{root}/cp").collect())
+
+
+def _tables(spark, root):
+    told = consumer.StreamState(spark, f"{root}/state", "telemetry").events()
+    letters = spark.read.parquet(f"{root}/dlq").select(F.get_json_object("value", "$.source_offset").alias("o"), "reason_code")
+    bronze = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/bronze/telemetry_events").select("event_id", "load_percent")
+    return [sorted(map(tuple, df.collect()), key=str) for df in (told.select("event_id", "digest", "outcome"), letters, bronze)]
+
+
+def _three_batches(spark, root):
+    junk = records(spark, [event(9)]).withColumn("value", F.encode(F.lit("not-json"), "utf-8")).withColumn("key", F.lit(None).cast("binary"))
+    consumer.write_records(records(spark, [event(0), event(0), event(1, 10), event(0, load=12.0)]), f"{root}/log")
+    yield
+    consumer.write_records(records(spark, [event(2, 0), event(0, load=11.0), event(0, load=11.0), event(3, 11)], 4).unionByName(junk.withColumn("offset", F.lit(8).cast("long"))), f"{root}/log")
+    yield
+    consumer.write_records(records(spark, [event(2, 0), event(0), event(3, 11, load=1.0)], 9), f"{root}/log")
+    yield
+
+
+def test_state_by_key_gives_what_tables_give(spark, tmp_path):
+    for how in (True, False):
+        root = f"{tmp_path}/{how}"
+        reports = [_go(spark, root, f"r{i}", keyed=how) for i, _ in enumerate(_three_batches(spark, root))]
+        assert [(r.bronze_rows, r.duplicates, r.conflicts, r.late, r.invalid) for r in reports] == [(2, 1, 1, 0, 0), (1, 1, 1, 1, 1), (0, 2, 1, 0, 0)]
+    assert _tables(spark, f"{tmp_path}/True") == _tables(spark, f"{tmp_path}/False")
+    held = consumer.StreamState(spark, f"{tmp_path}/False/state", "telemetry").events()
+    assert _held(spark, f"{tmp_path}/True") == sorted((r.event_id, r.digest) for r in held.collect())
+
+
+@pytest.mark.parametrize("point", consumer.WRITES)
+def test_state_by_key_after_a_crash(spark, tmp_path, point):
+    def crash(write, batch):
+        if write == point and int(batch) == 1:
+            raise RuntimeError("lost")
+
+    for i, _ in enumerate(_three_batches(spark, f"{tmp_path}/a")):
+        _go(spark, f"{tmp_path}/a", f"r{i}")
+    for i, _ in enumerate(_three_batches(spark, f"{tmp_path}/b")):
+        if i == 1:
+            with pytest.raises(Exception, match="lost"):
+                _go(spark, f"{tmp_path}/b", "crashed", after=crash)
+        _go(spark, f"{tmp_path}/b", f"r{i}")
+    assert _tables(spark, f"{tmp_path}/a") == _tables(spark, f"{tmp_path}/b") and _held(spark, f"{tmp_path}/a") == _held(spark, f"{tmp_path}/b")
+
+
+def test_a_hot_event_is_taken_in_chunks(spark, tmp_path):
+    """One event is most of a batch: its first row by offset counts, whatever chunk brings it."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        hot = spark.range(200).select(F.struct(F.lit("evt-000001-000001").alias("event_id")).alias("e"), (199 - F.col("id")).alias("o"))
+        one = decode.encode(spark.createDataFrame([event(1)], decode.EVENT), "telemetry")
+        sent = one.crossJoin(hot.select("o")).withColumn("value", F.when(F.col("o") % 2 == 1, F.encode(F.regexp_replace(F.decode("value", "utf-8"), '"load_percent":10.0', '"load_percent":11.0'), "utf-8")).otherwise(F.col("value")))
+        consumer.write_records(sent.select("key", "value", "headers", "topic", F.lit(0).alias("partition"), F.col("o").alias("offset")), f"{tmp_path}/log")
+        report = _go(spark, tmp_path, "r")
+        assert (report.bronze_rows, report.duplicates, report.conflicts) == (1, 99, 100)
+        assert len(_held(spark, tmp_path)) == 1 and _tables(spark, tmp_path)[2] == [("evt-000001-000001", 10.0)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
