@@ -5,6 +5,11 @@ frequencies come from all learnable rows.  The weights are fitted by
 follow-the-regularised-leader with elastic-net penalties on a bounded sample and
 calibrated by one temperature on a held-back part of it.
 
+Every language has at least one training text, so none is lost however many there are.
+Training takes 16 bytes a slot and language on the driver; languages that would need more
+than ``model_bytes`` are refused before anything is trained.  Tasks get the weights that the
+penalties left, as sorted slots and values of each language.
+
 Rows: a null or empty text or one without a letter is ``und`` with score 0; a null
 language teaches nothing; repeated rows count as often as they stand there, but train
 once; equal scores go to the language first by name; a very long text is one row of a
@@ -16,6 +21,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,8 +32,10 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 from .common import materialise
 
-#: Distinct texts that train the weights, at most about this many, from every language.
+#: Distinct texts that train the weights, about this many and at least one of every language.
 TRAIN_ROWS = 6000
+#: What training may take on the driver: some 1 MB a language.
+MODEL_BYTES = 4 << 30
 BITS = 16
 ORDERS = (1, 2, 3)
 SCALE = 12.0
@@ -134,17 +142,33 @@ def _has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.diff(np.r_[0, np.cumsum(_letters[0][point])][at]) > 0
 
 
+class Model(NamedTuple):
+    """Languages, the slots and values of each one's weights (idf and temperature folded in), and biases."""
+
+    names: list[str]
+    slots: list[np.ndarray]
+    values: list[np.ndarray]
+    bias: np.ndarray
+
+
+class TooManyLanguages(ValueError):
+    """The model would be larger than the driver was given for it."""
+
+
 def _predict(shared, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, w, bias = shared.value
+        names, at_slot, value, bias = shared.value
+        w = np.zeros(1 << BITS, np.float32)
         for part in K.slices(batches):
             data, off = K.text_bytes(part.column("text"))
             found, at = slots(data, off)
             size = np.maximum(np.diff(at), 1)[:, None]
             logit = np.zeros((part.num_rows, len(names)))
             for c in range(len(names)):
+                w[at_slot[c]] = value[c]
                 for h in found:
-                    logit[:, c] += np.diff(np.r_[0.0, np.cumsum(w[c][h], dtype=np.float64)][at])
+                    logit[:, c] += np.diff(np.r_[0.0, np.cumsum(w[h], dtype=np.float64)][at])
+                w[at_slot[c]] = 0
             logit = logit / size + bias
             p = np.exp(logit - logit.max(1, keepdims=True)) if len(names) else np.ones((part.num_rows, 1))
             p /= p.sum(1, keepdims=True)
@@ -155,46 +179,56 @@ def _predict(shared, keep: list[str]):
     return run
 
 
-def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, weights (language, slot) with idf and temperature folded in, and biases, from (text, lang)."""
+def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, model_bytes: int = MODEL_BYTES) -> Model:
+    """The model of (text, lang)."""
     spread = F.spark_partition_id() % 64
     df = labelled.select("text").mapInArrow(_document_frequencies, "rows long, df binary").withColumn("lot", spread).groupBy("lot").applyInPandas(_add_up, "rows long, df binary").toPandas()
     if df.empty:
-        return [], np.zeros((0, 1 << BITS), np.float32), np.zeros(0)
+        return Model([], [], [], np.zeros(0))
     total = _add_up(df)
     rows = int(total["rows"][0])
     idf = np.log((1 + rows) / (1 + np.frombuffer(total["df"][0], "<i8")))
     # half of the rows dealt evenly over the languages, half by their sizes; copies of a text count once
     row = F.xxhash64("lang", "text")
-    sizes = materialise(labelled.select("lang", row.alias("row")).distinct().groupBy("lang").agg(F.count("*").alias("n")))
+    place = F.pmod(F.xxhash64("row"), F.lit(1 << 30))
+    # the first to be dealt is trained in any case
+    sizes = materialise(labelled.select("lang", row.alias("row")).distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min_by("row", F.struct(place, "row")).alias("first")))
     many, total = sizes.agg(F.count("*"), F.sum("n")).first()
+    if many * ((1 << BITS) + 1) * 16 > model_bytes:
+        raise TooManyLanguages(f"{many} languages need {many * ((1 << BITS) + 1) * 16} bytes, the model may take {model_bytes}")
     rate = (train_rows / 2 * (1 / (F.col("n") * many) + 1 / F.lit(total)) * (1 << 30)).cast("long")
-    sample = labelled.select("text", "lang", row.alias("row")).join(sizes.select("lang", rate.alias("most")), "lang").where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < F.col("most")).select("text", "lang", "row").dropDuplicates(["row"])
+    sample = labelled.select("text", "lang", row.alias("row")).join(sizes.select("lang", "first", rate.alias("most")), "lang").where((place < F.col("most")) | (F.col("row") == F.col("first"))).select("text", "lang", "row").dropDuplicates(["row"])
     sample = sample.mapInArrow(_train_rows, "lang string, row long, slots binary, tf binary").toPandas().sort_values(["row", "slots"])
     names = sorted(sample["lang"].unique())
-    if not names:
-        return [], np.zeros((0, 1 << BITS), np.float32), np.zeros(0)
-    data = []
+    index, data = {x: i for i, x in enumerate(names)}, []
     for lang, s, tf in zip(sample["lang"], sample["slots"], sample["tf"], strict=True):
         s, tf = np.frombuffer(s, "<i4"), np.frombuffer(tf, "<f4").astype(float)
-        data.append((np.r_[s, 1 << BITS], np.r_[tf * idf[s] * SCALE, 1.0], names.index(lang)))
-    held = [x for i, x in enumerate(data) if i % 5 == 4]
-    w = fit_ftrl([x for i, x in enumerate(data) if i % 5 != 4] or data, len(names))
+        data.append((np.r_[s, 1 << BITS], np.r_[tf * idf[s] * SCALE, 1.0], index[lang]))
+    # a fifth is held back for the temperature, but no language's first text
+    seen, held, trained = set(), [], []
+    for i, x in enumerate(data):
+        (held if i % 5 == 4 and x[2] in seen else trained).append(x)
+        seen.add(x[2])
+    w = fit_ftrl(trained, len(names))
     logits = np.array([x @ w[s] for s, x, _ in held]) if held else np.zeros((0, len(names)))
     t = fit_temperature(logits, np.array([y for _, _, y in held], int))
-    return names, np.ascontiguousarray((w[:-1] * (idf * SCALE)[:, None] / t).T.astype(np.float32)), w[-1] / t
+    own, values = [], []
+    for c in range(len(names)):
+        own.append(np.flatnonzero(w[:-1, c]).astype(np.int32))
+        values.append((w[own[-1], c] * (idf * SCALE)[own[-1]] / t).astype(np.float32))
+    return Model(names, own, values, w[-1] / t)
 
 
-def predict(docs: DataFrame, model: tuple, keep: list[str]) -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep``, lang_pred and score of each row of (text, ...)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select("text", *keep).mapInArrow(_predict(shared, keep), f"{kinds}, lang_pred string, score double")
 
 
-def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", held_out: Column | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", held_out: Column | None = None, train_rows: int = TRAIN_ROWS, model_bytes: int = MODEL_BYTES) -> DataFrame:
     """(doc_id, held_out, lang_pred, score); learns from rows that are not ``held_out`` and have a language."""
     held = F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1 if held_out is None else held_out, F.lit(False))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), held.alias("held_out"))
-    model = fit(rows.where("not held_out and lang is not null and text is not null").select("text", "lang"), train_rows)
+    model = fit(rows.where("not held_out and lang is not null and text is not null").select("text", "lang"), train_rows, model_bytes)
     return predict(rows, model, ["doc_id", "held_out"])

@@ -531,6 +531,18 @@ def test_language_id_ignores_held_out_rows_and_null_languages(spark):
     assert {got[i] for i in held} <= {"aa", "xx"} and all(got[i] == lang for i, _, lang in rows) and got[1000] == "aa"
 
 
+def test_language_id_loses_no_language_of_many(spark):
+    """More languages than training rows: each is learned, also beside one that holds a third of all rows."""
+    word = lambda k: "".join(chr(0x4E00 + 5 * k + j) for j in range(4))
+    rows = [(i, " ".join([word(i % 150)] * 6), f"l{i % 150:03d}") for i in range(1200)] + [(2000 + i, f"hot text {i}", "hot") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, train_rows=60).collect()}
+    assert set(got.values()) == {lang for _, _, lang in rows}
+    assert sum(got[i] == lang for i, _, lang in rows) > 0.95 * len(rows)
+    with pytest.raises(langid.TooManyLanguages):
+        langid.identify(docs, model_bytes=100 << 20)
+
+
 def test_language_id_learns_rare_languages_among_copies(spark):
     """A hot text and few rows of a language: both are learned."""
     rng = random.Random(1)
