@@ -6,6 +6,8 @@ DUPLICATE_KEY, and an invalid winner is not replaced by an older valid row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -31,8 +33,11 @@ def with_winner(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_superseded", F.col(key).isNotNull() & (F.row_number().over(w) > 1))
 
 
-def split(rows: DataFrame, table: str, references: dict[str, DataFrame]) -> Silver:
-    """Accepted rows and quarantine of one table's Bronze rows (with ``_path`` and ``_ordinal``)."""
+def split(rows: DataFrame, table: str, references: dict[str, DataFrame], keep: Callable[[DataFrame], DataFrame] = lambda judged: judged) -> Silver:
+    """Accepted rows and quarantine of one table's Bronze rows (with ``_path`` and ``_ordinal``).
+
+    ``keep`` may write the judged rows and read them back, so that both parts come from one judgement.
+    """
     if table not in TABLES:
         unknown = F.array(F.struct(F.lit("SCHEMA_INVALID").alias("code"), F.lit(f"unsupported table '{table}'").alias("detail")))
         return Silver(rows.where("false").drop(*ORIGIN), _quarantine(rows.withColumn("_issues", unknown), table, None))
@@ -42,7 +47,7 @@ def split(rows: DataFrame, table: str, references: dict[str, DataFrame]) -> Silv
         rows = with_references(rows, spec, references)
     own = issues(row_rules(spec, set(rows.columns), lineage=True))
     repeat = F.array(F.struct(F.lit("DUPLICATE_KEY").alias("code"), F.concat(F.lit(f"duplicate {spec.key} '"), F.col(spec.key), F.lit("'")).alias("detail")))
-    rows = rows.withColumn("_issues", F.when(F.col("_superseded"), repeat).otherwise(own)).drop("_superseded", *[f"_known_{c}" for c in spec.references])
+    rows = keep(rows.withColumn("_issues", F.when(F.col("_superseded"), repeat).otherwise(own)).drop("_superseded", *[f"_known_{c}" for c in spec.references]))
     return Silver(rows.where(F.size("_issues") == 0).drop("_issues", *ORIGIN), _quarantine(rows.where(F.size("_issues") > 0), table, spec.key))
 
 
@@ -64,13 +69,12 @@ def reason_counts(quarantine: DataFrame) -> DataFrame:
     return quarantine.select(F.explode("reason_codes").alias("reason_code")).groupBy("reason_code").count()
 
 
-def transform(bronze: dict[str, DataFrame]) -> dict[str, Silver]:
-    """Silver of every table; references come from all raw rows, valid or not."""
-    references = {}
-    for c, table in (("terminal_id", "terminals"), ("equipment_id", "equipment")):
-        references[c] = bronze[table].select(c) if table in bronze else None
+def transform(bronze: dict[str, DataFrame], keep: Callable[[str, DataFrame], DataFrame] = lambda table, judged: judged, references: dict[str, DataFrame] | None = None) -> dict[str, Silver]:
+    """Silver of every table; references come from all raw rows, valid or not, unless they are given; ``keep`` as in ``split``, with the table's name."""
+    if references is None:
+        references = {c: bronze[table].select(c) if table in bronze else None for c, table in (("terminal_id", "terminals"), ("equipment_id", "equipment"))}
     out = {}
     for table, rows in bronze.items():
         known = {c: df if df is not None else rows.select(F.lit("").alias(c)).where("false") for c, df in references.items()}
-        out[table] = split(rows, table, known)
+        out[table] = split(rows, table, known, partial(keep, table))
     return out

@@ -22,6 +22,7 @@ from ..sinks.versions import Versions
 from ..sources import keyset, log, records, tables
 from ..streaming import consumer, decode, keyed
 from . import catalogue as base
+from . import pipeline
 from .catalogue import _query, _sql_ts, _ts
 
 EXTRACTED = datetime(2024, 3, 1)
@@ -128,7 +129,8 @@ _ISSUES = """select event_id as primary_key, case when superseded then 'DUPLICAT
  case when superseded then 'duplicate event_id ''' || event_id || '''' else concat_ws('|', s, r, f, t) end as reason_details from found where superseded or s is not null or r is not null or f is not null or t is not null"""
 
 
-def _defective(spark, d) -> silver.Silver:
+def _spoilt(spark, d) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Bronze telemetry with defects of every kind, and the identifiers it may refer to."""
     n = F.substring("event_id", -6, 6).cast("int")
     rows = base._bronze_telemetry(spark, d).withColumn("schema_version", F.lit(1))
     known = {c: telemetry(spark, d).select(c).distinct() for c in ("equipment_id", "terminal_id")}
@@ -144,6 +146,11 @@ def _defective(spark, d) -> silver.Silver:
             "ingestion_timestamp": F.when(n % 31 == 0, F.col("event_timestamp") - F.expr("interval 1 second")).otherwise(F.col("ingestion_timestamp")),
         }
     )
+    return rows, known
+
+
+def _defective(spark, d) -> silver.Silver:
+    rows, known = _spoilt(spark, d)
     return silver.split(rows, "telemetry_events", known)
 
 
@@ -170,6 +177,20 @@ def layer_reconciliation(spark, d):
     return rows.withColumn("layers_valid", F.col("bronze_rows") == F.col("silver_rows") + F.col("quarantine_rows"))
 
 
+@_query(
+    "telemetry",
+    """select 'bronze' as layer, count(*) as n from bronze union all select 'silver', (select count(*) from bronze) - (select count(*) from issues) union all select 'quarantine', count(*) from issues
+ union all select code, count(*) from (select unnest(string_split(reason_codes, ',')) as code from issues) group by 1""",
+    **_DEFECTS,
+)
+def written_layer_counts(spark, d):
+    """What the batch path counts while it writes the layers, and rows by reason code."""
+    root, (rows, known) = scratch(spark), _spoilt(spark, d)
+    n = pipeline.refined(spark, {"telemetry_events": rows}, f"{root}/silver", f"{root}/quarantine", known)
+    counts = {"bronze": n.bronze_rows, "silver": n.silver_rows, "quarantine": n.quarantine_rows} | n.reason_counts
+    return spark.createDataFrame(list(counts.items()), "layer string, n long")
+
+
 @_query(
     "alarms",
     """select 'alarms' as source_table, alarm_id as primary_key, 'SCHEMA_INVALID' as reason_codes, 'missing columns: severity, code' as reason_details from alarms union all

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -45,19 +46,33 @@ def extract(source: dict[str, DataFrame], bronze_dir: str, cursors: keyset.Curso
 
 def refine(spark: SparkSession, bronze_dir: str, silver_dir: str, quarantine_dir: str) -> Layers:
     """Bronze to Silver and quarantine; fails if a row got lost on the way."""
-    raw = {name: tables.read_bronze(spark, bronze_dir, name) for name in TABLES}
-    for name, (accepted, rejected) in silver.transform(raw).items():
-        bronze_sink.write_silver(accepted, name, silver_dir)
-        bronze_sink.write_quarantine(rejected, name, quarantine_dir)
-    count = lambda paths: sum(spark.read.parquet(p).count() for p in paths)
-    n = sum(df.count() for df in raw.values())
-    good, bad = count(f"{silver_dir}/{t}" for t in TABLES), [f"{quarantine_dir}/{t}" for t in TABLES]
-    rejected = spark.read.parquet(*bad)
-    held = rejected.count()
+    return refined(spark, {name: tables.read_bronze(spark, bronze_dir, name) for name in TABLES}, silver_dir, quarantine_dir)
+
+
+def refined(spark: SparkSession, raw: dict[str, DataFrame], silver_dir: str, quarantine_dir: str, references: dict[str, DataFrame] | None = None) -> Layers:
+    """As ``refine``, from Bronze rows by table, and identifiers that they may refer to if not those of ``raw``.
+
+    Each table is judged once, into a folder under Silver that the next run replaces.
+    Rows of Silver and quarantine are counted by the tasks that write them; Bronze is
+    counted apart, from its files, so that the balance is no tautology.
+    """
+
+    def keep(name: str, judged: DataFrame) -> DataFrame:
+        to = f"{silver_dir}/_judged/{name}"
+        judged.write.mode("overwrite").parquet(to)
+        return spark.read.schema(judged.schema).parquet(to)
+
+    n = good = held = 0
+    reasons: Counter[str] = Counter()
+    for name, (accepted, rejected) in silver.transform(raw, keep, references).items():
+        good += bronze_sink.write_silver(accepted, name, silver_dir)
+        bad, codes = bronze_sink.write_quarantine(rejected, name, quarantine_dir)
+        held += bad
+        reasons.update(codes)
+        n += raw[name].count()
     if n != good + held:
         raise PipelineError(f"Bronze has {n} rows, Silver and quarantine {good} + {held}")
-    reasons = {r["reason_code"]: r["count"] for r in silver.reason_counts(rejected).collect()}
-    return Layers(n, good, held, reasons)
+    return Layers(n, good, held, dict(reasons))
 
 
 def gold(spark: SparkSession, silver_dir: str, attribution: kpi.Attribution = "reference", pairing: kpi.Pairing = "minmax") -> dict[str, DataFrame]:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.verify import fingerprint
-from ..schemas import TABLES
+from ..schemas import REASON_CODES, TABLES
 
 
 class BronzeConflict(RuntimeError):
@@ -62,13 +62,26 @@ def write_batches(batches: DataFrame, table: str, bronze_dir: str, run_id: str)
     return out.count()
 
 
-def write_silver(accepted: DataFrame, table: str, silver_dir: str) -> None:
-    """Accepted rows in key order; an empty relation keeps its schema."""
-    accepted.repartitionByRange(TABLES[table].key).sortWithinPartitions(TABLES[table].key).write.mode("overwrite").option("compression", "zstd").parquet(f"{silver_dir}/{table}")
+def _write_counted(rows: DataFrame, target: str, *counts: Column) -> dict[str, int]:
+    """Writes rows and returns counts that the writing tasks took; a task that runs again counts once."""
+    seen = Observation()
+    # observed behind the last shuffle: what a lost map task computes again is not counted
+    rows.observe(seen, F.count("*").alias("rows"), *counts).write.mode("overwrite").option("compression", "zstd").parquet(target)
+    return {k: v or 0 for k, v in seen.get.items()}
 
 
-def write_quarantine(rows: DataFrame, table: str, quarantine_dir: str) -> None:
-    rows.repartitionByRange("primary_key").sortWithinPartitions("primary_key", "reason_codes").write.mode("overwrite").option("compression", "zstd").parquet(f"{quarantine_dir}/{table}")
+def write_silver(accepted: DataFrame, table: str, silver_dir: str) -> int:
+    """Accepted rows in key order; an empty relation keeps its schema.  Returns the rows written."""
+    key = TABLES[table].key
+    return _write_counted(accepted.repartitionByRange(key).sortWithinPartitions(key), f"{silver_dir}/{table}")["rows"]
+
+
+def write_quarantine(rows: DataFrame, table: str, quarantine_dir: str) -> tuple[int, dict[str, int]]:
+    """Rejected rows in key order; returns the rows written and how many carry each reason code."""
+    # a row has a code once at most
+    codes = [F.count_if(F.array_contains("reason_codes", code)).alias(code) for code in REASON_CODES]
+    n = _write_counted(rows.repartitionByRange("primary_key").sortWithinPartitions("primary_key", "reason_codes"), f"{quarantine_dir}/{table}", *codes)
+    return n["rows"], {code: n[code] for code in REASON_CODES if n[code]}
 
 
 def partition_summary(bronze_dir_rows: DataFrame) -> DataFrame:

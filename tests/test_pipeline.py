@@ -106,3 +106,23 @@ def test_empty_bronze_table_keeps_its_schema(spark, tmp_path):
     rows = tables.read_bronze(spark, f"{tmp_path}", "alarms")
     assert rows.count() == 0 and set(TABLES["alarms"].all_columns) < set(rows.columns)
     assert tables.staging(rows, "alarms").columns == list(TABLES["alarms"].all_columns)
+
+
+def test_layers_are_counted_while_they_are_written(spark, tmp_path):
+    """A key that a third of all rows repeat, rejected terminals, and relations without a row."""
+    source = generators.operational_seed(spark)
+    rows = source["telemetry_events"].withColumns({c: F.col("ingestion_timestamp") for c in ("created_at", "updated_at") if c not in source["telemetry_events"].columns})
+    hot = rows.limit(1).crossJoin(spark.range(150).select(F.col("id").alias("_n"))).withColumn("updated_at", F.col("updated_at") + F.make_dt_interval(secs=F.col("_n") + 1)).drop("_n")
+    at = F.lit(datetime(2026, 9, 3, tzinfo=UTC))
+    wrong = rows.where(F.substring("event_id", -6, 6).cast("int") % 2 == 0).withColumn("terminal_id", F.lit("TM-999"))
+    for name, df in source.items():
+        bronze.bronze_rows(df, name, "run-1", at).write.parquet(f"{tmp_path}/bronze/{name}/run=run-1")
+    for run, df in (("run-2", hot), ("run-3", wrong)):
+        bronze.bronze_rows(df, "telemetry_events", run, at).write.parquet(f"{tmp_path}/bronze/telemetry_events/run={run}")
+    n = pipeline.refine(spark, f"{tmp_path}/bronze", f"{tmp_path}/silver", f"{tmp_path}/quarantine")
+    read = lambda kind: [spark.read.parquet(f"{tmp_path}/{kind}/{name}") for name in TABLES]
+    rejected = read("quarantine")
+    assert (n.silver_rows, n.quarantine_rows) == (sum(df.count() for df in read("silver")), sum(df.count() for df in rejected))
+    assert n.bronze_rows == 305 + 150 + wrong.count()
+    codes = spark.read.parquet(*[f"{tmp_path}/quarantine/{name}" for name in TABLES]).select(F.explode("reason_codes").alias("c")).groupBy("c").count()
+    assert n.reason_counts == {r.c: r["count"] for r in codes.collect()} and n.reason_counts["DUPLICATE_KEY"] >= 150 and n.reason_counts["REFERENCE_INVALID"] > 0
