@@ -82,6 +82,12 @@ def test_import_issues(spark):
     ]
 
 
+def test_import_issues_parses_a_row_once(spark):
+    """No rule, join or explosion moves below the parser, where each would parse the row again for each field."""
+    plan = records.import_issues(records.records(spark, ['{"terminal_id":"TM-001"}']), "terminals", {})._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "problems" in plan
+
+
 def test_upsert(spark, tmp_path):
     held, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     m = upsert.merge(held, new, "k")
