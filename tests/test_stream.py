@@ -2,6 +2,7 @@
 
 from datetime import UTC, datetime, timedelta
 
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -146,6 +147,30 @@ def test_state_by_key_after_a_crash(spark, tmp_path, point):
     assert _tables(spark, f"{tmp_path}/a") == _tables(spark, f"{tmp_path}/b") and _held(spark, f"{tmp_path}/a") == _held(spark, f"{tmp_path}/b")
 
 
+def test_neighbours_share_a_call_to_the_state_store():
+    calls = []
+
+    class Held:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    held = Held()
+    remember = keyed._Remember()
+    remember.init(type("Handle", (), {"getValueState": lambda self, *_: held})())
+    rows = pd.DataFrame([(f"e{i:02d}", 0, 200 - i, f"d{i}") for i in range(100)] + [("e07", 0, 1, "first")], columns=["event_id", "partition", "offset", "digest"])
+    told = pd.concat(remember.handleInputRows(("e",), iter([rows[:60], rows[60:]]), None))
+    assert calls == ["get", "update"] and told["stored"].isna().all() and len(told) == 101
+    told = pd.concat(remember.handleInputRows(("e",), iter([rows]), None))
+    assert calls == ["get", "update", "get"] and list(told["stored"])[6:8] == ["d6", "first"]
+
+
 def test_a_hot_event_is_taken_in_chunks(spark, tmp_path):
     """One event is most of a batch: its first row by offset counts, whatever chunk brings it."""
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
