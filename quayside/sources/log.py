@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
+from ..session import written
+
 FORMAT = "message_log"
 RECORD = "key binary, value binary, headers array<struct<name: string, value: binary>>, topic string, partition int, offset long"
 #: Messages that one reading task takes, and that a writing task buffers.
@@ -184,7 +186,7 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    """Each task writes a part per partition that it meets; the driver names them in one commit record, which is the commit."""
+    """Each task writes a part per partition that it meets; the driver names them, task by task, in one commit record, which is the commit."""
 
     def __init__(self, path: str):
         self.path = path
@@ -250,13 +252,16 @@ def append(records: DataFrame, folder: str, partitions: int = 1, by: str = "key"
     """Adds records (key, value, headers, topic and whatever orders them) to a log as one commit.
 
     Messages go to partitions by a hash of their key, unless they have a ``partition``; within
-    one they stand in the order of ``by`` columns.  Each partition is written by one task, as its
-    order asks; a log that is too hot for one task needs more partitions.
+    one they stand in the order of ``by`` columns.  A task sorts and writes a range of that order,
+    as a part of its own, and the commit numbers the parts in the order of their ranges; so a
+    partition is no task's, but messages that are equal in ``by`` are one task's.
     """
     records.sparkSession.dataSource.register(MessageLog)
     if "partition" not in records.columns:
         records = records.withColumn("partition", F.pmod(F.crc32(F.coalesce("key", "value", F.lit(b""))), F.lit(partitions)).cast("int"))
-    rows = records.repartition("partition").sortWithinPartitions("partition", *by.split())
+    order = ["partition", *by.split()]
+    # written first, as the ranges are sampled in a pass of their own
+    rows = written(records).repartitionByRange(*order).sortWithinPartitions(*order)
     rows.select("key", "value", "headers", "topic", "partition", F.lit(0).cast("long").alias("offset")).write.format(FORMAT).option("path", folder).mode("append").save()
 
 

@@ -85,3 +85,16 @@ def test_consumer_bounds_and_fewer_messages(spark, tmp_path):
     state = consumer.StreamState(spark, f"{tmp_path}/state", "telemetry")
     assert state.events().count() == 10
     assert {r.run_id: (r.status, r.consumed) for r in state.runs().collect()} == {"r1": ("succeeded", 6), "r2": ("failed", 4)}
+
+
+def test_a_partition_is_written_by_several_tasks_in_order(spark, tmp_path):
+    """Ranges of a partition are parts of their own, and offsets follow the order over all of them."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        log.append(messages(spark, 0, 400), f"{tmp_path}/log", partitions=1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    (parts,) = log.Folder(f"{tmp_path}/log").commits()
+    assert len(parts) > 1 and sum(p.count for p in parts) == 400
+    keys = [r.key for r in log.read(spark, f"{tmp_path}/log").orderBy("offset").collect()]
+    assert len(keys) == 400 and keys == sorted(keys)
