@@ -30,6 +30,8 @@ from ..sources.log import Folder
 #: Rows of a file at most; its Bloom filter takes BITS bits a row and errs for about one key in a hundred.
 FILE_ROWS = 1_000_000
 BITS, HASHES = 10, 7
+#: Hashes whose bits are worked out at once, which bounds the arrays that takes.
+PLACED = 65_536
 
 
 class MergeError(ValueError):
@@ -61,7 +63,8 @@ def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 def bloom(hashes: np.ndarray) -> bytes:
     held = np.zeros(max(64, BITS * len(hashes)), dtype=np.uint8)
-    held[_places(hashes, len(held))] = 1
+    for at in range(0, len(hashes), PLACED):
+        held[_places(hashes[at : at + PLACED], len(held))] = 1
     return len(held).to_bytes(8, "little") + np.packbits(held).tobytes()
 
 

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +24,16 @@ def test_filter_never_misses_and_seldom_errs():
     assert not versions.may_hold(versions.bloom(np.array([], dtype=np.int64)), other).any()
 
 
+def test_filter_of_a_whole_file_takes_little_memory():
+    hashes = np.random.default_rng(2).integers(-(2**62), 2**62, versions.FILE_ROWS)
+    tracemalloc.start()
+    try:
+        f, most = versions.bloom(hashes), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert versions.may_hold(f, hashes).all() and most < 40e6
+
+
 def test_upsert_rewrites_only_the_files_of_its_keys(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(versions, "FILE_ROWS", 50)
     rows = spark.range(1000).select(F.col("id").alias("k"), F.concat(F.lit("a"), "id").alias("v"))
