@@ -20,9 +20,10 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
@@ -36,7 +37,7 @@ from ..session import written
 FORMAT = "message_log"
 RECORD = "key binary, value binary, headers array<struct<name: string, value: binary>>, topic string, partition int, offset long"
 #: Messages that one reading task takes, and that a writing task buffers.
-TASK_MESSAGES = 250_000
+TASK_MESSAGES = 100_000
 BUFFER_MESSAGES = 50_000
 
 _HEADERS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.binary())]))
@@ -119,7 +120,7 @@ def _read(path: str, wanted: Range) -> Iterator[pa.RecordBatch]:
             a, b = max(wanted.start, at), min(wanted.end, at + n)
             if a < b:
                 rows = held.read_row_group(group).slice(a - at, b - a)
-                told = [*(rows.column(c) for c in ("key", "value", "headers", "topic")), pa.array([wanted.part.partition] * (b - a), pa.int32()), pa.array(range(a, b), pa.int64())]
+                told = [*(rows.column(c) for c in ("key", "value", "headers", "topic")), pa.array(np.full(b - a, wanted.part.partition, np.int32)), pa.array(np.arange(a, b, dtype=np.int64))]
                 yield from pa.table(told, schema=_TOLD).to_batches(max_chunksize=10_000)
             at += n
 
@@ -248,20 +249,25 @@ class MessageLog(DataSource):
         return _Writer(self.options["path"])
 
 
-def append(records: DataFrame, folder: str, partitions: int = 1, by: str = "key") -> None:
+def append(records: DataFrame, folder: str, partitions: int = 1, by: str = "key", encode: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Adds records (key, value, headers, topic and whatever orders them) to a log as one commit.
 
     Messages go to partitions by a hash of their key, unless they have a ``partition``; within
     one they stand in the order of ``by`` columns.  A task sorts and writes a range of that order,
     as a part of its own, and the commit numbers the parts in the order of their ranges; so a
     partition is no task's, but messages that are equal in ``by`` are one task's.
+
+    With ``encode`` the rows are none of a log yet, but have what deals and orders them (a key or
+    a partition, ``by``); it makes the messages of rows, and keeps ``partition``, in the tasks that
+    write them.  Such rows must be the same when they are read twice.
     """
     records.sparkSession.dataSource.register(MessageLog)
     if "partition" not in records.columns:
-        records = records.withColumn("partition", F.pmod(F.crc32(F.coalesce("key", "value", F.lit(b""))), F.lit(partitions)).cast("int"))
+        records = records.withColumn("partition", F.pmod(F.crc32(F.coalesce(*[c for c in ("key", "value") if c in records.columns], F.lit(b""))), F.lit(partitions)).cast("int"))
     order = ["partition", *by.split()]
-    # written first, as the ranges are sampled in a pass of their own
-    rows = written(records).repartitionByRange(*order).sortWithinPartitions(*order)
+    # the ranges are sampled in a pass of their own: finished messages are written first, rows are read again
+    rows = (records if encode else written(records)).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = encode(rows) if encode else rows
     rows.select("key", "value", "headers", "topic", "partition", F.lit(0).cast("long").alias("offset")).write.format(FORMAT).option("path", folder).mode("append").save()
 
 

@@ -54,11 +54,11 @@ def decode(records: DataFrame) -> DataFrame:
     return rows.withColumn("digest", F.when(F.col("event").isNotNull(), payload_digest()))
 
 
-def encode(events: DataFrame, topic: str) -> DataFrame:
-    """Events as records (key, value, headers, topic), the producer's side."""
+def encode(events: DataFrame, topic: str, *kept: str) -> DataFrame:
+    """Events as records (key, value, headers, topic, and columns that are kept), the producer's side."""
     fields = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias(c) if c.endswith("_timestamp") else F.col(c) for c in sorted(FIELDS)]
     headers = F.array(*[F.struct(F.lit(k).alias("name"), F.encode(F.lit(v), "utf-8").alias("value")) for k, v in HEADERS.items()])
-    return events.select(F.encode("event_id", "utf-8").alias("key"), F.encode(F.to_json(F.struct(*fields)), "utf-8").alias("value"), headers.alias("headers"), F.lit(topic).alias("topic"))
+    return events.select(F.encode("event_id", "utf-8").alias("key"), F.encode(F.to_json(F.struct(*fields)), "utf-8").alias("value"), headers.alias("headers"), F.lit(topic).alias("topic"), *kept)
 
 
 def dead_letter(rejected: DataFrame, run_id: str) -> DataFrame:

@@ -98,3 +98,13 @@ def test_a_partition_is_written_by_several_tasks_in_order(spark, tmp_path):
     assert len(parts) > 1 and sum(p.count for p in parts) == 400
     keys = [r.key for r in log.read(spark, f"{tmp_path}/log").orderBy("offset").collect()]
     assert len(keys) == 400 and keys == sorted(keys)
+
+
+def test_rows_become_messages_in_the_tasks_that_write_them(spark, tmp_path, monkeypatch):
+    """Rows are dealt, sampled and sorted before they are messages; nothing is written but the log, which is as before."""
+    events = spark.createDataFrame([event(i, i) for i in range(50)], decode.EVENT)
+    log.append(decode.encode(events, "telemetry"), f"{tmp_path}/a", partitions=3)
+    monkeypatch.setattr(log, "written", lambda df: pytest.fail("messages were written before they were sorted"))
+    log.append(events.withColumn("key", F.encode("event_id", "utf-8")), f"{tmp_path}/b", partitions=3, encode=lambda rows: decode.encode(rows, "telemetry", "partition"))
+    a, b = (sorted((r.partition, r.offset, bytes(r.key), bytes(r.value)) for r in log.read(spark, f"{tmp_path}/{x}").collect()) for x in "ab")
+    assert len(a) == 50 and a == b
