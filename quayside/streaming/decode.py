@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +21,12 @@ EVENT = "event_id string, schema_version int, equipment_id string, terminal_id s
 
 
 def headers_valid() -> Column:
-    named = F.transform("headers", lambda h: F.concat(h["name"], F.lit("="), F.decode(h["value"], "utf-8")))
-    wanted = F.array(*[F.lit(f"{k}={v}") for k, v in sorted(HEADERS.items())])
-    return F.coalesce(F.sort_array(named) == wanted, F.lit(False))
+    # as many as are wanted and each of them there, in any order; no lambda, which would not be compiled
+    held = [F.get("headers", F.lit(i)) for i in range(len(HEADERS))]
+    whole = F.size("headers") == len(HEADERS)
+    for k, v in HEADERS.items():
+        whole &= reduce(or_, [(h["name"] == k) & (h["value"] == F.lit(v.encode("utf-8"))) for h in held])
+    return F.coalesce(whole, F.lit(False))
 
 
 def payload_digest(event: str = "event") -> Column:
@@ -42,16 +48,17 @@ def event_valid(e: str = "event") -> Column:
 
 def decode(records: DataFrame) -> DataFrame:
     """Records with ``event`` (null if the record breaks the contract) and ``digest``."""
-    parsed = F.from_json(F.decode("value", "utf-8"), _JSON)
-    rows = records.withColumn("_p", parsed)
-    fields = [F.col(f"_p.{f}").alias(f) for f in FIELDS if not f.endswith("_timestamp")]
-    times = [parse_utc(F.col(f"_p.{f}")).alias(f) for f in ("event_timestamp", "ingestion_timestamp")]
-    by_name = dict(zip([f for f in FIELDS if not f.endswith("_timestamp")] + ["event_timestamp", "ingestion_timestamp"], fields + times, strict=True))
-    # a JSON object of other fields is no telemetry event
-    known = F.coalesce(F.size(F.array_except(F.json_object_keys(F.decode("value", "utf-8")), F.array(*[F.lit(f) for f in FIELDS]))) == 0, F.lit(False))
-    rows = rows.withColumn("event", F.struct(*[by_name[f] for f in FIELDS]))
-    rows = rows.withColumn("event", F.when(headers_valid() & known & event_valid(), F.col("event"))).drop("_p")
-    return rows.withColumn("digest", F.when(F.col("event").isNotNull(), payload_digest()))
+    text = F.decode("value", "utf-8")
+    rows = records.withColumn("_p", F.from_json(text, _JSON))
+    fields = [parse_utc(F.col(f"_p.{f}")).alias(f) if f.endswith("_timestamp") else F.col(f"_p.{f}").alias(f) for f in FIELDS]
+    rows = rows.withColumn("_e", F.struct(*fields)).drop("_p")
+    # a JSON object of other fields is no telemetry event; one that has all fields and no more names has no other
+    names = F.json_object_keys(text)
+    known = F.coalesce((F.size(names) == len(FIELDS)) | (F.size(F.array_except(names, F.array(*[F.lit(f) for f in FIELDS]))) == 0), F.lit(False))
+    # judged once, and the digest made from the fields, not from what the judgement gives
+    rows = rows.withColumn("_valid", headers_valid() & event_valid("_e") & known)
+    rows = rows.withColumns({"event": F.when(F.col("_valid"), F.col("_e")), "digest": F.when(F.col("_valid"), payload_digest("_e"))})
+    return rows.drop("_e", "_valid")
 
 
 def encode(events: DataFrame, topic: str, *kept: str) -> DataFrame:

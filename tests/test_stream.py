@@ -186,3 +186,15 @@ def test_a_hot_event_is_taken_in_chunks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
+
+
+def test_headers_and_names_in_any_order_and_no_others(spark):
+    good = records(spark, [event(1)])
+    text = F.decode("value", "utf-8")
+    renamed = F.encode(F.regexp_replace(text, '"state"', '"stat"'), "utf-8")
+    twice = F.encode(F.regexp_replace(text, r"^\{", '{"schema_version":1,'), "utf-8")
+    other = F.array(F.element_at("headers", 1), F.element_at("headers", 1))
+    cases = {"reversed": ("headers", F.reverse("headers"), True), "one twice": ("headers", other, False), "none": ("headers", F.lit(None).cast("array<struct<name: string, value: binary>>"), False)}
+    cases |= {"ten names": ("value", renamed, False), "a name twice": ("value", twice, True), "not text": ("headers", F.transform("headers", lambda h: F.struct(h["name"].alias("name"), F.unhex(F.lit("FF")).alias("value"))), False)}
+    for name, (column, value, valid) in cases.items():
+        assert (decode.decode(good.withColumn(column, value)).first().event is not None) == valid, name
