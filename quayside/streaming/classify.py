@@ -53,6 +53,12 @@ def classify(decoded: DataFrame, stored: DataFrame | None, watermark: Column | N
     return rows.withColumn("reason_code", code).withColumn("reason", told)
 
 
+def source_of_rejects(classified: DataFrame) -> DataFrame:
+    """The same rows without the source bytes of those that are no rejects, which nobody asks for again."""
+    rejected = F.col("reason_code").isNotNull()
+    return classified.withColumns({c: F.when(rejected, F.col(c)) for c in ("key", "value", "headers")})
+
+
 def state_rows(classified: DataFrame) -> DataFrame:
     """What a batch adds to the state: accepted and late events; invalid ones and conflicts are not kept."""
     kept = classified.where(F.col("outcome").isin("accepted", "late"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..sinks.bronze import bronze_rows
 from ..sources import log
 from . import keyed as by_key
-from .classify import STATE, classify, counters, state_rows
+from .classify import STATE, classify, counters, source_of_rejects, state_rows
 from .decode import EVENT, FIELDS, RECORD, dead_letter, decode
 
 
@@ -135,7 +135,7 @@ def process_batch(
     done = after or (lambda write, batch: None)
     mark = state.watermark(before=batch)
     decoded, held = (by_key.told(records), None) if keyed else (decode(records), state.events(before=batch).select("event_id", "digest"))
-    classified = classify(decoded, held, None if mark is None else F.lit(mark), allowed_lateness_seconds).persist()
+    classified = source_of_rejects(classify(decoded, held, None if mark is None else F.lit(mark), allowed_lateness_seconds)).persist()
     try:
         n = counters(classified).first().asDict()
         rejects = n["invalid"] + n["conflict"] + n["late"]

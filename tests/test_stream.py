@@ -188,6 +188,15 @@ def test_a_hot_event_is_taken_in_chunks(spark, tmp_path):
 
 
 
+def test_a_cached_batch_keeps_the_source_of_rejects_only(spark):
+    """Bytes of accepted records and repeats are not carried on; those of rejects are, as they came."""
+    sent = records(spark, [event(0), event(0), event(0, load=11.0), event(1, load=101.0)])
+    got = C.source_of_rejects(C.classify(decode.decode(sent), spark.createDataFrame([], "event_id string, digest string"), None)).orderBy("offset").collect()
+    assert [r.outcome for r in got] == ["accepted", "duplicate", "conflict", "invalid"]
+    source = sent.orderBy("offset").collect()
+    assert [(r.key, r.value, r.headers) for r in got] == [(None, None, None)] * 2 + [(r.key, r.value, r.headers) for r in source[2:]]
+
+
 def test_headers_and_names_in_any_order_and_no_others(spark):
     good = records(spark, [event(1)])
     text = F.decode("value", "utf-8")
